@@ -74,3 +74,12 @@ def hex_prefix_int(e: str, n: int = 8) -> str:
 
 def quote_regex(e: str) -> str:
     return f"('\\Q' || replace({e}, '\\E', '\\E\\\\E\\Q') || '\\E')"
+
+
+def tokens(e: str, vocab: int = 32000) -> str:
+    words = (f"list_filter(string_split_regex({spaces(e)}, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')")
+    return (f"list_transform({words}, lambda w: CAST(1 + ({hex_prefix_int('md5(w)')} % {vocab - 1}) AS INTEGER))")
+
+
+def int_list_md5(e: str) -> str:
+    return f"md5(array_to_string({e}, ','))"
