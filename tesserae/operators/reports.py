@@ -72,15 +72,17 @@ def log_tail(log: DataFrame, run_col: str, step_col: str, n: int = 10) -> DataFr
     return log.withColumn("rank_from_end", F.row_number().over(w)).filter(F.col("rank_from_end") <= n)
 
 
-def timing(per_row: DataFrame, model_col: str, batch_col: str, batch_time_col: str) -> DataFrame:
-    """Total seconds per model = sum of distinct batch times; per-row time
-    = batch time / batch size; plus the number of batches and rows."""
-    batches = per_row.groupBy(model_col, batch_col).agg(
-        F.max(batch_time_col).alias("_bt"), F.count(F.lit(1)).alias("_rows"))
-    return batches.groupBy(model_col).agg(
-        F.sum("_bt").alias("total_time"), F.count(F.lit(1)).alias("n_batches"),
-        F.sum("_rows").alias("n_rows"),
-        F.try_divide(F.sum("_bt"), F.sum("_rows").cast("double")).alias("avg_time_per_row"))
+def timing(per_row: DataFrame, model_col: str, batch_time_col: str = "batch_seconds",
+           batch_rows_col: str = "batch_rows") -> DataFrame:
+    """Per model, total seconds (each batch counted once: every row
+    carries ``batch_time / batch_rows``), number of batches, rows and the
+    average time per row."""
+    share = F.col(batch_time_col) / F.col(batch_rows_col)
+    return per_row.groupBy(model_col).agg(
+        F.sum(share).alias("total_time"),
+        F.round(F.sum(F.lit(1.0) / F.col(batch_rows_col))).cast("long").alias("n_batches"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.avg(share).alias("avg_time_per_row"))
 
 
 def generation_length_profile(df: DataFrame, text_col: str, group_cols: list[str]) -> DataFrame:

@@ -1,3 +1,111 @@
-"""Queries: inference."""
+"""Inference queries (G1-G8, F3, J2, J3, P13, P14, A14) with deterministic
+stub models, so the oracle can recompute every response in SQL."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.functions import render as R
+from tesserae.operators import inference as INF
+from tesserae.operators import records as REC
+from tesserae.operators import reports as REP
+from tesserae.operators import stubs
+from tesserae.operators.sampling import assign_batches
+from tesserae.plans.registry import query, table
+from tesserae.session import scratch_path
+
+BATCH = 64
+RENDERED = "'Human: ' || text || chr(10) || chr(10) || 'Assistant:'"
+LENGTH_ANSWER = f"'Final Answer: ' || length({RENDERED})"
+
+
+def items(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return d.select(F.col("doc_id"), F.col("lang").alias("domain"), F.col("text").alias("prompt"),
+                    F.col("lang").alias("expected_answer"))
+
+
+@query("generate_responses", "G1 G2 P8 P13 X7", sql=f"""
+SELECT doc_id, {LENGTH_ANSWER} AS teacher_response, {LENGTH_ANSWER} AS expected_answer, 'ok' AS status
+FROM documents
+""")
+def generate_responses(spark, sf_dir):
+    out = INF.generate_dataset(items(spark, sf_dir), stubs.length_model, R.render_single_turn,
+                               "doc_id", "prompt", BATCH)
+    return out.select("doc_id", "teacher_response", "expected_answer", "status")
+
+
+@query("compare_models", "G7 G8 J2 P14", sql="""
+SELECT doc_id, lang AS domain, 'Final Answer: ' || length(text) AS original_response,
+       '#### ' || (length(text) - length(replace(text, 'e', ''))) AS kd_response
+FROM documents
+""")
+def compare_models(spark, sf_dir):
+    models = {"original": stubs.length_model, "kd": stubs.letter_count_model("e")}
+    out = INF.compare_models(items(spark, sf_dir), models, "doc_id", "prompt", BATCH)
+    return out.select("doc_id", "domain", "original_response", "kd_response")
+
+
+@query("timing", "A14 G7")
+def timing(spark, sf_dir):
+    it = items(spark, sf_dir)
+    legs = [INF.generate(it, stubs.length_model, "prompt", BATCH, model_key="original")
+            .withColumn("model", F.lit("original")),
+            INF.generate(it, stubs.letter_count_model("e"), "prompt", BATCH, model_key="kd")
+            .withColumn("model", F.lit("kd"))]
+    return REP.timing(legs[0].unionByName(legs[1]), "model")
+
+
+@query("resume_anti", "F3 J3", sql=f"""
+SELECT d.doc_id, {LENGTH_ANSWER.replace('text', 'd.text')} AS response
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+""")
+def resume_anti(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select("doc_id")
+    todo = REC.not_done(items(spark, sf_dir), done, "doc_id")
+    staged = todo.withColumn("prompt", R.render_single_turn("prompt"))
+    return INF.generate(staged, stubs.length_model, "prompt", BATCH).select("doc_id", "response")
+
+
+@query("failure_accounting", "G6 G5 M9", sql=f"""
+WITH b AS (SELECT doc_id, {RENDERED} AS prompt, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id
+           FROM documents),
+f AS (SELECT *, bool_or(contains(prompt, '@')) OVER (PARTITION BY batch_id) AS bad FROM b)
+SELECT doc_id, batch_id, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN bad THEN NULL ELSE 'Final Answer: ' || length(prompt) END AS response
+FROM f
+""")
+def failure_accounting(spark, sf_dir):
+    it = items(spark, sf_dir).withColumn("prompt", R.render_single_turn("prompt")).select("doc_id", "prompt")
+    batched = assign_batches(it, ["doc_id"], 8).drop("idx")
+    gen = INF.generate(batched, stubs.failing_model("@"), "prompt", 8, batch_col="batch_id")
+    return gen.select("doc_id", "batch_id", "status", "response")
+
+
+@query("incremental_generate", "G3 F3 S5", sql=f"""
+SELECT doc_id, {LENGTH_ANSWER} AS response, 'ok' AS status FROM documents
+""")
+def incremental_generate(spark, sf_dir):
+    out = scratch_path(spark, "incremental")
+    it = items(spark, sf_dir).withColumn("prompt", R.render_single_turn("prompt")).select("doc_id", "prompt")
+    # two runs over the same output: the second finds every id done (run twice = run once)
+    INF.generate_incremental(it, out, stubs.length_model, "doc_id", "prompt", BATCH, chunk_rows=4000)
+    merged = INF.generate_incremental(it, out, stubs.length_model, "doc_id", "prompt", BATCH, chunk_rows=4000)
+    return merged.select("doc_id", "response", "status")
+
+
+@query("stream_generate", "G4", sql=f"""
+SELECT doc_id, {LENGTH_ANSWER} AS response, 'ok' AS status FROM documents
+""")
+def stream_generate(spark, sf_dir):
+    from tesserae.streaming.generate import generate_stream
+
+    base = scratch_path(spark, "stream")
+    schema = table(spark, sf_dir, "documents").select("doc_id", "text").schema
+    q = generate_stream(spark, sf_dir.rstrip("/"), schema, f"{base}/out", f"{base}/checkpoint",
+                        stubs.length_model, id_col="doc_id", prompt_col="text", fmt="parquet",
+                        options={"pathGlobFilter": "documents.parquet"}, batch_size=BATCH,
+                        render=R.render_single_turn)
+    q.stop()
+    return spark.read.parquet(f"{base}/out").select("doc_id", "response", "status")
