@@ -188,7 +188,8 @@ def format_fixed1(c) -> Column:
     frac = s - r
     up = (frac > 0.5) | ((frac == 0.5) & ((err > 0) | ((err == 0) & (F.pmod(r, F.lit(2)) == 1))))
     n = (r + F.when(up, 1).otherwise(0)).cast("long")
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    negative = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))   # keeps -0.0's sign
+    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
     body = F.concat(sign, F.floor(n / 10).cast("string"),
                     F.lit("."), F.pmod(n, F.lit(10)).cast("string"))
     return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(body)

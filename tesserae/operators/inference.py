@@ -49,6 +49,15 @@ def _model(factory: ModelFactory, key: str) -> ModelFn:
     return m
 
 
+def _factory_key(factory: ModelFactory) -> str:
+    """Identity of a model factory, closures included (driver side)."""
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+
+
 def _run_batch(model: ModelFn, prompts: list, params: dict) -> tuple[list, str, str | None, float]:
     t0 = time.perf_counter()
     try:
@@ -87,7 +96,7 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
     ship_package(df.sparkSession)
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
-    key = model_key or f"{getattr(model_factory, '__module__', '')}.{getattr(model_factory, '__qualname__', repr(model_factory))}"
+    key = model_key or _factory_key(model_factory)
     schema = T.StructType(list(df.schema.fields) + _OUT_FIELDS)
     src = df.repartition(num_partitions) if num_partitions else df
 
@@ -194,7 +203,7 @@ def evaluate_batched(df: DataFrame, model_factory: ModelFactory, model_name: str
                      batch_size: int = 8, params: dict | None = None) -> DataFrame:
     """Responses plus per-row time (batch time / batch size), as
     ``<model>_response`` / ``<model>_time``."""
-    gen = generate(df, model_factory, prompt_col, batch_size, params, model_key=model_name)
+    gen = generate(df, model_factory, prompt_col, batch_size, params)
     return (gen.withColumn(f"{model_name}_response", F.col("response"))
             .withColumn(f"{model_name}_time", F.col("batch_seconds") / F.col("batch_rows"))
             .drop("response", "status", "error"))

@@ -50,9 +50,9 @@ def compare_models(spark, sf_dir):
 @query("timing", "A14 G7")
 def timing(spark, sf_dir):
     it = items(spark, sf_dir)
-    legs = [INF.generate(it, stubs.length_model, "prompt", BATCH, model_key="original")
+    legs = [INF.generate(it, stubs.length_model, "prompt", BATCH)
             .withColumn("model", F.lit("original")),
-            INF.generate(it, stubs.letter_count_model("e"), "prompt", BATCH, model_key="kd")
+            INF.generate(it, stubs.letter_count_model("e"), "prompt", BATCH)
             .withColumn("model", F.lit("kd"))]
     return REP.timing(legs[0].unionByName(legs[1]), "model")
 
