@@ -182,11 +182,22 @@ def generate_incremental(items: DataFrame, out_path: str, model_factory: ModelFa
     n = todo.count()
     if n:
         n_chunks = max(1, math.ceil(n / chunk_rows))
-        bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks))
-        for c in range(n_chunks):
-            part = todo.filter(bucket == c) if n_chunks > 1 else todo
-            gen = generate(part, model_factory, prompt_col, batch_size, params)
-            gen.write.mode("append").parquet(out_path)
+        if n_chunks == 1:
+            generate(todo, model_factory, prompt_col, batch_size, params).write.mode("append").parquet(out_path)
+        else:
+            # stage the to-do rows once, partitioned by chunk, so each chunk
+            # reads only its own folder (partition pruning) instead of
+            # re-running the anti-join over the whole input
+            from tesserae.session import scratch_path
+
+            staging = scratch_path(spark, "generate-staging")
+            (todo.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)))
+             .write.partitionBy("_chunk").parquet(staging))
+            staged = spark.read.parquet(staging)
+            for c in range(n_chunks):
+                part = staged.filter(F.col("_chunk") == c).drop("_chunk")
+                gen = generate(part, model_factory, prompt_col, batch_size, params)
+                gen.write.mode("append").parquet(out_path)
     return read_generated(spark, out_path, id_col)
 
 

@@ -139,7 +139,8 @@ def synthesize_incidents(driver: DataFrame, key_col: str, seed: int = 42,
     tpl = templates if templates is not None else incident_templates(spark)
     k = len(INCIDENT_TEMPLATES) if templates is None else tpl.count()
     drawn = driver.select(F.col(key_col), template_index(F.col(key_col), seed, k).alias("template_idx"))
-    joined = drawn.join(F.broadcast(tpl), "template_idx")
+    # the built-in table has four rows; a user table is broadcast only when small
+    joined = drawn.join(F.broadcast(tpl) if k <= 10_000 else tpl, "template_idx")
     return joined.select(
         F.format_string("aiops_%04d", F.col(key_col)).alias("id"),
         F.lit("aiops").alias("domain"), F.lit("hard").alias("difficulty"),

@@ -64,17 +64,42 @@ def with_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "
     return out.drop("_mid"), running
 
 
+def _key_prefix(key: Column) -> Column:
+    """First 32 bits of the md5 hex key: order-preserving and uniform."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+
+
 def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
              keep_key: bool = False) -> DataFrame:
-    """M1: exactly ``min(n, count)`` rows without replacement, seeded."""
+    """M1: exactly ``min(n, count)`` rows without replacement, seeded.
+
+    The n smallest md5 keys are found without a global sort: md5 keys are
+    uniform, so the rows whose 32-bit key prefix is below ``~1.2 n / N`` of
+    the range are a small superset of the answer (checked by a count; the
+    bound doubles until it holds).  All keys below the prefix bound sort
+    before all keys above it, so the top n of the candidates are the global
+    top n.  The candidates (about 1.2 n rows) are then ordered exactly.
+    """
     keyed = seeded_key(df, id_col, seed)
     if n is None:
         out = keyed
-    elif n <= TAKE_ORDERED_MAX:
-        out = keyed.orderBy(KEY, id_col).limit(n)
     else:
-        indexed, _ = with_index(keyed, [KEY, id_col], "_sample_idx")
-        out = indexed.filter(F.col("_sample_idx") < n).drop("_sample_idx")
+        total = keyed.count()
+        if n >= total:
+            out = keyed
+        else:
+            frac = min(1.0, 1.2 * n / total + 64.0 / total)
+            while True:
+                bound = int(frac * (1 << 32))
+                cand = keyed.filter(_key_prefix(F.col(KEY)) < F.lit(bound)) if frac < 1.0 else keyed
+                if frac >= 1.0 or cand.count() >= n:
+                    break
+                frac = min(1.0, frac * 2)
+            if n <= TAKE_ORDERED_MAX:
+                out = cand.orderBy(KEY, id_col).limit(n)
+            else:
+                indexed, _ = with_index(cand, [KEY, id_col], "_sample_idx")
+                out = indexed.filter(F.col("_sample_idx") < n).drop("_sample_idx")
     return out if keep_key else out.drop(KEY)
 
 
@@ -242,15 +267,27 @@ def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int,
 
 
 def overlap_audit(eval_df: DataFrame, train_df: DataFrame, text_col: str,
-                  group_col: str | None = None) -> DataFrame:
-    """Eval rows whose normalised text also occurs in train, by group."""
+                  group_col: str | None = None, broadcast_max_rows: int = 5_000_000) -> DataFrame:
+    """Eval rows whose normalised text also occurs in train, by group.
+
+    The eval hashes (checked to be at most ``broadcast_max_rows``) are
+    broadcast and the train side is semi-joined against them map-side, so the
+    large train table is scanned once and never shuffled; only the matching
+    hashes (at most the eval size) reach the final join.  Above the bound a
+    shuffled semi-join is used (AQE splits skewed keys).
+    """
     from tesserae.functions.text import normalize_text
 
     h = F.md5(normalize_text(F.col(text_col)))
-    train_h = train_df.select(h.alias("_h")).distinct()
     e = eval_df.withColumn("_h", h)
-    flagged = e.join(train_h.withColumn("_hit", F.lit(True)), "_h", "left")
+    eval_h = e.select("_h").distinct()
+    small = eval_h.count() <= broadcast_max_rows
+    probe = F.broadcast(eval_h) if small else eval_h
+    hits = train_df.select(h.alias("_h")).join(probe, "_h", "left_semi").distinct()
+    flagged = e.join(F.broadcast(hits) if small else hits, "_h", "left_semi").select("_h").distinct() \
+        .withColumn("_hit", F.lit(True))
+    out = e.join(F.broadcast(flagged) if small else flagged, "_h", "left")
     keys = [group_col] if group_col else []
-    return (flagged.groupBy(*keys)
+    return (out.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_eval"),
                  F.count_if(F.col("_hit").isNotNull()).alias("n_overlap")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import render as R
 from tesserae.functions import tokens as TK
 from tesserae.operators import tokens as TO
+from tesserae.operators.sampling import assign_batches
 from tesserae.plans import sqlgen as Q
 from tesserae.plans.chat import PAIRS_SQL, turn_pairs
 from tesserae.plans.registry import query
@@ -34,13 +35,16 @@ ex AS (
   FROM ex0)"""
 
 
-def examples(spark, sf_dir):
-    p = turn_pairs(spark, sf_dir)
-    ex = TO.supervised_examples(p, "prompt", "response", MAX_LEN, domain_col=None)
+def tokenise(pairs):
+    ex = TO.supervised_examples(pairs, "prompt", "response", MAX_LEN, domain_col=None)
     full = F.size(TK.encode(R.render_sections(F.col("prompt"), F.coalesce(F.col("response"), F.lit("")))[0]))
     return ex.withColumn("full_len", full)
 
 
+def examples(spark, sf_dir):
+    return tokenise(turn_pairs(spark, sf_dir))
+
+
 @query("token_mask", "T1 T2 T3 F5", sql=f"""
 WITH {EXAMPLES_SQL}
 SELECT conv_id, turn, len(input_ids) AS n_ids, prompt_len,
@@ -65,8 +69,10 @@ SELECT conv_id, turn, batch_id, width, width - len(input_ids) AS n_pad,
 FROM b
 """)
 def pad_batch(spark, sf_dir):
-    ex = examples(spark, sf_dir).withColumn("_n", F.size("input_ids"))
-    padded = TO.batch_and_pad(ex, ["conv_id", "turn"], BATCH)
+    # index the cheap (key, text) rows first; tokenisation runs once, after it
+    batched = assign_batches(turn_pairs(spark, sf_dir), ["conv_id", "turn"], BATCH)
+    ex = tokenise(batched).withColumn("_n", F.size("input_ids"))
+    padded = TO.pad_batches(ex)
     return padded.select("conv_id", "turn", "batch_id", "width", (F.col("width") - F.col("_n")).alias("n_pad"),
                          ids_md5("input_ids").alias("ids_md5"), ids_md5("labels").alias("labels_md5"),
                          TK.true_length("attention_mask").alias("mask_sum"))
@@ -85,9 +91,7 @@ SELECT max_length, CAST(sum(rows_) AS BIGINT) AS n_rows, round(sum(truncated) /
 FROM pb GROUP BY max_length
 """)
 def length_profile(spark, sf_dir):
-    from tesserae.operators.sampling import assign_batches
-
-    ex = assign_batches(examples(spark, sf_dir), ["conv_id", "turn"], BATCH)
+    ex = tokenise(assign_batches(turn_pairs(spark, sf_dir), ["conv_id", "turn"], BATCH))
     prof = TO.length_profile(ex, "full_len", [64, 128, MAX_LEN])
     return prof.select("max_length", F.col("n_rows").cast("bigint").alias("n_rows"),
                        F.round("truncation_rate", 6).alias("truncation_rate"),
