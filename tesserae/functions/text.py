@@ -216,3 +216,8 @@ def md5_key(seed, key) -> Column:
 def hex_prefix_int(c, n_hex: int = 8) -> Column:
     """First ``n_hex`` hex digits of a hex string as a non-negative long."""
     return F.conv(F.substring(_col(c), 1, n_hex), 16, 10).cast("long")
+
+
+def non_empty(c) -> Column:
+    """the text is present and not empty."""
+    return F.length(F.coalesce(_col(c), F.lit(""))) > 0

@@ -326,3 +326,37 @@ def eval_record_normalize(spark, sf_dir):
                           F.lit(None).cast("string").alias("input"),
                           F.lit(None).cast("string").alias("expected_answer"))
     return accepted.select(*cols).unionByName(rej)
+
+
+# ------------------------------------------------------------- M2 / P2 head
+@query("code_normalize_head", "M2 P2", sql=f"""
+SELECT 'humaneval_part/' || p_partkey AS id, 'code' AS domain, 'hard' AS difficulty,
+  md5({Q.lit(R.CODE_INSTRUCTION)} || 'def ' || replace(p_name, ' ', '_') || '(x):' || chr(10)
+      || '    \"\"\"Scale x.\"\"\"' || {Q.lit(R.CODE_INSTRUCTION_END)}) AS prompt_md5,
+  replace(p_name, ' ', '_') AS entry_point
+FROM part ORDER BY p_partkey LIMIT 164
+""")
+def code_normalize_head(spark, sf_dir):
+    # the reference keeps the first 164 tasks in file order: the limit is the feature
+    code = REC.normalize_code(raw_code(spark, sf_dir), "task_id", "prompt", "canonical_solution", "test",
+                              "entry_point", ["p_partkey"], 164)
+    return code.select("id", "domain", "difficulty", F.md5("prompt").alias("prompt_md5"),
+                       F.col("metadata.entry_point").alias("entry_point"))
+
+
+# ------------------------------------------------------------- F2
+@query("reference_texts", "F2 S4", sql="""
+WITH m AS (
+  SELECT d.doc_id, d.doc_id % 3 AS shape,
+    CASE WHEN d.doc_id % 3 = 0 THEN coalesce(CASE WHEN l.quality = 1 THEN 'good: ' || d.source END, d.lang, '')
+         WHEN d.doc_id % 3 = 1 THEN CAST(d.n_chars AS VARCHAR) END AS expected_answer
+  FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, length(expected_answer) AS reference_chars FROM m
+WHERE shape <> 2 AND length(coalesce(expected_answer, '')) > 0
+""")
+def reference_texts(spark, sf_dir):
+    from tesserae.functions.text import non_empty
+
+    accepted, _ = REC.normalize_eval_records(mixed_eval_records(spark, sf_dir))
+    return accepted.filter(non_empty("expected_answer")).select(
+        "doc_id", F.length("expected_answer").alias("reference_chars"))

@@ -394,3 +394,26 @@ def humanize_durations(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value", "user_id")
     secs = F.col("value") * F.col("user_id") * F.lit(3.7)
     return e.select("event_id", secs.alias("seconds"), X.humanize_seconds(secs).alias("human"))
+
+
+# ------------------------------------------------------------- S7 long form
+REPORT_METRICS = ["exact_match", "no_answer_rate", "pass_at_1", "keyword_match_rate", "substring_match_rate"]
+
+
+@query("evaluation_report", "S7 A9 G9 (long form)", sql=f"""
+WITH s AS ({_eval_sql()})
+SELECT domain, metric, value FROM (
+  SELECT domain, 'total_samples' AS metric, CAST(total_samples AS DOUBLE) AS value FROM s WHERE scored
+  {''.join(f"UNION ALL SELECT domain, '{m}', {m} FROM s WHERE {m} IS NOT NULL " for m in REPORT_METRICS)}
+  UNION ALL SELECT 'ALL', 'total_samples', CAST(sum(total_samples) AS DOUBLE) FROM s WHERE scored)
+""")
+def evaluation_report(spark, sf_dir):
+    rep = domain_summary(spark, sf_dir)
+    metrics = ["total_samples"] + REPORT_METRICS
+    stacked = rep.select("domain", "scored", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"))
+    long = stacked.select("domain", "scored", "m.metric", "m.value").filter(
+        F.col("value").isNotNull() & (F.col("scored") | (F.col("metric") != "total_samples")))
+    overall = S.overall_total(rep).select(F.lit("ALL").alias("domain"), F.lit("total_samples").alias("metric"),
+                                          F.col("total_samples").cast("double").alias("value"))
+    return long.select("domain", "metric", "value").unionByName(overall)
