@@ -19,8 +19,8 @@ KEY = "_sample_key"
 # task: fine while n is small.  Above this, samples go through the
 # distributed index (W1) instead.
 TAKE_ORDERED_MAX = 100_000
-# Offsets of at most this many partitions are inlined as a literal array.
-INLINE_OFFSETS_MAX = 20_000
+# Offsets of at most this many partitions are inlined as one array literal.
+INLINE_OFFSETS_MAX = 200_000
 
 
 def seeded_key(df: DataFrame, id_col: str, seed: int = 42, name: str = KEY) -> DataFrame:
@@ -54,7 +54,7 @@ def with_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "
     if not offsets:
         return tagged.withColumn(index_col, F.lit(None).cast("long")).drop("_mid"), 0
     if len(offsets) <= INLINE_OFFSETS_MAX:
-        off = F.element_at(F.array(*[F.lit(o) for o in offsets]), (pid + 1).cast("int"))
+        off = F.element_at(F.lit([int(o) for o in offsets]).cast("array<bigint>"), (pid + 1).cast("int"))
         out = tagged.withColumn(index_col, off + local)
     else:
         off_df = spark.createDataFrame([(i, o) for i, o in enumerate(offsets)], "pid long, off long")
@@ -70,7 +70,7 @@ def _key_prefix(key: Column) -> Column:
 
 
 def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
-             keep_key: bool = False) -> DataFrame:
+             keep_key: bool = False, total: int | None = None) -> DataFrame:
     """M1: exactly ``min(n, count)`` rows without replacement, seeded.
 
     The n smallest md5 keys are found without a global sort: md5 keys are
@@ -84,7 +84,7 @@ def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
     if n is None:
         out = keyed
     else:
-        total = keyed.count()
+        total = keyed.count() if total is None else total
         if n >= total:
             out = keyed
         else:
@@ -137,7 +137,7 @@ def train_eval_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None
     n = df.count()
     k = eval_size(n, cap, frac_div)
     if k <= TAKE_ORDERED_MAX:
-        eval_df = sample_n(df, k, id_col, seed)
+        eval_df = sample_n(df, k, id_col, seed, total=n)
         ids = eval_df.select(id_col)
         train_df = df.join(F.broadcast(ids), id_col, "left_anti")
         return eval_df, train_df
@@ -154,7 +154,7 @@ def label_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None = 35
     n = df.count()
     k = eval_size(n, cap, frac_div)
     if k <= TAKE_ORDERED_MAX:
-        ids = sample_n(df.select(id_col), k, id_col, seed).withColumn(split_col, F.lit("eval"))
+        ids = sample_n(df.select(id_col), k, id_col, seed, total=n).withColumn(split_col, F.lit("eval"))
         return (df.join(F.broadcast(ids), id_col, "left")
                 .withColumn(split_col, F.coalesce(F.col(split_col), F.lit("train"))))
     keyed = seeded_key(df, id_col, seed)
@@ -279,14 +279,16 @@ def overlap_audit(eval_df: DataFrame, train_df: DataFrame, text_col: str,
     from tesserae.functions.text import normalize_text
 
     h = F.md5(normalize_text(F.col(text_col)))
-    e = eval_df.withColumn("_h", h)
+    keys = [group_col] if group_col else []
+    # the eval side is read three times below: materialise it once
+    e = reliable_checkpoint(eval_df.select(*keys, h.alias("_h")))
     eval_h = e.select("_h").distinct()
     small = eval_h.count() <= broadcast_max_rows
     probe = F.broadcast(eval_h) if small else eval_h
-    hits = train_df.select(h.alias("_h")).join(probe, "_h", "left_semi").distinct()
-    flagged = e.join(F.broadcast(hits) if small else hits, "_h", "left_semi").select("_h").distinct() \
-        .withColumn("_hit", F.lit(True))
-    out = e.join(F.broadcast(flagged) if small else flagged, "_h", "left")
+    hits = (train_df.select(h.alias("_h")).join(probe, "_h", "left_semi").distinct()
+            .withColumn("_hit", F.lit(True)))
+    # hits are a subset of the eval hashes, so they share its size bound
+    out = e.join(F.broadcast(hits) if small else hits, "_h", "left")
     keys = [group_col] if group_col else []
     return (out.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_eval"),
