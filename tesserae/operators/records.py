@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import render as R
 from tesserae.functions.text import hex_prefix_int, md5_key
-from tesserae.operators.sampling import KEY, head_n, sample_n, seeded_key, with_index
+from tesserae.operators.sampling import KEY, head_n, sample_n, seeded_index, seeded_key
 from tesserae.schemas import METADATA_FIELDS
 
 # ---------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def normalize_math(df: DataFrame, question_col: str, answer_col: str, id_col: st
     """
     sampled = sample_n(df, sample_size, id_col, seed, keep_key=True) if sample_size is not None \
         else seeded_key(df, id_col, seed)
-    indexed, _ = with_index(sampled, [KEY, id_col], "_i")
+    indexed, _ = seeded_index(sampled, id_col, "_i")
     return indexed.select(
         F.format_string("gsm8k_%04d", F.col("_i")).alias("id"),
         F.lit("math").alias("domain"), F.lit("medium").alias("difficulty"),

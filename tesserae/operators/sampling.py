@@ -69,6 +69,36 @@ def _key_prefix(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
+def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
+                 num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """W1 for the seeded order ``(md5 key, id)``: no sort of the whole table,
+    no checkpoint.
+
+    md5 keys are uniform, so B buckets of the 32-bit key prefix (B = 4 x the
+    partitions) split the rows evenly and are monotone in the order.  One
+    aggregate gives the per-bucket counts (B rows, bounded by B, inlined as an
+    array literal of offsets); rows are hash-partitioned by bucket and ranked
+    inside their bucket by a window that reuses that partitioning.  Buckets
+    only grow with repeated ids, which the seeded operators reject.
+    """
+    spark = keyed.sparkSession
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(1, 4 * n_parts)
+    bucket = F.shiftright(_key_prefix(F.col(KEY)) * F.lit(n_buckets), 32).cast("int")
+    b = keyed.withColumn("_bucket", bucket)
+    counts = {r[0]: r[1] for r in b.groupBy("_bucket").agg(F.count(F.lit(1))).collect()}
+    offsets, running = [], 0
+    for i in range(n_buckets):
+        offsets.append(running)
+        running += counts.get(i, 0)
+    w = Window.partitionBy("_bucket").orderBy(KEY, id_col)
+    off = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_bucket") + 1)
+    out = (b.repartition(n_parts, "_bucket")
+           .withColumn(index_col, off + F.row_number().over(w) - 1)
+           .drop("_bucket"))
+    return out, running
+
+
 def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
              keep_key: bool = False, total: int | None = None) -> DataFrame:
     """M1: exactly ``min(n, count)`` rows without replacement, seeded.
@@ -98,11 +128,31 @@ def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
             if n <= TAKE_ORDERED_MAX:
                 out = cand.orderBy(KEY, id_col).limit(n)
             else:
-                indexed, _ = with_index(cand, [KEY, id_col], "_sample_idx")
+                indexed, _ = seeded_index(cand, id_col, "_sample_idx")
                 out = indexed.filter(F.col("_sample_idx") < n).drop("_sample_idx")
     return out if keep_key else out.drop(KEY)
 
 
+def _first_ids(df: DataFrame, k: int, id_col: str, seed: int, total: int) -> DataFrame:
+    """The ids of the first k rows of the seeded order, as a small local
+    table (k <= TAKE_ORDERED_MAX, so at most that many ids pass the driver).
+    Same prefix prefilter as :func:`sample_n`; the collect doubles as the
+    size check."""
+    spark = df.sparkSession
+    schema = df.select(id_col).schema
+    if k <= 0:
+        return spark.createDataFrame([], schema)
+    keyed = seeded_key(df.select(id_col), id_col, seed)
+    frac = min(1.0, 1.2 * k / max(total, 1) + 64.0 / max(total, 1))
+    while True:
+        cand = keyed.filter(_key_prefix(F.col(KEY)) < F.lit(int(frac * (1 << 32)))) if frac < 1.0 else keyed
+        rows = cand.orderBy(KEY, id_col).limit(k).select(id_col).collect()
+        if len(rows) >= min(k, total) or frac >= 1.0:
+            break
+        frac = min(1.0, frac * 2)
+    return spark.createDataFrame(rows, schema)
+
+
 def head_n(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
     """M2: first n rows in an explicit order (the reference's file order)."""
     if n is None:
@@ -116,7 +166,7 @@ def head_n(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, rank_col: str = "rank") -> DataFrame:
     """M3: the rows with their 0-based position in the seeded permutation."""
     keyed = seeded_key(df, id_col, seed)
-    indexed, _ = with_index(keyed, [KEY, id_col], rank_col)
+    indexed, _ = seeded_index(keyed, id_col, rank_col)
     return indexed.drop(KEY)
 
 
@@ -137,12 +187,10 @@ def train_eval_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None
     n = df.count()
     k = eval_size(n, cap, frac_div)
     if k <= TAKE_ORDERED_MAX:
-        eval_df = sample_n(df, k, id_col, seed, total=n)
-        ids = eval_df.select(id_col)
-        train_df = df.join(F.broadcast(ids), id_col, "left_anti")
-        return eval_df, train_df
+        ids = F.broadcast(_first_ids(df, k, id_col, seed, n))
+        return df.join(ids, id_col, "left_semi"), df.join(ids, id_col, "left_anti")
     keyed = seeded_key(df, id_col, seed)
-    indexed, _ = with_index(keyed, [KEY, id_col], "_split_idx")
+    indexed, _ = seeded_index(keyed, id_col, "_split_idx")
     is_eval = F.col("_split_idx") < k
     return (indexed.filter(is_eval).drop(KEY, "_split_idx"),
             indexed.filter(~is_eval).drop(KEY, "_split_idx"))
@@ -154,11 +202,11 @@ def label_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None = 35
     n = df.count()
     k = eval_size(n, cap, frac_div)
     if k <= TAKE_ORDERED_MAX:
-        ids = sample_n(df.select(id_col), k, id_col, seed, total=n).withColumn(split_col, F.lit("eval"))
+        ids = _first_ids(df, k, id_col, seed, n).withColumn(split_col, F.lit("eval"))
         return (df.join(F.broadcast(ids), id_col, "left")
                 .withColumn(split_col, F.coalesce(F.col(split_col), F.lit("train"))))
     keyed = seeded_key(df, id_col, seed)
-    indexed, _ = with_index(keyed, [KEY, id_col], "_split_idx")
+    indexed, _ = seeded_index(keyed, id_col, "_split_idx")
     return (indexed.withColumn(split_col, F.when(F.col("_split_idx") < k, "eval").otherwise("train"))
             .drop(KEY, "_split_idx"))
 

@@ -106,3 +106,20 @@ def test_mode_sample(spark):
     assert M.mode_sample(df, "full", "domain", "doc_id", "doc_id").count() == 200
     with pytest.raises(ValueError):
         M.mode_sample(df, "huge", "domain", "doc_id", "doc_id")
+
+
+def test_seeded_index_matches_generic_index(spark):
+    keyed = M.seeded_key(ids_df(spark, 777, 5), "doc_id", 3)
+    a, n1 = M.seeded_index(keyed, "doc_id", "i", num_partitions=3)
+    b, n2 = M.with_index(keyed, [M.KEY, "doc_id"], "i", num_partitions=6)
+    assert n1 == n2 == 777
+    assert dict(a.select("doc_id", "i").collect()) == dict(b.select("doc_id", "i").collect())
+
+
+def test_large_sample_path(spark, monkeypatch):
+    monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 10)
+    df = ids_df(spark, 400, 4)
+    got = sorted(r[0] for r in M.sample_n(df, 57, "doc_id", 5).collect())
+    monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 100_000)
+    want = sorted(r[0] for r in M.sample_n(df, 57, "doc_id", 5).collect())
+    assert got == want and len(got) == 57
