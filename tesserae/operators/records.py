@@ -175,6 +175,34 @@ def collect_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
                        .alias("messages"))
 
 
+def render_chats_plain(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+                       role_col: str = "role", text_col: str = "text", add_generation_prompt: bool = True,
+                       turns_per_chunk: int = 1024) -> DataFrame:
+    """P6 + P7 without gathering a conversation's rows in one step.
+
+    Each turn is rendered to its line in the map phase; lines are joined per
+    (conversation, chunk of ``turns_per_chunk`` turns) first, then the chunk
+    strings per conversation.  A conversation with a third of all rows is
+    sorted and joined by many tasks; the last step only orders its chunks.
+    Unknown roles are dropped, as in P7.
+    """
+    prefix = (F.when(F.col(role_col) == "user", F.lit(R.PLAIN_ROLE_PREFIX["user"]))
+              .when(F.col(role_col) == "assistant", F.lit(R.PLAIN_ROLE_PREFIX["assistant"]))
+              .when(F.col(role_col) == "system", F.lit(R.PLAIN_ROLE_PREFIX["system"])))
+    line = F.concat(prefix, F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))
+    lines = df.select(conv_col, F.col(turn_col).alias("_t"), line.alias("_line"))
+    chunked = (lines.groupBy(conv_col, F.floor(F.col("_t") / turns_per_chunk).alias("_c"))
+               .agg(F.count(F.lit(1)).alias("_n"),
+                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_line"))),
+                                             lambda x: F.coalesce(x["_line"], F.lit(""))), "").alias("_s")))
+    whole = (chunked.groupBy(conv_col)
+             .agg(F.sum("_n").alias("n_messages"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_s"))),
+                                           lambda x: x["_s"]), "").alias("rendered")))
+    tail = F.lit(R.PLAIN_GENERATION_PROMPT if add_generation_prompt else "")
+    return whole.withColumn("rendered", F.concat(F.col("rendered"), tail))
+
+
 def attach_response(items: DataFrame, responses: DataFrame, id_col: str = "id",
                     response_col: str = "response", answer_field: str = "expected_answer") -> DataFrame:
     """P13 + J1: pair by id (never by position); the response becomes

@@ -28,10 +28,9 @@ SELECT conv_id, count(*) AS n_messages,
 FROM conversations GROUP BY conv_id
 """)
 def chat_render_plain(spark, sf_dir):
-    chats = REC.collect_chat(conversations(spark, sf_dir))
-    text = R.render_chat_plain("messages", add_generation_prompt=True)
-    return chats.select("conv_id", F.size("messages").cast("long").alias("n_messages"),
-                        F.md5(text).alias("rendered_md5"), F.length(text).alias("rendered_chars"))
+    chats = REC.render_chats_plain(conversations(spark, sf_dir))
+    return chats.select("conv_id", "n_messages", F.md5("rendered").alias("rendered_md5"),
+                        F.length("rendered").alias("rendered_chars"))
 
 
 # ------------------------------------------------------------- P9 / P10

@@ -63,3 +63,15 @@ def test_incident_prompt_layout(spark):
     assert got == "\n".join(parts)
     # stored JSON is what an indent-2, non-ASCII-preserving dump produces
     assert json.dumps(json.loads(t["config_json"]), ensure_ascii=False, indent=2) == t["config_json"]
+
+
+def test_chunked_chat_render_equals_array_render(spark):
+    from tesserae.operators import records as REC
+
+    rows = [(1, t, ["user", "assistant", "system", "tool"][t % 4], f"m{t}") for t in range(11)] + \
+           [(2, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    a = {r[0]: r[1] for r in REC.render_chats_plain(df, turns_per_chunk=3).select("conv_id", "rendered").collect()}
+    chats = REC.collect_chat(df)
+    b = {r[0]: r[1] for r in chats.select("conv_id", R.render_chat_plain("messages", True)).collect()}
+    assert a == b
