@@ -92,3 +92,48 @@ def generation_length_profile(df: DataFrame, text_col: str, group_cols: list[str
         F.count(F.lit(1)).alias("n"), F.avg(n).alias("avg_length"),
         F.min(n).alias("min_length"), F.max(n).alias("max_length"),
         F.percentile(n, F.lit(0.5)).alias("median_length"))
+
+
+def teacher_student_report(losses: DataFrame, generations: DataFrame | None = None,
+                           text_limits: dict[str, int] | None = None, gen_limits: dict[str, int] | None = None,
+                           role_col: str = "role", text_id_col: str = "text_id", loss_col: str = "loss",
+                           tokens_col: str = "n_tokens", gen_id_col: str = "prompt_id",
+                           gen_text_col: str = "generated", roles=("student", "baseline", "teacher")
+                           ) -> DataFrame:
+    """One row per role: A11 perplexity/loss over the role's first
+    ``text_limits[role]`` texts (all when absent), A15 mean generation length
+    over its first ``gen_limits[role]`` prompts, and A12 improvements of the
+    student over the baseline (on the student row).  A role without texts is
+    kept with ``error = 'no texts'`` instead of failing the report.
+    """
+    def first_n(df: DataFrame, limits: dict[str, int] | None, order_col: str) -> DataFrame:
+        if not limits:
+            return df
+        w = Window.partitionBy(role_col).orderBy(order_col)
+        lim = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
+        ranked = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(limits.values()))
+        return ranked.filter(F.col("_r") <= F.coalesce(F.try_element_at(lim, F.col(role_col)),
+                                                      F.lit(max(limits.values())))).drop("_r")
+
+    spark = losses.sparkSession
+    base = spark.createDataFrame([(r,) for r in roles], f"{role_col} string")
+    ppl = corpus_perplexity(first_n(losses, text_limits, text_id_col), [role_col], loss_col, tokens_col) \
+        .select(role_col, "perplexity", F.col("avg_loss").alias("loss"), "n_texts")
+    # one row per role: a broadcast of the fixed role list
+    out = base.join(ppl, role_col, "left")
+    if generations is not None:
+        g = first_n(generations, gen_limits, gen_id_col).groupBy(role_col).agg(
+            F.avg(F.length(gen_text_col)).alias("avg_generation_length"),
+            F.count(F.lit(1)).alias("n_generations"))
+        out = out.join(g, role_col, "left")
+    # the per-role table has one row per role: a window over all of it is bounded
+    everything = Window.partitionBy()
+    bp = F.max(F.when(F.col(role_col) == "baseline", F.col("perplexity"))).over(everything)
+    bl = F.max(F.when(F.col(role_col) == "baseline", F.col("loss"))).over(everything)
+    is_student = F.col(role_col) == "student"
+    return (out.withColumn("_bp", bp).withColumn("_bl", bl)
+            .withColumn("perplexity_improvement_pct",
+                        F.when(is_student, improvement_pct(F.col("_bp"), F.col("perplexity"))))
+            .withColumn("loss_improvement_pct", F.when(is_student, improvement_pct(F.col("_bl"), F.col("loss"))))
+            .withColumn("error", F.when(F.col("n_texts").isNull(), F.lit("no texts")))
+            .drop("_bp", "_bl"))

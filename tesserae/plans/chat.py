@@ -215,3 +215,43 @@ def log_tail(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id")
     return REP.log_tail(e, "user_id", "event_id", 10).select(
         "user_id", "event_id", F.col("rank_from_end").cast("bigint").alias("rank_from_end"))
+
+
+# ------------------------------------------------------------- G10
+def generations(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    role = (F.when(F.col("lang") == "en", "student").when(F.col("lang") == "fr", "baseline")
+            .when(F.col("lang") == "de", "teacher"))
+    return d.select(role.alias("role"), F.col("doc_id").alias("prompt_id"), F.col("text").alias("generated")) \
+        .filter(F.col("role").isNotNull())
+
+
+@query("teacher_student_report", "G10 A11 A12 A15", sql=f"""
+WITH {LOSSES_SQL},
+p AS (SELECT role, exp(sum(loss * n_tokens) / CAST(sum(n_tokens) AS DOUBLE)) AS perplexity,
+             sum(loss * n_tokens) / CAST(sum(n_tokens) AS DOUBLE) AS loss, count(*) AS n_texts
+      FROM losses GROUP BY role),
+g AS (SELECT CASE lang WHEN 'en' THEN 'student' WHEN 'fr' THEN 'baseline' WHEN 'de' THEN 'teacher' END AS role,
+             avg(length(text)) AS avg_generation_length, count(*) AS n_generations
+      FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1),
+r AS (SELECT * FROM (VALUES ('student'), ('baseline'), ('teacher')) t(role)),
+j AS (SELECT r.role, p.perplexity, p.loss, p.n_texts, g.avg_generation_length, g.n_generations
+      FROM r LEFT JOIN p USING (role) LEFT JOIN g USING (role)),
+b AS (SELECT max(CASE WHEN role = 'baseline' THEN perplexity END) AS bp,
+             max(CASE WHEN role = 'baseline' THEN loss END) AS bl FROM j)
+SELECT role, round(perplexity, 6) AS perplexity, round(loss, 6) AS loss, n_texts,
+  round(avg_generation_length, 6) AS avg_generation_length, n_generations,
+  round(CASE WHEN role = 'student' AND bp <> 0 AND perplexity <> 0 THEN (bp - perplexity) / bp * 100 END, 6)
+    AS perplexity_improvement_pct,
+  round(CASE WHEN role = 'student' AND bl <> 0 AND loss <> 0 THEN (bl - loss) / bl * 100 END, 6)
+    AS loss_improvement_pct,
+  CASE WHEN n_texts IS NULL THEN 'no texts' END AS error
+FROM j, b
+""")
+def teacher_student_report(spark, sf_dir):
+    losses = text_losses(spark, sf_dir).withColumn("text_id", F.lit(0))
+    rep = REP.teacher_student_report(losses, generations(spark, sf_dir))
+    return rep.select("role", F.round("perplexity", 6).alias("perplexity"), F.round("loss", 6).alias("loss"),
+                      "n_texts", F.round("avg_generation_length", 6).alias("avg_generation_length"),
+                      "n_generations", F.round("perplexity_improvement_pct", 6).alias("perplexity_improvement_pct"),
+                      F.round("loss_improvement_pct", 6).alias("loss_improvement_pct"), "error")

@@ -31,3 +31,14 @@ def test_log_tail_and_timing(spark):
                                     "model string, batch_seconds double, batch_rows int")
     t = REP.timing(per_row, "model").first()
     assert t["total_time"] == pytest.approx(3.0) and t["n_batches"] == 2 and t["n_rows"] == 3
+
+
+def test_teacher_student_report_limits_and_missing_role(spark):
+    losses = spark.createDataFrame([("student", 1, 1.0, 1), ("student", 2, 9.0, 1), ("baseline", 1, 2.0, 1)],
+                                   "role string, text_id long, loss double, n_tokens long")
+    gens = spark.createDataFrame([("student", 1, "abcd"), ("student", 2, "ab")],
+                                 "role string, prompt_id long, generated string")
+    rep = {r["role"]: r for r in REP.teacher_student_report(losses, gens, {"student": 1}, {"student": 1}).collect()}
+    assert rep["student"]["loss"] == 1.0 and rep["student"]["avg_generation_length"] == 4.0
+    assert rep["student"]["loss_improvement_pct"] == 50.0
+    assert rep["teacher"]["error"] == "no texts" and rep["baseline"]["error"] is None
