@@ -83,13 +83,17 @@ def _emit(pdf: pd.DataFrame, prompt_col: str, model: ModelFn, params: dict) -> p
 
 def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prompt",
              batch_size: int = 512, params: dict | None = None, batch_col: str | None = None,
-             model_key: str | None = None, num_partitions: int | None = None) -> DataFrame:
+             model_key: str | None = None, num_partitions: int | None = None,
+             resource_profile=None) -> DataFrame:
     """G1: append ``response``, ``status`` ('ok'/'failed'), ``error``,
     ``batch_seconds`` and ``batch_rows`` to every input row.
 
     Responses are stripped (X7) in the JVM after the Python step.  A failed
     batch marks its rows instead of shifting or dropping later rows (G6).
     ``num_partitions`` spreads the work (one model instance per worker).
+    ``resource_profile`` (a ``pyspark.resource.ResourceProfile``, e.g. one GPU
+    per task) applies stage-level scheduling to the model stage only, so the
+    relational stages around it keep running on plain executors.
     """
     from tesserae.session import ship_package
 
@@ -117,7 +121,8 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
             if pending is not None and len(pending):
                 yield _emit(pending, prompt_col, model, p)
 
-        out = src.mapInPandas(per_partition, schema)
+        out = (src.mapInPandas(per_partition, schema, profile=resource_profile) if resource_profile is not None
+               else src.mapInPandas(per_partition, schema))
     return out.withColumn("response", py_strip(F.col("response")))
 
 

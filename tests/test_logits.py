@@ -55,3 +55,17 @@ def test_soft_label_table(spark):
     df = spark.createDataFrame(rows, "seq int, pos int, v array<double>, i array<int>, id int, label int, m int")
     r = LO.soft_label_table(df, "seq", "pos", "v", "i", "id", "label", "m").first()
     assert r["true_length"] == 2 and r["input_ids"] == [10, 11] and r["top_k_indices"] == [[4], [7]]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_vec = st.lists(st.floats(min_value=-20, max_value=20, allow_nan=False), min_size=3, max_size=3)
+
+
+@settings(max_examples=40, deadline=None)
+@given(_vec, _vec, st.sampled_from([0.5, 1.0, 2.0, 5.0]))
+def test_kl_non_negative(spark, a, b, t):
+    df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
+    r = df.select(LG.kl_position("a", "b", t), LG.array_sum(LG.softmax("a", t))).first()
+    assert r[0] >= -1e-12 and r[1] == pytest.approx(1.0)

@@ -21,7 +21,7 @@ def test_no_python_in_relational_queries(spark, sf001, name):
 
 
 def test_window_group_limit(spark, sf001):
-    for name in ("capped_eval", "log_tail"):
+    for name in ("capped_eval", "log_tail", "representative_sample"):
         df = E.queries()[name](spark, sf001)
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         try:
