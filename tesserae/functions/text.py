@@ -33,6 +33,9 @@ ANSWER_PATTERNS = [
     r"=\s*(" + NUMBER + ")$",
 ]
 REFERENCE_MARKER = r"#### (" + NUMBER + ")"
+# Optional reading of grouped thousands ("1,640"); the default keeps the
+# reference's behaviour, where the comma ends the number.
+NUMBER_THOUSANDS = r"[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[+-]?\d+(?:\.\d+)?"
 # Keyword alternations of the incident scorer.
 KEYWORD_PATTERNS = [
     r"连接池|connection pool",
@@ -96,26 +99,39 @@ def _prepared(c) -> Column:
     return ascii_digits(normalize_spaces(_col(c)))
 
 
-def extract_answer(c) -> Column:
+def _number_pattern(p: str, mode: str) -> str:
+    if mode == "compat":
+        return p
+    if mode == "thousands":
+        return p.replace("(" + NUMBER + ")", "(" + NUMBER_THOUSANDS + ")")
+    raise ValueError(f"unknown number mode: {mode}")
+
+
+def _to_double(s: Column) -> Column:
+    return F.regexp_replace(s, ",", "").try_cast("double")
+
+
+def extract_answer(c, mode: str = "compat") -> Column:
     """Numeric answer of a model response, or null.
 
     The first pattern with any match wins and its last match is taken;
-    otherwise the last number anywhere.
+    otherwise the last number anywhere.  ``mode="thousands"`` also reads
+    grouped numbers such as ``1,640``.
     """
     t = _prepared(c)
-    picks = [_last(F.regexp_extract_all(t, F.lit(_PY_MULTILINE_IC + p), 1))
+    picks = [_last(F.regexp_extract_all(t, F.lit(_PY_MULTILINE_IC + _number_pattern(p, mode)), 1))
              for p in ANSWER_PATTERNS]
-    picks.append(_last(F.regexp_extract_all(t, F.lit("(" + NUMBER + ")"), 1)))
-    return F.coalesce(*picks).try_cast("double")
+    picks.append(_last(F.regexp_extract_all(t, F.lit(_number_pattern("(" + NUMBER + ")", mode)), 1)))
+    return _to_double(F.coalesce(*picks))
 
 
-def extract_reference(c) -> Column:
+def extract_reference(c, mode: str = "compat") -> Column:
     """First ``#### n`` (case-sensitive), else the last number, else null."""
     t = _prepared(c)
-    return F.coalesce(
-        _first(F.regexp_extract_all(t, F.lit(REFERENCE_MARKER), 1)),
-        _last(F.regexp_extract_all(t, F.lit("(" + NUMBER + ")"), 1)),
-    ).try_cast("double")
+    return _to_double(F.coalesce(
+        _first(F.regexp_extract_all(t, F.lit(_number_pattern(REFERENCE_MARKER, mode)), 1)),
+        _last(F.regexp_extract_all(t, F.lit(_number_pattern("(" + NUMBER + ")", mode)), 1)),
+    ))
 
 
 def approx_equal(a, b, tol: float = 1e-6) -> Column:

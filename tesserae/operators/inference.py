@@ -227,12 +227,20 @@ def evaluate_batched(df: DataFrame, model_factory: ModelFactory, model_name: str
 
 def compare_models(df: DataFrame, models: dict[str, ModelFactory], id_col: str = "id",
                    prompt_col: str = "prompt", batch_size: int = 8, params: dict | None = None) -> DataFrame:
-    """Every model over the same rows, joined side by side on id."""
+    """Every model over the same rows as a P14 comparison record, joined
+    side by side on id (J2): the first model's record plus the
+    ``<model>_*`` columns of the others."""
+    from tesserae.operators.records import comparison_record, side_by_side
+
     names = list(models)
-    legs = [evaluate_batched(df, models[m], m, prompt_col, batch_size, params) for m in names]
+    legs = []
+    for m in names:
+        gen = generate(df, models[m], prompt_col, batch_size, params)
+        gen = gen.withColumn("_t", F.col("batch_seconds") / F.col("batch_rows"))
+        if prompt_col != "prompt" and "prompt" not in gen.columns:
+            gen = gen.withColumn("prompt", F.col(prompt_col))
+        legs.append(comparison_record(gen, m, "response", "_t", id_col))
     out = legs[0]
     for m, leg in zip(names[1:], legs[1:]):
-        keep = [c for c in leg.columns if c.startswith(f"{m}_")] + ["batch_seconds", "batch_rows"]
-        out = out.drop("batch_seconds", "batch_rows").join(
-            leg.select(id_col, *[c for c in keep if c.startswith(f"{m}_")]), id_col, "inner")
-    return out.drop("batch_seconds", "batch_rows")
+        out = side_by_side(out, leg, prefix=f"{m}_", id_col=id_col)
+    return out

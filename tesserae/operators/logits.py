@@ -39,6 +39,18 @@ def position_terms(df: DataFrame, teacher_col: str, student_col: str, label_col:
             .withColumn("valid", (F.col(label_col) != IGNORE_INDEX) & (F.col(mask_col) != 0)))
 
 
+def shift_labels(df: DataFrame, seq_col: str, pos_col: str, label_col: str,
+                 out_col: str | None = None) -> DataFrame:
+    """L5 ``shift`` option: the logits at position p predict the label at p+1
+    (causal LM convention); the last position gets -100.  The window is one
+    sequence, bounded by its length."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(seq_col).orderBy(pos_col)
+    return df.withColumn(out_col or label_col,
+                         F.coalesce(F.lead(F.col(label_col)).over(w), F.lit(IGNORE_INDEX)))
+
+
 def kd_losses(terms: DataFrame, group_cols: list[str], seq_col: str, temperature: float = 2.0,
               alpha: float = 0.5) -> DataFrame:
     """L2-L6 per group.

@@ -22,14 +22,16 @@ def supervised_examples(df: DataFrame, prompt_col: str = "prompt", response_col:
     """Sections template -> encode -> mask the prompt part.
 
     Emits ``input_ids``, ``attention_mask``, ``labels`` (equal lengths) and
-    ``prompt_len``; the domain defaults to ``unknown``.
+    ``prompt_len``; the domain defaults to ``unknown`` and a missing id to a
+    unique row id (use ``sampling.with_index`` first for a dense index).
     """
     text, prefix = R.render_sections(F.col(prompt_col), F.coalesce(F.col(response_col), F.lit("")))
     ids = TK.encode(text, max_length, tokenizer)
     plen = F.size(tokenizer(prefix))
     domain = F.coalesce(F.col(domain_col), F.lit("unknown")) if domain_col and domain_col in df.columns \
         else F.lit("unknown")
-    return (df.withColumn("input_ids", ids)
+    out = df if id_col in df.columns else df.withColumn(id_col, F.monotonically_increasing_id().cast("string"))
+    return (out.withColumn("input_ids", ids)
             .withColumn("prompt_len", plen)
             .withColumn("attention_mask", TK.ones_like("input_ids"))
             .withColumn("labels", TK.mask_prompt("input_ids", F.col("prompt_len")))

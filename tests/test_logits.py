@@ -69,3 +69,9 @@ def test_kl_non_negative(spark, a, b, t):
     df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
     r = df.select(LG.kl_position("a", "b", t), LG.array_sum(LG.softmax("a", t))).first()
     assert r[0] >= -1e-12 and r[1] == pytest.approx(1.0)
+
+
+def test_shift_labels(spark):
+    df = spark.createDataFrame([(0, 0, 5), (0, 1, 6), (0, 2, 7), (1, 0, 9)], "seq int, pos int, label int")
+    got = {(r[0], r[1]): r[2] for r in LO.shift_labels(df, "seq", "pos", "label").collect()}
+    assert got == {(0, 0): 6, (0, 1): 7, (0, 2): -100, (1, 0): -100}

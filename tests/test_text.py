@@ -122,3 +122,12 @@ def test_humanize(spark):
         return f"{s:.1f}s" if s < 60 else (f"{s / 60:.1f}m" if s < 3600 else f"{s / 3600:.1f}h")
     assert got == [py(v) for v in vals]
     assert not math.isnan(vals[0])
+
+
+def test_thousands_mode(spark):
+    df = spark.createDataFrame([("#### 1,640",), ("答案是 12,345.5",), ("x = 7",)], "t string")
+    got = [tuple(r) for r in df.select(X.extract_answer("t", "thousands"), X.extract_reference("t", "thousands"),
+                                       X.extract_answer("t")).collect()]
+    assert got == [(1640.0, 1640.0, 1.0), (12345.5, 12345.5, 12.0), (7.0, 7.0, 7.0)]
+    with pytest.raises(ValueError):
+        X.extract_answer("t", "roman")
