@@ -266,8 +266,12 @@ def representative_sample(df: DataFrame, n: int, domain_col: str, seq_col: str,
     base = df.withColumn(dom, F.coalesce(F.col(domain_col).cast("string"), F.lit("unknown")))
     quotas = domain_quotas(base, n, dom, seq_col).select(dom, "quota")
     n_domains = quotas.count()
+    if n_domains == 0:
+        return df.limit(0).withColumn(rank_col, F.lit(None).cast("int"))
+    # the largest quota is a literal, so the per-domain window is pruned map-side
+    max_quota = n // n_domains + (1 if n % n_domains else 0)
     keyed = seeded_key(base, id_col, seed)
-    ranked = _rank_in_group(keyed, dom, id_col, rank_col).filter(F.col(rank_col) <= n)
+    ranked = _rank_in_group(keyed, dom, id_col, rank_col).filter(F.col(rank_col) <= max_quota)
     q = F.broadcast(quotas) if n_domains <= 100_000 else quotas
     return (ranked.join(q, dom).filter(F.col(rank_col) <= F.col("quota"))
             .drop(KEY, "quota", dom))
@@ -337,7 +341,6 @@ def overlap_audit(eval_df: DataFrame, train_df: DataFrame, text_col: str,
             .withColumn("_hit", F.lit(True)))
     # hits are a subset of the eval hashes, so they share its size bound
     out = e.join(F.broadcast(hits) if small else hits, "_h", "left")
-    keys = [group_col] if group_col else []
     return (out.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n_eval"),
                  F.count_if(F.col("_hit").isNotNull()).alias("n_overlap")))
