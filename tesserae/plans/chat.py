@@ -255,3 +255,24 @@ def teacher_student_report(spark, sf_dir):
                       "n_texts", F.round("avg_generation_length", 6).alias("avg_generation_length"),
                       "n_generations", F.round("perplexity_improvement_pct", 6).alias("perplexity_improvement_pct"),
                       F.round("loss_improvement_pct", 6).alias("loss_improvement_pct"), "error")
+
+
+@query("chatml_idempotent", "P10 (property over every first user turn)", sql=f"""
+WITH f AS (
+  SELECT conv_id, arg_min(text, CASE WHEN role = 'user' THEN turn END) AS instruction
+  FROM conversations GROUP BY conv_id HAVING count_if(role = 'user') > 0),
+e AS (SELECT conv_id, CASE WHEN starts_with(instruction, '<|im_start|>') THEN instruction
+        ELSE {Q.lit(R.CHATML_USER)} || instruction || {Q.lit(R.CHATML_END_ASSISTANT)} END AS once FROM f)
+SELECT count(*) AS n_prompts,
+  CAST(count_if((CASE WHEN starts_with(once, '<|im_start|>') THEN once
+        ELSE {Q.lit(R.CHATML_USER)} || once || {Q.lit(R.CHATML_END_ASSISTANT)} END) = once) AS BIGINT) AS n_idempotent,
+  CAST(count_if(starts_with(once, '<|im_start|>user' || chr(10))) AS BIGINT) AS n_wrapped
+FROM e
+""")
+def chatml_idempotent(spark, sf_dir):
+    f = first_turns(spark, sf_dir).filter(F.col("_n_user") > 0)
+    once = R.ensure_chatml("instruction")
+    e = f.select(once.alias("once"))
+    return e.agg(F.count(F.lit(1)).alias("n_prompts"),
+                 F.count_if(R.ensure_chatml("once") == F.col("once")).alias("n_idempotent"),
+                 F.count_if(F.col("once").startswith(R.CHATML_USER)).alias("n_wrapped"))

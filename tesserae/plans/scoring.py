@@ -417,3 +417,17 @@ def evaluation_report(spark, sf_dir):
     overall = S.overall_total(rep).select(F.lit("ALL").alias("domain"), F.lit("total_samples").alias("metric"),
                                           F.col("total_samples").cast("double").alias("value"))
     return long.select("domain", "metric", "value").unionByName(overall)
+
+
+@query("substring_match", "A8 X5", sql=f"""
+WITH {KEYWORD_CTE}
+SELECT event_type, count(*) AS total_samples,
+  CAST(count_if({Q.any_token_contained('prediction', 'reference')}) AS BIGINT) AS substring_matches,
+  round(count_if({Q.any_token_contained('prediction', 'reference')}) / count(*), 6) AS substring_match_rate
+FROM kw GROUP BY event_type
+""")
+def substring_match(spark, sf_dir):
+    t = keyword_texts(spark, sf_dir).withColumn("_m", X.any_token_contained("prediction", "reference"))
+    return t.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("total_samples"), F.count_if("_m").alias("substring_matches"),
+        F.round(F.count_if("_m") / F.count(F.lit(1)), 6).alias("substring_match_rate"))
