@@ -21,6 +21,28 @@ KEY = "_sample_key"
 TAKE_ORDERED_MAX = 100_000
 # Offsets of at most this many partitions are inlined as one array literal.
 INLINE_OFFSETS_MAX = 200_000
+# Upper bound on seeded-index buckets (the per-bucket count table's size).
+MAX_BUCKETS = 1 << 20
+
+
+# Target bytes per partition when an operator fixes its own partition count
+# (an explicit count is not resized by AQE).
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 1_000_000
+
+
+def parallelism(df: DataFrame) -> int:
+    """Partition count for an explicit repartition of ``df``: at least
+    ``spark.sql.shuffle.partitions``, and enough for ~128 MB per partition by
+    Catalyst's size estimate (read from the optimized plan, no job)."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = v if isinstance(v, int) else int(v.toString())
+    except Exception:  # noqa: BLE001 - estimates are best effort
+        size = 0
+    return max(base, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
 
 
 def seeded_key(df: DataFrame, id_col: str, seed: int = 42, name: str = KEY) -> DataFrame:
@@ -39,7 +61,7 @@ def with_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "
     The order must be total (end it with a unique column).
     """
     spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = num_partitions or parallelism(df)
     ordered = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
     tagged = reliable_checkpoint(ordered.withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
@@ -81,21 +103,26 @@ def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
     inside their bucket by a window that reuses that partitioning.  Buckets
     only grow with repeated ids, which the seeded operators reject.
     """
-    spark = keyed.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(1, 4 * n_parts)
+    n_parts = num_partitions or parallelism(keyed)
+    n_buckets = max(1, min(4 * n_parts, MAX_BUCKETS))
     bucket = F.shiftright(_key_prefix(F.col(KEY)) * F.lit(n_buckets), 32).cast("int")
     b = keyed.withColumn("_bucket", bucket)
+    # one row per bucket: bounded by n_buckets (at most MAX_BUCKETS)
     counts = {r[0]: r[1] for r in b.groupBy("_bucket").agg(F.count(F.lit(1))).collect()}
     offsets, running = [], 0
     for i in range(n_buckets):
         offsets.append(running)
         running += counts.get(i, 0)
     w = Window.partitionBy("_bucket").orderBy(KEY, id_col)
-    off = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_bucket") + 1)
-    out = (b.repartition(n_parts, "_bucket")
-           .withColumn(index_col, off + F.row_number().over(w) - 1)
-           .drop("_bucket"))
+    ranked = b.repartition(n_parts, "_bucket").withColumn("_rn", F.row_number().over(w))
+    if n_buckets <= INLINE_OFFSETS_MAX:
+        off = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_bucket") + 1)
+        out = ranked.withColumn(index_col, off + F.col("_rn") - 1)
+    else:
+        off_df = keyed.sparkSession.createDataFrame(list(enumerate(offsets)), "_bucket int, _off long")
+        out = (ranked.join(F.broadcast(off_df), "_bucket")
+               .withColumn(index_col, F.col("_off") + F.col("_rn") - 1).drop("_off"))
+    out = out.drop("_bucket", "_rn")
     return out, running
 
 

@@ -123,3 +123,12 @@ def test_large_sample_path(spark, monkeypatch):
     monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 100_000)
     want = sorted(r[0] for r in M.sample_n(df, 57, "doc_id", 5).collect())
     assert got == want and len(got) == 57
+
+
+def test_seeded_index_broadcast_offsets(spark, monkeypatch):
+    monkeypatch.setattr(M, "INLINE_OFFSETS_MAX", 2)
+    keyed = M.seeded_key(ids_df(spark, 300, 3), "doc_id", 9)
+    a, _ = M.seeded_index(keyed, "doc_id", "i", num_partitions=4)
+    monkeypatch.setattr(M, "INLINE_OFFSETS_MAX", 200_000)
+    b, _ = M.seeded_index(keyed, "doc_id", "i", num_partitions=4)
+    assert dict(a.select("doc_id", "i").collect()) == dict(b.select("doc_id", "i").collect())
