@@ -31,15 +31,25 @@ TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 MAX_PARTITIONS = 1_000_000
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the relations the plan reads (sum over its leaves).  Derived
+    operators' estimates are not used: without CBO a join is estimated as the
+    product of its inputs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        v = leaves.apply(i).stats().sizeInBytes()
+        total += v if isinstance(v, int) else int(v.toString())
+    return total
+
+
 def parallelism(df: DataFrame) -> int:
     """Partition count for an explicit repartition of ``df``: at least
-    ``spark.sql.shuffle.partitions``, and enough for ~128 MB per partition by
-    Catalyst's size estimate (read from the optimized plan, no job)."""
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ``spark.sql.shuffle.partitions``, and enough for ~128 MB of input per
+    partition (from the sizes of the scanned relations; no job)."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = v if isinstance(v, int) else int(v.toString())
+        size = _input_bytes(df)
     except Exception:  # noqa: BLE001 - estimates are best effort
         size = 0
     return max(base, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
