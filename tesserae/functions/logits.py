@@ -94,5 +94,5 @@ def top_k(arr, k: int) -> Column:
     explode and no shuffle.
     """
     keyed = F.transform(_col(arr), lambda x, i: F.struct((-x.cast("double")).alias("neg"), i.alias("index")))
-    best = F.slice(F.array_sort(keyed), 1, k)
+    best = F.slice(F.sort_array(keyed), 1, k)
     return F.transform(best, lambda s: F.struct((-s["neg"]).alias("value"), s["index"].alias("index")))

@@ -84,7 +84,7 @@ def normalize_text(c) -> Column:
 def py_split(c) -> Column:
     """Python ``str.split()`` with no separator: runs of whitespace, no empties."""
     parts = F.split(normalize_spaces(c), r"[ \t\n\r\f\x0B]+")
-    return F.filter(parts, lambda w: w != F.lit(""))
+    return F.array_remove(parts, "")
 
 
 def _last(arr: Column) -> Column:
@@ -166,11 +166,48 @@ def extract_code(text, entry_point) -> Column:
             .otherwise(t))
 
 
-def extract_keywords(c) -> Column:
-    """Distinct keyword strings found in the lowered text, sorted."""
+_REGEX_META = set("\\.^$*+?{}[]()")
+
+
+def _literal_alternatives(pattern: str) -> list[str] | None:
+    """The words of a pattern made only of literal alternatives, else None."""
+    words = pattern.split("|")
+    return None if any(ch in _REGEX_META for w in words for ch in w) or "" in words else words
+
+
+def extract_keywords(c, patterns: list[str] | None = None) -> Column:
+    """Distinct keyword strings found in the lowered text, sorted.
+
+    A pattern that is a plain alternation of literal words, none a part of
+    another across patterns' scripts, matches exactly the words that occur in
+    the text, so it is evaluated as substring tests (no regex scan).  Any
+    other pattern runs as ``regexp_extract_all``.
+    """
     low = F.lower(_col(c))
-    found = [F.regexp_extract_all(low, F.lit(p), 0) for p in KEYWORD_PATTERNS]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    literal, regex = [], []
+    for p in patterns or KEYWORD_PATTERNS:
+        words = _literal_alternatives(p)
+        if words is not None and _disjoint_scripts(words):
+            literal.extend(words)
+        else:
+            regex.append(p)
+    # concat of conditional one-element arrays stays in whole-stage codegen
+    # (a filter lambda would not), so lower() is computed once per row
+    empty = F.array().cast("array<string>")
+    parts = [F.when(F.contains(low, F.lit(w)), F.array(F.lit(w))).otherwise(empty) for w in literal]
+    parts.extend(F.regexp_extract_all(low, F.lit(p), 0) for p in regex)
+    return F.sort_array(F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0]))
+
+
+def _disjoint_scripts(words: list[str]) -> bool:
+    """Alternatives of one pattern cannot overlap when at most one of them is
+    ASCII-only and the others share no character with it; then findall's
+    non-overlapping scan reports every word that occurs."""
+    for i, a in enumerate(words):
+        for b in words[i + 1:]:
+            if set(a) & set(b):
+                return False
+    return True
 
 
 def keyword_overlap(a, b) -> Column:

@@ -83,7 +83,7 @@ def soft_label_table(positions: DataFrame, seq_col: str, pos_col: str, topk_valu
 
     One group per sequence, bounded by the sequence length.
     """
-    nested = positions.groupBy(seq_col).agg(F.array_sort(F.collect_list(F.struct(
+    nested = positions.groupBy(seq_col).agg(F.sort_array(F.collect_list(F.struct(
         F.col(pos_col).alias("pos"), F.col(topk_values).alias("v"), F.col(topk_indices).alias("i"),
         F.col(input_id_col).alias("id"), F.col(label_col).alias("label"), F.col(mask_col).alias("m")))).alias("_p"))
     n = F.aggregate(F.transform("_p", lambda s: s["m"]), F.lit(0), lambda a, x: a + x)

@@ -167,7 +167,7 @@ def collect_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     before the shuffle and partial aggregation runs map-side.
     """
     msgs = (df.groupBy(conv_col)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("turn"),
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"),
                                                       F.col(role_col).alias("role"),
                                                       F.col(text_col).alias("content")))).alias("_m")))
     return msgs.select(conv_col, F.transform("_m", lambda m: F.struct(m["role"].alias("role"),
@@ -193,11 +193,11 @@ def render_chats_plain(df: DataFrame, conv_col: str = "conv_id", turn_col: str =
     lines = df.select(conv_col, F.col(turn_col).alias("_t"), line.alias("_line"))
     chunked = (lines.groupBy(conv_col, F.floor(F.col("_t") / turns_per_chunk).alias("_c"))
                .agg(F.count(F.lit(1)).alias("_n"),
-                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_line"))),
+                    F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_t", "_line"))),
                                              lambda x: F.coalesce(x["_line"], F.lit(""))), "").alias("_s")))
     whole = (chunked.groupBy(conv_col)
              .agg(F.sum("_n").alias("n_messages"),
-                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_s"))),
+                  F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_c", "_s"))),
                                            lambda x: x["_s"]), "").alias("rendered")))
     tail = F.lit(R.PLAIN_GENERATION_PROMPT if add_generation_prompt else "")
     return whole.withColumn("rendered", F.concat(F.col("rendered"), tail))

@@ -131,3 +131,14 @@ def test_thousands_mode(spark):
     assert got == [(1640.0, 1640.0, 1.0), (12345.5, 12345.5, 12.0), (7.0, 7.0, 7.0)]
     with pytest.raises(ValueError):
         X.extract_answer("t", "roman")
+
+
+def test_keyword_literal_path_equals_regex_path(spark):
+    texts = ["Database connection pool; restart then timeout", "数据库连接池配置过小", "重启 熔断 load balancer",
+             "CONFIGURATION memory leak disk space network latency", "", "nothing here", "超时超时 circuit breaker"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = [r[0] for r in df.select(X.extract_keywords("t")).collect()]
+    # force the regex path: a trailing empty group is a regex metacharacter
+    slow_patterns = [p + "|(?!)" for p in X.KEYWORD_PATTERNS]
+    slow = [[w for w in r[0] if w] for r in df.select(X.extract_keywords("t", slow_patterns)).collect()]
+    assert fast == slow
