@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference's behaviour)
-# Characters Python's str.isspace() accepts, as a Java regex class body.
-PY_SPACE_CLASS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-# Whitespace Python treats as \s but Java/RE2 do not: mapped to a plain space
-# before a regex with \s runs.
-EXOTIC_SPACE_CLASS = (r"\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-                      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+# The characters Python's str.isspace() accepts, in code point order.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
 ASCII_DIGITS = "0123456789"
 # Number literal used by every numeric extractor.
@@ -51,6 +47,11 @@ KEYWORD_PATTERNS = [
 ]
 # ---------------------------------------------------------------------------
 
+# Whitespace that Python's \s knows but Java's and RE2's \s do not (everything
+# except tab, newline, form feed, carriage return and space): mapped to a
+# plain space before a regex with \s runs.
+EXOTIC_WHITESPACE = "".join(ch for ch in PY_WHITESPACE if ch not in "\t\n\x0c\r ")
+
 # Java flags: i = case-insensitive, m = multiline, d = only \n ends a line
 # (Python's rule for $ under MULTILINE).
 _PY_MULTILINE_IC = "(?imd)"
@@ -61,14 +62,14 @@ def _col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    cls = "[" + PY_SPACE_CLASS + "]+"
-    return F.regexp_replace(_col(c), "^" + cls + "|" + cls + r"\z", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (a native trim with Python's whitespace set; no regex scan)."""
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def normalize_spaces(c) -> Column:
     """Map whitespace that only Python's ``\\s`` knows to a plain space."""
-    return F.regexp_replace(_col(c), "[" + EXOTIC_SPACE_CLASS + "]", " ")
+    return F.translate(_col(c), EXOTIC_WHITESPACE, " " * len(EXOTIC_WHITESPACE))
 
 
 def ascii_digits(c) -> Column:
@@ -96,7 +97,9 @@ def _first(arr: Column) -> Column:
 
 
 def _prepared(c) -> Column:
-    return ascii_digits(normalize_spaces(_col(c)))
+    # one pass: exotic whitespace to spaces and full-width digits to ASCII
+    return F.translate(_col(c), EXOTIC_WHITESPACE + FULLWIDTH_DIGITS,
+                       " " * len(EXOTIC_WHITESPACE) + ASCII_DIGITS)
 
 
 def _number_pattern(p: str, mode: str) -> str:

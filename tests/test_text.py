@@ -142,3 +142,10 @@ def test_keyword_literal_path_equals_regex_path(spark):
     slow_patterns = [p + "|(?!)" for p in X.KEYWORD_PATTERNS]
     slow = [[w for w in r[0] if w] for r in df.select(X.extract_keywords("t", slow_patterns)).collect()]
     assert fast == slow
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(X.PY_WHITESPACE) + ["a", "é", "数", "\u200b", "x"]), max_size=12))
+def test_strip_matches_python(spark, s):
+    got = spark.createDataFrame([(s,)], "t string").select(X.py_strip("t"), X.py_split("t")).first()
+    assert got[0] == s.strip() and got[1] == s.split()
