@@ -61,6 +61,24 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _ident(c) -> str | None:
+    """Backticked SQL identifier for a column given by name, else None."""
+    return "`" + c.replace("`", "``") + "`" if isinstance(c, str) else None
+
+
+def _raw(s: str) -> str:
+    """A Spark SQL raw string literal (no escape processing)."""
+    if "'" in s:
+        raise ValueError("quote in literal")
+    return "r'" + s + "'"
+
+
+def _sql_translate_prepared(e: str) -> str:
+    src = EXOTIC_WHITESPACE + FULLWIDTH_DIGITS
+    dst = " " * len(EXOTIC_WHITESPACE) + ASCII_DIGITS
+    return f"translate({e}, '{src}', '{dst}')"
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace
     (a native trim with Python's whitespace set; no regex scan)."""
@@ -121,19 +139,32 @@ def extract_answer(c, mode: str = "compat") -> Column:
     otherwise the last number anywhere.  ``mode="thousands"`` also reads
     grouped numbers such as ``1,640``.
     """
+    pats = [_PY_MULTILINE_IC + _number_pattern(p, mode) for p in ANSWER_PATTERNS]
+    pats.append(_number_pattern("(" + NUMBER + ")", mode))
+    ident = _ident(c)
+    if ident is not None:
+        # one SQL expression: parsed once on the JVM instead of one call per node
+        t = _sql_translate_prepared(ident)
+        picks = ", ".join(f"try_element_at(regexp_extract_all({t}, {_raw(p)}, 1), -1)" for p in pats)
+        return F.expr(f"try_cast(regexp_replace(coalesce({picks}), ',', '') AS DOUBLE)")
     t = _prepared(c)
-    picks = [_last(F.regexp_extract_all(t, F.lit(_PY_MULTILINE_IC + _number_pattern(p, mode)), 1))
-             for p in ANSWER_PATTERNS]
-    picks.append(_last(F.regexp_extract_all(t, F.lit(_number_pattern("(" + NUMBER + ")", mode)), 1)))
+    picks = [_last(F.regexp_extract_all(t, F.lit(p), 1)) for p in pats]
     return _to_double(F.coalesce(*picks))
 
 
 def extract_reference(c, mode: str = "compat") -> Column:
     """First ``#### n`` (case-sensitive), else the last number, else null."""
+    marker = _number_pattern(REFERENCE_MARKER, mode)
+    number = _number_pattern("(" + NUMBER + ")", mode)
+    ident = _ident(c)
+    if ident is not None:
+        t = _sql_translate_prepared(ident)
+        return F.expr(f"try_cast(regexp_replace(coalesce(try_element_at(regexp_extract_all({t}, {_raw(marker)}, 1), 1), "
+                      f"try_element_at(regexp_extract_all({t}, {_raw(number)}, 1), -1)), ',', '') AS DOUBLE)")
     t = _prepared(c)
     return _to_double(F.coalesce(
-        _first(F.regexp_extract_all(t, F.lit(_number_pattern(REFERENCE_MARKER, mode)), 1)),
-        _last(F.regexp_extract_all(t, F.lit(_number_pattern("(" + NUMBER + ")", mode)), 1)),
+        _first(F.regexp_extract_all(t, F.lit(marker), 1)),
+        _last(F.regexp_extract_all(t, F.lit(number), 1)),
     ))
 
 
@@ -186,7 +217,6 @@ def extract_keywords(c, patterns: list[str] | None = None) -> Column:
     the text, so it is evaluated as substring tests (no regex scan).  Any
     other pattern runs as ``regexp_extract_all``.
     """
-    low = F.lower(_col(c))
     literal, regex = [], []
     for p in patterns or KEYWORD_PATTERNS:
         words = _literal_alternatives(p)
@@ -194,6 +224,16 @@ def extract_keywords(c, patterns: list[str] | None = None) -> Column:
             literal.extend(words)
         else:
             regex.append(p)
+    ident = _ident(c)
+    if ident is not None and all("'" not in w for w in literal):
+        # one SQL expression (see extract_answer); same plan as the Column path
+        low = f"lower({ident})"
+        parts = [f"CASE WHEN contains({low}, {_raw(w)}) THEN array({_raw(w)}) ELSE CAST(array() AS ARRAY<STRING>) END"
+                 for w in literal]
+        parts += [f"regexp_extract_all({low}, {_raw(p)}, 0)" for p in regex]
+        body = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+        return F.expr(f"sort_array(array_distinct({body}))")
+    low = F.lower(_col(c))
     # concat of conditional one-element arrays stays in whole-stage codegen
     # (a filter lambda would not), so lower() is computed once per row
     empty = F.array().cast("array<string>")

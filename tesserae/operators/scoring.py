@@ -171,12 +171,13 @@ def evaluate(df: DataFrame, domain_col: str = "domain", pred_col: str = "predict
     ra = F.when(is_math, X.extract_reference(ref_col))
     pk = F.when(is_ops, X.extract_keywords(pred_col))
     rk = F.when(is_ops, X.extract_keywords(ref_col))
-    rows = (df.select(d.alias(domain_col), pa.alias("pred_answer"), ra.alias("ref_answer"),
-                      F.when(is_code, F.coalesce(F.col(passed_col), F.lit(False))).alias("passed"),
-                      F.when(is_ops, F.size(F.array_intersect(pk, rk)) > 0).alias("keyword_match"),
-                      F.when(is_ops, X.any_token_contained(pred_col, ref_col)).alias("substring_match"))
-            .withColumn("counted", F.col("pred_answer").isNull() | F.col("ref_answer").isNotNull())
-            .withColumn("correct", F.coalesce(X.approx_equal("pred_answer", "ref_answer"), F.lit(False))))
+    rows = df.select(d.alias(domain_col), pa.alias("pred_answer"), ra.alias("ref_answer"),
+                     F.when(is_code, F.coalesce(F.col(passed_col), F.lit(False))).alias("passed"),
+                     F.when(is_ops, F.size(F.array_intersect(pk, rk)) > 0).alias("keyword_match"),
+                     F.when(is_ops, X.any_token_contained(pred_col, ref_col)).alias("substring_match"))
+    # one projection for the derived flags (each DataFrame step re-analyses the plan)
+    rows = rows.select("*", (F.col("pred_answer").isNull() | F.col("ref_answer").isNotNull()).alias("counted"),
+                       F.coalesce(X.approx_equal("pred_answer", "ref_answer"), F.lit(False)).alias("correct"))
     n = F.count(F.lit(1))
     counted = F.count_if(F.col("counted"))
     correct = F.count_if(F.col("counted") & F.col("correct"))
@@ -194,12 +195,13 @@ def evaluate(df: DataFrame, domain_col: str = "domain", pred_col: str = "predict
     headline = (F.when(m == "math", F.col("exact_match"))
                 .when(m == "code", F.col("pass_at_1"))
                 .when(m == "aiops", F.col("keyword_match_rate")))
-    return (agg.withColumn("headline_metric",
-                           F.when(m == "math", "exact_match").when(m == "code", "pass@1")
-                           .when(m == "aiops", "keyword_match_rate"))
-            .withColumn("headline_value", headline)
-            .withColumn("headline_text", X.format_percent1(headline))
-            .withColumn("scored", m.isin(*HEADLINE)))
+    return agg.select(
+        "*",
+        F.when(m == "math", "exact_match").when(m == "code", "pass@1")
+        .when(m == "aiops", "keyword_match_rate").alias("headline_metric"),
+        headline.alias("headline_value"),
+        X.format_percent1(headline).alias("headline_text"),
+        m.isin(*HEADLINE).alias("scored"))
 
 
 def overall_total(report: DataFrame) -> DataFrame:

@@ -149,3 +149,13 @@ def test_keyword_literal_path_equals_regex_path(spark):
 def test_strip_matches_python(spark, s):
     got = spark.createDataFrame([(s,)], "t string").select(X.py_strip("t"), X.py_split("t")).first()
     assert got[0] == s.strip() and got[1] == s.split()
+
+
+def test_sql_and_column_paths_agree(spark):
+    texts = [t for t, _, _ in NUMERIC] + ["#### 1,640 and 2,000", "Database timeout restart 数据库"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for mode in ("compat", "thousands"):
+        a = df.select(X.extract_answer("t", mode), X.extract_reference("t", mode)).collect()
+        b = df.select(X.extract_answer(F.col("t"), mode), X.extract_reference(F.col("t"), mode)).collect()
+        assert a == b
+    assert df.select(X.extract_keywords("t")).collect() == df.select(X.extract_keywords(F.col("t"))).collect()
