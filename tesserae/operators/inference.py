@@ -225,14 +225,71 @@ def evaluate_batched(df: DataFrame, model_factory: ModelFactory, model_name: str
             .drop("response", "status", "error"))
 
 
+def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: str = "prompt",
+                  batch_size: int = 8, params: dict | None = None) -> DataFrame:
+    """Every model over the same Arrow batches in one pass: adds
+    ``<model>_response`` (stripped), ``<model>_status`` and ``<model>_time``
+    (batch time / batch rows) per model.  No second scan and no join."""
+    from tesserae.session import ship_package
+
+    ship_package(df.sparkSession)
+    p = dict(DEFAULT_PARAMS)
+    p.update(params or {})
+    keys = {m: _factory_key(f) for m, f in models.items()}
+    fields = list(df.schema.fields)
+    for m in models:
+        fields += [T.StructField(f"{m}_response", T.StringType()), T.StructField(f"{m}_status", T.StringType()),
+                   T.StructField(f"{m}_time", T.DoubleType())]
+    schema = T.StructType(fields)
+
+    def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded = {m: _model(f, keys[m]) for m, f in models.items()}
+        pending = None
+
+        def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+            res = pdf.copy()
+            prompts = pdf[prompt_col].tolist()
+            for m, model in loaded.items():
+                out, status, _, secs = _run_batch(model, prompts, p)
+                res[f"{m}_response"] = out
+                res[f"{m}_status"] = status
+                res[f"{m}_time"] = secs / max(len(prompts), 1)
+            return res
+
+        for pdf in it:
+            pending = pdf if pending is None else pd.concat([pending, pdf], ignore_index=True)
+            while len(pending) >= batch_size:
+                yield emit(pending.iloc[:batch_size])
+                pending = pending.iloc[batch_size:].reset_index(drop=True)
+        if pending is not None and len(pending):
+            yield emit(pending)
+
+    out = df.mapInPandas(per_partition, schema)
+    return out.select(*[py_strip(F.col(c)).alias(c) if c.endswith("_response") and c[:-9] in models
+                        else F.col(c) for c in out.columns])
+
+
 def compare_models(df: DataFrame, models: dict[str, ModelFactory], id_col: str = "id",
-                   prompt_col: str = "prompt", batch_size: int = 8, params: dict | None = None) -> DataFrame:
-    """Every model over the same rows as a P14 comparison record, joined
-    side by side on id (J2): the first model's record plus the
-    ``<model>_*`` columns of the others."""
-    from tesserae.operators.records import comparison_record, side_by_side
+                   prompt_col: str = "prompt", batch_size: int = 8, params: dict | None = None,
+                   single_pass: bool = True) -> DataFrame:
+    """Every model over the same rows as a P14 comparison record (first
+    model's record plus the ``<model>_*`` columns of the others, J2).
+
+    ``single_pass`` (default) calls every model on the same batches in one
+    scan, so the legs need no join.  ``single_pass=False`` runs one stage
+    per model (e.g. each with its own ``resource_profile``) and joins the
+    legs on id.
+    """
+    from tesserae.operators.records import comparison_columns, comparison_record, side_by_side
 
     names = list(models)
+    if single_pass:
+        gen = generate_many(df, models, prompt_col, batch_size, params)
+        if prompt_col != "prompt" and "prompt" not in gen.columns:
+            gen = gen.withColumn("prompt", F.col(prompt_col))
+        first = comparison_columns(gen, names[0], f"{names[0]}_response", f"{names[0]}_time", id_col)
+        others = [F.col(f"{m}_{x}") for m in names[1:] for x in ("response", "time")]
+        return gen.select(*first, *others)
     legs = []
     for m in names:
         gen = generate(df, models[m], prompt_col, batch_size, params)

@@ -216,23 +216,27 @@ def attach_response(items: DataFrame, responses: DataFrame, id_col: str = "id",
     return out.drop("_resp")
 
 
-def comparison_record(df: DataFrame, model: str, response_col: str = "response",
-                      time_col: str = "time_per_row", id_col: str = "id") -> DataFrame:
-    """Fixed fields plus ``<model>_response`` and ``<model>_time``.
-
-    Absent fields take the reference's defaults (``unknown`` / ``""``).
-    """
+def comparison_columns(df: DataFrame, model: str, response_col: str = "response",
+                       time_col: str = "time_per_row", id_col: str = "id") -> list[Column]:
+    """P14 fields as expressions: fixed fields plus ``<model>_response`` and
+    ``<model>_time``; absent fields take the reference's defaults
+    (``unknown`` / ``""``)."""
     cols = set(df.columns)
 
     def c(name):
         return F.col(name) if name in cols else F.lit(None).cast("string")
 
-    return df.select(
-        F.col(id_col), F.coalesce(c("domain"), F.lit("unknown")).alias("domain"),
-        F.coalesce(c("difficulty"), F.lit("unknown")).alias("difficulty"), c("prompt").alias("prompt"),
-        F.col(response_col).alias(f"{model}_response"), F.col(time_col).alias(f"{model}_time"),
-        F.coalesce(c("original_answer"), F.lit("")).alias("expected_answer"),
-        F.coalesce(c("teacher_response"), F.lit("")).alias("teacher_response"))
+    return [F.col(id_col), F.coalesce(c("domain"), F.lit("unknown")).alias("domain"),
+            F.coalesce(c("difficulty"), F.lit("unknown")).alias("difficulty"), c("prompt").alias("prompt"),
+            F.col(response_col).alias(f"{model}_response"), F.col(time_col).alias(f"{model}_time"),
+            F.coalesce(c("original_answer"), F.lit("")).alias("expected_answer"),
+            F.coalesce(c("teacher_response"), F.lit("")).alias("teacher_response")]
+
+
+def comparison_record(df: DataFrame, model: str, response_col: str = "response",
+                      time_col: str = "time_per_row", id_col: str = "id") -> DataFrame:
+    """One comparison record per row for one model."""
+    return df.select(*comparison_columns(df, model, response_col, time_col, id_col))
 
 
 def side_by_side(left: DataFrame, right: DataFrame, prefix: str = "kd_", id_col: str = "id") -> DataFrame:

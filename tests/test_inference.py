@@ -101,3 +101,13 @@ def test_stream_replayed_batch_is_idempotent(spark):
     generate_stream(spark, src, schema, out, ck, stubs.length_model).stop()
     ids = [r[0] for r in spark.read.parquet(out).select("id").collect()]
     assert sorted(ids) == [str(i) for i in range(6)]
+
+
+def test_compare_models_single_pass_equals_legs(spark):
+    models = {"original": stubs.length_model, "kd": stubs.letter_count_model("o")}
+    a = INF.compare_models(items(spark, 30), models, "id", "prompt", 7, single_pass=True)
+    b = INF.compare_models(items(spark, 30), models, "id", "prompt", 7, single_pass=False)
+    cols = ["id", "domain", "difficulty", "prompt", "original_response", "kd_response", "expected_answer",
+            "teacher_response"]
+    assert sorted(a.columns) == sorted(b.columns)
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
