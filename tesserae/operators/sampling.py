@@ -44,10 +44,10 @@ def _input_bytes(df: DataFrame) -> int:
 
 
 def parallelism(df: DataFrame) -> int:
-    """Partition count for an explicit repartition of ``df``: at least
-    ``spark.sql.shuffle.partitions``, and enough for ~128 MB of input per
-    partition (from the sizes of the scanned relations; no job)."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Partition count for an explicit repartition of ``df``: enough for
+    ~128 MB of input per partition (from the sizes of the scanned relations;
+    no job), and at least the cluster's core count so every core has work."""
+    base = int(df.sparkSession.sparkContext.defaultParallelism)
     try:
         size = _input_bytes(df)
     except Exception:  # noqa: BLE001 - estimates are best effort
