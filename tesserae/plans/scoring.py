@@ -440,3 +440,15 @@ def substring_match(spark, sf_dir):
     return t.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("total_samples"), F.count_if("_m").alias("substring_matches"),
         F.round(F.count_if("_m") / F.count(F.lit(1)), 6).alias("substring_match_rate"))
+
+
+@query("answer_extraction_thousands", "X1 X2 (mode=thousands)", sql=f"""
+WITH {MATH_CTE.split('verdicts AS', 1)[0].rstrip().rstrip(',')}
+SELECT item_id, {Q.extract_answer('prediction', 'thousands')} AS pred_answer,
+       {Q.extract_reference('reference', 'thousands')} AS ref_answer
+FROM math
+""")
+def answer_extraction_thousands(spark, sf_dir):
+    m = math_predictions(spark, sf_dir)
+    return m.select("item_id", X.extract_answer("prediction", "thousands").alias("pred_answer"),
+                    X.extract_reference("reference", "thousands").alias("ref_answer"))

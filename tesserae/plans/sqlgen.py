@@ -7,7 +7,7 @@ recomputes every derived value independently of Spark.
 from __future__ import annotations
 
 from tesserae.functions.text import (ANSWER_PATTERNS, ASCII_DIGITS, FULLWIDTH_DIGITS,
-                                     KEYWORD_PATTERNS, NUMBER, REFERENCE_MARKER)
+                                     KEYWORD_PATTERNS, NUMBER, NUMBER_THOUSANDS, REFERENCE_MARKER)
 
 _PY_SPACE = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
              r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
@@ -36,17 +36,21 @@ def prepared(e: str) -> str:
     return f"translate({spaces(e)}, {lit(FULLWIDTH_DIGITS)}, {lit(ASCII_DIGITS)})"
 
 
-def extract_answer(e: str) -> str:
+def _num(p: str, mode: str) -> str:
+    return p if mode == "compat" else p.replace("(" + NUMBER + ")", "(" + NUMBER_THOUSANDS + ")")
+
+
+def extract_answer(e: str, mode: str = "compat") -> str:
     t = prepared(e)
-    picks = [f"regexp_extract_all({t}, {lit('(?im)' + p)}, 1)[-1]" for p in ANSWER_PATTERNS]
-    picks.append(f"regexp_extract_all({t}, {lit('(' + NUMBER + ')')}, 1)[-1]")
-    return f"TRY_CAST(coalesce({', '.join(picks)}) AS DOUBLE)"
+    picks = [f"regexp_extract_all({t}, {lit('(?im)' + _num(p, mode))}, 1)[-1]" for p in ANSWER_PATTERNS]
+    picks.append(f"regexp_extract_all({t}, {lit(_num('(' + NUMBER + ')', mode))}, 1)[-1]")
+    return f"TRY_CAST(replace(coalesce({', '.join(picks)}), ',', '') AS DOUBLE)"
 
 
-def extract_reference(e: str) -> str:
+def extract_reference(e: str, mode: str = "compat") -> str:
     t = prepared(e)
-    return (f"TRY_CAST(coalesce(regexp_extract_all({t}, {lit(REFERENCE_MARKER)}, 1)[1], "
-            f"regexp_extract_all({t}, {lit('(' + NUMBER + ')')}, 1)[-1]) AS DOUBLE)")
+    return (f"TRY_CAST(replace(coalesce(regexp_extract_all({t}, {lit(_num(REFERENCE_MARKER, mode))}, 1)[1], "
+            f"regexp_extract_all({t}, {lit(_num('(' + NUMBER + ')', mode))}, 1)[-1]), ',', '') AS DOUBLE)")
 
 
 def keywords(e: str) -> str:
