@@ -228,15 +228,16 @@ def evaluate_batched(df: DataFrame, model_factory: ModelFactory, model_name: str
 def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: str = "prompt",
                   batch_size: int = 8, params: dict | None = None) -> DataFrame:
     """Every model over the same Arrow batches in one pass: adds
-    ``<model>_response`` (stripped), ``<model>_status`` and ``<model>_time``
-    (batch time / batch rows) per model.  No second scan and no join."""
+    ``batch_rows`` and, per model, ``<model>_response`` (stripped),
+    ``<model>_status`` and ``<model>_time`` (batch time / batch rows).  No
+    second scan and no join."""
     from tesserae.session import ship_package
 
     ship_package(df.sparkSession)
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
     keys = {m: _factory_key(f) for m, f in models.items()}
-    fields = list(df.schema.fields)
+    fields = list(df.schema.fields) + [T.StructField("batch_rows", T.IntegerType())]
     for m in models:
         fields += [T.StructField(f"{m}_response", T.StringType()), T.StructField(f"{m}_status", T.StringType()),
                    T.StructField(f"{m}_time", T.DoubleType())]
@@ -249,6 +250,7 @@ def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: st
         def emit(pdf: pd.DataFrame) -> pd.DataFrame:
             res = pdf.copy()
             prompts = pdf[prompt_col].tolist()
+            res["batch_rows"] = len(prompts)
             for m, model in loaded.items():
                 out, status, _, secs = _run_batch(model, prompts, p)
                 res[f"{m}_response"] = out

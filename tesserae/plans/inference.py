@@ -49,12 +49,12 @@ def compare_models(spark, sf_dir):
 
 @query("timing", "A14 G7")
 def timing(spark, sf_dir):
-    it = items(spark, sf_dir)
-    legs = [INF.generate(it, stubs.length_model, "prompt", BATCH)
-            .withColumn("model", F.lit("original")),
-            INF.generate(it, stubs.letter_count_model("e"), "prompt", BATCH)
-            .withColumn("model", F.lit("kd"))]
-    return REP.timing(legs[0].unionByName(legs[1]), "model")
+    models = {"original": stubs.length_model, "kd": stubs.letter_count_model("e")}
+    g = INF.generate_many(items(spark, sf_dir), models, "prompt", BATCH)
+    per_model = g.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), (F.col(f"{m}_time") * F.col("batch_rows")).alias("batch_seconds"),
+                 F.col("batch_rows").alias("batch_rows")) for m in models])).alias("r")).select("r.*")
+    return REP.timing(per_model, "model")
 
 
 @query("resume_anti", "F3 J3", sql=f"""
