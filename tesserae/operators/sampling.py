@@ -275,6 +275,17 @@ def capped_eval_sample(df: DataFrame, domain_col: str, caps: dict[str, int], id_
     return out
 
 
+def exclude_eval_from_train(train: DataFrame, eval_df: DataFrame, id_col: str,
+                            max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """M5 with ``exclude_from_train``: drop the eval rows from train so the
+    two are disjoint (the reference samples eval from train and keeps both).
+    A capped eval set is bounded by the sum of its caps; it is broadcast
+    after its size is checked, so train is never shuffled."""
+    ids = eval_df.select(id_col).distinct()
+    small = ids.count() <= max_broadcast_rows
+    return train.join(F.broadcast(ids) if small else ids, id_col, "left_anti")
+
+
 def domain_quotas(df: DataFrame, n: int, domain_col: str, seq_col: str) -> DataFrame:
     """M6 quotas: ``n // d`` each, the remainder one each to the first domains
     in order of first appearance.  One row per domain."""

@@ -132,3 +132,11 @@ def test_seeded_index_broadcast_offsets(spark, monkeypatch):
     monkeypatch.setattr(M, "INLINE_OFFSETS_MAX", 200_000)
     b, _ = M.seeded_index(keyed, "doc_id", "i", num_partitions=4)
     assert dict(a.select("doc_id", "i").collect()) == dict(b.select("doc_id", "i").collect())
+
+
+def test_exclude_eval_from_train(spark):
+    df = _domain_df(spark, [("math", 300), ("code", 30)])
+    ev = M.capped_eval_sample(df, "domain", {"math": 200, "code": 50}, "doc_id", exclude_from_train=True)
+    assert ev.filter("exclude_from_train").count() == 230
+    train = M.exclude_eval_from_train(df, ev, "doc_id")
+    assert train.count() == 100 and train.join(ev, "doc_id", "inner").count() == 0
