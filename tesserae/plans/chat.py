@@ -30,7 +30,7 @@ FROM conversations GROUP BY conv_id
 def chat_render_plain(spark, sf_dir):
     chats = REC.render_chats_plain(conversations(spark, sf_dir))
     return chats.select("conv_id", "n_messages", F.md5("rendered").alias("rendered_md5"),
-                        F.length("rendered").alias("rendered_chars"))
+                        F.length("rendered").cast("bigint").alias("rendered_chars"))
 
 
 # ------------------------------------------------------------- P9 / P10
@@ -106,7 +106,7 @@ def messages_build(spark, sf_dir):
         "conv_id", "turn", F.size(msgs).alias("n_messages"),
         F.array_join(F.transform(msgs, lambda m: m["role"]), "|").alias("roles"),
         F.md5(R.render_single_turn("prompt")).alias("single_turn_md5"),
-        F.md5(text).alias("sections_md5"), F.length(prefix).alias("prefix_chars"),
+        F.md5(text).alias("sections_md5"), F.length(prefix).cast("bigint").alias("prefix_chars"),
         R.training_response("response", "prompt").alias("training_response"))
 
 

@@ -57,7 +57,8 @@ SELECT doc_id, lang, rank_in_domain FROM (
 WHERE rank_in_domain <= CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CAPS.items())} ELSE 0 END
 """)
 def capped_eval(spark, sf_dir):
-    return M.capped_eval_sample(documents(spark, sf_dir, "doc_id", "lang"), "lang", CAPS, "doc_id", SEED)
+    out = M.capped_eval_sample(documents(spark, sf_dir, "doc_id", "lang"), "lang", CAPS, "doc_id", SEED)
+    return out.withColumn("rank_in_domain", F.col("rank_in_domain").cast("bigint"))
 
 
 def _representative_sql(n: int, domain: str) -> str:
@@ -75,14 +76,16 @@ SELECT r.doc_id, r.dom AS {domain}, r.rank_in_domain FROM r JOIN q USING (dom) W
 
 @query("representative_sample", "M6 M7 W2", sql=_representative_sql(10, "lang"))
 def representative_sample(spark, sf_dir):
-    return M.representative_sample(documents(spark, sf_dir, "doc_id", "lang"), 10, "lang", "doc_id",
-                                   "doc_id", SEED)
+    out = M.representative_sample(documents(spark, sf_dir, "doc_id", "lang"), 10, "lang", "doc_id",
+                                  "doc_id", SEED)
+    return out.withColumn("rank_in_domain", F.col("rank_in_domain").cast("bigint"))
 
 
 @query("representative_sample_sources", "M6 W2 (remainder rule)", sql=_representative_sql(30, "source"))
 def representative_sample_sources(spark, sf_dir):
-    return M.representative_sample(documents(spark, sf_dir, "doc_id", "source"), 30, "source", "doc_id",
-                                   "doc_id", SEED)
+    out = M.representative_sample(documents(spark, sf_dir, "doc_id", "source"), 30, "source", "doc_id",
+                                  "doc_id", SEED)
+    return out.withColumn("rank_in_domain", F.col("rank_in_domain").cast("bigint"))
 
 
 # ------------------------------------------------------------- M8 / M9 / G5
@@ -229,7 +232,7 @@ FROM ranked
 """)
 def prepared_records(spark, sf_dir):
     return prepared_corpus(spark, sf_dir).select("id", "domain", "difficulty", "split",
-                                                 F.length("prompt").alias("prompt_chars"))
+                                                 F.length("prompt").cast("bigint").alias("prompt_chars"))
 
 
 @query("prepared_split_counts", "A1 A16 M4", sql=PREPARED_SQL + """
@@ -359,4 +362,4 @@ def reference_texts(spark, sf_dir):
 
     accepted, _ = REC.normalize_eval_records(mixed_eval_records(spark, sf_dir))
     return accepted.filter(non_empty("expected_answer")).select(
-        "doc_id", F.length("expected_answer").alias("reference_chars"))
+        "doc_id", F.length("expected_answer").cast("bigint").alias("reference_chars"))

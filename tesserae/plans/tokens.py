@@ -54,8 +54,9 @@ FROM ex
 """)
 def token_mask(spark, sf_dir):
     ex = examples(spark, sf_dir)
-    return ex.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), "prompt_len",
-                     F.size(F.filter("labels", lambda x: x == TK.IGNORE_INDEX)).alias("n_masked"),
+    return ex.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n_ids"),
+                     F.col("prompt_len").cast("bigint").alias("prompt_len"),
+                     F.size(F.filter("labels", lambda x: x == TK.IGNORE_INDEX)).cast("bigint").alias("n_masked"),
                      ids_md5("input_ids").alias("ids_md5"), ids_md5("labels").alias("labels_md5"))
 
 
@@ -73,9 +74,10 @@ def pad_batch(spark, sf_dir):
     batched = assign_batches(turn_pairs(spark, sf_dir), ["conv_id", "turn"], BATCH)
     ex = tokenise(batched).withColumn("_n", F.size("input_ids"))
     padded = TO.pad_batches(ex)
-    return padded.select("conv_id", "turn", "batch_id", "width", (F.col("width") - F.col("_n")).alias("n_pad"),
+    return padded.select("conv_id", "turn", "batch_id", F.col("width").cast("bigint").alias("width"),
+                         (F.col("width") - F.col("_n")).cast("bigint").alias("n_pad"),
                          ids_md5("input_ids").alias("ids_md5"), ids_md5("labels").alias("labels_md5"),
-                         TK.true_length("attention_mask").alias("mask_sum"))
+                         TK.true_length("attention_mask").cast("bigint").alias("mask_sum"))
 
 
 @query("length_profile", "T7", sql=f"""
@@ -109,4 +111,5 @@ FROM w
 """)
 def prompt_only(spark, sf_dir):
     ex = TO.prompt_only_examples(turn_pairs(spark, sf_dir), "prompt", MAX_LEN)
-    return ex.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), ids_md5("labels").alias("ids_md5"))
+    return ex.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n_ids"),
+                     ids_md5("labels").alias("ids_md5"))
