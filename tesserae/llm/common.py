@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.session import scratch_path, ship_package
@@ -16,6 +16,17 @@ from tesserae.session import scratch_path, ship_package
 BLOCK = 1 << 20
 
 
+#: Rows in an Arrow batch, so that a worker holds few texts at a time.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the package to the executors and keep Arrow batches small."""
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder and read again.
 
@@ -33,7 +44,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids) the rows are sorted by id (nulls last), text and input position and
     numbered once, in the scratch folder, so that each row is a document of
     its own.  Other columns, whatever their names, are left out."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     odd = base.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count()
     if not odd:
@@ -45,7 +56,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``rid, text, row``: as :func:`identified`, with all columns of ``docs`` kept in the struct ``row``."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     odd = base.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count()

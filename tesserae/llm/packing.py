@@ -24,8 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, ddl
-from tesserae.session import ship_package
+from tesserae.llm.common import batch, ddl, ready
 
 SIZE = 2048
 #: Penalties, in tokens of padding, and the step of the spare nodes.
@@ -33,7 +32,7 @@ SENTENCE, WITHIN, GRID = 2, 8, 16
 #: Tokens packed as one line (more if a single document has more).
 STRETCH = 1 << 19
 #: Parts between spaces whose ids a worker remembers before it starts anew.
-KNOWN = 1_000_000
+KNOWN = 500_000
 #: The id that ends each document.
 END = 1
 
@@ -146,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END, i
     number times 2**40 plus a count, so it is the same when a task is run anew.
     Null and empty texts are one ``end_id``; null and repeated ids are packed
     like any other; an empty table gives no rows."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *([F.col(order_by).alias("by")] if order_by else []))
     if order_by:

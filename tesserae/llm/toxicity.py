@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, blocks, ddl, stored, with_rid
+from tesserae.llm.common import batch, blocks, ddl, ready, stored, with_rid
 from tesserae.llm.words import mix, span_names, windows, words
 
 #: Kinds of identity terms; a term is swapped for the next of its kind.
@@ -258,6 +258,7 @@ def train_on(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Of a family of near copies with one label only the first document counts,
     so that the words of a much copied text don't pass for signs of its label."""
+    ready(docs.sparkSession)
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
              .where(~held_out(F.col("doc_id"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
