@@ -11,7 +11,11 @@ from tesserae.llm.decontaminate import contamination
 from tesserae.llm.fingerprints import exact_duplicates
 from tesserae.llm.forest import near_duplicates
 from tesserae.llm.packing import pack
+from tesserae.llm.repeats import digest, remove_repeats
+from tesserae.llm.token_count import token_counts
 from tesserae.llm.toxicity import toxicity
+from tesserae.llm.url_filter import judge_urls
+from tesserae.llm.warc import captures, resolve_revisits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,24 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resolve_revisits(captures(_table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return r.withColumn("headers", F.array_join(lines, "\n"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _EXACT_SQL = f"""
@@ -74,11 +96,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": url_filter,
     "op3_exact_dedup": exact_dedup,
     "op4_packing": packing,
+    "op5_suffix_dedup": suffix_dedup,
     "op6_toxicity": toxicity_scores,
     "op7_decontamination": decontamination,
     "op8_jaccard_join": jaccard_join,
+    "op9_token_count": token_count,
+    "op10_warc_revisits": warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": _EXACT_SQL, "op7_decontamination": _CONTAMINATION_SQL}
