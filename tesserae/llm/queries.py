@@ -11,6 +11,7 @@ from tesserae.llm.decontaminate import contamination
 from tesserae.llm.fingerprints import exact_duplicates
 from tesserae.llm.forest import near_duplicates
 from tesserae.llm.packing import pack
+from tesserae.llm.passages import shared_passages
 from tesserae.llm.repeats import digest, remove_repeats
 from tesserae.llm.token_count import token_counts
 from tesserae.llm.toxicity import toxicity
@@ -52,6 +53,10 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -96,6 +101,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring_dedup,
     "op2_url_filter": url_filter,
     "op3_exact_dedup": exact_dedup,
     "op4_packing": packing,

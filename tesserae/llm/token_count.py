@@ -8,6 +8,7 @@ counts one per UTF-8 byte, if the vocabulary has byte pieces, else one per run."
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,9 @@ SPACE = "▁"
 #: Words whose counts a worker remembers before it starts anew.
 KNOWN = 500_000
 UNKNOWN_COST = 10.0
+#: BPE files mark pieces never merged to with scores near -1e9, beside which single precision
+#: cannot tell the others apart; they are read as this score.
+FLOOR = -1e5
 
 _COUNTS = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_bytes": pa.int64()}
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -53,7 +57,7 @@ class Counter:
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-            cls._made[path] = cls([(sp.id_to_piece(i), sp.get_score(i)) for i in plain],
+            cls._made[path] = cls([(sp.id_to_piece(i), sp.get_score(i) if sp.get_score(i) > -1e6 else FLOOR) for i in plain],
                                   any(sp.is_byte(i) for i in range(sp.get_piece_size())), sp.normalize)
         return cls._made[path]
 
@@ -62,22 +66,26 @@ class Counter:
         n = len(text)
         if not n:
             return 0
-        score, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        score, count = [-math.inf] * (n + 1), [0] * (n + 1)
+        score[0] = 0.0
+        if self.single.issuperset(text):
+            for end, (length, s) in self.automaton.iter(text):  # by end, the longest first
+                total = score[end + 1 - length] + s
+                if total > score[end + 1]:
+                    score[end + 1], count[end + 1] = total, count[end + 1 - length] + 1
+            return count[n]
+        unk = [False] * (n + 1)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, found in self.automaton.iter(text):
             ends[end].append(found)
         for end in range(n):
-            best, pieces, lone = None, 0, False
-            for length, s in sorted(ends[end], reverse=True):  # the longest starts first
+            for length, s in ends[end]:
                 total = score[end + 1 - length] + s
-                if best is None or total > best:
-                    best, pieces = total, count[end + 1 - length] + 1
-            if text[end] not in self.single:
-                total = score[end] + self.unknown
-                if best is None or total > best:
-                    lone, best = True, total
-                    pieces = count[end] + (len(text[end].encode("utf-8", "surrogatepass")) if self.bytes else not unk[end])
-            score[end + 1], count[end + 1], unk[end + 1] = best, pieces, lone
+                if total > score[end + 1]:
+                    score[end + 1], count[end + 1] = total, count[end + 1 - length] + 1
+            if text[end] not in self.single and score[end] + self.unknown > score[end + 1]:
+                score[end + 1], unk[end + 1] = score[end] + self.unknown, True
+                count[end + 1] = count[end] + (len(text[end].encode("utf-8", "surrogatepass")) if self.bytes else not unk[end])
         return count[n]
 
     def __call__(self, text: str) -> int:
