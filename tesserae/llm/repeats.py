@@ -12,12 +12,17 @@ same name exactly if (up to 64-bit hashing) their next bytes are equal.
    (16, 32, 64, LENGTH bytes, then the run), so each step reuses the names of
    the one before.  Equal runs but the first are repeats.  A bucket with one
    run has no repeats.
-3. Buckets that still hold different runs are refined once more, window by
-   window, by the name of the window (LENGTH bytes).
+3. Runs of buckets that hold different runs are cut, at fixed distances from
+   the q-gram, into pieces of at most ``STEP`` windows, filed under the name of
+   the bytes that all windows of such a piece have (LENGTH - STEP + 1), and
+   sorted in the same way.  Pieces that are still mixed are refined once more,
+   window by window: a window's name follows from its piece's and the few bytes
+   on either side, which the piece carries, so the text is not read again.
 
 A map task settles what it can before the shuffle: of equal runs it sends the
 first, of a bucket with several different runs one, with a mark, while the
-others go straight to step 3.  So no bucket gets more than one row a task."""
+others skip this step.  So no bucket gets more than one row a task.
+"""
 
 from __future__ import annotations
 
@@ -30,13 +35,16 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import batch, blocks, ddl, identified, stored
 
-LENGTH, QGRAM = 100, 16
+LENGTH, QGRAM, STEP = 100, 16, 8
 #: Window starts named at once.
 SPAN = 1 << 20
 
-#: kind 0: a run to be sorted; 1: a repeated run; 2: a run whose windows are to be sorted.
+#: kind 0: a run to be sorted; 1: a repeated run; 2: a run of a mixed bucket; 3: a window to be sorted.
 _RUNS = {"kind": pa.int32(), "part": pa.int64(), "bucket": pa.int64(), "name": pa.int64(), "rid": pa.int64(),
          "at": pa.int64(), "n": pa.int32(), "mark": pa.bool_()}
+#: Of a piece: the bytes before and after what its windows share, and the first window's place among STEP.
+_PIECES = {**_RUNS, "left": pa.int64(), "right": pa.int64(), "place": pa.int32()}
+_KEYS = ("bucket", "name", "rid", "at", "n")
 _KEPT = {"rid": pa.int64(), "id": pa.int64(), "n_bytes": pa.int64(), "removed": pa.list_(pa.int64()), "kept": pa.binary()}
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -116,27 +124,28 @@ def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _rows(kind, part, bucket, name, rid, at, n, mark) -> pa.RecordBatch:
-    return batch(_RUNS, np.full(len(bucket), kind, np.int32), part, bucket, name, rid, at, n, np.full(len(bucket), mark))
+def _table(schema, kind: int, part: str, cols: dict[str, np.ndarray], keep, mark=False) -> pa.RecordBatch:
+    own = {c: cols[c][keep] for c in schema if c in cols}
+    n = len(own["rid"])
+    own |= {"kind": np.full(n, kind, np.int32), "part": own[part], "mark": np.full(n, mark)}
+    return batch(schema, *(own[c] for c in schema))
 
 
-def _settled(bucket, name, rid, at, n) -> Iterator[pa.RecordBatch]:
+def _settled(schema, cols: dict[str, np.ndarray], first_kind: int = 0) -> Iterator[pa.RecordBatch]:
     """What a task sends of its own runs."""
-    order = np.lexsort((at, rid, name, bucket))
-    bucket, name, rid, at, n = (x[order] for x in (bucket, name, rid, at, n))
-    b_new = np.ones(len(bucket), bool)
-    b_new[1:] = bucket[1:] != bucket[:-1]
+    order = np.lexsort((cols["at"], cols["rid"], cols["name"], cols["bucket"]))
+    cols = {c: x[order] for c, x in cols.items()}
+    b_new = np.ones(len(order), bool)
+    b_new[1:] = cols["bucket"][1:] != cols["bucket"][:-1]
     c_new = b_new.copy()
-    c_new[1:] |= name[1:] != name[:-1]
-    again = ~c_new
-    yield _rows(1, rid[again], bucket[again], name[again], rid[again], at[again], n[again], False)
+    c_new[1:] |= cols["name"][1:] != cols["name"][:-1]
+    yield _table(schema, 1, "rid", cols, ~c_new)
     first = np.flatnonzero(c_new)
     size = np.diff(np.r_[np.flatnonzero(b_new[first]), len(first)])
     lead, mixed = b_new[first], np.repeat(size > 1, size)
-    one, marked, rest = first[lead & ~mixed], first[lead & mixed], first[~lead]
-    yield _rows(0, bucket[one], bucket[one], name[one], rid[one], at[one], n[one], False)
-    yield _rows(0, bucket[marked], bucket[marked], name[marked], rid[marked], at[marked], n[marked], True)
-    yield _rows(2, rid[rest], bucket[rest], name[rest], rid[rest], at[rest], n[rest], False)
+    yield _table(schema, first_kind, "bucket", cols, first[lead & ~mixed])
+    yield _table(schema, first_kind, "bucket", cols, first[lead & mixed], True)
+    yield _table(schema, 2, "rid", cols, first[~lead])
 
 
 def _map_runs(length: int):
@@ -147,79 +156,128 @@ def _map_runs(length: int):
                 bucket, name, row, start, n = runs(data, off, length)
                 parts.append((bucket, name, rid[i + row], start, n))
             if parts:
-                yield from _settled(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                yield from _settled(_RUNS, dict(zip(_KEYS, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return run
 
 
-def _map_windows(length: int):
-    """The windows of the runs asked for, each as a run of its own."""
+def _pieces(data: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """The pieces of runs that start at ``first``: which run, place, and what a row has of them."""
+    eight, width = _bytes8(data), length - QGRAM + 1
+    anchor = np.empty(len(first), np.int64)
+    for a in range(0, len(first), 4096):  # the smallest q-gram, the leftmost of equal ones
+        p = first[a:a + 4096, None] + np.arange(width)
+        anchor[a:a + 4096] = first[a:a + 4096] + pair_name(eight[p], eight[p + 8]).argmin(axis=1)
+    zero = anchor - (width - 1)  # where the farthest window with this q-gram would start
+    block = (first - zero) // STEP
+    count = (first + n - 1 - zero) // STEP - block + 1
+    run = np.repeat(np.arange(len(first)), count)
+    block = np.repeat(block, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    origin = zero[run] + block * STEP
+    begin = np.maximum(first[run], origin)
+    size = np.minimum((first + n)[run], origin + STEP) - begin
+    core = origin + STEP - 1
+    bucket = pair_name(_window_names(eight, core, length - STEP + 1), block.astype(np.uint64))
+    ends = pair_name(_window_names(eight, begin, length), _window_names(eight, begin + size - 1, length))
+    name = pair_name(ends, ((begin - origin) * 256 + size).astype(np.uint64))
+    after = core + length - STEP + 1
+    pad = np.r_[np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]
+    around = _bytes8(pad)
+    left = around[core] >> np.uint64(8)  # the STEP - 1 = 7 bytes before the core
+    right = around[after + 8] & np.uint64((1 << 56) - 1)
+    return {"run": run, "bucket": bucket.view(np.int64), "name": name.view(np.int64), "begin": begin, "n": size,
+            "left": left.view(np.int64), "right": right.view(np.int64), "place": begin - origin}
+
+
+def _windows(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The windows of pieces; a window at place j has 7 - j bytes before the core and j after it."""
+    n = cols["n"].astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    j = (cols["place"][of] + step).astype(np.uint64)
+    bits = np.uint64(8)
+    left = cols["left"][of].view(np.uint64) >> (j * bits)
+    right = cols["right"][of].view(np.uint64) & ((np.uint64(1) << (j * bits)) - np.uint64(1))
+    name = pair_name(pair_name(cols["bucket"][of].view(np.uint64), left), pair_name(right, j)).view(np.int64)
+    one = np.ones(len(of), np.int64)
+    zero = np.zeros(len(of), np.int64)
+    return {"bucket": name, "name": name, "rid": cols["rid"][of], "at": cols["at"][of] + step, "n": one, "left": zero,
+            "right": zero, "place": zero}
+
+
+def _map_pieces(length: int):
+    """The pieces of the runs asked for; those of buckets known here to be mixed as windows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rid, parts = b.column("rid").to_numpy(), []
-            asked, lists = b.column("asked"), np.asarray(b.column("asked").flatten())
-            count = np.diff(np.asarray(asked.offsets)) if b.num_rows else np.zeros(0, np.int64)
+            asked = b.column("asked")
+            count, lists = np.asarray(asked.value_lengths()), np.asarray(asked.flatten())
             first = np.r_[0, np.cumsum(count)]
             for i, j, data, off in blocks(b.column("text")):
                 mine = lists[first[i]:first[j]]
                 row = np.repeat(np.arange(j - i), count[i:j])
-                n = mine & 0xFF
-                at = np.repeat(mine >> 8, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                row = np.repeat(row, n)
-                pos = off[row] + at
-                name = _window_names(_bytes8(data), pos, length).view(np.int64)
-                parts.append((name, name, rid[i + row], at, np.ones(len(at), np.int64)))
+                p = _pieces(data, off[row] + (mine >> 8), mine & 0xFF, length)
+                row = row[p.pop("run")]
+                parts.append(p | {"rid": rid[i + row], "at": p.pop("begin") - off[row]})
             if parts:
-                yield from _settled(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+                cols = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+                for out in _settled(_PIECES, cols):
+                    if out.num_rows and out.column("kind")[0].as_py() == 2:
+                        yield from _settled(_PIECES, _windows({c: out.column(c).to_numpy() for c in cols}), 3)
+                    else:
+                        yield out
 
     return run
 
 
-def _sort_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, name, rid and at: repeats, and the first runs of buckets that hold different ones.
-
-    Streams; what it keeps between batches is one run."""
-    kept = None  # the last name's first run: bucket, name, rid, at, n, and whether its bucket is known to be mixed
-    sent = False  # whether it has been given out
-    for b in it:
-        kind = b.column("kind").to_numpy()
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "name", "rid", "at", "n", "mark")]
-        done = kind != 0
-        if done.any():
-            bucket, name, rid, at, n, _ = (c[done] for c in cols)
-            yield batch(_RUNS, kind[done], rid, bucket, name, rid, at, n, np.zeros(len(n), bool))
-        if done.all():
-            continue
-        bucket, name, rid, at, n, mark = (c[~done] for c in cols)
-        if kept is not None:
-            bucket, name, rid, at, n, mark = (np.r_[[k], c] for k, c in zip(kept, (bucket, name, rid, at, n, mark), strict=True))
-        b_new = np.ones(len(bucket), bool)
-        b_new[1:] = bucket[1:] != bucket[:-1]
-        c_new = b_new.copy()
-        c_new[1:] |= name[1:] != name[:-1]
-        first = np.flatnonzero(c_new)
-        again = ~c_new
-        if again.any():
-            yield _rows(1, rid[again], bucket[again], name[again], rid[again], at[again], n[again], False)
-        begin = np.flatnonzero(b_new)
-        marked = np.logical_or.reduceat(mark.astype(bool), begin)
-        names = np.add.reduceat(c_new.astype(np.int64), begin)
-        mixed = marked | (names > 1)
-        of = np.cumsum(b_new)[first] - 1
-        out = first[mixed[of]]
-        if sent and len(out) and out[0] == 0:
-            out = out[1:]
-        if len(out):
-            yield _rows(2, rid[out], bucket[out], name[out], rid[out], at[out], n[out], False)
-        last = first[-1]
-        kept = [bucket[last], name[last], rid[last], at[last], n[last], bool(mixed[-1])]
-        sent = bool(mixed[-1])
-
-
-def _repeats(rows: DataFrame, width: int) -> DataFrame:
+def _sort_buckets(schema):
+    """Rows sorted by bucket, name, rid and at: repeats, and the first runs of buckets that hold different ones
+    (of pieces: their windows).  Streams; what it keeps between batches is one run."""
+
+    def given(cols, keep):
+        if schema is _RUNS:
+            yield _table(_RUNS, 2, "rid", cols, keep)
+        else:
+            w = _windows({c: x[keep] for c, x in cols.items()})
+            yield _table(_PIECES, 3, "bucket", w, slice(None))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict | None = None  # the last name's first run, marked if its bucket is known to be mixed
+        sent = False  # whether it has been given out
+        for b in it:
+            done = pa.array(b.column("kind").to_numpy() != 0)
+            if done.true_count:
+                yield b.filter(done)
+            if done.true_count == b.num_rows:
+                continue
+            rows = b.filter(pa.array(b.column("kind").to_numpy() == 0))
+            cols = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in schema if c not in ("kind", "part")}
+            if kept is not None:
+                cols = {c: np.r_[kept[c], x] for c, x in cols.items()}
+            b_new = np.ones(len(cols["rid"]), bool)
+            b_new[1:] = cols["bucket"][1:] != cols["bucket"][:-1]
+            c_new = b_new.copy()
+            c_new[1:] |= cols["name"][1:] != cols["name"][:-1]
+            mark = cols["mark"].astype(bool)
+            if not c_new.all():
+                yield _table(schema, 1, "rid", cols, ~c_new)
+            first, begin = np.flatnonzero(c_new), np.flatnonzero(b_new)
+            mixed = np.logical_or.reduceat(mark, begin) | (np.add.reduceat(c_new.astype(np.int64), begin) > 1)
+            out = first[mixed[np.cumsum(b_new)[first] - 1]]
+            if sent and len(out) and out[0] == 0:
+                out = out[1:]
+            if len(out):
+                yield from given(cols, out)
+            last, sent = first[-1], bool(mixed[-1])
+            kept = {c: x[last:last + 1] for c, x in cols.items()} | {"mark": np.array([sent])}
+
+    return run
+
+
+def _refined(rows: DataFrame, schema, width: int) -> DataFrame:
     near = rows.repartition(width, "part").sortWithinPartitions("kind", "bucket", "name", "rid", "at")
-    return near.mapInArrow(_sort_buckets, ddl(_RUNS)).select("kind", "rid", (F.shiftleft("at", 8).bitwiseOR(F.col("n").cast("long"))).alias("run"))
+    return near.mapInArrow(_sort_buckets(schema), ddl(schema))
 
 
 def _remove(length: int):
@@ -262,12 +320,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("length must be from 32 to 255")
     base = identified(docs, id_col, text_col)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = base.select("rid", "text")
-    first = stored(_repeats(texts.mapInArrow(_map_runs(length), ddl(_RUNS)), width), "runs")
+    run = F.shiftleft("at", 8).bitwiseOR(F.col("n").cast("long")).alias("run")
+    found = _refined(base.select("rid", "text").mapInArrow(_map_runs(length), ddl(_RUNS)), _RUNS, width)
+    first = stored(found.select("kind", "rid", run), "runs")
     asked = first.where("kind = 2").groupBy("rid").agg(F.collect_list("run").alias("asked"))
-    windows = texts.join(asked, "rid").mapInArrow(_map_windows(length), ddl(_RUNS))
-    second = stored(_repeats(windows, width).where("kind = 1"), "windows")
-    gone = first.where("kind = 1").unionByName(second).groupBy("rid").agg(F.collect_list("run").alias("asked"))
+    pieces = _refined(base.join(asked, "rid").select("rid", "text", "asked").mapInArrow(_map_pieces(length), ddl(_PIECES)), _PIECES, width)
+    windows = pieces.withColumn("kind", F.when(F.col("kind") == 3, 0).otherwise(F.col("kind"))).select(*_RUNS)
+    last = _refined(windows, _RUNS, width).where("kind = 1").select("rid", run)
+    gone = first.where("kind = 1").select("rid", "run").unionByName(last).groupBy("rid").agg(F.collect_list("run").alias("asked"))
     return base.join(gone, "rid", "left").mapInArrow(_remove(length), ddl(_KEPT))
 
 
