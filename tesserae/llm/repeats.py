@@ -40,7 +40,7 @@ LENGTH, QGRAM, STEP = 100, 16, 8
 SPAN = 1 << 20
 
 #: kind 0: a run to be sorted; 1: a repeated run; 2: a run of a mixed bucket; 3: a window to be sorted.
-_RUNS = {"kind": pa.int32(), "part": pa.int64(), "bucket": pa.int64(), "name": pa.int64(), "rid": pa.int64(),
+_RUNS = {"kind": pa.int32(), "bucket": pa.int64(), "name": pa.int64(), "rid": pa.int64(),
          "at": pa.int64(), "n": pa.int32(), "mark": pa.bool_()}
 #: Of a piece: the bytes before and after what its windows share, and the first window's place among STEP.
 _PIECES = {**_RUNS, "left": pa.int64(), "right": pa.int64(), "place": pa.int32()}
@@ -124,10 +124,10 @@ def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _table(schema, kind: int, part: str, cols: dict[str, np.ndarray], keep, mark=False) -> pa.RecordBatch:
+def _table(schema, kind: int, cols: dict[str, np.ndarray], keep, mark=False) -> pa.RecordBatch:
     own = {c: cols[c][keep] for c in schema if c in cols}
     n = len(own["rid"])
-    own |= {"kind": np.full(n, kind, np.int32), "part": own[part], "mark": np.full(n, mark)}
+    own |= {"kind": np.full(n, kind, np.int32), "mark": np.full(n, mark)}
     return batch(schema, *(own[c] for c in schema))
 
 
@@ -139,13 +139,13 @@ def _settled(schema, cols: dict[str, np.ndarray], first_kind: int = 0) -> Iterat
     b_new[1:] = cols["bucket"][1:] != cols["bucket"][:-1]
     c_new = b_new.copy()
     c_new[1:] |= cols["name"][1:] != cols["name"][:-1]
-    yield _table(schema, 1, "rid", cols, ~c_new)
+    yield _table(schema, 1, cols, ~c_new)
     first = np.flatnonzero(c_new)
     size = np.diff(np.r_[np.flatnonzero(b_new[first]), len(first)])
     lead, mixed = b_new[first], np.repeat(size > 1, size)
-    yield _table(schema, first_kind, "bucket", cols, first[lead & ~mixed])
-    yield _table(schema, first_kind, "bucket", cols, first[lead & mixed], True)
-    yield _table(schema, 2, "rid", cols, first[~lead])
+    yield _table(schema, first_kind, cols, first[lead & ~mixed])
+    yield _table(schema, first_kind, cols, first[lead & mixed], True)
+    yield _table(schema, 2, cols, first[~lead])
 
 
 def _map_runs(length: int):
@@ -178,13 +178,13 @@ def _pieces(data: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) ->
     size = np.minimum((first + n)[run], origin + STEP) - begin
     core = origin + STEP - 1
     bucket = pair_name(_window_names(eight, core, length - STEP + 1), block.astype(np.uint64))
-    ends = pair_name(_window_names(eight, begin, length), _window_names(eight, begin + size - 1, length))
-    name = pair_name(ends, ((begin - origin) * 256 + size).astype(np.uint64))
     after = core + length - STEP + 1
     pad = np.r_[np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]
     around = _bytes8(pad)
-    left = around[core] >> np.uint64(8)  # the STEP - 1 = 7 bytes before the core
-    right = around[after + 8] & np.uint64((1 << 56) - 1)
+    bits, place = np.uint64(8), (begin - origin).astype(np.uint64)
+    left = (around[core] >> bits) >> (place * bits) << (place * bits)  # the bytes before the core that some window has
+    right = around[after + 8] & ((np.uint64(1) << ((place + size.astype(np.uint64) - np.uint64(1)) * bits)) - np.uint64(1))
+    name = pair_name(pair_name(left, right), place * np.uint64(256) + size.astype(np.uint64))
     return {"run": run, "bucket": bucket.view(np.int64), "name": name.view(np.int64), "begin": begin, "n": size,
             "left": left.view(np.int64), "right": right.view(np.int64), "place": begin - origin}
 
@@ -201,7 +201,7 @@ def _windows(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     name = pair_name(pair_name(cols["bucket"][of].view(np.uint64), left), pair_name(right, j)).view(np.int64)
     one = np.ones(len(of), np.int64)
     zero = np.zeros(len(of), np.int64)
-    return {"bucket": name, "name": name, "rid": cols["rid"][of], "at": cols["at"][of] + step, "n": one, "left": zero,
+    return {"bucket": name, "name": zero, "rid": cols["rid"][of], "at": cols["at"][of] + step, "n": one, "left": zero,
             "right": zero, "place": zero}
 
 
@@ -237,10 +237,10 @@ def _sort_buckets(schema):
 
     def given(cols, keep):
         if schema is _RUNS:
-            yield _table(_RUNS, 2, "rid", cols, keep)
+            yield _table(_RUNS, 2, cols, keep)
         else:
             w = _windows({c: x[keep] for c, x in cols.items()})
-            yield _table(_PIECES, 3, "bucket", w, slice(None))
+            yield _table(_PIECES, 3, w, slice(None))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict | None = None  # the last name's first run, marked if its bucket is known to be mixed
@@ -248,11 +248,11 @@ def _sort_buckets(schema):
         for b in it:
             done = pa.array(b.column("kind").to_numpy() != 0)
             if done.true_count:
-                yield b.filter(done)
+                yield pa.RecordBatch.from_arrays(b.filter(done).columns, names=list(schema))
             if done.true_count == b.num_rows:
                 continue
             rows = b.filter(pa.array(b.column("kind").to_numpy() == 0))
-            cols = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in schema if c not in ("kind", "part")}
+            cols = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in schema if c != "kind"}
             if kept is not None:
                 cols = {c: np.r_[kept[c], x] for c, x in cols.items()}
             b_new = np.ones(len(cols["rid"]), bool)
@@ -261,7 +261,7 @@ def _sort_buckets(schema):
             c_new[1:] |= cols["name"][1:] != cols["name"][:-1]
             mark = cols["mark"].astype(bool)
             if not c_new.all():
-                yield _table(schema, 1, "rid", cols, ~c_new)
+                yield _table(schema, 1, cols, ~c_new)
             first, begin = np.flatnonzero(c_new), np.flatnonzero(b_new)
             mixed = np.logical_or.reduceat(mark, begin) | (np.add.reduceat(c_new.astype(np.int64), begin) > 1)
             out = first[mixed[np.cumsum(b_new)[first] - 1]]
@@ -276,7 +276,22 @@ def _sort_buckets(schema):
 
 
 def _refined(rows: DataFrame, schema, width: int) -> DataFrame:
-    near = rows.repartition(width, "part").sortWithinPartitions("kind", "bucket", "name", "rid", "at")
+    """Rows sorted by bucket and name, and what :func:`_sort_buckets` makes of them.
+
+    Through the shuffle go no more than the columns needed, packed; a piece's
+    name is made again from its edges."""
+    piece = schema is _PIECES
+    place = "place" if piece else "0"
+    code = F.expr(f"shiftleft(at, 24) | shiftleft(cast({place} AS bigint), 16) | shiftleft(cast(n AS bigint), 8) | "
+                  "shiftleft(cast(mark AS bigint), 4) | cast(kind AS bigint)").alias("code")
+    wanted = lambda c, kinds: F.when(F.col("kind").isin(*kinds), F.col(c)).otherwise(0).alias(c)
+    sent = rows.select("rid", code, wanted("bucket", (0, 3)), *(wanted(c, (0,)) for c in (("left", "right") if piece else ("name",))))
+    sent = sent.repartition(width, F.when(F.col("code").bitwiseAND(15).isin(0, 3), F.col("bucket")).otherwise(F.col("rid")))
+    field = lambda shift, bits, kind: F.shiftright("code", shift).bitwiseAND(2**bits - 1).cast(kind)
+    back = {"kind": field(0, 4, "int"), "mark": field(4, 4, "boolean"), "n": field(8, 8, "int"), "at": F.shiftright("code", 24)}
+    if piece:
+        back |= {"place": field(16, 8, "int"), "name": F.xxhash64("left", "right", field(8, 16, "int"))}
+    near = sent.withColumns(back).select(*schema).sortWithinPartitions("kind", "bucket", "name", "rid", "at")
     return near.mapInArrow(_sort_buckets(schema), ddl(schema))
 
 
