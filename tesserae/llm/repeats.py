@@ -340,7 +340,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     first = stored(found.select("kind", "rid", run), "runs")
     asked = first.where("kind = 2").groupBy("rid").agg(F.collect_list("run").alias("asked"))
     pieces = _refined(base.join(asked, "rid").select("rid", "text", "asked").mapInArrow(_map_pieces(length), ddl(_PIECES)), _PIECES, width)
-    windows = pieces.withColumn("kind", F.when(F.col("kind") == 3, 0).otherwise(F.col("kind"))).select(*_RUNS)
+    windows = pieces.withColumn("kind", F.when(F.col("kind") == 3, 0).otherwise(F.col("kind"))).withColumn("name", F.lit(0).cast("long"))
+    windows = windows.select(*_RUNS)  # the name of a window is its bucket alone
     last = _refined(windows, _RUNS, width).where("kind = 1").select("rid", run)
     gone = first.where("kind = 1").select("rid", "run").unionByName(last).groupBy("rid").agg(F.collect_list("run").alias("asked"))
     return base.join(gone, "rid", "left").mapInArrow(_remove(length), ddl(_KEPT))
