@@ -32,7 +32,7 @@ def _read_any(spark: SparkSession, path: str, schema: str, array: bool) -> DataF
 
 
 def prepare_corpus(spark: SparkSession, math_path: str | None, code_path: str | None, out_dir: str,
-                   math_n: int | None = 2000, code_n: int | None = 164, incident_n: int = 1000,
+                   math_n: int | None = None, code_n: int | None = None, incident_n: int = 1000,
                    seed: int = 42, eval_cap: int | None = 350, raw_is_array: bool = True,
                    mode: str = "errorifexists") -> DataFrame:
     """3.1: math sample (P1, M1) + code head (P2, M2) + synthetic incidents
@@ -61,17 +61,17 @@ def prepare_corpus(spark: SparkSession, math_path: str | None, code_path: str |
     split = M.label_split(corpus, "id", seed, cap=eval_cap)
     J.write_jsonl(split.filter(F.col("split") == "train").drop("split"), f"{out_dir}/train", mode)
     J.write_jsonl(split.filter(F.col("split") == "eval").drop("split"), f"{out_dir}/eval", mode)
-    written = spark.read.json([f"{out_dir}/train", f"{out_dir}/eval"]).withColumn(
-        "split", F.when(F.input_file_name().contains("/eval/"), "eval").otherwise("train"))
+    train, held = (J.read_jsonl(spark, f"{out_dir}/{part}", RECORD_IN).withColumn("split", F.lit(part)) for part in ("train", "eval"))
+    written = train.unionByName(held)
     return REP.domain_counts(written, ["split", "domain"], "count")
 
 
 def teacher_responses(spark: SparkSession, items_path: str, out_dir: str, model_factory,
-                      batch_size: int = 512, params: dict | None = None, chunk_rows: int = 100_000,
+                      batch_size: int = 512, params: dict | None = None, chunk_rows: int = 10_000_000,
                       max_failure_rate: float = 0.0) -> DataFrame:
     """3.2: items -> resumable generation (G3, single-turn prompt P8) ->
     attach (P13) -> ``taught`` JSON Lines.  Rerunning resumes; ids already
-    answered are skipped.  Fails when more than ``max_failure_rate`` of the
+    answered are skipped, failed ones tried again.  Fails when more than ``max_failure_rate`` of the
     rows failed (G6)."""
     items = J.read_jsonl(spark, items_path, RECORD_IN)
     staged = items.select("id", R.render_single_turn("prompt").alias("_rendered"))
@@ -92,7 +92,9 @@ def run_evaluation(spark: SparkSession, eval_path: str, out_dir: str, model_fact
     params.update(generation_kwargs or {})
     items = J.read_jsonl(spark, eval_path, RECORD_IN)
     staged = items.withColumn("_rendered", R.render_single_turn("prompt"))
-    pred = INF.generate(staged, model_factory, "_rendered", batch_size, params)
+    fresh = INF.generate(staged, model_factory, "_rendered", batch_size, params)
+    fresh.write.mode("overwrite").parquet(f"{out_dir}/predictions")  # one model pass: details and report read its answers
+    pred = spark.read.schema(fresh.schema).parquet(f"{out_dir}/predictions")
     scored = pred.select(
         "id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.col("response").alias("prediction"),
         R.training_response("expected_answer", "original_answer").alias("reference"),

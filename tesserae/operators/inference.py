@@ -81,6 +81,28 @@ def _emit(pdf: pd.DataFrame, prompt_col: str, model: ModelFn, params: dict) -> p
     return res
 
 
+def _batches(it: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Consecutive rows in frames of ``size`` (the last may be smaller); only a tail is copied on."""
+    tail = None
+    for pdf in it:
+        frame = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        whole = len(frame) - len(frame) % size
+        for at in range(0, whole, size):
+            yield frame.iloc[at:at + size].reset_index(drop=True)
+        tail = frame.iloc[whole:] if whole < len(frame) else None
+    if tail is not None:
+        yield tail.reset_index(drop=True)
+
+
+def require_ids(df: DataFrame, id_col: str = "id", unique: bool = True) -> DataFrame:
+    """``df``, or an error that counts its null (and repeated) ids: rows are paired and resumed by id."""
+    nulls = df.filter(F.col(id_col).isNull()).count()
+    repeats = df.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).count() if unique else 0
+    if nulls or repeats:
+        raise ValueError(f"column {id_col}: {nulls} null ids, {repeats} ids that repeat")
+    return df
+
+
 def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prompt",
              batch_size: int = 512, params: dict | None = None, batch_col: str | None = None,
              model_key: str | None = None, num_partitions: int | None = None,
@@ -112,14 +134,8 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
     else:
         def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = _model(model_factory, key)
-            pending = None
-            for pdf in it:
-                pending = pdf if pending is None else pd.concat([pending, pdf], ignore_index=True)
-                while len(pending) >= batch_size:
-                    yield _emit(pending.iloc[:batch_size], prompt_col, model, p)
-                    pending = pending.iloc[batch_size:].reset_index(drop=True)
-            if pending is not None and len(pending):
-                yield _emit(pending, prompt_col, model, p)
+            for part in _batches(it, batch_size):
+                yield _emit(part, prompt_col, model, p)
 
         out = (src.mapInPandas(per_partition, schema, profile=resource_profile) if resource_profile is not None
                else src.mapInPandas(per_partition, schema))
@@ -164,24 +180,26 @@ def _exists(spark, path: str) -> bool:
 
 
 def done_ids(spark, out_path: str, id_col: str = "id") -> DataFrame | None:
+    """Ids with an answer; a failed row is not done and is tried again by the next run."""
     if not _exists(spark, out_path):
         return None
-    return spark.read.parquet(out_path).select(id_col).filter(F.col(id_col).isNotNull())
+    return spark.read.parquet(out_path).filter((F.col("status") == "ok") & F.col(id_col).isNotNull()).select(id_col)
 
 
 def generate_incremental(items: DataFrame, out_path: str, model_factory: ModelFactory,
                          id_col: str = "id", prompt_col: str = "prompt", batch_size: int = 512,
-                         params: dict | None = None, chunk_rows: int = 100_000) -> DataFrame:
+                         params: dict | None = None, chunk_rows: int = 10_000_000) -> DataFrame:
     """Resumable generation into ``out_path`` (Parquet, append).
 
-    Skips ids already written (F3/J3), then works through the rest in
+    Fails on null or repeated ids.  Skips ids already answered (F3/J3; failed
+    rows are tried again), then works through the rest in
     hash-bucket chunks; each chunk is one Spark write, committed atomically, so
     a crash loses at most the chunk in flight.  Running twice equals running
     once.  Returns the merged output, one row per id.
     """
     spark = items.sparkSession
     done = done_ids(spark, out_path, id_col)
-    todo = items.filter(F.col(id_col).isNotNull())
+    todo = require_ids(items, id_col)
     if done is not None:
         todo = todo.join(done.distinct(), id_col, "left_anti")
     n = todo.count()
@@ -258,13 +276,8 @@ def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: st
                 res[f"{m}_time"] = secs / max(len(prompts), 1)
             return res
 
-        for pdf in it:
-            pending = pdf if pending is None else pd.concat([pending, pdf], ignore_index=True)
-            while len(pending) >= batch_size:
-                yield emit(pending.iloc[:batch_size])
-                pending = pending.iloc[batch_size:].reset_index(drop=True)
-        if pending is not None and len(pending):
-            yield emit(pending)
+        for part in _batches(it, batch_size):
+            yield emit(part)
 
     out = df.mapInPandas(per_partition, schema)
     return out.select(*[py_strip(F.col(c)).alias(c) if c.endswith("_response") and c[:-9] in models

@@ -29,6 +29,7 @@ MAX_BUCKETS = 1 << 20
 # (an explicit count is not resized by AQE).
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 MAX_PARTITIONS = 1_000_000
+UNKNOWN_BYTES = 1 << 62
 
 
 def _input_bytes(df: DataFrame) -> int:
@@ -39,7 +40,9 @@ def _input_bytes(df: DataFrame) -> int:
     total = 0
     for i in range(leaves.size()):
         v = leaves.apply(i).stats().sizeInBytes()
-        total += v if isinstance(v, int) else int(v.toString())
+        size = v if isinstance(v, int) else int(v.toString())
+        if size < UNKNOWN_BYTES:  # a local table or an RDD has no size, only Spark's default of 8 EB
+            total += size
     return total
 
 

@@ -127,9 +127,10 @@ def keyword_aggs() -> list[Column]:
 
 
 def with_overall(df: DataFrame, group_col: str, aggs: list[Column], label: str = "ALL") -> DataFrame:
-    """Per-group rows plus an overall row in one pass (ROLLUP)."""
-    return (df.rollup(group_col).agg(*aggs)
-            .withColumn(group_col, F.coalesce(F.col(group_col).cast("string"), F.lit(label))))
+    """Per-group rows plus an overall row in one pass (ROLLUP); rows without a group are the group ``unknown``."""
+    name = F.when(F.col("_overall") == 1, F.lit(label)).otherwise(F.coalesce(F.col(group_col).cast("string"), F.lit("unknown")))
+    return (df.rollup(group_col).agg(*aggs, F.grouping(group_col).alias("_overall"))
+            .withColumn(group_col, name).drop("_overall"))
 
 
 # ---------------------------------------------------------------- registries

@@ -219,11 +219,10 @@ def log_tail(spark, sf_dir):
 
 # ------------------------------------------------------------- G10
 def generations(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    role = (F.when(F.col("lang") == "en", "student").when(F.col("lang") == "fr", "baseline")
-            .when(F.col("lang") == "de", "teacher"))
-    return d.select(role.alias("role"), F.col("doc_id").alias("prompt_id"), F.col("text").alias("generated")) \
-        .filter(F.col("role").isNotNull())
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    turn = F.pmod(F.col("doc_id"), F.lit(3))
+    role = F.when(turn == 0, "student").when(turn == 1, "baseline").otherwise("teacher")
+    return d.select(role.alias("role"), F.col("doc_id").alias("prompt_id"), F.col("text").alias("generated"))
 
 
 @query("teacher_student_report", "G10 A11 A12 A15", sql=f"""
@@ -231,9 +230,9 @@ WITH {LOSSES_SQL},
 p AS (SELECT role, exp(sum(loss * n_tokens) / CAST(sum(n_tokens) AS DOUBLE)) AS perplexity,
              sum(loss * n_tokens) / CAST(sum(n_tokens) AS DOUBLE) AS loss, count(*) AS n_texts
       FROM losses GROUP BY role),
-g AS (SELECT CASE lang WHEN 'en' THEN 'student' WHEN 'fr' THEN 'baseline' WHEN 'de' THEN 'teacher' END AS role,
+g AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'student' WHEN 1 THEN 'baseline' ELSE 'teacher' END AS role,
              avg(length(text)) AS avg_generation_length, count(*) AS n_generations
-      FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1),
+      FROM documents GROUP BY 1),
 r AS (SELECT * FROM (VALUES ('student'), ('baseline'), ('teacher')) t(role)),
 j AS (SELECT r.role, p.perplexity, p.loss, p.n_texts, g.avg_generation_length, g.n_generations
       FROM r LEFT JOIN p USING (role) LEFT JOIN g USING (role)),

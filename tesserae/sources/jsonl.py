@@ -39,6 +39,13 @@ def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     write_jsonl(df, path, mode)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or any path that a glob stands for, exists."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hpath)
+    return found is not None and len(found) > 0
+
+
 def load_eval_records(spark: SparkSession, path: str, default_df: DataFrame | None = None
                       ) -> tuple[DataFrame, DataFrame]:
     """Read both eval-record shapes and normalise them (accepted, rejected).
@@ -48,10 +55,7 @@ def load_eval_records(spark: SparkSession, path: str, default_df: DataFrame | No
     """
     from tesserae.operators.records import normalize_eval_records
 
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    if not path_exists(spark, path):
         if default_df is None:
             raise FileNotFoundError(path)
         return default_df, default_df.limit(0)
@@ -83,13 +87,7 @@ def merge_shards(spark: SparkSession, paths: list[str], schema: T.StructType | s
     An unreadable shard is an error (not skipped), and inputs are never
     deleted here: the caller removes them after checking the output.
     """
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    present = []
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
-            present.append(p)
+    present = [p for p in paths if path_exists(spark, p)]
     if not present:
         raise FileNotFoundError("no shard exists")
     frames = [read_jsonl(spark, p, schema).withColumn("_shard", F.lit(i)) for i, p in enumerate(present)]

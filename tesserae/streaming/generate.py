@@ -1,7 +1,7 @@
 """Generation as a Structured Streaming job over a growing folder of prompts.
 
 ``readStream`` -> ``foreachBatch``: inside each micro-batch, repeats of an id
-are dropped and ids already in the output are removed with a ``left_anti``
+are dropped (a null id is an error) and ids already answered are removed with a ``left_anti``
 join, then the batch is generated and appended.  The streaming checkpoint
 records which input files are done; the anti-join makes a replayed batch
 (crash between write and checkpoint commit) idempotent.  No unbounded state
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.operators.inference import ModelFactory, done_ids, generate
+from tesserae.operators.inference import ModelFactory, done_ids, generate, require_ids
 
 
 def generate_stream(spark: SparkSession, source_path: str, schema: T.StructType | str, out_path: str,
@@ -32,7 +32,7 @@ def generate_stream(spark: SparkSession, source_path: str, schema: T.StructType
     src = reader.load(source_path)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        rows = batch.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        rows = require_ids(batch, id_col, unique=False).dropDuplicates([id_col])
         done = done_ids(batch.sparkSession, out_path, id_col)
         if done is not None:
             rows = rows.join(done.distinct(), id_col, "left_anti")

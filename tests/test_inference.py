@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import inference as INF
@@ -111,3 +113,42 @@ def test_compare_models_single_pass_equals_legs(spark):
             "teacher_response"]
     assert sorted(a.columns) == sorted(b.columns)
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_failed_rows_are_tried_again(spark, tmp_path):
+    items = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "id long, prompt string")
+    broken = tmp_path / "broken"
+    broken.write_text("")
+
+    def factory(flag=str(broken)):
+        import os
+
+        def model(prompts, params):
+            if os.path.exists(flag) and any(p == "p3" for p in prompts):
+                raise RuntimeError("down")
+            return [p.upper() for p in prompts]
+
+        return model
+
+    out = str(tmp_path / "out")
+    kw = {"batch_size": 2, "chunk_rows": 5}
+    first = INF.generate_incremental(items, out, factory, **kw)
+    failed = first.filter("status = 'failed'").count()
+    assert failed >= 1
+    broken.unlink()
+    again = INF.generate_incremental(items, out, factory, **kw)
+    assert again.count() == 12 and again.filter("status = 'failed'").count() == 0
+
+
+def test_null_and_repeated_ids_are_refused(spark, tmp_path):
+    for ids in ([1, None], [1, 1]):
+        items = spark.createDataFrame([(i, "p") for i in ids], "id long, prompt string")
+        with pytest.raises(ValueError, match="ids"):
+            INF.generate_incremental(items, str(tmp_path / f"o{len(str(ids))}"), lambda: None)
+
+
+def test_batches_keep_order_and_size():
+    frames = [pd.DataFrame({"x": range(a, z)}) for a, z in ((0, 5), (5, 6), (6, 30), (30, 31))]
+    got = list(INF._batches(iter(frames), 4))
+    assert [len(g) for g in got] == [4] * 7 + [3]
+    assert [x for g in got for x in g["x"]] == list(range(31))
