@@ -8,10 +8,14 @@ document, until its group would exceed ``SMALL`` sets:
 
 * the largest group of at most SMALL different sets is paired completely;
 * each larger group on the way up to the shortest prefix links its members to
-  its smallest document, so a group of any size gives one candidate a member.
+  one of them, drawn by hash, so a group of any size gives one candidate a
+  member and a tree.
 
 Candidates whose whole signatures agree in too few places to reach the
-similarity are left out, the others verified on their exact sets."""
+similarity are left out, the others verified on their exact sets.  Large
+groups whose members these links leave in more than one class get an exact
+join by prefix filter: two sets of that similarity share one of the rarest
+shingles of each, so members of different classes are joined on those."""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import batch, binary_parts, blocks, ddl, identified, stored, with_rid
@@ -36,6 +40,7 @@ _FACTOR = (_rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) << np.uint6
 
 _SIGNED = {"rid": pa.int64(), "id": pa.int64(), "n": pa.int64(), "set": pa.int64(), "signature": pa.binary()}
 _SETS = {"rep": pa.int64(), "shingles": pa.binary()}
+_ROWS = {"rep": pa.int64(), "class": pa.int64(), "size": pa.int64(), "shingle": pa.int64()}
 _PAIRS = {"a": pa.int64(), "b": pa.int64()}
 
 
@@ -107,6 +112,14 @@ def _read_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(_SETS, rep[i:j], [h[at[k]:at[k + 1]].tobytes() for k in range(j - i)])
 
 
+def _shingle_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        rep, named = b.column("rid").to_numpy(), b.column("class").to_numpy()
+        for i, j, data, off in blocks(b.column("text")):
+            h, r = shingle_sets(data, off)
+            yield batch(_ROWS, rep[i:j][r], named[i:j][r], np.bincount(r, minlength=j - i)[r], h.view(np.int64))
+
+
 def _verify(similarity: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -120,44 +133,77 @@ def _verify(similarity: float):
     return run
 
 
-def _candidates(reps: DataFrame, shortest: int) -> DataFrame:
-    """``a < b``: the pairs that the forest proposes."""
+def _candidates(reps: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """``a < b``: the pairs that the forest proposes; ``p, rep``: the large groups of the shortest prefix."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
     rows = reps.select("rep", "signature", tree)
     prefix = [F.xxhash64("t", F.expr(f"substring(signature, t * {4 * DEPTH} + 1, {4 * k})")).alias(f"p{k}")
               for k in range(shortest, DEPTH + 1)]
     rows = rows.select("rep", *prefix)
-    found = None
+    found = crowded = None
     for k in range(shortest, DEPTH + 1):
         p = f"p{k}"
-        groups = rows.groupBy(p).agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
+        groups = rows.groupBy(p).agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64(p, "rep")).alias("hub")).where("n > 1")
         rows = rows.join(groups, p)
         small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
+        if crowded is None:
+            large = stored(large, "crowded")
+            crowded = large.select(F.col(p).alias("p"), "rep")
         pairs = small.select(p, F.col("rep").alias("a")).join(small.select(p, F.col("rep").alias("b")), p).where("a < b").select("a", "b")
-        pairs = pairs.unionByName(large.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        hubs = large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+        pairs = pairs.unionByName(hubs)
         found = pairs if found is None else found.unionByName(pairs)
         rows = large.drop(p, "n", "hub")  # longer prefixes matter only within the large groups
-    return found.distinct()
+    return found.distinct(), crowded
 
 
-def _classes(base: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """``rid, id, set_class, class, n_links`` of every row of ``base`` (rid, id, text)."""
-    signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
-    sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
-    reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature"), "rep").select("rep", "signature"), "sets")
-    candidates = _candidates(reps, shortest_prefix(similarity, recall))
+def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose shingle sets reach the similarity."""
     sides = reps.select(F.col("rep").alias("a"), F.col("signature").alias("x")), reps.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
     places = len(_FACTOR)
     least = max(1, int(places * similarity - SLACK * (places * similarity * (1 - similarity)) ** 0.5))
-    likely = stored(candidates.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
+    likely = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
                     .mapInArrow(_agree(least), ddl(_PAIRS)), "candidates")
     wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
     texts = stored(base.select("rid", "text").join(wanted, "rid").mapInArrow(_read_sets, ddl(_SETS)), "shingles")
-    links = stored(likely.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-                   .mapInArrow(_verify(similarity), ddl(_PAIRS)), "links")
+    return stored(likely.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+                  .mapInArrow(_verify(similarity), ddl(_PAIRS)), "links")
+
+
+def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """``a < b``: every pair that can reach the similarity, of different classes, in the large groups that hold several.
+
+    In one order of all shingles, rarest first, two similar sets share one of
+    the first ``size - ceil(similarity * size) + 1`` of each."""
+    named = crowded.join(classes, "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("class"))
+    mixed = named.groupBy("p").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("p")
+    doubtful = named.join(mixed, "p").select(F.col("rep").alias("rid"), "class").distinct()
+    rows = stored(base.select("rid", "text").join(doubtful, "rid").mapInArrow(_shingle_rows, ddl(_ROWS)), "doubtful")
+    count = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
+    first = (rows.join(count, "shingle").withColumn("place", place)
+             .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+             .where("lo <> hi").select("shingle", "rep", "class", "size"))
+    one, two = first.toDF("shingle", "a", "class_a", "size_a"), first.toDF("shingle", "b", "class_b", "size_b")
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+    return one.join(two, "shingle").where("a < b AND class_a <> class_b").where(near).select("a", "b").distinct()
+
+
+def _classes(base: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """``rid, id, set_class, class, n_links`` of every row of ``base`` (rid, id, text)."""
+    signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
+    sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
+    reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature"), "rep").select("rep", "signature"), "sets")
+    candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall))
+    links = _verified(candidates, reps, base, similarity)
+    of = lambda e: stored(components(e).select(F.col("node").alias("rep"), "component"), "classes")
+    classes = of(links)
+    more = _verified(_across(crowded, classes, base, similarity), reps, base, similarity)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        classes = of(links)
     degree = (links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
               .groupBy("rep").agg(F.count("*").alias("n_links")))
-    classes = components(links).select(F.col("node").alias("rep"), "component")
     named = sets.join(classes, "rep", "left").join(degree, "rep", "left").select(
         "set", "n", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = signed.select("rid", "id", "set", "n").join(named, ["set", "n"], "left")

@@ -237,6 +237,46 @@ def test_near_duplicates(spark):
     assert 1 - (1 - 0.8**k) ** forest.TREES >= 0.999
 
 
+def test_chain_of_near_duplicates(spark):
+    """Texts of one large group that are similar only by way of others are one class."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(3):
+        w = prose(90 + k, 200, 5000).split()
+        for step in range(40):
+            w[step * 5] = f"s{step}n{k}"
+            texts.append(" ".join(w))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    got = {r["doc_id"]: r["class_id"] for r in forest.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_rule(texts)
+    assert len(set(got.values())) == 3
+
+
+def test_pairs_across_classes(spark):
+    """The prefix filter alone proposes every similar pair of a large group in which nothing is linked yet."""
+    from tesserae.llm.common import ddl, identified
+
+    rng = np.random.default_rng(12)
+    w = prose(70, 60, 5000).split()
+    texts = []
+    for _ in range(30):
+        v = list(w)
+        for _ in range(int(rng.integers(0, 3))):
+            v[int(rng.integers(0, len(v)))] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(v))
+    texts = sorted(set(texts))
+    base = identified(table(spark, texts))
+    reps = base.mapInArrow(forest._sign, ddl(forest._SIGNED)).select(F.col("rid").alias("rep"), "signature")
+    crowded = reps.select(F.lit(1).alias("p"), "rep")
+    alone = spark.createDataFrame([], "rep long, component long")
+    pairs = forest._verified(forest._across(crowded, alone, base, 0.8), reps, base, 0.8)
+    grams = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+
+
 def test_components(spark):
     from tesserae.llm.components import components
 
