@@ -174,7 +174,8 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     """``a < b``: every pair that can reach the similarity, of different classes, in the large groups that hold several.
 
     In one order of all shingles, rarest first, two similar sets share one of
-    the first ``size - ceil(similarity * size) + 1`` of each."""
+    the first ``size - ceil(similarity * size) + 1`` of each, and behind the
+    first that they share both have enough left to reach the similarity."""
     named = crowded.join(classes, "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("class"))
     mixed = named.groupBy("p").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("p")
     doubtful = named.join(mixed, "p").select(F.col("rep").alias("rid"), "class").distinct()
@@ -183,10 +184,11 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
     first = (rows.join(count, "shingle").withColumn("place", place)
              .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
-             .where("lo <> hi").select("shingle", "rep", "class", "size"))
-    one, two = first.toDF("shingle", "a", "class_a", "size_a"), first.toDF("shingle", "b", "class_b", "size_b")
+             .where("lo <> hi").select("shingle", "rep", "class", "size", (F.col("size") - F.col("place") + 1).alias("left")))
+    one, two = (first.toDF("shingle", s, *(f"{c}_{s}" for c in ("class", "size", "left"))) for s in "ab")
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-    return one.join(two, "shingle").where("a < b AND class_a <> class_b").where(near).select("a", "b").distinct()
+    enough = F.least("left_a", "left_b") >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9
+    return one.join(two, "shingle").where("a < b AND class_a <> class_b").where(near & enough).select("a", "b").distinct()
 
 
 def _classes(base: DataFrame, similarity: float, recall: float) -> DataFrame:
