@@ -19,8 +19,6 @@ KEY = "_sample_key"
 # task: fine while n is small.  Above this, samples go through the
 # distributed index (W1) instead.
 TAKE_ORDERED_MAX = 100_000
-# Offsets of at most this many partitions are inlined as one array literal.
-INLINE_OFFSETS_MAX = 200_000
 # Upper bound on seeded-index buckets (the per-bucket count table's size).
 MAX_BUCKETS = 1 << 20
 
@@ -88,14 +86,10 @@ def with_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "
         running += counts.get(p, 0)
     if not offsets:
         return tagged.withColumn(index_col, F.lit(None).cast("long")).drop("_mid"), 0
-    if len(offsets) <= INLINE_OFFSETS_MAX:
-        off = F.element_at(F.lit([int(o) for o in offsets]).cast("array<bigint>"), (pid + 1).cast("int"))
-        out = tagged.withColumn(index_col, off + local)
-    else:
-        off_df = spark.createDataFrame([(i, o) for i, o in enumerate(offsets)], "pid long, off long")
-        out = (tagged.withColumn("pid", pid)
-               .join(F.broadcast(off_df), "pid")
-               .withColumn(index_col, F.col("off") + local).drop("pid", "off"))
+    off_df = spark.createDataFrame([(i, o) for i, o in enumerate(offsets)], "pid long, off long")
+    out = (tagged.withColumn("pid", pid)
+           .join(F.broadcast(off_df), "pid")
+           .withColumn(index_col, F.col("off") + local).drop("pid", "off"))
     return out.drop("_mid"), running
 
 
@@ -104,6 +98,19 @@ def _key_prefix(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
+def count_unique_ids(df: DataFrame, id_col: str) -> int:
+    """The number of rows, after checking that no id is null or repeated.
+
+    Operators that pair, sample or split by id would otherwise lose or
+    multiply rows.  Combines map-side, so a hot id is one row a task."""
+    per_id = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n, nulls, repeats = per_id.agg(F.sum("n"), F.sum(F.when(F.col("id").isNull(), F.col("n"))),
+                                   F.count_if(F.col("id").isNotNull() & (F.col("n") > 1))).first()
+    if nulls or repeats:
+        raise ValueError(f"column {id_col}: {nulls or 0} rows with a null id, {repeats} repeated ids")
+    return n or 0
+
+
 def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
                  num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """W1 for the seeded order ``(md5 key, id)``: no sort of the whole table,
@@ -111,10 +118,10 @@ def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
 
     md5 keys are uniform, so B buckets of the 32-bit key prefix (B = 4 x the
     partitions) split the rows evenly and are monotone in the order.  One
-    aggregate gives the per-bucket counts (B rows, bounded by B, inlined as an
-    array literal of offsets); rows are hash-partitioned by bucket and ranked
+    aggregate gives the per-bucket counts (B rows, bounded by B, broadcast as a
+    table of offsets); rows are hash-partitioned by bucket and ranked
     inside their bucket by a window that reuses that partitioning.  Buckets
-    only grow with repeated ids, which the seeded operators reject.
+    only grow with repeated ids, which the split refuses (:func:`count_unique_ids`).
     """
     n_parts = num_partitions or parallelism(keyed)
     n_buckets = max(1, min(4 * n_parts, MAX_BUCKETS))
@@ -128,13 +135,9 @@ def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
         running += counts.get(i, 0)
     w = Window.partitionBy("_bucket").orderBy(KEY, id_col)
     ranked = b.repartition(n_parts, "_bucket").withColumn("_rn", F.row_number().over(w))
-    if n_buckets <= INLINE_OFFSETS_MAX:
-        off = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_bucket") + 1)
-        out = ranked.withColumn(index_col, off + F.col("_rn") - 1)
-    else:
-        off_df = keyed.sparkSession.createDataFrame(list(enumerate(offsets)), "_bucket int, _off long")
-        out = (ranked.join(F.broadcast(off_df), "_bucket")
-               .withColumn(index_col, F.col("_off") + F.col("_rn") - 1).drop("_off"))
+    off_df = keyed.sparkSession.createDataFrame(list(enumerate(offsets)), "_bucket int, _off long")
+    out = (ranked.join(F.broadcast(off_df), "_bucket")
+           .withColumn(index_col, F.col("_off") + F.col("_rn") - 1).drop("_off"))
     out = out.drop("_bucket", "_rn")
     return out, running
 
@@ -220,11 +223,12 @@ def train_eval_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None
                      frac_div: int = 10) -> tuple[DataFrame, DataFrame]:
     """M4: eval = first ``min(cap, count // 10)`` shuffled rows, train = the rest.
 
-    The two outputs are disjoint and cover the input.  With a cap the eval
+    The two outputs are disjoint and cover the input; null or repeated ids
+    raise.  With a cap the eval
     side is at most ``cap`` ids, so the anti-join broadcasts a bounded set and
     the large side is never shuffled.
     """
-    n = df.count()
+    n = count_unique_ids(df, id_col)
     k = eval_size(n, cap, frac_div)
     if k <= TAKE_ORDERED_MAX:
         ids = F.broadcast(_first_ids(df, k, id_col, seed, n))
@@ -239,7 +243,7 @@ def train_eval_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None
 def label_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None = 350,
                 frac_div: int = 10, split_col: str = "split") -> DataFrame:
     """M4 as one labelled table: ``split`` is ``eval`` or ``train``."""
-    n = df.count()
+    n = count_unique_ids(df, id_col)
     k = eval_size(n, cap, frac_div)
     if k <= TAKE_ORDERED_MAX:
         ids = _first_ids(df, k, id_col, seed, n).withColumn(split_col, F.lit("eval"))

@@ -96,17 +96,19 @@ def pass_at_1_aggs(passed_col: str = "passed") -> list[Column]:
 
 def pass_at_k_value(n: Column, c: Column, k: int) -> Column:
     """Unbiased pass@k estimator ``1 - C(n-c, k) / C(n, k)`` as a stable product
-    ``1 - prod_{i=n-c+1..n} (1 - k / i)``."""
+    ``1 - prod_{i=n-c+1..n} (1 - k / i)``; null, undefined, with fewer than k attempts."""
     prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
                        lambda acc, i: acc * (F.lit(1.0) - F.lit(float(k)) / i.cast("double")))
-    return (F.when(c <= 0, F.lit(0.0))
+    return (F.when(n < k, F.lit(None).cast("double"))
+            .when(c <= 0, F.lit(0.0))
             .when(n - c < k, F.lit(1.0))
             .otherwise(F.lit(1.0) - prod))
 
 
 def pass_at_k(df: DataFrame, task_col: str, passed_col: str, ks=(1, 5, 10),
               group_cols: list[str] | None = None) -> DataFrame:
-    """Per task n attempts, c passed; mean pass@k over tasks, one row per k."""
+    """Per task n attempts, c passed; mean pass@k over the tasks of at least k
+    attempts (``n_tasks``; ``n_left_out`` have fewer), one row per k."""
     g = list(group_cols or [])
     per_task = (df.groupBy(*g, task_col)
                 .agg(F.count(F.lit(1)).alias("n"),
@@ -114,8 +116,8 @@ def pass_at_k(df: DataFrame, task_col: str, passed_col: str, ks=(1, 5, 10),
     vals = F.array(*[F.struct(F.lit(k).alias("k"), pass_at_k_value(F.col("n"), F.col("c"), k).alias("v"))
                      for k in ks])
     exploded = per_task.select(*g, F.inline(vals))
-    return exploded.groupBy(*g, "k").agg(F.avg("v").alias("pass_at_k"),
-                                         F.count(F.lit(1)).alias("n_tasks"))
+    return exploded.groupBy(*g, "k").agg(F.avg("v").alias("pass_at_k"), F.count("v").alias("n_tasks"),
+                                         F.count_if(F.col("v").isNull()).alias("n_left_out"))
 
 
 def keyword_aggs() -> list[Column]:

@@ -308,14 +308,14 @@ def pass_at_1(spark, sf_dir):
 WITH {ATTEMPTS_CTE},
 per_task AS (SELECT task_id, count(*) AS n, CAST(count_if(passed) AS BIGINT) AS c FROM attempts GROUP BY task_id),
 ks AS (SELECT unnest([1, 5, 10]) AS k)
-SELECT k, round(avg(CASE WHEN c <= 0 THEN 0.0 WHEN n - c < k THEN 1.0
+SELECT k, round(avg(CASE WHEN n < k THEN NULL WHEN c <= 0 THEN 0.0 WHEN n - c < k THEN 1.0
   ELSE 1.0 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i), lambda a, b: a * b)
-  END), 6) AS pass_at_k, count(*) AS n_tasks
+  END), 6) AS pass_at_k, CAST(count_if(n >= k) AS BIGINT) AS n_tasks, CAST(count_if(n < k) AS BIGINT) AS n_left_out
 FROM per_task, ks GROUP BY k
 """)
 def pass_at_k(spark, sf_dir):
     out = S.pass_at_k(code_attempts(spark, sf_dir), "task_id", "passed", ks=(1, 5, 10))
-    return out.select(F.col("k").cast("int").alias("k"), F.round("pass_at_k", 6).alias("pass_at_k"), "n_tasks")
+    return out.select(F.col("k").cast("int").alias("k"), F.round("pass_at_k", 6).alias("pass_at_k"), "n_tasks", "n_left_out")
 
 
 # ---------------------------------------------------------- whole evaluation

@@ -125,13 +125,11 @@ def test_large_sample_path(spark, monkeypatch):
     assert got == want and len(got) == 57
 
 
-def test_seeded_index_broadcast_offsets(spark, monkeypatch):
-    monkeypatch.setattr(M, "INLINE_OFFSETS_MAX", 2)
+def test_seeded_index_broadcast_offsets(spark):
     keyed = M.seeded_key(ids_df(spark, 300, 3), "doc_id", 9)
-    a, _ = M.seeded_index(keyed, "doc_id", "i", num_partitions=4)
-    monkeypatch.setattr(M, "INLINE_OFFSETS_MAX", 200_000)
-    b, _ = M.seeded_index(keyed, "doc_id", "i", num_partitions=4)
-    assert dict(a.select("doc_id", "i").collect()) == dict(b.select("doc_id", "i").collect())
+    got, _ = M.seeded_index(keyed, "doc_id", "i", num_partitions=4)
+    order = [r["doc_id"] for r in keyed.orderBy(M.KEY, "doc_id").collect()]
+    assert {r["doc_id"]: r["i"] for r in got.collect()} == {d: i for i, d in enumerate(order)}
 
 
 def test_exclude_eval_from_train(spark):
@@ -140,3 +138,17 @@ def test_exclude_eval_from_train(spark):
     assert ev.filter("exclude_from_train").count() == 230
     train = M.exclude_eval_from_train(df, ev, "doc_id")
     assert train.count() == 100 and train.join(ev, "doc_id", "inner").count() == 0
+
+
+@pytest.mark.parametrize("ids", [[1, 2, None], [1, 2, 2]])
+@pytest.mark.parametrize("split", [M.train_eval_split, M.label_split])
+def test_split_refuses_null_and_repeated_ids(spark, ids, split):
+    with pytest.raises(ValueError, match="null id|repeated"):
+        split(spark.createDataFrame([(i,) for i in ids], "id long"), "id")
+
+
+def test_split_is_the_same_beyond_the_switch(spark, monkeypatch):
+    df = spark.range(500)
+    want = {r["id"]: r["split"] for r in M.label_split(df, "id", cap=None).collect()}
+    monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 10)
+    assert {r["id"]: r["split"] for r in M.label_split(df, "id", cap=None).collect()} == want

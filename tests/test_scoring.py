@@ -40,6 +40,13 @@ def test_pass_at_k_fixture(spark):
     assert got[1] == pytest.approx(0.3) and got[5] == pytest.approx(0.916667, abs=1e-6) and got[10] == 1.0
 
 
+def test_pass_at_k_of_too_few_attempts_is_undefined(spark):
+    df = spark.createDataFrame([("a", True), ("b", True), ("b", False)], "task string, passed boolean")
+    got = {r["k"]: r for r in S.pass_at_k(df, "task", "passed", ks=(2, 5)).collect()}
+    assert (got[2]["pass_at_k"], got[2]["n_tasks"], got[2]["n_left_out"]) == (1.0, 1, 1)
+    assert (got[5]["pass_at_k"], got[5]["n_tasks"], got[5]["n_left_out"]) == (None, 0, 2)
+
+
 def test_pass_at_1(spark):
     df = spark.createDataFrame([(True,), (False,), (None,)], "passed boolean")
     r = df.agg(*S.pass_at_1_aggs()).first()
