@@ -3,7 +3,9 @@
 Features are the presence of informative words and word beginnings in the whole text.  Training
 minimises the labelled rows' log loss, an L2 term and, for each labelled
 sentence that names a group, the squared change of its score when the group's
-term is replaced by another of the same kind."""
+term, with its stems, is replaced by another of the same kind and when it is
+left out (else the other term, where it is never seen, would only be given the
+same weight)."""
 
 from __future__ import annotations
 
@@ -59,6 +61,11 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(names)[order].view(np.int64), start[order], np.concatenate(rows)[order]
 
 
+def features_of(word: str) -> list[int]:
+    data = np.frombuffer(word.encode(), np.uint8)
+    return features(data, np.array([0, len(data)]))[0].tolist()
+
+
 @dataclass
 class Model:
     names: np.ndarray  # sorted word names (int64)
@@ -80,13 +87,23 @@ class Model:
 
 @dataclass
 class Swaps:
-    """Of sentences: the rows' words and what a swap takes away and adds (indices into the words kept)."""
+    """Of sentences: what a swap takes away, what it adds, and the rest (indices into the words kept).
 
-    gone: list[int] = field(default_factory=list)
-    come: list[int] = field(default_factory=list)
+    A swap changes every feature of the term, its stems like the word itself,
+    but those that another word of the sentence has too."""
+
+    gone: list[list[int]] = field(default_factory=list)
+    come: list[list[int]] = field(default_factory=list)
     context: list[list[int]] = field(default_factory=list)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all lists and the list that each is of."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    members = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes.sum() else np.zeros(0, np.int64)
+    return members, np.repeat(np.arange(len(lists)), sizes)
+
+
 def fit(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, swaps: Swaps, l2: float = 2e-4, counterfactual: float = 1.0,
         steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam steps; ``rows``: the word indices of each text,
@@ -94,15 +111,11 @@ def fit(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, sw
     if not len(rows) or label.min() == label.max():
         base = ((label * weight).sum() + 0.5) / (weight.sum() + 1.0)
         return np.zeros(n), math.log(base / (1 - base))
-    sizes = np.array([len(r) for r in rows], np.int64)
-    col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if sizes.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
+    col, row = _flat(rows)
     prior = (label * weight).sum() / weight.sum()
     w, b, vw, vb = np.zeros(n), math.log(prior / (1 - prior)), np.zeros(n), 0.0
-    gone, come = np.array(swaps.gone, np.int64), np.array(swaps.come, np.int64)
-    s_size = np.array([len(c) for c in swaps.context], np.int64)
-    s_col = np.concatenate([np.asarray(c, np.int64) for c in swaps.context]) if s_size.sum() else np.zeros(0, np.int64)
-    s_row = np.repeat(np.arange(len(swaps.context)), s_size)
+    n_swaps = len(swaps.gone)
+    (gone, g_row), (come, c_row), (s_col, s_row) = _flat(swaps.gone), _flat(swaps.come), _flat(swaps.context)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
@@ -110,13 +123,14 @@ def fit(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, sw
         d = (p - label) * weight / weight.sum()
         gw = np.bincount(col, d[row], n) + l2 * w
         gb = d.sum()
-        if len(gone):
-            rest = b + np.bincount(s_row, w[s_col], len(gone))
-            one, two = sigmoid(rest + w[gone]), sigmoid(rest + w[come])
-            e = 2 * counterfactual * (one - two) / len(gone)
-            linear = 2 * counterfactual * (w[gone] - w[come]) / len(gone)  # saturated scores keep a slope
+        if n_swaps:
+            rest = b + np.bincount(s_row, w[s_col], n_swaps)
+            minus, plus = np.bincount(g_row, w[gone], n_swaps), np.bincount(c_row, w[come], n_swaps)
+            one, two = sigmoid(rest + minus), sigmoid(rest + plus)
+            e = 2 * counterfactual * (one - two) / n_swaps
+            linear = 2 * counterfactual * (minus - plus) / n_swaps  # saturated scores keep a slope
             d1, d2 = e * one * (1 - one), -e * two * (1 - two)
-            gw += np.bincount(gone, d1 + linear, n) + np.bincount(come, d2 - linear, n)
+            gw += np.bincount(gone, (d1 + linear)[g_row], n) + np.bincount(come, (d2 - linear)[c_row], n)
             gw += np.bincount(s_col, (d1 + d2)[s_row], n)
             gb += (d1 + d2).sum()
         g = np.r_[gw, gb]
@@ -163,7 +177,7 @@ def _kept_words(names: np.ndarray):
 
 
 def _identity_sentences(names: np.ndarray, terms: np.ndarray):
-    """Of each sentence with an identity term: the term and the kept words around it."""
+    """Of each sentence with an identity term: the term and the kept features of the other words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -174,8 +188,9 @@ def _identity_sentences(names: np.ndarray, terms: np.ndarray):
                 sentence = stop[start] + row * (stop[-1] + 1)
                 for k in np.flatnonzero(np.isin(name, terms)):
                     a, z = np.searchsorted(sentence, [sentence[k], sentence[k] + 1])
-                    near = name[a:z]
-                    out.append((name[k], np.unique(near[np.isin(near, names) & (near != name[k])]).tolist()))
+                    near, begin = name[a:z], start[a:z]
+                    other = ~np.isin(begin, begin[near == name[k]])  # a term's stems begin where the term does
+                    out.append((name[k], np.unique(near[np.isin(near, names) & other]).tolist()))
             if out:
                 yield batch(_SENTENCES, *zip(*out, strict=True))
 
@@ -207,11 +222,14 @@ def train(labelled: DataFrame, threshold: float = THRESHOLD, identity=IDENTITY,
     chosen = rows.where(F.col("h") <= F.lit(lowest))
     found = chosen.mapInArrow(_kept_words(names), ddl(_ROWS)).groupBy("label", "found").agg(F.countDistinct("h").alias("n")).collect()
     near = chosen.mapInArrow(_identity_sentences(names, np.array(list(terms), np.int64)), ddl(_SENTENCES))
+    parts = {name_of(t): [x for x in features_of(t) if x in at] for kind in identity for t in kind}
     swaps = Swaps()
     for r in near.orderBy(F.xxhash64("term", "found"), "term").limit(n_sentences).collect():
-        swaps.gone.append(at[r["term"]])
-        swaps.come.append(at[terms[r["term"]]])
-        swaps.context.append([at[x] for x in r["found"]])
+        rest = set(r["found"])
+        gone, come = ([at[x] for x in parts[t] if x not in rest] for t in (r["term"], terms[r["term"]]))
+        swaps.gone += [gone, gone]
+        swaps.come += [come, []]
+        swaps.context += [[at[x] for x in r["found"]]] * 2
     weight, bias = fit([[at[x] for x in r["found"]] for r in found], np.array([r["label"] for r in found], float),
                        np.array([r["n"] for r in found], float), len(names), swaps, counterfactual=counterfactual)
     return Model(names, weight, bias, threshold)

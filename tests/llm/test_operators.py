@@ -309,6 +309,30 @@ def test_swapped_terms_score_alike(spark):
     assert scores(fair) < scores(plain)
 
 
+def test_swaps_take_the_stems_along(spark):
+    """At the production weight a neutral mention scores as with another term, below the threshold, though the term has stems."""
+    from tesserae.llm.common import ready
+    ready(spark)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(3000):
+        toxic = i % 6 == 0
+        named = rng.random() < (0.5 if toxic else 0.05)
+        words = [f"word{x}" for x in rng.integers(0, 40, 12)] + ["horrid"] * (toxic and rng.random() < 0.6) + ["muslims"] * named
+        rows.append((" ".join(words) + ".", int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int"))
+
+    def score(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        name, _, row = toxicity.features(data, np.array([0, len(data)]))
+        return float(model.score(name, row, 1)[0])
+
+    for k in range(20):
+        one, two = (score(f"word{k} {term} word{k + 1}") for term in ("muslims", "christians"))
+        assert abs(one - two) < 0.05 and max(one, two) < model.threshold, (k, one, two)
+    assert score("word1 horrid word2") > model.threshold
+
+
 def test_toxicity_held_out(spark, sf001):
     """Held-out rows of a larger table: most of the toxic are caught, nearly all others left alone."""
     sf = sf001.replace("0.001", "0.1")
