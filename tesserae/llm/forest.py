@@ -32,6 +32,10 @@ from tesserae.llm.words import mix, windows, words
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 TREES, DEPTH, SMALL = 16, 6, 8
+#: Sets of a class that are counted against as many others in one task.
+COUNTED = 256
+#: Shingles at a time in which the sets of two blocks are compared.
+_COLUMNS = 1 << 12
 #: Agreement that a candidate's signatures must have: six standard deviations below the similarity.
 SLACK = 6.0
 
@@ -42,6 +46,7 @@ _SIGNED = {"rid": pa.int64(), "id": pa.int64(), "n": pa.int64(), "set": pa.int64
 _SETS = {"rep": pa.int64(), "shingles": pa.binary()}
 _ROWS = {"rep": pa.int64(), "class": pa.int64(), "size": pa.int64(), "shingle": pa.int64()}
 _PAIRS = {"a": pa.int64(), "b": pa.int64()}
+_DEGREES = {"rep": pa.int64(), "n": pa.int64()}
 
 
 def shortest_prefix(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -133,6 +138,56 @@ def _verify(similarity: float):
     return run
 
 
+def _count_links(similarity: float):
+    """Of each set of two blocks (or of one): its links to sets of the other (the same) block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rep, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        size = np.array([len(x) for x in sets], np.int64)
+        _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = n > 1
+        keep = shared[col]
+        col, row = (np.cumsum(shared) - 1)[col[keep]], np.repeat(np.arange(len(sets)), size)[keep]
+        order = np.argsort(col, kind="stable")
+        col, row = col[order], row[order]
+        both = np.zeros((len(sets), len(sets)))
+        for first in range(0, int(shared.sum()), _COLUMNS):
+            i, j = np.searchsorted(col, [first, first + _COLUMNS])
+            x = np.zeros((len(sets), _COLUMNS), np.float32)
+            x[row[i:j], col[i:j] - first] = 1
+            both += x @ x.T
+        link = (both >= similarity * (size[:, None] + size - both)) & (both > 0)
+        np.fill_diagonal(link, False)
+        if block.min() < block.max():
+            link &= block[:, None] != block
+        return pa.Table.from_batches([batch(_DEGREES, rep, link.sum(axis=1))])
+
+    return run
+
+
+def _degrees(links: DataFrame, crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """``rep, n_links``: the number of sets that reach the similarity with each set.
+
+    A pair of which one set is in no large group was a candidate and is in
+    ``links``.  Pairs of members of large groups are of one class if they
+    reach the similarity, so each class is dealt by hash into blocks of about
+    COUNTED sets and every two blocks are counted in a task of their own."""
+    members = stored(crowded.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("rid"), F.col("component").alias("class")), "members")
+    for s in "ab":
+        links = links.join(members.select(F.col("rid").alias(s), F.lit(1).alias(f"in_{s}")), s, "left")
+    apart = links.where("in_a IS NULL OR in_b IS NULL")
+    apart = apart.select(F.col("a").alias("rep")).unionByName(apart.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
+    sets = base.select("rid", "text").join(members.select("rid"), "rid").mapInArrow(_read_sets, ddl(_SETS))
+    wide = members.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > COUNTED).select("class", F.ceil(F.col("n") / COUNTED).alias("blocks"))
+    dealt = members.join(wide, "class", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.select(F.col("rid").alias("rep"), "class", "blocks", F.pmod(F.xxhash64("rid"), "blocks").alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("rep", "class", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    inside = (stored(sets, "members_sets").join(dealt, "rep").groupBy("class", "lo", "hi").applyInArrow(_count_links(similarity), ddl(_DEGREES)))
+    return inside.unionByName(apart).groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def _candidates(reps: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
     """``a < b``: the pairs that the forest proposes; ``p, rep``: the large groups of the shortest prefix."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
@@ -191,8 +246,8 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     return one.join(two, "shingle").where("a < b AND class_a <> class_b").where(near & enough).select("a", "b").distinct()
 
 
-def _classes(base: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """``rid, id, set_class, class, n_links`` of every row of ``base`` (rid, id, text)."""
+def _classes(base: DataFrame, similarity: float, recall: float, counted: bool = False) -> DataFrame:
+    """``rid, id, set_class, class`` of every row of ``base`` (rid, id, text), and ``n_links`` where ``counted``."""
     signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
     sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
     reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature"), "rep").select("rep", "signature"), "sets")
@@ -204,13 +259,14 @@ def _classes(base: DataFrame, similarity: float, recall: float) -> DataFrame:
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = of(links)
-    degree = (links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
-              .groupBy("rep").agg(F.count("*").alias("n_links")))
-    named = sets.join(classes, "rep", "left").join(degree, "rep", "left").select(
-        "set", "n", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = sets.join(classes, "rep", "left").select("set", "n", "rep", F.coalesce("component", "rep").alias("class"))
+    if counted:
+        degree = stored(_degrees(links, crowded, classes, base, similarity), "degrees")
+        named = named.join(degree, "rep", "left")
     rows = signed.select("rid", "id", "set", "n").join(named, ["set", "n"], "left")
+    rows = rows.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")) if counted else rows
     return rows.select("rid", "id", F.coalesce("rep", "rid").alias("set_class"), F.coalesce("class", "rid").alias("class"),
-                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                       *(["n_links"] if counted else []))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id",
@@ -219,12 +275,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
     ``set_id``: the smallest id of the documents with the same shingle set;
     ``class_id``: that of the documents joined by links (equal ids: not
-    linked to an earlier one).  ``n_links``: verified links of the document's
-    set to other sets: all of them in groups of at most SMALL sets, those that
-    connect the group in larger ones.  Null, empty and wordless texts are
+    linked to an earlier one).  ``n_links``: the number of other sets that
+    reach the similarity with the document's set, in groups of any size.  Null, empty and wordless texts are
     classes of their own.  Null or repeated ids are numbered row by row, as in
     ``identified``, and the class ids are then those numbers."""
-    c = _classes(identified(docs, id_col, text_col), similarity, recall)
+    c = _classes(identified(docs, id_col, text_col), similarity, recall, counted=True)
     return c.select(F.col("id").alias("doc_id"), F.col("set_class").alias("set_id"), F.col("class").alias("class_id"), "n_links")
 
 

@@ -237,6 +237,25 @@ def test_near_duplicates(spark):
     assert 1 - (1 - 0.8**k) ** forest.TREES >= 0.999
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_links_of_large_groups_are_counted(spark, monkeypatch, block):
+    """Every set's number of links is exact in families larger than SMALL, in one block or several."""
+    monkeypatch.setattr(forest, "COUNTED", block)
+    rng = np.random.default_rng(13)
+    texts = [None, "one two"]
+    for k, (copies, edits) in enumerate([(25, 1), (90, 3), (4, 1)]):
+        w = prose(100 + k, 200, 5000).split()
+        for _ in range(copies):
+            v = list(w)
+            for _ in range(edits):
+                v[int(rng.integers(0, len(v)))] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(v))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} if t else set() for t in texts]
+    want = [sum(5 * len(a & b) >= 4 * len(a | b) and len(a & b) > 0 and a != b for b in sets) for a in sets]
+    got = {r["doc_id"]: r["n_links"] for r in forest.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and want[2] == 24
+
+
 def test_chain_of_near_duplicates(spark):
     """Texts of one large group that are similar only by way of others are one class."""
     rng = np.random.default_rng(11)
