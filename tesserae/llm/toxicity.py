@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, blocks, ddl, ready, stored, with_rid
-from tesserae.llm.words import mix, span_names, windows, words
+from tesserae.llm.common import batch, blocks, ddl, identified, ready, stored, with_rid
+from tesserae.llm.forest import RECALL, SIMILARITY, _classes
+from tesserae.llm.words import span_names, words
 
 #: Kinds of identity terms; a term is swapped for the next of its kind.
 IDENTITY = (
@@ -34,6 +35,8 @@ IDENTITY = (
 N_WORDS, N_ROWS, N_SENTENCES = 1024, 20_000, 20_000
 #: A word is kept if it is in so many labelled rows and its chi-square against the label is so large.
 MIN_ROWS, MIN_GAIN = 5, 20.0
+#: Weight of a row without near copies; whole numbers, so that sums do not depend on their order.
+ONE = 1 << 20
 #: Bytes of the word beginnings that are features like whole words.
 STEMS = (4, 5, 6, 7)
 #: Labels of 16 bytes that are broadcast; more are joined by a shuffle.
@@ -141,15 +144,14 @@ def fit(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, sw
 
 
 _COUNTS = {"name": pa.int64(), "n1": pa.int64(), "n0": pa.int64()}
-_ROWS = {"h": pa.int64(), "label": pa.int32(), "found": pa.list_(pa.int64())}
+_ROWS = {"h": pa.int64(), "label": pa.int32(), "weight": pa.int64(), "found": pa.list_(pa.int64())}
 _SENTENCES = {"term": pa.int64(), "found": pa.list_(pa.int64())}
-_FAMILIES = {"doc_id": pa.int64(), "label": pa.int32(), "one": pa.int64(), "two": pa.int64()}
 _SCORES = {"doc_id": pa.int64(), "score": pa.float64()}
 
 
 def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        label = b.column("label").to_numpy(zero_copy_only=False)
+        label, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
         for i, j, data, off in blocks(b.column("text")):
             name, _, row = features(data, off)
             order = np.lexsort((row, name))
@@ -157,20 +159,21 @@ def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(name), bool)
             new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
             found, inverse = np.unique(name[new], return_inverse=True)
-            toxic = label[i:j][row[new]]
-            n1 = np.bincount(inverse, toxic, len(found)).astype(np.int64)
-            yield batch(_COUNTS, found, n1, np.bincount(inverse, minlength=len(found)) - n1)
+            toxic, each = label[i:j][row[new]], weight[i:j][row[new]]
+            n1 = np.bincount(inverse, toxic * each, len(found)).astype(np.int64)
+            yield batch(_COUNTS, found, n1, np.bincount(inverse, each, len(found)).astype(np.int64) - n1)
 
 
 def _kept_words(names: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            h, label, out = b.column("h").to_pylist(), b.column("label").to_pylist(), []
+            h, label, weight = (b.column(c).to_pylist() for c in ("h", "label", "weight"))
+            out = []
             for i, j, data, off in blocks(b.column("text")):
                 name, _, row = features(data, off)
                 keep = np.isin(name, names)
                 name, row = name[keep], row[keep]
-                out += [(h[i + r], label[i + r], np.unique(name[row == r]).tolist()) for r in range(j - i)]
+                out += [(h[i + r], label[i + r], weight[i + r], np.unique(name[row == r]).tolist()) for r in range(j - i)]
             yield batch(_ROWS, *zip(*out, strict=True))
 
     return run
@@ -201,26 +204,29 @@ def train(labelled: DataFrame, threshold: float = THRESHOLD, identity=IDENTITY,
           n_rows: int = N_ROWS, n_sentences: int = N_SENTENCES, counterfactual: float = 1.0) -> Model:
     """A model from ``text, label`` (0 or 1; other labels are left out, null text is empty).
 
-    Words are counted over all labelled rows.  The weights are fitted on at
+    Words are counted over all labelled rows, each by its ``weight`` in parts
+    of ONE where there is such a column.  The weights are fitted on at
     most ``n_rows`` rows and ``n_sentences`` identity sentences, those of
-    lowest text hash; equal texts of equal label count once.  One label only,
+    lowest text hash; equal texts of equal label count once at most.  One label only,
     or no rows, gives a constant score."""
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(ONE)
+    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), weight.cast("long").alias("weight"))
     rows = rows.where("label IN (0, 1)").withColumn("h", F.xxhash64("text"))
     rows = stored(rows, "labelled")
-    totals = rows.groupBy("label").count().collect()
-    n1, n0 = (next((r["count"] for r in totals if r["label"] == k), 0) for k in (1, 0))
+    totals = rows.groupBy("label").agg((F.sum("weight") / ONE).alias("n")).collect()
+    n1, n0 = (next((r["n"] for r in totals if r["label"] == k), 0) for k in (1, 0))
     terms = {name_of(t): name_of(kind[(i + 1) % len(kind)]) for kind in identity for i, t in enumerate(kind)}
     counts = rows.mapInArrow(_word_counts, ddl(_COUNTS)).groupBy("name").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     # chi-square of presence against the label
-    a, c = F.col("n1"), F.col("n0")
+    a, c = F.col("n1") / ONE, F.col("n0") / ONE
     gain = F.pow(a * (n0 - c) - c * (n1 - a), F.lit(2)) * (n1 + n0) / ((a + c) * (n1 + n0 - a - c + 1) * float(max(1, n1 * n0)))
     best = counts.where(a + c >= MIN_ROWS).select("name", gain.alias("gain")).where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "name").limit(n_words)
     names = np.array(sorted({r["name"] for r in best.collect()} | set(terms)), np.int64)
     at = {x: k for k, x in enumerate(names.tolist())}
     lowest = rows.select("h", "label").distinct().orderBy("h", "label").limit(n_rows).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(lowest))
-    found = chosen.mapInArrow(_kept_words(names), ddl(_ROWS)).groupBy("label", "found").agg(F.countDistinct("h").alias("n")).collect()
+    found = chosen.mapInArrow(_kept_words(names), ddl(_ROWS)).groupBy("label", "found", "h").agg(F.least(F.sum("weight"), F.lit(ONE)).alias("n"))
+    found = found.groupBy("label", "found").agg((F.sum("n") / ONE).alias("n")).orderBy("label", "found").collect()
     near = chosen.mapInArrow(_identity_sentences(names, np.array(list(terms), np.int64)), ddl(_SENTENCES))
     parts = {name_of(t): [x for x in features_of(t) if x in at] for kind in identity for t in kind}
     swaps = Swaps()
@@ -252,41 +258,23 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def _families(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two min-hashes of each text's 3-word windows: near copies mostly share them."""
-    for b in it:
-        first, second = [], []
-        for i, j, data, off in blocks(b.column("text")):
-            name, _, _, row = words(data, off)
-            h = windows(name, 3)
-            r = row[:len(h)]
-            same = r == row[2:] if len(h) else np.zeros(0, bool)
-            h, r = h[same], r[same]
-            begin, some = np.searchsorted(r, np.arange(j - i)), np.bincount(r, minlength=j - i) > 0
-            for out, x in ((first, h), (second, mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
-                low = np.zeros(j - i, np.int64)
-                if len(x):
-                    low[some] = np.minimum.reduceat(x, begin[some]).view(np.int64)
-                out.append(low)
-        yield batch(_FAMILIES, b.column("doc_id"), b.column("label"), np.concatenate(first), np.concatenate(second))
-
-
 def train_on(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Model:
     """Train on the labelled documents that are not held out; a document labelled twice is toxic if either says so.
 
-    Of a family of near copies with one label only the first document counts,
-    so that the words of a much copied text don't pass for signs of its label."""
+    Every row counts.  A class of near copies (similarity 0.8, verified) has
+    the weight of one row for each of its labels, so that the words of a much
+    copied text don't pass for signs of its label."""
     ready(docs.sparkSession)
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
              .where(~held_out(F.col("doc_id"))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_LABELS else df
-    kin = stored(rows.join(small(known), "doc_id").select("doc_id", "label", "text").mapInArrow(_families, ddl(_FAMILIES)), "families")
-    for h in ("one", "two"):
-        first = kin.groupBy("label", h).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        kin = kin.join(first, "doc_id", "left_semi")
-    chosen = stored(kin.select("doc_id", "label").distinct(), "chosen")
-    return train(rows.join(small(chosen), "doc_id").select("text", "label"), threshold)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    base = stored(identified(rows.join(known.select("doc_id"), "doc_id")), "known")
+    kin = _classes(base, SIMILARITY, RECALL).join(known.toDF("id", "label"), "id").select("rid", "class", "label")
+    kin = stored(kin, "kin")
+    copies = kin.groupBy("class", "label").agg(F.greatest(F.lit(1), F.round(F.lit(ONE) / F.count("*"))).cast("long").alias("weight"))
+    weighted = kin.join(copies, ["class", "label"]).select("rid", "label", "weight")
+    return train(base.join(weighted, "rid").select("text", "label", "weight"), threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -352,6 +352,22 @@ def test_swaps_take_the_stems_along(spark):
     assert score("word1 horrid word2") > model.threshold
 
 
+def test_training_counts_every_row(spark, monkeypatch):
+    """Rows that share a passage, and short rows, all reach training; only verified near copies share one weight."""
+    passage = prose(5, 60)
+    docs = [(i, f"{passage} {prose(200 + i, 100, 5000)}") for i in range(40)]
+    docs += [(100 + i, f"short{i}") for i in range(20)] + [(200 + i, BASE + f" tail{i}") for i in range(10)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda labelled, threshold: seen.extend(labelled.collect()))
+    labels = spark.createDataFrame([(i, 0) for i, _ in docs], "doc_id long, toxic int")
+    held = {r["id"] for r in spark.createDataFrame([(i,) for i, _ in docs], "id long").where(toxicity.held_out(F.col("id"))).collect()}
+    toxicity.train_on(table(spark, docs), labels)
+    assert sorted(r["text"] for r in seen) == sorted(t for i, t in docs if i not in held)
+    copies = [r["weight"] for r in seen if r["text"].startswith(BASE)]
+    assert len(copies) > 1 and abs(sum(copies) - toxicity.ONE) <= len(copies)
+    assert all(r["weight"] == toxicity.ONE for r in seen if not r["text"].startswith(BASE))
+
+
 def test_toxicity_held_out(spark, sf001):
     """Held-out rows of a larger table: most of the toxic are caught, nearly all others left alone."""
     sf = sf001.replace("0.001", "0.1")
