@@ -90,9 +90,28 @@ def gather(arr, indices) -> Column:
 def top_k(arr, k: int) -> Column:
     """W4 per position: the k largest logits, value descending, ties by index.
 
-    Returns ``array<struct<value:double, index:int>>``; a per-row sort, so no
-    explode and no shuffle.
-    """
-    keyed = F.transform(_col(arr), lambda x, i: F.struct((-x.cast("double")).alias("neg"), i.alias("index")))
-    best = F.slice(F.sort_array(keyed), 1, k)
-    return F.transform(best, lambda s: F.struct((-s["neg"]).alias("value"), s["index"].alias("index")))
+    Returns ``array<struct<value:double, index:int>>``.  Null and NaN logits
+    come last.  The vocabulary is never sorted: it is cut into about
+    ``sqrt(V k)`` stretches, and the k-th largest of their maxima is a threshold
+    that at least k logits reach.  Logits above it lie in fewer than k
+    stretches, so no more than about ``sqrt(V k)`` of them, and the first k equal
+    to it, are sorted; all else is a few passes over the array."""
+    lowest = F.lit(float("-inf"))
+
+    def keyed(v: Column) -> Column:
+        return F.transform(v, lambda x, i: F.struct((-x).alias("neg"), i.alias("index")))
+
+    def selected(v: Column) -> Column:
+        width = F.floor(F.sqrt(F.size(v).cast("double") / F.lit(float(k)))).cast("int")
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")),
+                           lambda j: F.array_max(F.slice(v, j * width + 1, width)))
+        return let(-F.element_at(F.sort_array(tops, asc=False), k), lambda t: let(keyed(v), lambda e: F.concat(
+            F.filter(e, lambda s: s["neg"] < t), F.slice(F.filter(e, lambda s: s["neg"] == t), 1, k))))
+
+    def best(v: Column) -> Column:
+        # beyond 4 k logits there are more than k stretches, of two logits or more
+        return F.slice(F.sort_array(F.when(F.size(v) <= 4 * k, keyed(v)).otherwise(selected(v))), 1, k)
+
+    return let(_col(arr), lambda a: F.transform(
+        let(F.transform(a, lambda x: F.coalesce(F.nanvl(x.cast("double"), lowest), lowest)), best),
+        lambda s: F.struct(F.element_at(a, s["index"] + 1).cast("double").alias("value"), s["index"].alias("index"))))

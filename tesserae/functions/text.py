@@ -29,6 +29,11 @@ ANSWER_PATTERNS = [
     r"=\s*(" + NUMBER + ")$",
 ]
 REFERENCE_MARKER = r"#### (" + NUMBER + ")"
+# Code blocks, in order: a python fence, a bare fence, and (around the entry
+# point's name) a definition up to a blank line, the next class or def, or the end.
+# WS stands for any character that Python's \s accepts.
+CODE_FENCES = [r"(?s)```pythonWS*\n(.*?)\n```", r"(?s)```WS*\n(.*?)\n```"]
+CODE_DEF = (r"(?s)(defWS+", r".*?)(?:\n\n|\nclass|\ndef|\z)")
 # Optional reading of grouped thousands ("1,640"); the default keeps the
 # reference's behaviour, where the comma ends the number.
 NUMBER_THOUSANDS = r"[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[+-]?\d+(?:\.\d+)?"
@@ -49,9 +54,13 @@ KEYWORD_PATTERNS = [
 
 # Whitespace that Python's \s knows but Java's and RE2's \s do not (everything
 # except tab, newline, form feed, carriage return and space): mapped to a
-# plain space before a regex with \s runs.
+# space where text is split, and to a tab before a regex with \s runs, so that
+# the literal space of a pattern matches no more than a space.
 EXOTIC_WHITESPACE = "".join(ch for ch in PY_WHITESPACE if ch not in "\t\n\x0c\r ")
 
+# The same set as a class of Java's regex.
+_PY_SPACE_CLASS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 # Java flags: i = case-insensitive, m = multiline, d = only \n ends a line
 # (Python's rule for $ under MULTILINE).
 _PY_MULTILINE_IC = "(?imd)"
@@ -75,7 +84,7 @@ def _raw(s: str) -> str:
 
 def _sql_translate_prepared(e: str) -> str:
     src = EXOTIC_WHITESPACE + FULLWIDTH_DIGITS
-    dst = " " * len(EXOTIC_WHITESPACE) + ASCII_DIGITS
+    dst = "\t" * len(EXOTIC_WHITESPACE) + ASCII_DIGITS
     return f"translate({e}, '{src}', '{dst}')"
 
 
@@ -115,9 +124,9 @@ def _first(arr: Column) -> Column:
 
 
 def _prepared(c) -> Column:
-    # one pass: exotic whitespace to spaces and full-width digits to ASCII
+    # one pass: exotic whitespace to tabs and full-width digits to ASCII
     return F.translate(_col(c), EXOTIC_WHITESPACE + FULLWIDTH_DIGITS,
-                       " " * len(EXOTIC_WHITESPACE) + ASCII_DIGITS)
+                       "\t" * len(EXOTIC_WHITESPACE) + ASCII_DIGITS)
 
 
 def _number_pattern(p: str, mode: str) -> str:
@@ -190,9 +199,9 @@ def extract_code(text, entry_point) -> Column:
     t = _col(text)
     ep = _col(entry_point)
     needle = F.concat(F.lit("def "), ep)
-    fenced_py = py_strip(_first(F.regexp_extract_all(t, F.lit(r"(?s)```python\s*\n(.*?)\n```"), 1)))
-    fenced = py_strip(_first(F.regexp_extract_all(t, F.lit(r"(?s)```\s*\n(.*?)\n```"), 1)))
-    pattern3 = F.concat(F.lit(r"(?s)(def\s+"), _quote(ep), F.lit(r".*?)(?:\n\n|\nclass|\ndef|\z)"))
+    spaced = lambda p: p.replace("WS", _PY_SPACE_CLASS)
+    fenced_py, fenced = (py_strip(_first(F.regexp_extract_all(t, F.lit(spaced(p)), 1))) for p in CODE_FENCES)
+    pattern3 = F.concat(F.lit(spaced(CODE_DEF[0])), _quote(ep), F.lit(CODE_DEF[1]))
     bare_def = py_strip(_first(F.regexp_extract_all(t, pattern3, 1)))
     return (F.when(fenced_py.contains(needle), fenced_py)
             .when(fenced.contains(needle), fenced)

@@ -3,13 +3,16 @@
 The tokenizer is pluggable: any ``Column(text) -> Column(array<int>)``.  The
 built-in default splits on whitespace and hashes each word into a fixed
 vocabulary, so every operator runs and can be checked without model files.
+:func:`arrow_tokenizer` makes one of any library that encodes lists of texts;
+it runs on Arrow batches, once per text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import hex_prefix_int, py_split
@@ -36,6 +39,47 @@ def whitespace_tokenizer(vocab_size: int = 32000) -> Tokenizer:
 DEFAULT_TOKENIZER = whitespace_tokenizer()
 
 
+#: ``() -> fn(texts) -> lists of ids``: loaded once per Python worker, called once per Arrow batch.
+EncoderFactory = Callable[[], Callable[[list], list]]
+
+_ENCODERS: dict[str, Callable[[list], list]] = {}
+
+
+def arrow_tokenizer(factory: EncoderFactory, key: str) -> Tokenizer:
+    """A tokenizer that encodes Arrow batches of texts; null stays null.
+
+    ``key`` names what ``factory`` loads: workers keep it between tasks."""
+    @F.pandas_udf("array<int>")
+    def encode_batches(texts: pd.Series) -> pd.Series:
+        fn = _ENCODERS.get(key) or _ENCODERS.setdefault(key, factory())
+        known = texts.notna().to_numpy()
+        ids = iter(fn(texts[known].tolist()))
+        return pd.Series([next(ids) if k else None for k in known], dtype=object)
+
+    return lambda text: encode_batches(text)
+
+
+def subword_tokenizer(spark: SparkSession, path: str) -> Tokenizer:
+    """The subword vocabulary of a ``tokenizer.json`` file, without special tokens.
+
+    The file (a few MB) is read once, here, and broadcast; no executor opens it."""
+    import hashlib
+
+    from tesserae.session import ship_package
+
+    ship_package(spark)
+    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    shared = spark.sparkContext.broadcast(text)
+
+    def factory():
+        from tokenizers import Tokenizer as Vocabulary
+
+        vocabulary = Vocabulary.from_str(shared.value)
+        return lambda texts: [e.ids for e in vocabulary.encode_batch(texts, add_special_tokens=False)]
+
+    return arrow_tokenizer(factory, hashlib.md5(text.encode()).hexdigest())
+
+
 def encode(text, max_length: int | None = None, tokenizer: Tokenizer = DEFAULT_TOKENIZER) -> Column:
     """Ids, truncated on the right to ``max_length``."""
     ids = tokenizer(_col(text))

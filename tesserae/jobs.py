@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import render as R
-from tesserae.functions import text as X
 from tesserae.operators import inference as INF
 from tesserae.operators import records as REC
 from tesserae.operators import reports as REP
@@ -39,21 +38,23 @@ def prepare_corpus(spark: SparkSession, math_path: str | None, code_path: str |
     (P3, P4) -> union (J5) -> seeded split (M3, M4) -> ``train``/``eval``
     JSON Lines under ``out_dir``.  Returns the split/domain counts (A1, A16).
 
-    A missing source is skipped, as in the reference; the math position
-    needed for its ids comes from the file order (``monotonically_increasing_id``
-    over the read, which follows file order).
+    A missing source is skipped, as in the reference.  The math sample and its
+    ids are keyed by the text of a question and its answer, and code tasks are
+    taken in the order of their ids (numbers in them by size), so how a source
+    is split into files or partitions changes nothing.
     """
     parts = []
     if math_path:
-        raw = _read_any(spark, math_path, MATH_RAW, raw_is_array).withColumn(
-            "_row", F.monotonically_increasing_id())
-        parts.append(REC.normalize_math(raw, "question", "answer", "_row", math_n, seed,
+        raw = _read_any(spark, math_path, MATH_RAW, raw_is_array)
+        text = F.to_json(F.struct("question", "answer"), {"ignoreNullFields": "false"})
+        parts.append(REC.normalize_math(raw.withColumn("_key", F.md5(text)), "question", "answer", "_key", math_n, seed,
                                         answer_field="original_answer"))
     if code_path:
-        raw = _read_any(spark, code_path, CODE_RAW, raw_is_array).withColumn(
-            "_row", F.monotonically_increasing_id())
-        parts.append(REC.normalize_code(raw, "task_id", "prompt", "canonical_solution", "test", "entry_point",
-                                        ["_row"], code_n, answer_field="original_answer"))
+        raw = _read_any(spark, code_path, CODE_RAW, raw_is_array)
+        number = F.regexp_extract("task_id", r"([0-9]{1,18})$", 1).try_cast("long")
+        ordered = raw.withColumn("_stem", F.regexp_replace("task_id", r"[0-9]{1,18}$", "")).withColumn("_number", number)
+        parts.append(REC.normalize_code(ordered, "task_id", "prompt", "canonical_solution", "test", "entry_point",
+                                        ["_stem", "_number", "task_id"], code_n, answer_field="original_answer"))
     if incident_n:
         driver = spark.range(incident_n).withColumnRenamed("id", "i")
         parts.append(REC.synthesize_incidents(driver, "i", seed, answer_field="original_answer"))
@@ -68,11 +69,13 @@ def prepare_corpus(spark: SparkSession, math_path: str | None, code_path: str |
 
 def teacher_responses(spark: SparkSession, items_path: str, out_dir: str, model_factory,
                       batch_size: int = 512, params: dict | None = None, chunk_rows: int = 10_000_000,
-                      max_failure_rate: float = 0.0) -> DataFrame:
+                      max_failure_rate: float = 0.0, instances: int = 1) -> DataFrame:
     """3.2: items -> resumable generation (G3, single-turn prompt P8) ->
-    attach (P13) -> ``taught`` JSON Lines.  Rerunning resumes; ids already
-    answered are skipped, failed ones tried again.  Fails when more than ``max_failure_rate`` of the
-    rows failed (G6)."""
+    attach (P13) -> ``taught`` JSON Lines with their provenance (G5, record R4):
+    ``instance_id``, which of ``instances`` contiguous shards of the items by id a
+    row is of, and ``batch_id``, its batch of ``batch_size`` there (M8, M9).
+    Rerunning resumes; ids already answered are skipped, failed ones tried
+    again.  Fails when more than ``max_failure_rate`` of the rows failed (G6)."""
     items = J.read_jsonl(spark, items_path, RECORD_IN)
     staged = items.select("id", R.render_single_turn("prompt").alias("_rendered"))
     gen = INF.generate_incremental(staged, f"{out_dir}/_generated", model_factory, "id", "_rendered",
@@ -80,34 +83,40 @@ def teacher_responses(spark: SparkSession, items_path: str, out_dir: str, model_
     INF.check_failures(gen, max_failure_rate)
     taught = REC.attach_response(items, gen.filter(F.col("status") == "ok").select("id", "response"),
                                  "id", "response")
+    placed = M.assign_shards(items.select("id"), ["id"], instances, batch_size, "instance_id", "batch_id").select(
+        "id", F.col("instance_id").cast("int").alias("instance_id"), F.col("batch_id").cast("int").alias("batch_id"))
+    taught = taught.join(placed, "id")
     J.write_jsonl(taught, f"{out_dir}/taught", "overwrite")
     return taught.groupBy("response_status").count()
 
 
+# The generation settings of an evaluation run.
+EVALUATION_SETTINGS = {"max_new_tokens": 512, "temperature": 0.1, "top_p": 0.95, "do_sample": True}
+
+
 def run_evaluation(spark: SparkSession, eval_path: str, out_dir: str, model_factory,
-                   generation_kwargs: dict | None = None, batch_size: int = 4) -> DataFrame:
-    """3.3: eval records -> predictions (G1) -> one-pass scoring (G9) ->
-    per-domain details (S6) and the report (S7).  Returns the report table."""
-    params = {"max_new_tokens": 512, "temperature": 0.1, "top_p": 0.95, "do_sample": True}
-    params.update(generation_kwargs or {})
+                   generation_kwargs: dict | None = None, batch_size: int = 4, model_path: str | None = None,
+                   verdicts: DataFrame | None = None) -> DataFrame:
+    """3.3: eval records -> predictions (G1) -> per-row verdicts -> per-domain
+    details (S6) and the report (S7).  Returns the report table.
+
+    Model code is not executed here: ``verdicts`` (``id, passed, error``) brings
+    what its tests said, paired by id; a row without one has failed, and
+    without any the pass rate is null.  The details hold the verdicts of each
+    domain (``pred_answer, ref_answer, correct``; ``extracted_code, passed,
+    error``; ``pred_keywords, ref_keywords, keyword_match, substring_match``).
+    """
+    params = {**EVALUATION_SETTINGS, **(generation_kwargs or {})}
     items = J.read_jsonl(spark, eval_path, RECORD_IN)
     staged = items.withColumn("_rendered", R.render_single_turn("prompt"))
     fresh = INF.generate(staged, model_factory, "_rendered", batch_size, params)
     fresh.write.mode("overwrite").parquet(f"{out_dir}/predictions")  # one model pass: details and report read its answers
     pred = spark.read.schema(fresh.schema).parquet(f"{out_dir}/predictions")
-    scored = pred.select(
-        "id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.col("response").alias("prediction"),
-        R.training_response("expected_answer", "original_answer").alias("reference"),
-        F.col("metadata.entry_point").alias("entry_point"))
-    scored = scored.withColumn("extracted_code", F.when(
-        F.col("domain") == "code", X.extract_code("prediction", F.coalesce("entry_point", F.lit("")))))
-    # executing model code is out of scope: code verdicts default to whether
-    # the entry point is defined; pass real verdicts through ``passed``
-    scored = scored.withColumn("passed", F.when(F.col("domain") == "code", F.col("extracted_code").contains(
-        F.concat(F.lit("def "), F.coalesce("entry_point", F.lit(""))))))
-    J.write_detailed_results(scored, f"{out_dir}/detailed")
-    report = S.evaluate(scored, "domain", "prediction", "reference", "passed")
-    J.write_report(report, f"{out_dir}/report", params)
+    INF.evaluation_rows(pred, verdicts).write.mode("overwrite").parquet(f"{out_dir}/verdicts")
+    detail = spark.read.parquet(f"{out_dir}/verdicts")
+    J.write_detailed_results(detail, f"{out_dir}/detailed")
+    report = S.summarize(detail)
+    J.write_report(report, f"{out_dir}/report", params, header={"model_path": model_path, "eval_data_path": eval_path})
     return report
 
 

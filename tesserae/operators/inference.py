@@ -2,9 +2,9 @@
 
 A model is a factory ``() -> fn(prompts: list[str], params: dict) -> list[str]``.
 The factory runs once per Python worker (cached across tasks), the function
-once per batch.  Rows stream through Arrow batches (``mapInPandas``), or, when
-a batch column is given, each batch is one group of bounded size
-(``applyInPandas``), which makes batch membership reproducible.
+once per batch.  Rows stream through Arrow batches (``mapInPandas``).  When a
+batch column is given, rows are dealt out and sorted by it first and every run
+of one value is a batch, which makes batch membership reproducible.
 
 Only the model call is Python; rendering, filtering and resume anti-joins
 run before it in the JVM, so pushdown still reaches the scan.
@@ -12,9 +12,10 @@ run before it in the JVM, so pushdown still reaches the scan.
 
 from __future__ import annotations
 
-import math
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +39,15 @@ _OUT_FIELDS = [
     T.StructField("error", T.StringType()),
     T.StructField("batch_seconds", T.DoubleType()),
     T.StructField("batch_rows", T.IntegerType()),
+    T.StructField("batch_key", T.StringType()),
+    T.StructField("batch_started", T.DoubleType()),
+    T.StructField("batch_ended", T.DoubleType()),
 ]
+#: Columns that :func:`generate` adds to say how its batches ran.
+BATCH_COLUMNS = [f.name for f in _OUT_FIELDS[3:]]
+
+# Tasks for each core that prompts are spread over where the scan gives fewer.
+TASKS_PER_CORE = 2
 
 
 def _model(factory: ModelFactory, key: str) -> ModelFn:
@@ -58,26 +67,30 @@ def _factory_key(factory: ModelFactory) -> str:
     return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
 
 
-def _run_batch(model: ModelFn, prompts: list, params: dict) -> tuple[list, str, str | None, float]:
-    t0 = time.perf_counter()
+def _run_batch(model: ModelFn, prompts: list, params: dict) -> tuple[list, str, str | None, float, float]:
+    """Responses, status, error, and when the call began and ended (seconds since 1970)."""
+    t0 = time.time()
     try:
         out = list(model(prompts, params))
         if len(out) != len(prompts):
             raise ValueError(f"model returned {len(out)} responses for {len(prompts)} prompts")
-        return out, "ok", None, time.perf_counter() - t0
+        return out, "ok", None, t0, max(t0, time.time())
     except Exception as e:  # noqa: BLE001 - recorded per row (G6)
-        return [None] * len(prompts), "failed", f"{type(e).__name__}: {e}", time.perf_counter() - t0
+        return [None] * len(prompts), "failed", f"{type(e).__name__}: {e}", t0, max(t0, time.time())
 
 
 def _emit(pdf: pd.DataFrame, prompt_col: str, model: ModelFn, params: dict) -> pd.DataFrame:
     prompts = pdf[prompt_col].tolist()
-    out, status, err, secs = _run_batch(model, prompts, params)
+    out, status, err, began, ended = _run_batch(model, prompts, params)
     res = pdf.copy()
     res["response"] = out
     res["status"] = status
     res["error"] = err
-    res["batch_seconds"] = secs
+    res["batch_seconds"] = ended - began
     res["batch_rows"] = len(prompts)
+    res["batch_key"] = uuid.uuid4().hex
+    res["batch_started"] = began
+    res["batch_ended"] = ended
     return res
 
 
@@ -94,6 +107,34 @@ def _batches(it: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
         yield tail.reset_index(drop=True)
 
 
+def _runs(it: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Frames of consecutive rows with one value of ``column``; nulls are one value."""
+    tail = None
+    for pdf in it:
+        frame = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        value = frame[column]
+        last = value.shift()
+        change = (value.ne(last) & ~(value.isna() & last.isna())).to_numpy()
+        change[:1] = True
+        edges = [*change.nonzero()[0].tolist(), len(frame)]
+        for a, z in zip(edges[:-2], edges[1:-1]):
+            yield frame.iloc[a:z].reset_index(drop=True)
+        tail = frame.iloc[edges[-2]:] if len(frame) else None
+    if tail is not None:
+        yield tail.reset_index(drop=True)
+
+
+def spread_tasks(df: DataFrame) -> int | None:
+    """How many tasks to deal prompts out to, or None where the scan's own splits are enough.
+
+    A model call costs far more than moving its prompt, and one 128 MB split
+    holds 100,000 prompts, so a small table should still use every core."""
+    from tesserae.operators.sampling import TARGET_PARTITION_BYTES, _input_bytes
+
+    wanted = TASKS_PER_CORE * int(df.sparkSession.sparkContext.defaultParallelism)
+    return wanted if _input_bytes(df) < wanted * TARGET_PARTITION_BYTES else None
+
+
 def require_ids(df: DataFrame, id_col: str = "id", unique: bool = True) -> DataFrame:
     """``df``, or an error that counts its null (and repeated) ids: rows are paired and resumed by id."""
     nulls = df.filter(F.col(id_col).isNull()).count()
@@ -108,11 +149,12 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
              model_key: str | None = None, num_partitions: int | None = None,
              resource_profile=None) -> DataFrame:
     """G1: append ``response``, ``status`` ('ok'/'failed'), ``error``,
-    ``batch_seconds`` and ``batch_rows`` to every input row.
+    and its batch's key, start, end, seconds and rows to every input row.
 
     Responses are stripped (X7) in the JVM after the Python step.  A failed
     batch marks its rows instead of shifting or dropping later rows (G6).
-    ``num_partitions`` spreads the work (one model instance per worker).
+    ``num_partitions`` spreads the work (one model instance per worker; by
+    default see :func:`spread_tasks`; 0 keeps the input's partitions).
     ``resource_profile`` (a ``pyspark.resource.ResourceProfile``, e.g. one GPU
     per task) applies stage-level scheduling to the model stage only, so the
     relational stages around it keep running on plain executors.
@@ -124,21 +166,19 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
     p.update(params or {})
     key = model_key or _factory_key(model_factory)
     schema = T.StructType(list(df.schema.fields) + _OUT_FIELDS)
-    src = df.repartition(num_partitions) if num_partitions else df
-
+    tasks = spread_tasks(df) if num_partitions is None else num_partitions
     if batch_col is not None:
-        def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _emit(pdf, prompt_col, _model(model_factory, key), p)
-
-        out = src.groupBy(batch_col).applyInPandas(per_batch, schema)
+        src = (df.repartition(tasks, batch_col) if tasks else df.repartition(batch_col)).sortWithinPartitions(batch_col)
     else:
-        def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = _model(model_factory, key)
-            for part in _batches(it, batch_size):
-                yield _emit(part, prompt_col, model, p)
+        src = df.repartition(tasks) if tasks else df
+
+    def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _model(model_factory, key)
+        for part in _batches(it, batch_size) if batch_col is None else _runs(it, batch_col):
+            yield _emit(part, prompt_col, model, p)
 
-        out = (src.mapInPandas(per_partition, schema, profile=resource_profile) if resource_profile is not None
-               else src.mapInPandas(per_partition, schema))
+    out = (src.mapInPandas(per_partition, schema, profile=resource_profile) if resource_profile is not None
+           else src.mapInPandas(per_partition, schema))
     return out.withColumn("response", py_strip(F.col("response")))
 
 
@@ -169,7 +209,7 @@ def generate_dataset(items: DataFrame, model_factory: ModelFactory, render: Call
     ok = F.col("status") == "ok"
     out = (gen.withColumn("teacher_response", F.when(ok, F.col("response")))
            .withColumn(answer_field, F.when(ok, F.col("response")).otherwise(F.col(answer_field))))
-    return out.drop("_rendered", "response", "batch_seconds", "batch_rows")
+    return out.drop("_rendered", "response", *BATCH_COLUMNS)
 
 
 def _exists(spark, path: str) -> bool:
@@ -179,48 +219,85 @@ def _exists(spark, path: str) -> bool:
     return bool(fs.exists(hp)) and len(fs.listStatus(hp)) > 0
 
 
-def done_ids(spark, out_path: str, id_col: str = "id") -> DataFrame | None:
-    """Ids with an answer; a failed row is not done and is tried again by the next run."""
-    if not _exists(spark, out_path):
+def done_ids(spark, out_path: str, id_col: str = "id", chunks: list[int] | None = None) -> DataFrame | None:
+    """Ids with an answer (of these chunks); a failed row is not done and is tried again by the next run."""
+    paths = [out_path] if chunks is None else [f"{out_path}/chunk={c}" for c in chunks]
+    paths = [p for p in paths if _exists(spark, p)]
+    if not paths:
         return None
-    return spark.read.parquet(out_path).filter((F.col("status") == "ok") & F.col(id_col).isNotNull()).select(id_col)
+    return spark.read.parquet(*paths).filter((F.col("status") == "ok") & F.col(id_col).isNotNull()).select(id_col)
+
+
+MANIFEST = "_manifest"
+_MANIFEST_SCHEMA = "chunk int, n_chunks int, n_ok long, n_failed long, ids_digest long"
+
+
+def _chunk_state(rows: DataFrame) -> DataFrame:
+    """Per chunk the number of ids and a digest of them that no order changes."""
+    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.col("_id"))).alias("ids_digest"))
+
+
+def read_manifest(spark, out_path: str) -> dict[int, dict]:
+    """The last manifest entry of each chunk: ``n_chunks, n_ok, n_failed, ids_digest``; a row for each chunk and run."""
+    path = f"{out_path.rstrip('/')}/{MANIFEST}"
+    if not _exists(spark, path):
+        return {}
+    # the entry with the most answers is the latest: answers are only ever added
+    rows = spark.read.schema(_MANIFEST_SCHEMA).option("recursiveFileLookup", True).parquet(path).groupBy("chunk").agg(
+        F.max_by(F.struct("n_chunks", "n_ok", "n_failed", "ids_digest"), F.struct("n_ok", -F.col("n_failed"))).alias("e"))
+    return {r["chunk"]: r["e"].asDict() for r in rows.collect()}
 
 
 def generate_incremental(items: DataFrame, out_path: str, model_factory: ModelFactory,
                          id_col: str = "id", prompt_col: str = "prompt", batch_size: int = 512,
-                         params: dict | None = None, chunk_rows: int = 10_000_000) -> DataFrame:
-    """Resumable generation into ``out_path`` (Parquet, append).
-
-    Fails on null or repeated ids.  Skips ids already answered (F3/J3; failed
-    rows are tried again), then works through the rest in
-    hash-bucket chunks; each chunk is one Spark write, committed atomically, so
-    a crash loses at most the chunk in flight.  Running twice equals running
-    once.  Returns the merged output, one row per id.
+                         params: dict | None = None, chunk_rows: int = 10_000_000, parallel: int = 8) -> DataFrame:
+    """Resumable generation into ``out_path`` (Parquet, a folder for each chunk of ids).
+
+    Fails on null or repeated ids.  Ids are dealt to chunks by hash; the first
+    run fixes how many.  Up to ``parallel`` chunks run side by side, each one
+    Spark write that is committed as a whole and then entered in the manifest
+    beside the results with the number and a digest of its answered ids, so a
+    crash loses the chunks in flight only.  A later run compares the manifest
+    with the digests of its input: chunks whose ids are all answered are not
+    looked at again; in the others the answered ids are read from the chunk's
+    own folder and only the rest (new and failed rows, F3/J3) is generated.
+    Running twice equals running once.  Returns the merged output, one row per id.
     """
-    spark = items.sparkSession
-    done = done_ids(spark, out_path, id_col)
-    todo = require_ids(items, id_col)
-    if done is not None:
-        todo = todo.join(done.distinct(), id_col, "left_anti")
-    n = todo.count()
-    if n:
-        n_chunks = max(1, math.ceil(n / chunk_rows))
-        if n_chunks == 1:
-            generate(todo, model_factory, prompt_col, batch_size, params).write.mode("append").parquet(out_path)
-        else:
-            # stage the to-do rows once, partitioned by chunk, so each chunk
-            # reads only its own folder (partition pruning) instead of
-            # re-running the anti-join over the whole input
-            from tesserae.session import scratch_path
+    from pyspark import inheritable_thread_target
 
+    from tesserae.session import scratch_path
+
+    spark, out_path = items.sparkSession, out_path.rstrip("/")
+    todo = require_ids(items, id_col)
+    known = read_manifest(spark, out_path)
+    n_chunks = next((e["n_chunks"] for e in known.values()), None) or max(1, -(-todo.count() // chunk_rows))
+    chunked = todo.withColumn("chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)).cast("int"))
+    state = {r["chunk"]: r for r in _chunk_state(chunked.withColumn("_id", F.col(id_col))).collect()}  # a row for each chunk
+    left = sorted(c for c, r in state.items() if c not in known or (known[c]["n_ok"], known[c]["ids_digest"]) != (r["n"], r["ids_digest"]))
+    if left:
+        chunked = chunked.filter(F.col("chunk").isin(left))
+        if _exists(spark, out_path):  # reads the folders of these chunks only
+            done = done_ids(spark, out_path, id_col, left)
+            chunked = chunked.join(done.distinct(), id_col, "left_anti") if done is not None else chunked
+        if len(left) > 1:  # staged once, so that a chunk reads its own folder instead of all items
             staging = scratch_path(spark, "generate-staging")
-            (todo.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks)))
-             .write.partitionBy("_chunk").parquet(staging))
-            staged = spark.read.parquet(staging)
-            for c in range(n_chunks):
-                part = staged.filter(F.col("_chunk") == c).drop("_chunk")
-                gen = generate(part, model_factory, prompt_col, batch_size, params)
-                gen.write.mode("append").parquet(out_path)
+            chunked.write.partitionBy("chunk").parquet(staging)
+            chunked = spark.read.schema(chunked.schema).parquet(staging)
+
+        def run(c: int) -> None:
+            path = f"{out_path}/chunk={c}"
+            gen = generate(chunked.filter(F.col("chunk") == c).drop("chunk"), model_factory, prompt_col, batch_size, params)
+            gen.write.mode("append").parquet(path)
+            merged = read_generated(spark, path, id_col).withColumn("chunk", F.lit(c)).withColumn("_id", F.col(id_col))
+            ok = F.col("status") == "ok"
+            entry = merged.agg(F.lit(c).alias("chunk"), F.lit(n_chunks).alias("n_chunks"), F.count_if(ok).alias("n_ok"),
+                               F.count_if(~ok).alias("n_failed"), F.bit_xor(F.when(ok, F.xxhash64(F.col("_id")))).alias("ids_digest"))
+            # a folder of its own: chunks commit side by side
+            entry.coalesce(1).write.parquet(f"{out_path}/{MANIFEST}/{c}-{uuid.uuid4().hex}")
+
+        with ThreadPoolExecutor(max(1, min(parallel, len(left)))) as pool:
+            for f in [pool.submit(inheritable_thread_target(spark)(run), c) for c in left]:
+                f.result()
     return read_generated(spark, out_path, id_col)
 
 
@@ -230,7 +307,7 @@ def read_generated(spark, out_path: str, id_col: str = "id") -> DataFrame:
 
     df = spark.read.parquet(out_path)
     w = Window.partitionBy(id_col).orderBy(F.when(F.col("status") == "ok", 0).otherwise(1))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "chunk")
 
 
 def evaluate_batched(df: DataFrame, model_factory: ModelFactory, model_name: str, prompt_col: str = "prompt",
@@ -240,46 +317,76 @@ def evaluate_batched(df: DataFrame, model_factory: ModelFactory, model_name: str
     gen = generate(df, model_factory, prompt_col, batch_size, params)
     return (gen.withColumn(f"{model_name}_response", F.col("response"))
             .withColumn(f"{model_name}_time", F.col("batch_seconds") / F.col("batch_rows"))
-            .drop("response", "status", "error"))
+            .drop("response", "status", "error", "batch_key", "batch_started", "batch_ended"))
+
+
+def evaluation_rows(pred: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Generated eval records (``response``) as rows with their verdict columns, for S6 and S7.
+
+    ``verdicts``: ``id, passed`` and perhaps ``error``, what running the code of a
+    row's answer gave; paired by id, more than one for an id is an error."""
+    from tesserae.functions import render as R
+    from tesserae.functions import text as X
+    from tesserae.operators.scoring import with_verdicts
+
+    entry = F.col("metadata.entry_point")
+    rows = pred.select(
+        "id", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.col("response").alias("prediction"),
+        R.training_response("expected_answer", "original_answer").alias("reference"),
+        F.when(F.col("domain") == "code", X.extract_code("response", F.coalesce(entry, F.lit("")))).alias("extracted_code"))
+    if verdicts is None:
+        rows = rows.withColumn("passed", F.lit(None).cast("boolean")).withColumn("error", F.lit(None).cast("string"))
+    else:
+        error = F.col("error").cast("string") if "error" in verdicts.columns else F.lit(None).cast("string")
+        once = verdicts.filter(F.col("id").isNotNull()).groupBy("id").agg(
+            F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.col("passed").cast("boolean").alias("passed"), error.alias("error"))).alias("_v"))
+        message = F.concat(F.lit("more than one verdict for "), F.col("id").cast("string"))
+        once = once.select("id", F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.col("_v.passed")).alias("passed"),
+                           F.col("_v.error").alias("error"))
+        rows = rows.join(once, "id", "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return with_verdicts(rows)
 
 
 def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: str = "prompt",
                   batch_size: int = 8, params: dict | None = None) -> DataFrame:
     """Every model over the same Arrow batches in one pass: adds
-    ``batch_rows`` and, per model, ``<model>_response`` (stripped),
-    ``<model>_status`` and ``<model>_time`` (batch time / batch rows).  No
-    second scan and no join."""
+    ``batch_rows``, ``batch_key`` and, per model, ``<model>_response`` (stripped),
+    ``<model>_status``, ``<model>_time`` (batch time / batch rows) and the
+    call's ``<model>_started`` and ``<model>_ended``.  No second scan and no join."""
     from tesserae.session import ship_package
 
     ship_package(df.sparkSession)
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
     keys = {m: _factory_key(f) for m, f in models.items()}
-    fields = list(df.schema.fields) + [T.StructField("batch_rows", T.IntegerType())]
+    fields = list(df.schema.fields) + [T.StructField("batch_rows", T.IntegerType()), T.StructField("batch_key", T.StringType())]
     for m in models:
         fields += [T.StructField(f"{m}_response", T.StringType()), T.StructField(f"{m}_status", T.StringType()),
-                   T.StructField(f"{m}_time", T.DoubleType())]
+                   *[T.StructField(f"{m}_{x}", T.DoubleType()) for x in ("time", "started", "ended")]]
     schema = T.StructType(fields)
 
     def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded = {m: _model(f, keys[m]) for m, f in models.items()}
-        pending = None
 
         def emit(pdf: pd.DataFrame) -> pd.DataFrame:
             res = pdf.copy()
             prompts = pdf[prompt_col].tolist()
             res["batch_rows"] = len(prompts)
+            res["batch_key"] = uuid.uuid4().hex
             for m, model in loaded.items():
-                out, status, _, secs = _run_batch(model, prompts, p)
+                out, status, _, began, ended = _run_batch(model, prompts, p)
                 res[f"{m}_response"] = out
                 res[f"{m}_status"] = status
-                res[f"{m}_time"] = secs / max(len(prompts), 1)
+                res[f"{m}_time"] = (ended - began) / max(len(prompts), 1)
+                res[f"{m}_started"] = began
+                res[f"{m}_ended"] = ended
             return res
 
         for part in _batches(it, batch_size):
             yield emit(part)
 
-    out = df.mapInPandas(per_partition, schema)
+    tasks = spread_tasks(df)
+    out = (df.repartition(tasks) if tasks else df).mapInPandas(per_partition, schema)
     return out.select(*[py_strip(F.col(c)).alias(c) if c.endswith("_response") and c[:-9] in models
                         else F.col(c) for c in out.columns])
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import render as R
 from tesserae.functions.text import hex_prefix_int, md5_key
-from tesserae.operators.sampling import KEY, head_n, sample_n, seeded_index, seeded_key
+from tesserae.operators.sampling import (count_unique_ids, head_n, sample_n, seeded_index, seeded_key,
+                                         with_index)
 from tesserae.schemas import METADATA_FIELDS
 
 # ---------------------------------------------------------------------------
@@ -133,13 +134,20 @@ def synthesize_incidents(driver: DataFrame, key_col: str, seed: int = 42,
                          answer_field: str = "expected_answer") -> DataFrame:
     """P3 + P4: one incident record per driver row, template drawn by hash.
 
-    The template table has a fixed, small number of rows, so it is broadcast.
+    The built-in template table has a fixed, small number of rows, so it is
+    broadcast.  Templates of the caller are numbered 0..k-1 in the order of
+    their ``template_idx``, so gaps in it lose no rows; null and repeated
+    numbers are refused.
     """
     spark = driver.sparkSession
-    tpl = templates if templates is not None else incident_templates(spark)
-    k = len(INCIDENT_TEMPLATES) if templates is None else tpl.count()
+    if templates is None:
+        tpl, k = incident_templates(spark), len(INCIDENT_TEMPLATES)
+    else:
+        count_unique_ids(templates, "template_idx")
+        tpl, k = with_index(templates, ["template_idx"], "_dense")
+        tpl = tpl.withColumn("template_idx", F.col("_dense").cast("int")).drop("_dense")
     drawn = driver.select(F.col(key_col), template_index(F.col(key_col), seed, k).alias("template_idx"))
-    # the built-in table has four rows; a user table is broadcast only when small
+    # a table of the caller is broadcast only when small
     joined = drawn.join(F.broadcast(tpl) if k <= 10_000 else tpl, "template_idx")
     return joined.select(
         F.format_string("aiops_%04d", F.col(key_col)).alias("id"),
@@ -186,10 +194,7 @@ def render_chats_plain(df: DataFrame, conv_col: str = "conv_id", turn_col: str =
     sorted and joined by many tasks; the last step only orders its chunks.
     Unknown roles are dropped, as in P7.
     """
-    prefix = (F.when(F.col(role_col) == "user", F.lit(R.PLAIN_ROLE_PREFIX["user"]))
-              .when(F.col(role_col) == "assistant", F.lit(R.PLAIN_ROLE_PREFIX["assistant"]))
-              .when(F.col(role_col) == "system", F.lit(R.PLAIN_ROLE_PREFIX["system"])))
-    line = F.concat(prefix, F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))
+    line = F.concat(_plain_prefix(role_col), F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"))
     lines = df.select(conv_col, F.col(turn_col).alias("_t"), line.alias("_line"))
     chunked = (lines.groupBy(conv_col, F.floor(F.col("_t") / turns_per_chunk).alias("_c"))
                .agg(F.count(F.lit(1)).alias("_n"),
@@ -203,13 +208,51 @@ def render_chats_plain(df: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return whole.withColumn("rendered", F.concat(F.col("rendered"), tail))
 
 
+def chat_segments(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                  text_col: str = "text", turns_per_segment: int = 1024) -> DataFrame:
+    """P6 + P7 in bounded rows: ``conv, segment, first_turn, n_messages, messages, rendered``.
+
+    A conversation becomes rows of ``turns_per_segment`` turns, in the order of
+    ``segment``; joining their ``messages`` gives the conversation's message
+    array, joining their ``rendered`` its plain text without the generation
+    prompt.  Segments are cut at positions (turns numbered by W1 over the keys),
+    not at turn numbers, so none is larger, however the turns are numbered, and
+    no row, group or task holds a whole conversation.  Turns of one number are
+    ordered by their content.  Unknown roles have a message and no text (P7)."""
+    indexed, _ = with_index(df.select(conv_col, turn_col, role_col, text_col), [conv_col, turn_col], "_at")
+    starts = indexed.groupBy(conv_col).agg(F.min("_at").alias("_start")).withColumnRenamed(conv_col, "_conv")
+    placed = indexed.join(starts, F.col(conv_col).eqNullSafe(F.col("_conv"))).withColumn("_place", F.col("_at") - F.col("_start"))
+    line = F.when(F.col(role_col).isin(*R.PLAIN_ROLE_PREFIX), F.concat(_plain_prefix(role_col), F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")))
+    turn = F.struct(F.col("_place"), F.col(role_col).alias("role"), F.col(text_col).alias("content"), line.alias("line"))
+    rows = placed.select(conv_col, turn_col, F.floor(F.col("_place") / turns_per_segment).alias("segment"), turn.alias("_turn"))
+    grouped = rows.groupBy(conv_col, "segment").agg(F.min(turn_col).alias("first_turn"), F.sort_array(F.collect_list("_turn")).alias("_t"))
+    return grouped.select(
+        conv_col, "segment", "first_turn", F.size("_t").cast("long").alias("n_messages"),
+        F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"),
+        F.array_join(F.transform("_t", lambda t: F.coalesce(t["line"], F.lit(""))), "").alias("rendered"))
+
+
+def _plain_prefix(role_col: str) -> Column:
+    return (F.when(F.col(role_col) == "user", F.lit(R.PLAIN_ROLE_PREFIX["user"]))
+            .when(F.col(role_col) == "assistant", F.lit(R.PLAIN_ROLE_PREFIX["assistant"]))
+            .when(F.col(role_col) == "system", F.lit(R.PLAIN_ROLE_PREFIX["system"])))
+
+
 def attach_response(items: DataFrame, responses: DataFrame, id_col: str = "id",
                     response_col: str = "response", answer_field: str = "expected_answer") -> DataFrame:
     """P13 + J1: pair by id (never by position); the response becomes
     ``teacher_response`` and overwrites the expected answer.  A missing
-    response keeps the row with ``response_status = 'missing'``."""
-    r = responses.select(F.col(id_col), F.col(response_col).alias("_resp"))
-    joined = items.join(r, id_col, "left")
+    response, or an item without an id, keeps the row with ``response_status =
+    'missing'``.
+
+    An id answered more than once is an error: which of the answers is meant
+    cannot be told.  It is raised by the join itself (a count per id, combined
+    map-side), without a pass of its own."""
+    r = responses.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.col(response_col).alias("r"))).alias("_r"))
+    message = F.concat(F.lit(f"column {id_col}: more than one response for "), F.col(id_col).cast("string"))
+    once = F.when(F.col("_n") > 1, F.raise_error(message).cast(responses.schema[response_col].dataType)).otherwise(F.col("_r.r"))
+    joined = items.join(r.select(id_col, once.alias("_resp")), id_col, "left")
     out = (joined.withColumn("teacher_response", F.col("_resp"))
            .withColumn(answer_field, F.coalesce(F.col("_resp"), F.col(answer_field)))
            .withColumn("response_status", F.when(F.col("_resp").isNull(), "missing").otherwise("ok")))

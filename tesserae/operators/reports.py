@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.sampling import top_per_group
+
 
 def domain_counts(df: DataFrame, keys: list[str] | str = "domain", name: str = "count") -> DataFrame:
     """Rows per domain (or per split and domain)."""
@@ -66,23 +68,30 @@ def convergence(log: DataFrame, run_col: str, step_col: str, loss_col: str) -> D
 
 
 def log_tail(log: DataFrame, run_col: str, step_col: str, n: int = 10) -> DataFrame:
-    """The last n log rows per run (a literal limit: Spark prunes each
-    partition with ``WindowGroupLimit`` before the shuffle)."""
-    w = Window.partitionBy(run_col).orderBy(F.col(step_col).desc())
-    return log.withColumn("rank_from_end", F.row_number().over(w)).filter(F.col("rank_from_end") <= n)
+    """The last n log rows per run, a long run cut down in two levels
+    (:func:`~tesserae.operators.sampling.top_per_group`)."""
+    return top_per_group(log, [run_col], [F.col(step_col).desc()], n, "rank_from_end", [step_col])
+
+
+def timing(rows: DataFrame, model_col: str, batch_col: str = "batch_key", start_col: str = "batch_started",
+           end_col: str = "batch_ended") -> DataFrame:
+    """Per model, total seconds, number of batches and rows and the average time per row.
+
+    Rows carry the key, start and end of their batch; a batch is counted once,
+    from its first start to its last end.  Rows without a key ran in no batch
+    and are left out.  Both steps combine map-side."""
+    batches = rows.filter(F.col(batch_col).isNotNull()).groupBy(model_col, batch_col).agg(
+        (F.max(end_col) - F.min(start_col)).alias("_seconds"), F.count(F.lit(1)).alias("_rows"))
+    return batches.groupBy(model_col).agg(
+        F.sum("_seconds").alias("total_time"), F.count(F.lit(1)).alias("n_batches"), F.sum("_rows").alias("n_rows"),
+        (F.sum("_seconds") / F.sum("_rows")).alias("avg_time_per_row"))
 
 
-def timing(per_row: DataFrame, model_col: str, batch_time_col: str = "batch_seconds",
-           batch_rows_col: str = "batch_rows") -> DataFrame:
-    """Per model, total seconds (each batch counted once: every row
-    carries ``batch_time / batch_rows``), number of batches, rows and the
-    average time per row."""
-    share = F.col(batch_time_col) / F.col(batch_rows_col)
-    return per_row.groupBy(model_col).agg(
-        F.sum(share).alias("total_time"),
-        F.round(F.sum(F.lit(1.0) / F.col(batch_rows_col))).cast("long").alias("n_batches"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg(share).alias("avg_time_per_row"))
+def model_batches(generated: DataFrame, models: list[str]) -> DataFrame:
+    """The rows of a single-pass comparison as one row per model: ``model, batch_key, batch_started, batch_ended``."""
+    return generated.select("batch_key", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"{m}_started").alias("batch_started"), F.col(f"{m}_ended").alias("batch_ended"))
+        for m in models])))
 
 
 def generation_length_profile(df: DataFrame, text_col: str, group_cols: list[str]) -> DataFrame:
@@ -109,9 +118,8 @@ def teacher_student_report(losses: DataFrame, generations: DataFrame | None = No
     def first_n(df: DataFrame, limits: dict[str, int] | None, order_col: str) -> DataFrame:
         if not limits:
             return df
-        w = Window.partitionBy(role_col).orderBy(order_col)
         lim = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
-        ranked = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(limits.values()))
+        ranked = top_per_group(df, [role_col], [order_col], max(limits.values()), "_r", [order_col])
         return ranked.filter(F.col("_r") <= F.coalesce(F.try_element_at(lim, F.col(role_col)),
                                                       F.lit(max(limits.values())))).drop("_r")
 

@@ -8,6 +8,8 @@ any other engine can recompute the same choice.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ MAX_BUCKETS = 1 << 20
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 MAX_PARTITIONS = 1_000_000
 UNKNOWN_BYTES = 1 << 62
+# Tasks that share the first level of a group's top rows.
+SALTS = 64
+# Domains whose quotas are gathered and broadcast; more are joined by a shuffle.
+MAX_LOCAL_DOMAINS = 100_000
 
 
 def _input_bytes(df: DataFrame) -> int:
@@ -56,41 +62,74 @@ def parallelism(df: DataFrame) -> int:
     return max(base, min(MAX_PARTITIONS, -(-size // TARGET_PARTITION_BYTES)))
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of the row, over every column that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()] or [F.lit(0)])
+
+
 def seeded_key(df: DataFrame, id_col: str, seed: int = 42, name: str = KEY) -> DataFrame:
-    return df.withColumn(name, md5_key(seed, F.col(id_col)))
+    """The seeded order's key: md5 of the seed and the id.
 
+    A row without an id is keyed by its content instead, so rows with null ids
+    are drawn, shuffled and split like any others and don't meet in one task;
+    only rows equal in every column share a key, and those can stand for each
+    other."""
+    known = F.col(id_col).cast("string")
+    return df.withColumn(name, md5_key(seed, F.coalesce(known, F.concat(F.lit("null:"), content_hash(df).cast("string")))))
 
-def with_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "idx",
-               num_partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Dense 0..n-1 index in the given order, without a single partition.
 
-    Range-partition and sort by the order, tag rows with
-    ``monotonically_increasing_id`` (partition id in the high bits), pin that
-    layout with a reliable checkpoint, then add per-partition offsets.  The
-    offsets table has one row per partition, so its size is bounded by the
-    partition count, not by the data.  Returns (indexed df, row count).
-    The order must be total (end it with a unique column).
+def key_index(df: DataFrame, order_cols: list[str], num_partitions: int | None = None) -> tuple[DataFrame, int, bool]:
+    """W1 over the key columns alone: a row for each different key, its 0-based
+    position ``_at`` in the order, the number of rows, and whether keys are unique.
+
+    The key columns are range-partitioned, counted by key in that layout and
+    sorted; only this narrow table is pinned, by a reliable checkpoint.  A
+    histogram of its partitions (a row each) gives the offsets, which are
+    broadcast: a prefix sum in two levels, without a task that sees all keys.
     """
     spark = df.sparkSession
     n_parts = num_partitions or parallelism(df)
-    ordered = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = reliable_checkpoint(ordered.withColumn("_mid", F.monotonically_increasing_id()))
-    pid = F.shiftright(F.col("_mid"), 33)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["pid"]: r["n"] for r in
-              tagged.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    top = max(counts) if counts else -1
-    offsets, running = [], 0
-    for p in range(top + 1):
-        offsets.append(running)
-        running += counts.get(p, 0)
-    if not offsets:
-        return tagged.withColumn(index_col, F.lit(None).cast("long")).drop("_mid"), 0
-    off_df = spark.createDataFrame([(i, o) for i, o in enumerate(offsets)], "pid long, off long")
-    out = (tagged.withColumn("pid", pid)
-           .join(F.broadcast(off_df), "pid")
-           .withColumn(index_col, F.col("off") + local).drop("pid", "off"))
-    return out.drop("_mid"), running
+    # equal keys share a range, so the count by key needs no further shuffle
+    counted = df.select(*order_cols).repartitionByRange(n_parts, *order_cols).groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = reliable_checkpoint(counted.sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = tagged.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
+    parts = {r["_pid"]: r for r in tagged.groupBy("_pid").agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).collect()}
+    offsets, total = [], 0
+    for p in sorted(parts):
+        offsets.append((p, total))
+        total += parts[p]["rows"]
+    unique = all(r["most"] == 1 for r in parts.values())
+    if unique:
+        within = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    else:  # a partition is about as large as any other, so its running sum is one task's work
+        within = F.sum("_n").over(Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1))
+        within = F.coalesce(within, F.lit(0))
+    off_df = spark.createDataFrame(offsets, "_pid long, _off long")
+    keyed = tagged.withColumn("_within", within).join(F.broadcast(off_df), "_pid")
+    return keyed.select(*order_cols, (F.col("_off") + F.col("_within")).alias("_at")), total, unique
+
+
+def with_index(df: DataFrame, order_cols: list[str], index_col: str = "idx",
+               num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Dense 0..n-1 index in the given order, without a single partition.
+
+    :func:`key_index` numbers the keys; the rows get their number by a join on
+    the key, so their other columns are neither range-partitioned nor
+    checkpointed.  Null keys count as keys, first in the order.  The order
+    should be total (end it with a unique column): rows of equal keys are
+    numbered by their content, which takes one task for each such key.
+    Returns (indexed df, row count).
+    """
+    index, n, unique = key_index(df, order_cols, num_partitions)
+    if unique and set(order_cols) == set(df.columns):  # nothing to join back
+        return index.select(*df.columns, F.col("_at").alias(index_col)), n
+    index = index.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_cols)], "_at")
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(order_cols)])
+    out = df.join(index, same).drop(*[f"_k{i}" for i in range(len(order_cols))])
+    if not unique:
+        twin = F.row_number().over(Window.partitionBy(*order_cols).orderBy(content_hash(df))) - 1
+        out = out.withColumn("_at", F.col("_at") + twin)
+    return out.withColumnRenamed("_at", index_col), n
 
 
 def _key_prefix(key: Column) -> Column:
@@ -255,9 +294,20 @@ def label_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None = 35
             .drop(KEY, "_split_idx"))
 
 
-def _rank_in_group(df: DataFrame, group_col: str, id_col: str, rank_col: str) -> DataFrame:
-    w = Window.partitionBy(group_col).orderBy(KEY, id_col)
-    return df.withColumn(rank_col, F.row_number().over(w))
+def top_per_group(df: DataFrame, group_cols: list[str], order: list[Column | str], k: int, rank_col: str,
+                  salt_cols: list[str], salts: int = SALTS) -> DataFrame:
+    """The first ``k`` rows of each group, ranked from 1, in two levels.
+
+    The first level keeps the top ``k`` of each (group, salt), the second the
+    top ``k`` of what is left.  The top ``k`` of a union are among the tops of
+    its parts, so the result is exact; a group with a third of all rows is cut
+    down by ``salts`` tasks, and its last task sees at most ``k * salts`` rows.
+    ``salt_cols`` should differ from row to row (an id)."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)))
+    part = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
+    kept = salted.withColumn("_place", F.row_number().over(part)).filter(F.col("_place") <= k).drop("_place", "_salt")
+    whole = Window.partitionBy(*group_cols).orderBy(*order)
+    return kept.withColumn(rank_col, F.row_number().over(whole)).filter(F.col(rank_col) <= k)
 
 
 def capped_eval_sample(df: DataFrame, domain_col: str, caps: dict[str, int], id_col: str,
@@ -266,15 +316,13 @@ def capped_eval_sample(df: DataFrame, domain_col: str, caps: dict[str, int], id_
                        ) -> DataFrame:
     """M5: up to ``caps[domain]`` seeded rows per domain.
 
-    The filter on the largest cap is a literal, so Spark inserts a partial
-    ``WindowGroupLimit`` before the exchange: a hot domain ships at most
-    ``max(caps)`` rows per map partition.  Per-domain caps come from a map
-    literal, so no join is needed.
+    A hot domain is cut down in two levels (:func:`top_per_group`).  Per-domain
+    caps come from a map literal, so no join is needed.
     """
     keyed = seeded_key(df, id_col, seed)
     max_cap = max(list(caps.values()) + [default_cap])
     cap_map = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])
-    ranked = _rank_in_group(keyed, domain_col, id_col, rank_col).filter(F.col(rank_col) <= max_cap)
+    ranked = top_per_group(keyed, [domain_col], [KEY, id_col], max_cap, rank_col, [KEY])
     cap = F.coalesce(F.try_element_at(cap_map, F.col(domain_col)), F.lit(default_cap))
     out = ranked.filter(F.col(rank_col) <= cap).drop(KEY)
     if exclude_from_train:
@@ -314,21 +362,25 @@ def representative_sample(df: DataFrame, n: int, domain_col: str, seq_col: str,
     """M6: equal quota per domain; a short domain is not topped up.
 
     A null domain counts as ``unknown``.  Empty input gives empty output.
-    The quota table has one row per domain; it is broadcast only after its
-    row count is checked.
+    The quota table has one row per domain; it is gathered and broadcast
+    only up to ``MAX_LOCAL_DOMAINS`` domains.  The input is read twice: for the
+    quotas and for the rows.
     """
     dom = "_domain"
     base = df.withColumn(dom, F.coalesce(F.col(domain_col).cast("string"), F.lit("unknown")))
     quotas = domain_quotas(base, n, dom, seq_col).select(dom, "quota")
-    n_domains = quotas.count()
-    if n_domains == 0:
+    rows = quotas.limit(MAX_LOCAL_DOMAINS + 1).collect()
+    if not rows:
         return df.limit(0).withColumn(rank_col, F.lit(None).cast("int"))
-    # the largest quota is a literal, so the per-domain window is pruned map-side
+    if len(rows) <= MAX_LOCAL_DOMAINS:
+        quotas, n_domains = F.broadcast(df.sparkSession.createDataFrame(rows, quotas.schema)), len(rows)
+    else:
+        n_domains = quotas.count()
+    # the largest quota is a literal, so every level is pruned map-side
     max_quota = n // n_domains + (1 if n % n_domains else 0)
     keyed = seeded_key(base, id_col, seed)
-    ranked = _rank_in_group(keyed, dom, id_col, rank_col).filter(F.col(rank_col) <= max_quota)
-    q = F.broadcast(quotas) if n_domains <= 100_000 else quotas
-    return (ranked.join(q, dom).filter(F.col(rank_col) <= F.col("quota"))
+    ranked = top_per_group(keyed, [dom], [KEY, id_col], max_quota, rank_col, [KEY])
+    return (ranked.join(quotas, dom).filter(F.col(rank_col) <= F.col("quota"))
             .drop(KEY, "quota", dom))
 
 

@@ -8,8 +8,9 @@ shuffle carries one row per group per partition).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
@@ -155,56 +156,140 @@ def register_metric(name: str, fn: Callable[[Column, Column], Column]) -> None:
     METRICS[name] = fn
 
 
-# The headline metric of each scored domain.
-HEADLINE = {"math": "exact_match", "code": "pass_at_1", "aiops": "keyword_match_rate"}
+@dataclass(frozen=True)
+class Scorer:
+    """How the rows of one domain are scored.
+
+    ``verdicts``: steps of per-row columns, each step a function of the names of
+    the prediction, reference and passed columns; a step may read the columns
+    of earlier ones.  They are evaluated only for the domain's rows; a column
+    that several scorers name is shared and follows the row's domain.
+    ``metrics``: the aggregates over them, by name, with ``total_samples`` among
+    them.  ``headline``: the metric that stands for the domain, ``label`` its
+    printed name."""
+
+    verdicts: tuple[Callable[[str, str, str], dict[str, Column]], ...]
+    metrics: Callable[[], dict[str, Column]]
+    headline: str
+    label: str | None = None
+
+
+def _math_metrics() -> dict[str, Column]:
+    counted = F.count_if("counted")
+    return {"total_samples": counted,
+            "exact_match": _rate(F.count_if(F.col("counted") & F.col("correct")), counted),
+            "no_answer_rate": _rate(F.count_if(F.col("pred_answer").isNull()), F.count(F.lit(1)))}
+
+
+def _code_metrics() -> dict[str, Column]:
+    n = F.count(F.lit(1))
+    # no verdict at all is not a failure of every row: the rate is unknown
+    return {"total_samples": n,
+            "pass_at_1": F.when(F.count("passed") > 0, _rate(F.count_if(F.coalesce("passed", F.lit(False))), n))}
+
+
+def _incident_metrics() -> dict[str, Column]:
+    n = F.count(F.lit(1))
+    return {"total_samples": n, "keyword_match_rate": _rate(F.count_if("keyword_match"), n),
+            "substring_match_rate": _rate(F.count_if("substring_match"), n)}
+
+
+SCORERS: dict[str, Scorer] = {
+    "math": Scorer(
+        (lambda p, r, v: {"pred_answer": X.extract_answer(p), "ref_answer": X.extract_reference(r)},
+         lambda p, r, v: {"counted": F.col("pred_answer").isNull() | F.col("ref_answer").isNotNull(),
+                          "correct": F.coalesce(X.approx_equal("pred_answer", "ref_answer"), F.lit(False))}),
+        _math_metrics, "exact_match"),
+    "code": Scorer((lambda p, r, v: {"passed": F.col(v)},), _code_metrics, "pass_at_1", "pass@1"),
+    "aiops": Scorer(
+        (lambda p, r, v: {"pred_keywords": X.extract_keywords(p), "ref_keywords": X.extract_keywords(r),
+                          "substring_match": X.any_token_contained(p, r)},
+         lambda p, r, v: {"keyword_match": F.size(F.array_intersect("pred_keywords", "ref_keywords")) > 0}),
+        _incident_metrics, "keyword_match_rate"),
+}
+
+
+def register_scorer(domain: str, scorer: Scorer) -> None:
+    """Score ``domain`` by ``scorer`` from now on, in :func:`evaluate`, its details and its report."""
+    SCORERS[domain] = scorer
+
+
+def _by_domain(domain: Column, parts: dict[str, Column]) -> Column:
+    """The part of the row's domain; null for any other."""
+    out = None
+    for name, c in parts.items():
+        out = F.when(domain == name, c) if out is None else out.when(domain == name, c)
+    return out
+
+
+def verdict_columns(scorers: dict[str, Scorer] | None = None, pred_col: str = "prediction", ref_col: str = "reference",
+                    passed_col: str = "passed") -> list[dict[str, dict[str, Column]]]:
+    """Per step: each verdict column with its expression by domain."""
+    steps: list[dict[str, dict[str, Column]]] = []
+    for domain, scorer in (SCORERS if scorers is None else scorers).items():
+        for i, step in enumerate(scorer.verdicts):
+            if i == len(steps):
+                steps.append({})
+            for name, c in step(pred_col, ref_col, passed_col).items():
+                steps[i].setdefault(name, {})[domain] = c
+    return steps
+
+
+def with_verdicts(df: DataFrame, domain_col: str = "domain", pred_col: str = "prediction", ref_col: str = "reference",
+                  passed_col: str = "passed", scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """``df`` with the verdict columns of every scorer, null outside its domain: one projection a step."""
+    for step in verdict_columns(scorers, pred_col, ref_col, passed_col):
+        columns = {name: _by_domain(F.col(domain_col), parts) for name, parts in step.items()}
+        df = df.select(*[F.col(c) for c in df.columns if c not in columns], *[c.alias(name) for name, c in columns.items()])
+    return df
 
 
 def evaluate(df: DataFrame, domain_col: str = "domain", pred_col: str = "prediction",
-             ref_col: str = "reference", passed_col: str = "passed") -> DataFrame:
-    """Score every domain in one scan and one ``groupBy``.
+             ref_col: str = "reference", passed_col: str = "passed", scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """Score every domain in one scan and one ``groupBy``, by the registered scorers.
 
     Verdicts are computed under ``when(domain == ...)`` so each row only pays
     for its own scorer.  Output: one row per domain with every metric (null
     where it does not apply), the headline metric and its ``x.x%`` text (A10),
     plus a ``scored`` flag: domains without a scorer are reported, not dropped.
     """
-    d = F.col(domain_col)
-    is_math, is_code, is_ops = d == "math", d == "code", d == "aiops"
-    pa = F.when(is_math, X.extract_answer(pred_col))
-    ra = F.when(is_math, X.extract_reference(ref_col))
-    pk = F.when(is_ops, X.extract_keywords(pred_col))
-    rk = F.when(is_ops, X.extract_keywords(ref_col))
-    rows = df.select(d.alias(domain_col), pa.alias("pred_answer"), ra.alias("ref_answer"),
-                     F.when(is_code, F.coalesce(F.col(passed_col), F.lit(False))).alias("passed"),
-                     F.when(is_ops, F.size(F.array_intersect(pk, rk)) > 0).alias("keyword_match"),
-                     F.when(is_ops, X.any_token_contained(pred_col, ref_col)).alias("substring_match"))
-    # one projection for the derived flags (each DataFrame step re-analyses the plan)
-    rows = rows.select("*", (F.col("pred_answer").isNull() | F.col("ref_answer").isNotNull()).alias("counted"),
-                       F.coalesce(X.approx_equal("pred_answer", "ref_answer"), F.lit(False)).alias("correct"))
-    n = F.count(F.lit(1))
-    counted = F.count_if(F.col("counted"))
-    correct = F.count_if(F.col("counted") & F.col("correct"))
-    no_ans = F.count_if(F.col("pred_answer").isNull())
-    m = F.col(domain_col)
-    agg = rows.groupBy(domain_col).agg(
-        n.alias("n_rows"),
-        F.when(m == "math", counted).when(m.isin("code", "aiops"), n).alias("total_samples"),
-        F.when(m == "math", _rate(correct, counted)).alias("exact_match"),
-        F.when(m == "math", _rate(no_ans, n)).alias("no_answer_rate"),
-        F.when(m == "code", _rate(F.count_if(F.col("passed")), n)).alias("pass_at_1"),
-        F.when(m == "aiops", _rate(F.count_if(F.col("keyword_match")), n)).alias("keyword_match_rate"),
-        F.when(m == "aiops", _rate(F.count_if(F.col("substring_match")), n)).alias("substring_match_rate"),
-    )
-    headline = (F.when(m == "math", F.col("exact_match"))
-                .when(m == "code", F.col("pass_at_1"))
-                .when(m == "aiops", F.col("keyword_match_rate")))
-    return agg.select(
-        "*",
-        F.when(m == "math", "exact_match").when(m == "code", "pass@1")
-        .when(m == "aiops", "keyword_match_rate").alias("headline_metric"),
-        headline.alias("headline_value"),
-        X.format_percent1(headline).alias("headline_text"),
-        m.isin(*HEADLINE).alias("scored"))
+    base = df.select(domain_col, pred_col, ref_col, passed_col)
+    return summarize(with_verdicts(base, domain_col, pred_col, ref_col, passed_col, scorers), domain_col, scorers)
+
+
+def summarize(verdicts: DataFrame, domain_col: str = "domain", scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """:func:`evaluate` over rows that have their verdict columns already."""
+    scorers = SCORERS if scorers is None else scorers
+    m, metrics = F.col(domain_col), {}
+    for domain, scorer in scorers.items():
+        for name, c in scorer.metrics().items():
+            metrics.setdefault(name, {})[domain] = c
+    agg = verdicts.groupBy(domain_col).agg(F.count(F.lit(1)).alias("n_rows"),
+                                           *[_by_domain(m, parts).alias(name) for name, parts in metrics.items()])
+    headline = _by_domain(m, {d: F.col(x.headline) for d, x in scorers.items()})
+    label = _by_domain(m, {d: F.lit(x.label or x.headline) for d, x in scorers.items()})
+    return agg.select("*", label.alias("headline_metric"), headline.alias("headline_value"),
+                      X.format_percent1(headline).alias("headline_text"), m.isin(*scorers).alias("scored"))
+
+
+def long_report(report: DataFrame, domain_col: str = "domain") -> DataFrame:
+    """S7, long form: ``domain, metric, value`` of each metric that applies, whatever the scorers name, and the overall total.
+
+    ``report`` has a row per domain: windows over all of it give the total
+    without a second evaluation."""
+    metrics = [c for c in report.columns if c not in (domain_col, "n_rows", "headline_metric", "headline_value", "headline_text", "scored")]
+    everything = Window.partitionBy()
+    rep = (report.withColumn("_all", F.sum(F.when(F.col("scored"), F.col("total_samples"))).over(everything))
+           .withColumn("_first", F.col(domain_col).eqNullSafe(F.min(domain_col).over(everything))))
+
+    def item(domain: Column, metric: str, value: Column, keep: Column) -> Column:
+        return F.when(keep & value.isNotNull(), F.struct(domain.alias("domain"), F.lit(metric).alias("metric"),
+                                                         value.cast("double").alias("value")))
+
+    items = [item(F.col(domain_col), m, F.col(m), F.col("scored")) for m in metrics]
+    items.append(item(F.lit("ALL"), "total_samples", F.col("_all"), F.col("_first")))
+    stacked = rep.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("m"))
+    return stacked.select("m.domain", "m.metric", "m.value")
 
 
 def overall_total(report: DataFrame) -> DataFrame:

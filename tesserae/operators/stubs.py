@@ -37,3 +37,11 @@ def failing_model(marker: str = "@"):
         return fn
     factory.__qualname__ = f"failing_model[{marker}]"
     return factory
+
+
+def settings_model():
+    """Answers with the settings it was called with."""
+    def fn(prompts, params):
+        text = " ".join(f"{k}={params[k]}" for k in sorted(params))
+        return [text] * len(prompts)
+    return fn

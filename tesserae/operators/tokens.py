@@ -1,7 +1,8 @@
 """Token operators (T3, T4, T5, T7): supervised examples, padded batches,
 prompt-only examples and the length profile.
 
-All per-row work is higher-order array functions (no Python).  Padding needs
+All per-row work is higher-order array functions; only a tokenizer of another
+library is Python, on Arrow batches.  Padding needs
 the maximum length of each batch: a window over ``batch_id``, whose partition
 size is bounded by the batch size.
 """
@@ -13,35 +14,41 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import render as R
 from tesserae.functions import tokens as TK
-from tesserae.operators.sampling import assign_batches
+from tesserae.operators.sampling import assign_batches, content_hash, with_index
 
 
 def supervised_examples(df: DataFrame, prompt_col: str = "prompt", response_col: str = "response",
-                        max_length: int = 2048, tokenizer: TK.Tokenizer = TK.DEFAULT_TOKENIZER,
+                        max_length: int | None = None, tokenizer: TK.Tokenizer = TK.DEFAULT_TOKENIZER,
                         id_col: str = "id", domain_col: str | None = "domain") -> DataFrame:
     """Sections template -> encode -> mask the prompt part.
 
-    Emits ``input_ids``, ``attention_mask``, ``labels`` (equal lengths) and
-    ``prompt_len``; the domain defaults to ``unknown`` and a missing id to a
-    unique row id (use ``sampling.with_index`` first for a dense index).
+    Emits ``input_ids``, ``attention_mask``, ``labels`` (equal lengths),
+    ``prompt_len`` and ``full_len``, the length before the cut to
+    ``max_length`` (none by default).  Text and prefix are encoded once each,
+    and every other column is made of those ids.  The domain defaults to
+    ``unknown``, a missing id to the row's index in the order of the rows'
+    content (W1), which no file layout changes.
     """
     text, prefix = R.render_sections(F.col(prompt_col), F.coalesce(F.col(response_col), F.lit("")))
-    ids = TK.encode(text, max_length, tokenizer)
-    plen = F.size(tokenizer(prefix))
     domain = F.coalesce(F.col(domain_col), F.lit("unknown")) if domain_col and domain_col in df.columns \
         else F.lit("unknown")
-    out = df if id_col in df.columns else df.withColumn(id_col, F.monotonically_increasing_id().cast("string"))
-    return (out.withColumn("input_ids", ids)
-            .withColumn("prompt_len", plen)
+    out = df
+    if id_col not in df.columns:
+        out, _ = with_index(df.withColumn("_content", content_hash(df)), ["_content"], id_col)
+        out = out.withColumn(id_col, F.col(id_col).cast("string")).drop("_content")
+    full = F.col("_full")
+    ids = full if max_length is None else F.slice(full, 1, max_length)
+    encoded = out.select("*", tokenizer(text).alias("_full"), tokenizer(prefix).alias("_prefix"))
+    return (encoded.withColumn("prompt_len", F.size("_prefix")).withColumn("full_len", F.size(full)).withColumn("input_ids", ids).drop("_full", "_prefix")
             .withColumn("attention_mask", TK.ones_like("input_ids"))
             .withColumn("labels", TK.mask_prompt("input_ids", F.col("prompt_len")))
             .withColumn("domain", domain))
 
 
-def prompt_only_examples(df: DataFrame, prompt_col: str = "prompt", max_length: int = 512,
+def prompt_only_examples(df: DataFrame, prompt_col: str = "prompt", max_length: int | None = None,
                          tokenizer: TK.Tokenizer = TK.DEFAULT_TOKENIZER) -> DataFrame:
     """T5: ChatML-wrapped prompt (idempotent), labels = ids, nothing masked;
-    the response is never used."""
+    the response is never used.  Cut to ``max_length`` ids (no cut by default)."""
     ids = TK.encode(R.ensure_chatml(F.col(prompt_col)), max_length, tokenizer)
     return (df.withColumn("input_ids", ids)
             .withColumn("attention_mask", TK.ones_like("input_ids"))

@@ -34,26 +34,32 @@ def chat_render_plain(spark, sf_dir):
 
 
 # ------------------------------------------------------------- P9 / P10
-def first_turns(spark, sf_dir) -> DataFrame:
+def user_turns(spark, sf_dir) -> DataFrame:
+    """Every user turn as an instruction, with its conversation's first system text.
+
+    The system text is one row per conversation (``min_by`` combines
+    map-side), joined back to the turns."""
     c = conversations(spark, sf_dir)
-    return c.groupBy("conv_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("instruction"),
-        F.min_by("text", F.when(F.col("role") == "system", F.col("turn"))).alias("system_text"),
-        F.count_if(F.col("role") == "user").alias("_n_user"))
+    system = c.filter(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system_text"))
+    turns = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("instruction"))
+    return turns.join(system, "conv_id", "left")
+
+
+USER_TURNS_SQL = """
+u AS (
+  SELECT conv_id, turn, text AS instruction,
+    (SELECT arg_min(s.text, s.turn) FROM conversations s WHERE s.role = 'system' AND s.conv_id = c.conv_id) AS system_text
+  FROM conversations c WHERE role = 'user')"""
 
 
 @query("chatml_render", "P9 P10", sql=f"""
-WITH f AS (
-  SELECT conv_id, arg_min(text, CASE WHEN role = 'user' THEN turn END) AS instruction,
-         arg_min(text, CASE WHEN role = 'system' THEN turn END) AS system_text,
-         count_if(role = 'user') AS n_user
-  FROM conversations GROUP BY conv_id),
+WITH {USER_TURNS_SQL},
 r AS (
-  SELECT conv_id, instruction,
+  SELECT conv_id, turn, instruction,
     {Q.lit(R.CHATML_USER)} || CASE WHEN length(coalesce(system_text, '')) > 0
       THEN instruction || chr(10) || system_text ELSE instruction END || {Q.lit(R.CHATML_END_ASSISTANT)} AS chatml
-  FROM f WHERE n_user > 0)
-SELECT conv_id, md5(chatml) AS chatml_md5,
+  FROM u)
+SELECT conv_id, turn, md5(chatml) AS chatml_md5,
   (CASE WHEN starts_with(chatml, '<|im_start|>') THEN chatml
         ELSE {Q.lit(R.CHATML_USER)} || chatml || {Q.lit(R.CHATML_END_ASSISTANT)} END) = chatml AS idempotent,
   md5(CASE WHEN starts_with(instruction, '<|im_start|>') THEN instruction
@@ -61,14 +67,47 @@ SELECT conv_id, md5(chatml) AS chatml_md5,
 FROM r
 """)
 def chatml_render(spark, sf_dir):
-    f = first_turns(spark, sf_dir).filter(F.col("_n_user") > 0)
     chatml = R.render_chatml(F.col("instruction"), F.coalesce(F.col("system_text"), F.lit("")))
-    r = f.select("conv_id", "instruction", chatml.alias("chatml"))
-    return r.select("conv_id", F.md5("chatml").alias("chatml_md5"),
+    r = user_turns(spark, sf_dir).select("conv_id", "turn", "instruction", chatml.alias("chatml"))
+    return r.select("conv_id", "turn", F.md5("chatml").alias("chatml_md5"),
                     (R.ensure_chatml("chatml") == F.col("chatml")).alias("idempotent"),
                     F.md5(R.ensure_chatml("instruction")).alias("ensured_md5"))
 
 
+# ------------------------------------------------------------- P6 / P7 in bounded rows
+SEGMENT_TURNS = 3
+
+_LINE_SQL = """CASE role WHEN 'user' THEN 'Human: ' || coalesce(text, '') || chr(10)
+                         WHEN 'assistant' THEN 'Assistant: ' || coalesce(text, '') || chr(10)
+                         WHEN 'system' THEN 'System: ' || coalesce(text, '') || chr(10) ELSE '' END"""
+
+
+@query("chat_segments", "P6 P7 W1", sql=f"""
+WITH p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {SEGMENT_TURNS} AS segment FROM conversations)
+SELECT conv_id, segment, min(turn) AS first_turn, count(*) AS n_messages, string_agg(role, '|' ORDER BY turn) AS roles,
+  md5(string_agg(coalesce(text, ''), '|' ORDER BY turn)) AS contents_md5, md5(string_agg({_LINE_SQL}, '' ORDER BY turn)) AS rendered_md5
+FROM p GROUP BY conv_id, segment
+""")
+def chat_segments(spark, sf_dir):
+    s = REC.chat_segments(conversations(spark, sf_dir), turns_per_segment=SEGMENT_TURNS)
+    return s.select("conv_id", "segment", "first_turn", "n_messages",
+                    F.array_join(F.transform("messages", lambda m: m["role"]), "|").alias("roles"),
+                    F.md5(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), "|")).alias("contents_md5"),
+                    F.md5("rendered").alias("rendered_md5"))
+
+
+@query("chat_collect", "P6", sql="""
+SELECT conv_id, count(*) AS n_messages, string_agg(role, '|' ORDER BY turn) AS roles,
+  md5(string_agg(coalesce(text, ''), '|' ORDER BY turn)) AS contents_md5
+FROM conversations GROUP BY conv_id
+""")
+def chat_collect(spark, sf_dir):
+    c = REC.collect_chat(conversations(spark, sf_dir))
+    return c.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda m: m["role"]), "|").alias("roles"),
+                    F.md5(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), "|")).alias("contents_md5"))
+
+
 # ------------------------------------------------------- P5 / P8 / P11 / P12
 def turn_pairs(spark, sf_dir) -> DataFrame:
     """User turn + the following assistant turn (left join: may be absent)."""
@@ -256,12 +295,9 @@ def teacher_student_report(spark, sf_dir):
                       F.round("loss_improvement_pct", 6).alias("loss_improvement_pct"), "error")
 
 
-@query("chatml_idempotent", "P10 (property over every first user turn)", sql=f"""
-WITH f AS (
-  SELECT conv_id, arg_min(text, CASE WHEN role = 'user' THEN turn END) AS instruction
-  FROM conversations GROUP BY conv_id HAVING count_if(role = 'user') > 0),
-e AS (SELECT conv_id, CASE WHEN starts_with(instruction, '<|im_start|>') THEN instruction
-        ELSE {Q.lit(R.CHATML_USER)} || instruction || {Q.lit(R.CHATML_END_ASSISTANT)} END AS once FROM f)
+@query("chatml_idempotent", "P10 (property over every user turn)", sql=f"""
+WITH e AS (SELECT CASE WHEN starts_with(text, '<|im_start|>') THEN text
+        ELSE {Q.lit(R.CHATML_USER)} || text || {Q.lit(R.CHATML_END_ASSISTANT)} END AS once FROM conversations WHERE role = 'user')
 SELECT count(*) AS n_prompts,
   CAST(count_if((CASE WHEN starts_with(once, '<|im_start|>') THEN once
         ELSE {Q.lit(R.CHATML_USER)} || once || {Q.lit(R.CHATML_END_ASSISTANT)} END) = once) AS BIGINT) AS n_idempotent,
@@ -269,9 +305,8 @@ SELECT count(*) AS n_prompts,
 FROM e
 """)
 def chatml_idempotent(spark, sf_dir):
-    f = first_turns(spark, sf_dir).filter(F.col("_n_user") > 0)
-    once = R.ensure_chatml("instruction")
-    e = f.select(once.alias("once"))
+    turns = conversations(spark, sf_dir).filter(F.col("role") == "user")
+    e = turns.select(R.ensure_chatml("text").alias("once"))
     return e.agg(F.count(F.lit(1)).alias("n_prompts"),
                  F.count_if(R.ensure_chatml("once") == F.col("once")).alias("n_idempotent"),
                  F.count_if(F.col("once").startswith(R.CHATML_USER)).alias("n_wrapped"))

@@ -61,6 +61,29 @@ def capped_eval(spark, sf_dir):
     return out.withColumn("rank_in_domain", F.col("rank_in_domain").cast("bigint"))
 
 
+@query("eval_exclusion", "M5 (exclude_from_train)", sql=f"""
+WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {KEY_SQL}, doc_id) AS k FROM documents)
+SELECT doc_id, CASE WHEN k <= CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CAPS.items())} ELSE 0 END
+                    THEN 'eval' ELSE 'train' END AS part FROM r
+""")
+def eval_exclusion(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "lang")
+    held = M.capped_eval_sample(d, "lang", CAPS, "doc_id", SEED, exclude_from_train=True)
+    train = M.exclude_eval_from_train(d, held, "doc_id")
+    return (held.filter("exclude_from_train").select("doc_id", F.lit("eval").alias("part"))
+            .unionByName(train.select("doc_id", F.lit("train").alias("part"))))
+
+
+@query("mode_samples", "M7 (medium, full)", sql=f"""
+SELECT 'medium' AS mode, doc_id, lang FROM (SELECT doc_id, lang FROM documents ORDER BY {KEY_SQL}, doc_id LIMIT 50)
+UNION ALL SELECT 'full', doc_id, lang FROM documents
+""")
+def mode_samples(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "lang")
+    parts = [M.mode_sample(d, m, "lang", "doc_id", "doc_id", SEED).select(F.lit(m).alias("mode"), "doc_id", "lang") for m in ("medium", "full")]
+    return parts[0].unionByName(parts[1])
+
+
 def _representative_sql(n: int, domain: str) -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce({domain}, 'unknown') AS dom FROM documents),

@@ -36,8 +36,8 @@ def query(name: str, operators: str, sql: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # Importing the plan modules registers their queries.
-    from tesserae.plans import (chat, corpus, inference, logits, scoring,  # noqa: F401
-                                tokens)
+    from tesserae.plans import (chat, corpus, files, inference, logits,  # noqa: F401
+                                scoring, tokens)
     return dict(_QUERIES)
 
 

@@ -243,9 +243,10 @@ code AS (
 
 
 def _code_ext_cte() -> str:
-    fence_py = Q.strip(r"regexp_extract_all(response, '(?s)```python\s*\n(.*?)\n```', 1)[1]")
-    fence = Q.strip(r"regexp_extract_all(response, '(?s)```\s*\n(.*?)\n```', 1)[1]")
-    pat3 = (r"'(?s)(def\s+' || " + Q.quote_regex("entry_point") +
+    ws = "[" + Q._PY_SPACE + "]"
+    fence_py = Q.strip(f"regexp_extract_all(response, '(?s)```python{ws}*\\n(.*?)\\n```', 1)[1]")
+    fence = Q.strip(f"regexp_extract_all(response, '(?s)```{ws}*\\n(.*?)\\n```', 1)[1]")
+    pat3 = (f"'(?s)(def{ws}+' || " + Q.quote_regex("entry_point") +
             r" || '.*?)(?:\n\n|\nclass|\ndef|\z)'")
     bare = Q.strip(f"regexp_extract_all(response, {pat3}, 1)[1]")
     needle = "'def ' || entry_point"
@@ -408,24 +409,7 @@ SELECT domain, metric, value FROM (
   UNION ALL SELECT 'ALL', 'total_samples', CAST(sum(total_samples) AS DOUBLE) FROM s WHERE scored)
 """)
 def evaluation_report(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rep = domain_summary(spark, sf_dir)
-    # one row per domain: windows over the whole (tiny) table give the overall
-    # total without evaluating the scoring plan a second time
-    everything = Window.partitionBy()
-    rep = (rep.withColumn("_all", F.sum(F.when(F.col("scored"), F.col("total_samples"))).over(everything))
-           .withColumn("_first", F.col("domain") == F.min("domain").over(everything)))
-    metrics = ["total_samples"] + REPORT_METRICS
-
-    def item(domain, metric, value, keep):
-        return F.when(keep & value.isNotNull(), F.struct(domain.alias("domain"), F.lit(metric).alias("metric"),
-                                                         value.cast("double").alias("value")))
-
-    items = [item(F.col("domain"), m, F.col(m), F.col("scored") | F.lit(m != "total_samples")) for m in metrics]
-    items.append(item(F.lit("ALL"), "total_samples", F.col("_all"), F.col("_first")))
-    stacked = rep.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("m"))
-    return stacked.select("m.domain", "m.metric", "m.value")
+    return S.long_report(domain_summary(spark, sf_dir))
 
 
 @query("substring_match", "A8 X5", sql=f"""
@@ -452,3 +436,72 @@ def answer_extraction_thousands(spark, sf_dir):
     m = math_predictions(spark, sf_dir)
     return m.select("item_id", X.extract_answer("prediction", "thousands").alias("pred_answer"),
                     X.extract_reference("reference", "thousands").alias("ref_answer"))
+
+
+# ------------------------------------------------------------- S6 / S7 as written
+def _verdict_rows_sql() -> str:
+    kw = f"SELECT *, {Q.keywords('prediction')} AS pk, {Q.keywords('reference')} AS rk FROM kw"
+    return f"""
+WITH {MATH_CTE}, {CODE_CTE}, {KEYWORD_CTE}, {_code_ext_cte()},
+rows_ AS (
+  SELECT 'math' AS domain, prediction, reference, pred_answer, ref_answer, counted, correct, NULL::BOOLEAN AS passed,
+         NULL::VARCHAR AS pred_keywords, NULL::VARCHAR AS ref_keywords, NULL::BOOLEAN AS keyword_match, NULL::BOOLEAN AS substring_match
+  FROM verdicts
+  UNION ALL
+  SELECT 'code', response, NULL, NULL, NULL, NULL, NULL, contains(extracted_code, 'return'), NULL, NULL, NULL, NULL FROM code_x
+  UNION ALL
+  SELECT 'aiops', prediction, reference, NULL, NULL, NULL, NULL, NULL, array_to_string(pk, '|'), array_to_string(rk, '|'),
+         len(list_intersect(pk, rk)) > 0, {Q.any_token_contained('prediction', 'reference')} FROM ({kw})
+  UNION ALL
+  SELECT 'web', url, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pages)"""
+
+
+VERDICT_FIELDS = ("domain string, prediction string, reference string, pred_answer double, ref_answer double, counted boolean, correct boolean, "
+                  "passed boolean, pred_keywords array<string>, ref_keywords array<string>, keyword_match boolean, substring_match boolean")
+
+
+@query("detailed_results", "S6 S1 S2 X1 X2 X4 X5", sql=f"""{_verdict_rows_sql()}
+SELECT domain, md5(prediction) AS prediction_md5, md5(reference) AS reference_md5, pred_answer, ref_answer, counted, correct, passed,
+       pred_keywords, ref_keywords, keyword_match, substring_match FROM rows_
+""")
+def detailed_results(spark, sf_dir):
+    """The per-row verdicts of every domain, as the detail output holds them when it is read back."""
+    from tesserae.session import scratch_path
+    from tesserae.sources import jsonl as J
+
+    out = scratch_path(spark, "detailed")
+    J.write_detailed_results(S.with_verdicts(eval_rows(spark, sf_dir)), out)
+    d = J.read_jsonl(spark, out, VERDICT_FIELDS)
+    return d.select("domain", F.md5("prediction").alias("prediction_md5"), F.md5("reference").alias("reference_md5"), "pred_answer",
+                    "ref_answer", "counted", "correct", "passed", F.array_join("pred_keywords", "|").alias("pred_keywords"),
+                    F.array_join("ref_keywords", "|").alias("ref_keywords"), "keyword_match", "substring_match")
+
+
+@query("report_record", "S7 G9 (nested record)", sql=f"""
+WITH s AS ({_eval_sql()})
+SELECT 'models/student' AS model_path, 'documents' AS eval_data_path, CAST(sum(total_samples) AS BIGINT) AS total_samples, count(*) AS n_domains,
+  max(CASE WHEN domain = 'math' THEN exact_match END) AS math_exact_match, max(CASE WHEN domain = 'code' THEN pass_at_1 END) AS code_pass_at_1,
+  max(CASE WHEN domain = 'aiops' THEN headline_text END) AS aiops_headline, bool_or(domain = 'web' AND scored) AS web_scored, '0.1' AS temperature
+FROM s
+""")
+def report_record(spark, sf_dir):
+    from tesserae.sources import jsonl as J
+
+    rep = J.report_record(S.evaluate(eval_rows(spark, sf_dir)), {"temperature": 0.1, "max_new_tokens": 512},
+                          {"model_path": "models/student", "eval_data_path": "documents"})
+    of = lambda domain, field: F.col("domain_results").getItem(domain).getField(field)
+    return rep.select("model_path", "eval_data_path", "total_samples", F.size("domain_results").cast("bigint").alias("n_domains"),
+                      F.round(of("math", "exact_match"), 6).alias("math_exact_match"), F.round(of("code", "pass_at_1"), 6).alias("code_pass_at_1"),
+                      of("aiops", "headline_text").alias("aiops_headline"), of("web", "scored").alias("web_scored"),
+                      F.col("generation_config").getItem("temperature").alias("temperature"))
+
+
+@query("metric_by_name", "U1 A2 A3", sql=f"""
+WITH {PAIRS_CTE}
+SELECT doc_id, coalesce({Q.norm('prediction')} = {Q.norm('reference')}, false) AS exact_match,
+       coalesce(contains({Q.norm('prediction')}, {Q.norm('reference')}), false) AS contains
+FROM pairs
+""")
+def metric_by_name(spark, sf_dir):
+    pairs = text_pairs(spark, sf_dir)
+    return pairs.select("doc_id", *[S.metric(name, "prediction", "reference").alias(name) for name in ("exact_match", "contains")])

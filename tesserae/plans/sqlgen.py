@@ -33,7 +33,8 @@ def spaces(e: str) -> str:
 
 
 def prepared(e: str) -> str:
-    return f"translate({spaces(e)}, {lit(FULLWIDTH_DIGITS)}, {lit(ASCII_DIGITS)})"
+    tabs = f"regexp_replace({e}, {lit('[' + _EXOTIC + ']')}, chr(9), 'g')"
+    return f"translate({tabs}, {lit(FULLWIDTH_DIGITS)}, {lit(ASCII_DIGITS)})"
 
 
 def _num(p: str, mode: str) -> str:

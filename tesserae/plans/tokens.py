@@ -25,41 +25,55 @@ def ids_md5(c) -> Column:
 TEXT_SQL = (f"{Q.lit(R.SECTION_QUESTION)} || prompt || {Q.lit(R.SECTION_ANSWER)} || coalesce(response, '')")
 PREFIX_SQL = f"{Q.lit(R.SECTION_QUESTION)} || prompt || {Q.lit(R.SECTION_ANSWER)}"
 
-EXAMPLES_SQL = f"""
+
+
+def _examples_sql(max_len: int | None) -> str:
+    ids = "full_ids" if max_len is None else f"full_ids[1:{max_len}]"
+    return f"""
 {PAIRS_SQL},
 ex0 AS (SELECT conv_id, turn, {Q.tokens(TEXT_SQL)} AS full_ids, len({Q.tokens(PREFIX_SQL)}) AS prompt_len FROM pairs),
 ex AS (
-  SELECT conv_id, turn, prompt_len, len(full_ids) AS full_len, full_ids[1:{MAX_LEN}] AS input_ids,
-    list_transform(full_ids[1:{MAX_LEN}], lambda x, i: CASE WHEN i - 1 < prompt_len THEN -100 ELSE x END) AS labels,
+  SELECT conv_id, turn, prompt_len, len(full_ids) AS full_len, {ids} AS input_ids,
+    list_transform({ids}, lambda x, i: CASE WHEN i - 1 < prompt_len THEN -100 ELSE x END) AS labels,
     row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx
   FROM ex0)"""
 
 
-def tokenise(pairs):
-    ex = TO.supervised_examples(pairs, "prompt", "response", MAX_LEN, domain_col=None)
-    full = F.size(TK.encode(R.render_sections(F.col("prompt"), F.coalesce(F.col("response"), F.lit("")))[0]))
-    return ex.withColumn("full_len", full)
-
-
-def examples(spark, sf_dir):
-    return tokenise(turn_pairs(spark, sf_dir))
+EXAMPLES_SQL = _examples_sql(MAX_LEN)
 
 
-@query("token_mask", "T1 T2 T3 F5", sql=f"""
-WITH {EXAMPLES_SQL}
+def _mask_sql(max_len: int | None) -> str:
+    return f"""
+WITH {_examples_sql(max_len)}
 SELECT conv_id, turn, len(input_ids) AS n_ids, prompt_len,
   len(list_filter(labels, lambda x: x = -100)) AS n_masked, {Q.int_list_md5('input_ids')} AS ids_md5,
   {Q.int_list_md5('labels')} AS labels_md5
 FROM ex
-""")
-def token_mask(spark, sf_dir):
-    ex = examples(spark, sf_dir)
+"""
+
+
+def tokenise(pairs, max_len: int | None = MAX_LEN):
+    return TO.supervised_examples(pairs.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "prompt", "response", max_len,
+                                  domain_col=None)
+
+
+def _mask(ex):
     return ex.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n_ids"),
                      F.col("prompt_len").cast("bigint").alias("prompt_len"),
                      F.size(F.filter("labels", lambda x: x == TK.IGNORE_INDEX)).cast("bigint").alias("n_masked"),
                      ids_md5("input_ids").alias("ids_md5"), ids_md5("labels").alias("labels_md5"))
 
 
+@query("token_mask", "T1 T2 T3 F5", sql=_mask_sql(MAX_LEN))
+def token_mask(spark, sf_dir):
+    return _mask(tokenise(turn_pairs(spark, sf_dir)))
+
+
+@query("token_mask_uncut", "T1 T2 T3 F5 (whole texts)", sql=_mask_sql(None))
+def token_mask_uncut(spark, sf_dir):
+    return _mask(tokenise(turn_pairs(spark, sf_dir), None))
+
+
 @query("pad_batch", "T4 M9 W1", sql=f"""
 WITH {EXAMPLES_SQL},
 b AS (SELECT *, idx // {BATCH} AS batch_id, max(len(input_ids)) OVER (PARTITION BY idx // {BATCH}) AS width FROM ex)

@@ -7,11 +7,16 @@ so a crashed write never leaves a half file behind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.functions.text import py_strip
 from tesserae.schemas import EVAL_INPUT
+from tesserae.sources.json_array import read_json_array  # noqa: F401  (S3)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -29,14 +34,22 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists",
     w.json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """S3: a file holding one JSON array (the raw-corpus backup format)."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """S3 write side: a folder of files that each hold one JSON array, a file for each task.
 
+    A record a line between the brackets; nulls kept, non-ASCII unescaped."""
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for b in batches:
+            lines = []
+            for text in b.column(0).to_pylist():
+                lines.append(before + text)
+                before = ","
+            yield pa.RecordBatch.from_pydict({"value": lines})
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
 
-def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """S3 write side: JSON Lines (an indented single array is a one-machine format)."""
-    write_jsonl(df, path, mode)
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(record.alias("value")).mapInArrow(bracketed, "value string").write.mode(mode).text(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -59,25 +72,29 @@ def load_eval_records(spark: SparkSession, path: str, default_df: DataFrame | No
         if default_df is None:
             raise FileNotFoundError(path)
         return default_df, default_df.limit(0)
-    raw = spark.read.text(path)
-    blank = raw.filter(F.trim(F.col("value")) == "").limit(1).count()
-    if blank:
-        raise ValueError(f"blank line in {path}")
-    return normalize_eval_records(read_jsonl(spark, path, EVAL_INPUT))
+    parsed = spark.read.text(path).select(F.when(
+        py_strip(F.col("value")) == "", F.raise_error(F.lit(f"blank line in {path}")).cast(EVAL_INPUT))
+        .otherwise(F.from_json("value", EVAL_INPUT, {"mode": "FAILFAST"})).alias("r"))
+    return normalize_eval_records(parsed.select("r.*"))
 
 
 def merge_frames(frames: list[DataFrame], id_col: str, order_col: str) -> DataFrame:
-    """S5 core: union shards by name, keep one row per id (the one with the
-    largest ``order_col``, i.e. the latest shard).
+    """S5 core: union shards by name, keep one row per id: of the latest shard
+    (largest ``order_col``), and of several rows there the one whose JSON text is
+    the largest, so that the choice does not depend on the layout.
 
-    Duplicates per id are bounded by the number of shards, so the window
-    partition is small even when shards overlap heavily.
+    A null id is an error, raised while the rows are read.  The rows of an id
+    combine map-side (``max_by``), so an id that every shard repeats is a row for
+    each task, and no group is sorted.
     """
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
-    w = Window.partitionBy(id_col).orderBy(F.col(order_col).desc())
-    return u.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    message = F.raise_error(F.lit(f"merge: null ids in column {id_col}")).cast(u.schema[id_col].dataType)
+    checked = u.withColumn(id_col, F.when(F.col(id_col).isNull(), message).otherwise(F.col(id_col)))
+    whole = F.struct(*[F.col(c) for c in u.columns])
+    last = checked.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(whole, F.struct(F.col(order_col), F.to_json(whole))).alias("_row"))
+    return last.select("_row.*")
 
 
 def merge_shards(spark: SparkSession, paths: list[str], schema: T.StructType | str, out: str,
@@ -98,13 +115,12 @@ def merge_shards(spark: SparkSession, paths: list[str], schema: T.StructType | s
 
 def write_detailed_results(scored: DataFrame, path: str, domain_col: str = "domain",
                            mode: str = "overwrite") -> None:
-    """Per-row verdicts, one folder per domain."""
+    """Per-row verdicts (``scoring.with_verdicts``), one folder per domain."""
     write_jsonl(scored, path, mode, partition_by=[domain_col])
 
 
-def write_report(report: DataFrame, path: str, settings: dict | None = None,
-                 mode: str = "overwrite") -> DataFrame:
-    """Totals + per-domain metrics (+ generation settings) as one nested record.
+def report_record(report: DataFrame, settings: dict | None = None, header: dict | None = None) -> DataFrame:
+    """Header (model and data paths), totals, per-domain metrics and generation settings as one nested record.
 
     ``report`` is the per-domain table from ``scoring.evaluate``; it has one
     row per domain, so folding it into one record is bounded by the domain count.
@@ -112,10 +128,18 @@ def write_report(report: DataFrame, path: str, settings: dict | None = None,
     metrics = [c for c in report.columns if c != "domain"]
     nested = report.agg(
         F.sum(F.when(F.col("scored"), F.col("total_samples"))).alias("total_samples"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("domain"), F.struct(*metrics))))
+        F.map_from_entries(F.collect_list(F.struct(F.coalesce("domain", F.lit("unknown")), F.struct(*metrics))))
         .alias("domain_results"))
+    nested = nested.select(*[F.lit(v).alias(k) for k, v in (header or {}).items()], "*")
     if settings:
         nested = nested.withColumn("generation_config", F.create_map(
             *[x for k, v in settings.items() for x in (F.lit(k), F.lit(str(v)))]))
+    return nested
+
+
+def write_report(report: DataFrame, path: str, settings: dict | None = None, mode: str = "overwrite",
+                 header: dict | None = None) -> DataFrame:
+    """Write :func:`report_record` as one JSON line."""
+    nested = report_record(report, settings, header)
     write_jsonl(nested.coalesce(1), path, mode)
     return nested

@@ -10,7 +10,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_declared_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) - set(E._optional()[0]) == {"timing"}  # those have tests of their own
+    assert set(q) - set(o) - set(E._optional()[0]) == set()  # those have tests of their own
 
 
 def test_queries_run_on_smoke_data(spark, sf001):

@@ -7,7 +7,8 @@ import __spark_entry__ as E
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 PYTHON_QUERIES = {"generate_responses", "compare_models", "timing", "resume_anti", "failure_accounting",
-                  "incremental_generate", "stream_generate"}
+                  "incremental_generate", "stream_generate", "compare_models_legs", "evaluate_batched", "generation_params",
+                  "timing_batches", "resume_chunks", "stream_retry", "json_array_round_trip"}
 
 
 def plan(df):

@@ -27,8 +27,8 @@ def test_convergence_verdicts(spark):
 def test_log_tail_and_timing(spark):
     log = spark.range(25).select(F.lit("r").alias("run"), F.col("id").alias("step"))
     assert sorted(r[0] for r in REP.log_tail(log, "run", "step", 10).select("step").collect()) == list(range(15, 25))
-    per_row = spark.createDataFrame([("m", 2.0, 2), ("m", 2.0, 2), ("m", 1.0, 1)],
-                                    "model string, batch_seconds double, batch_rows int")
+    per_row = spark.createDataFrame([("m", "a", 0.0, 2.0), ("m", "a", 0.0, 2.0), ("m", "b", 5.0, 6.0)],
+                                    "model string, batch_key string, batch_started double, batch_ended double")
     t = REP.timing(per_row, "model").first()
     assert t["total_time"] == pytest.approx(3.0) and t["n_batches"] == 2 and t["n_rows"] == 3
 

@@ -159,3 +159,21 @@ def test_sql_and_column_paths_agree(spark):
         b = df.select(X.extract_answer(F.col("t"), mode), X.extract_reference(F.col("t"), mode)).collect()
         assert a == b
     assert df.select(X.extract_keywords("t")).collect() == df.select(X.extract_keywords(F.col("t"))).collect()
+
+
+@pytest.mark.parametrize("t, a, r", [("#### 5 then 9 x", 9.0, 9.0), ("####　5 then 9 x", 9.0, 9.0), ("#### 5 then 9 x", 5.0, 5.0),
+                                     ("答案：　7 of 8 x", 7.0, 8.0), ("Final Answer: 3 of 4 x", 4.0, 4.0), ("= 4", 4.0, 4.0)])
+def test_exotic_whitespace_is_space_only_where_python_says_so(spark, t, a, r):
+    assert _py_answer(t) == a
+    for df in (spark.createDataFrame([(t,)], "t string"),):
+        got = df.select(X.extract_answer("t").alias("a"), X.extract_reference("t").alias("r"), X.extract_answer(F.col("t")).alias("b")).first()
+        assert (got["a"], got["r"], got["b"]) == (a, r, a)
+
+
+@pytest.mark.parametrize("fence", ["```python \n", "```　\x0b\n", "```python\n"])
+def test_fences_take_any_python_whitespace(spark, fence):
+    t = f"see\n{fence}def f(x):\n    return x\n```\nend"
+    r = spark.createDataFrame([(t, "f")], "t string, e string").select(X.extract_code("t", "e")).first()[0]
+    assert r == "def f(x):\n    return x"
+    t = "text def f(x): 1\n\nend"
+    assert spark.createDataFrame([(t, "f")], "t string, e string").select(X.extract_code("t", "e")).first()[0] == t  # no "def f" in the block
