@@ -99,19 +99,18 @@ def top_k(arr, k: int) -> Column:
     lowest = F.lit(float("-inf"))
 
     def keyed(v: Column) -> Column:
-        return F.transform(v, lambda x, i: F.struct((-x).alias("neg"), i.alias("index")))
-
-    def selected(v: Column) -> Column:
-        width = F.floor(F.sqrt(F.size(v).cast("double") / F.lit(float(k)))).cast("int")
-        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")),
-                           lambda j: F.array_max(F.slice(v, j * width + 1, width)))
-        return let(-F.element_at(F.sort_array(tops, asc=False), k), lambda t: let(keyed(v), lambda e: F.concat(
-            F.filter(e, lambda s: s["neg"] < t), F.slice(F.filter(e, lambda s: s["neg"] == t), 1, k))))
-
-    def best(v: Column) -> Column:
-        # beyond 4 k logits there are more than k stretches, of two logits or more
-        return F.slice(F.sort_array(F.when(F.size(v) <= 4 * k, keyed(v)).otherwise(selected(v))), 1, k)
-
-    return let(_col(arr), lambda a: F.transform(
-        let(F.transform(a, lambda x: F.coalesce(F.nanvl(x.cast("double"), lowest), lowest)), best),
-        lambda s: F.struct(F.element_at(a, s["index"] + 1).cast("double").alias("value"), s["index"].alias("index"))))
+        """The values negated, null and NaN as infinity, with their places."""
+        return F.transform(v, lambda x, i: F.struct((-F.coalesce(F.nanvl(x.cast("double"), lowest), lowest)).alias("neg"), i.alias("index")))
+
+    def selected(e: Column) -> Column:
+        width = F.floor(F.sqrt(F.size(e).cast("double") / F.lit(float(k)))).cast("int")
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / width).cast("int")),
+                           lambda j: F.array_min(F.slice(e, j * width + 1, width))["neg"])
+        return let(F.element_at(F.sort_array(tops), k), lambda t: F.concat(
+            F.filter(e, lambda s: s["neg"] < t), F.slice(F.filter(e, lambda s: s["neg"] == t), 1, k)))
+
+    # beyond 4 k logits there are more than k stretches, of two logits or more
+    best = let(keyed(_col(arr)), lambda e: F.when(F.size(e) <= 4 * k, e).otherwise(selected(e)))
+    original = lambda s: F.element_at(_col(arr), s["index"] + 1).cast("double")
+    return F.transform(F.slice(F.sort_array(best), 1, k), lambda s: F.struct(
+        F.when(s["neg"] == float("inf"), original(s)).otherwise(-s["neg"]).alias("value"), s["index"].alias("index")))

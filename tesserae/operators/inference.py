@@ -12,6 +12,7 @@ run before it in the JVM, so pushdown still reaches the scan.
 
 from __future__ import annotations
 
+import itertools
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,49 +80,61 @@ def _run_batch(model: ModelFn, prompts: list, params: dict) -> tuple[list, str,
         return [None] * len(prompts), "failed", f"{type(e).__name__}: {e}", t0, max(t0, time.time())
 
 
-def _emit(pdf: pd.DataFrame, prompt_col: str, model: ModelFn, params: dict) -> pd.DataFrame:
+def _emit(pdf: pd.DataFrame, edges: list[int], prompt_col: str, model: ModelFn, params: dict) -> pd.DataFrame:
+    """``pdf`` with the output columns; its batches lie between consecutive ``edges``."""
     prompts = pdf[prompt_col].tolist()
-    out, status, err, began, ended = _run_batch(model, prompts, params)
-    res = pdf.copy()
-    res["response"] = out
-    res["status"] = status
-    res["error"] = err
-    res["batch_seconds"] = ended - began
-    res["batch_rows"] = len(prompts)
-    res["batch_key"] = uuid.uuid4().hex
-    res["batch_started"] = began
-    res["batch_ended"] = ended
+    responses, per_row = [], []
+    for a, z in itertools.pairwise(edges):
+        out, status, err, began, ended = _run_batch(model, prompts[a:z], params)
+        responses += out
+        per_row += [(status, err, ended - began, z - a, uuid.uuid4().hex, began, ended)] * (z - a)
+    res = pdf.copy(deep=False)
+    res["response"] = pd.Series(responses, dtype=object)
+    for field, values in zip(_OUT_FIELDS[1:], zip(*per_row)):
+        res[field.name] = values
     return res
 
 
-def _batches(it: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Consecutive rows in frames of ``size`` (the last may be smaller); only a tail is copied on."""
+def _batches(it: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames and the edges of the batches in them: consecutive rows, ``size`` each
+    (the last may be smaller).  Only a tail is copied on, and frames stay as large as they come."""
     tail = None
     for pdf in it:
         frame = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
         whole = len(frame) - len(frame) % size
-        for at in range(0, whole, size):
-            yield frame.iloc[at:at + size].reset_index(drop=True)
+        if whole:
+            yield frame.iloc[:whole].reset_index(drop=True), list(range(0, whole + 1, size))
         tail = frame.iloc[whole:] if whole < len(frame) else None
     if tail is not None:
-        yield tail.reset_index(drop=True)
+        yield tail.reset_index(drop=True), [0, len(tail)]
 
 
-def _runs(it: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
-    """Frames of consecutive rows with one value of ``column``; nulls are one value."""
+def require_ids(df: DataFrame, id_col: str = "id", unique: bool = True) -> DataFrame:
+    """``df``, or an error that counts its null (and repeated) ids: rows are paired and resumed by id."""
+    nulls = df.filter(F.col(id_col).isNull()).count()
+    repeats = df.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).count() if unique else 0
+    if nulls or repeats:
+        raise ValueError(f"column {id_col}: {nulls} null ids, {repeats} ids that repeat")
+    return df
+
+
+def _runs(it: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames and the edges of the runs in them: consecutive rows with one value of ``column``; nulls are one value."""
     tail = None
     for pdf in it:
         frame = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        if not len(frame):
+            continue
         value = frame[column]
         last = value.shift()
         change = (value.ne(last) & ~(value.isna() & last.isna())).to_numpy()
-        change[:1] = True
-        edges = [*change.nonzero()[0].tolist(), len(frame)]
-        for a, z in zip(edges[:-2], edges[1:-1]):
-            yield frame.iloc[a:z].reset_index(drop=True)
-        tail = frame.iloc[edges[-2]:] if len(frame) else None
+        change[0] = True
+        edges = change.nonzero()[0].tolist()
+        if len(edges) > 1:
+            yield frame.iloc[:edges[-1]].reset_index(drop=True), edges
+        tail = frame.iloc[edges[-1]:]  # the last run may go on
     if tail is not None:
-        yield tail.reset_index(drop=True)
+        yield tail.reset_index(drop=True), [0, len(tail)]
 
 
 def spread_tasks(df: DataFrame) -> int | None:
@@ -135,15 +148,6 @@ def spread_tasks(df: DataFrame) -> int | None:
     return wanted if _input_bytes(df) < wanted * TARGET_PARTITION_BYTES else None
 
 
-def require_ids(df: DataFrame, id_col: str = "id", unique: bool = True) -> DataFrame:
-    """``df``, or an error that counts its null (and repeated) ids: rows are paired and resumed by id."""
-    nulls = df.filter(F.col(id_col).isNull()).count()
-    repeats = df.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).count() if unique else 0
-    if nulls or repeats:
-        raise ValueError(f"column {id_col}: {nulls} null ids, {repeats} ids that repeat")
-    return df
-
-
 def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prompt",
              batch_size: int = 512, params: dict | None = None, batch_col: str | None = None,
              model_key: str | None = None, num_partitions: int | None = None,
@@ -174,8 +178,8 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
 
     def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(model_factory, key)
-        for part in _batches(it, batch_size) if batch_col is None else _runs(it, batch_col):
-            yield _emit(part, prompt_col, model, p)
+        for part, edges in _batches(it, batch_size) if batch_col is None else _runs(it, batch_col):
+            yield _emit(part, edges, prompt_col, model, p)
 
     out = (src.mapInPandas(per_partition, schema, profile=resource_profile) if resource_profile is not None
            else src.mapInPandas(per_partition, schema))
@@ -363,27 +367,25 @@ def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: st
     for m in models:
         fields += [T.StructField(f"{m}_response", T.StringType()), T.StructField(f"{m}_status", T.StringType()),
                    *[T.StructField(f"{m}_{x}", T.DoubleType()) for x in ("time", "started", "ended")]]
-    schema = T.StructType(fields)
+    schema, added = T.StructType(fields), [f.name for f in fields[len(df.schema.fields):]]
 
     def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded = {m: _model(f, keys[m]) for m, f in models.items()}
 
-        def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-            res = pdf.copy()
-            prompts = pdf[prompt_col].tolist()
-            res["batch_rows"] = len(prompts)
-            res["batch_key"] = uuid.uuid4().hex
-            for m, model in loaded.items():
-                out, status, _, began, ended = _run_batch(model, prompts, p)
-                res[f"{m}_response"] = out
-                res[f"{m}_status"] = status
-                res[f"{m}_time"] = (ended - began) / max(len(prompts), 1)
-                res[f"{m}_started"] = began
-                res[f"{m}_ended"] = ended
-            return res
-
-        for part in _batches(it, batch_size):
-            yield emit(part)
+        for pdf, edges in _batches(it, batch_size):
+            res = pdf.copy(deep=False)
+            prompts, columns = pdf[prompt_col].tolist(), {name: [] for name in added}
+            for a, z in itertools.pairwise(edges):
+                columns["batch_rows"] += [z - a] * (z - a)
+                columns["batch_key"] += [uuid.uuid4().hex] * (z - a)
+                for m, model in loaded.items():
+                    out, status, _, began, ended = _run_batch(model, prompts[a:z], p)
+                    columns[f"{m}_response"] += out
+                    for name, v in (("status", status), ("time", (ended - began) / (z - a)), ("started", began), ("ended", ended)):
+                        columns[f"{m}_{name}"] += [v] * (z - a)
+            for name, values in columns.items():
+                res[name] = pd.Series(values, dtype=object) if name.endswith("_response") else values
+            yield res
 
     tasks = spread_tasks(df)
     out = (df.repartition(tasks) if tasks else df).mapInPandas(per_partition, schema)

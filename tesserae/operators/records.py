@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import render as R
 from tesserae.functions.text import hex_prefix_int, md5_key
-from tesserae.operators.sampling import (count_unique_ids, head_n, sample_n, seeded_index, seeded_key,
-                                         with_index)
+from tesserae.operators.sampling import (count_unique_ids, head_n, sample_n, seeded_index, with_index)
 from tesserae.schemas import METADATA_FIELDS
 
 # ---------------------------------------------------------------------------
@@ -93,9 +92,8 @@ def normalize_math(df: DataFrame, question_col: str, answer_col: str, id_col: st
     The sample is drawn by M1; ids ``gsm8k_%04d`` come from the position in
     the sample (W1 over the seeded order), so they are dense and reproducible.
     """
-    sampled = sample_n(df, sample_size, id_col, seed, keep_key=True) if sample_size is not None \
-        else seeded_key(df, id_col, seed)
-    indexed, _ = seeded_index(sampled, id_col, "_i")
+    sampled = sample_n(df, sample_size, id_col, seed, keep_key=True) if sample_size is not None else df
+    indexed, _ = seeded_index(sampled, id_col, "_i", seed=seed)
     return indexed.select(
         F.format_string("gsm8k_%04d", F.col("_i")).alias("id"),
         F.lit("math").alias("domain"), F.lit("medium").alias("difficulty"),

@@ -21,6 +21,8 @@ KEY = "_sample_key"
 # task: fine while n is small.  Above this, samples go through the
 # distributed index (W1) instead.
 TAKE_ORDERED_MAX = 100_000
+# Caps of a split up to which its ids and its id check share one evaluation.
+ONE_PASS_MAX = 10_000
 # Upper bound on seeded-index buckets (the per-bucket count table's size).
 MAX_BUCKETS = 1 << 20
 
@@ -67,15 +69,18 @@ def content_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()] or [F.lit(0)])
 
 
-def seeded_key(df: DataFrame, id_col: str, seed: int = 42, name: str = KEY) -> DataFrame:
+def seeded_key(df: DataFrame, id_col: str, seed: int = 42, name: str = KEY, content: bool = False) -> DataFrame:
     """The seeded order's key: md5 of the seed and the id.
 
-    A row without an id is keyed by its content instead, so rows with null ids
-    are drawn, shuffled and split like any others and don't meet in one task;
-    only rows equal in every column share a key, and those can stand for each
-    other."""
-    known = F.col(id_col).cast("string")
-    return df.withColumn(name, md5_key(seed, F.coalesce(known, F.concat(F.lit("null:"), content_hash(df).cast("string")))))
+    With ``content`` a row without an id is keyed by its content instead, so rows
+    with null ids are drawn, shuffled and capped like any others and don't meet
+    in one task; only rows equal in every column share a key, and those can
+    stand for each other.  That key needs every column, so callers ask for it
+    only where the rows are passed on whole or null ids were found."""
+    key = md5_key(seed, F.col(id_col))
+    if content:
+        key = F.coalesce(key, md5_key(seed, F.concat(F.lit("null:"), content_hash(df).cast("string"))))
+    return df.withColumn(name, key)
 
 
 def key_index(df: DataFrame, order_cols: list[str], num_partitions: int | None = None) -> tuple[DataFrame, int, bool]:
@@ -150,8 +155,8 @@ def count_unique_ids(df: DataFrame, id_col: str) -> int:
     return n or 0
 
 
-def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
-                 num_partitions: int | None = None) -> tuple[DataFrame, int]:
+def seeded_index(df: DataFrame, id_col: str, index_col: str = "idx", num_partitions: int | None = None,
+                 seed: int = 42) -> tuple[DataFrame, int]:
     """W1 for the seeded order ``(md5 key, id)``: no sort of the whole table,
     no checkpoint.
 
@@ -159,21 +164,28 @@ def seeded_index(keyed: DataFrame, id_col: str, index_col: str = "idx",
     partitions) split the rows evenly and are monotone in the order.  One
     aggregate gives the per-bucket counts (B rows, bounded by B, broadcast as a
     table of offsets); rows are hash-partitioned by bucket and ranked
-    inside their bucket by a window that reuses that partitioning.  Buckets
-    only grow with repeated ids, which the split refuses (:func:`count_unique_ids`).
+    inside their bucket by a window that reuses that partitioning.  Rows
+    without an id show up there as a bucket of their own; only then all rows
+    are keyed again with their content for such rows.  Buckets only grow with
+    repeated ids, which the split refuses (:func:`count_unique_ids`).  ``df``
+    may have its key already.
     """
-    n_parts = num_partitions or parallelism(keyed)
+    n_parts = num_partitions or parallelism(df)
     n_buckets = max(1, min(4 * n_parts, MAX_BUCKETS))
     bucket = F.shiftright(_key_prefix(F.col(KEY)) * F.lit(n_buckets), 32).cast("int")
-    b = keyed.withColumn("_bucket", bucket)
     # one row per bucket: bounded by n_buckets (at most MAX_BUCKETS)
-    counts = {r[0]: r[1] for r in b.groupBy("_bucket").agg(F.count(F.lit(1))).collect()}
+    sizes = lambda keyed: {r[0]: r[1] for r in keyed.groupBy(bucket).agg(F.count(F.lit(1))).collect()}
+    keyed = df if KEY in df.columns else seeded_key(df, id_col, seed)
+    counts = sizes(keyed)
+    if None in counts:
+        keyed = seeded_key(df.drop(KEY), id_col, seed, content=True)
+        counts = sizes(keyed)
     offsets, running = [], 0
     for i in range(n_buckets):
         offsets.append(running)
         running += counts.get(i, 0)
     w = Window.partitionBy("_bucket").orderBy(KEY, id_col)
-    ranked = b.repartition(n_parts, "_bucket").withColumn("_rn", F.row_number().over(w))
+    ranked = keyed.withColumn("_bucket", bucket).repartition(n_parts, "_bucket").withColumn("_rn", F.row_number().over(w))
     off_df = keyed.sparkSession.createDataFrame(list(enumerate(offsets)), "_bucket int, _off long")
     out = (ranked.join(F.broadcast(off_df), "_bucket")
            .withColumn(index_col, F.col("_off") + F.col("_rn") - 1).drop("_off"))
@@ -192,11 +204,13 @@ def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
     before all keys above it, so the top n of the candidates are the global
     top n.  The candidates (about 1.2 n rows) are then ordered exactly.
     """
-    keyed = seeded_key(df, id_col, seed)
     if n is None:
-        out = keyed
+        out = seeded_key(df, id_col, seed, content=keep_key)
     else:
-        total = keyed.count() if total is None else total
+        # both in one pass over the id column
+        rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).first()
+        total = rows if total is None else total
+        keyed = seeded_key(df, id_col, seed, content=nulls > 0)
         if n >= total:
             out = keyed
         else:
@@ -210,7 +224,7 @@ def sample_n(df: DataFrame, n: int | None, id_col: str, seed: int = 42,
             if n <= TAKE_ORDERED_MAX:
                 out = cand.orderBy(KEY, id_col).limit(n)
             else:
-                indexed, _ = seeded_index(cand, id_col, "_sample_idx")
+                indexed, _ = seeded_index(cand, id_col, "_sample_idx", seed=seed)
                 out = indexed.filter(F.col("_sample_idx") < n).drop("_sample_idx")
     return out if keep_key else out.drop(KEY)
 
@@ -235,6 +249,30 @@ def _first_ids(df: DataFrame, k: int, id_col: str, seed: int, total: int) -> Dat
     return spark.createDataFrame(rows, schema)
 
 
+def _eval_ids(df: DataFrame, id_col: str, seed: int, cap: int | None, frac_div: int) -> tuple[int, DataFrame | None]:
+    """M4's number of eval rows, and their ids as a small local table (None beyond TAKE_ORDERED_MAX).
+
+    Checks that no id is null or repeated.  With a small cap the check and the
+    first ``cap`` ids come from one evaluation of ``df``: both read the same
+    shuffle by id."""
+    if cap is None or cap > ONE_PASS_MAX:
+        n = count_unique_ids(df, id_col)
+        k = eval_size(n, cap, frac_div)
+        return k, _first_ids(df, k, id_col, seed, n) if k <= TAKE_ORDERED_MAX else None
+    per_id = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    check = per_id.agg(F.any_value("_id").alias("_id"), F.sum("_n").alias("_n"), F.sum(F.when(F.col("_id").isNull(), F.col("_n"))).alias("_nulls"),
+                       F.count_if(F.col("_id").isNotNull() & (F.col("_n") > 1)).alias("_repeats"), F.lit("").alias("_key"))
+    nothing = F.lit(None).cast("long")
+    first = per_id.select("_id", "_n", nothing.alias("_nulls"), nothing.alias("_repeats"), md5_key(seed, F.col("_id")).alias("_key"))
+    rows = check.unionAll(first.orderBy("_key", "_id").limit(cap)).collect()
+    stats = next(r for r in rows if r["_key"] == "")
+    if stats["_nulls"] or stats["_repeats"]:
+        raise ValueError(f"column {id_col}: {stats['_nulls'] or 0} rows with a null id, {stats['_repeats']} repeated ids")
+    k = eval_size(stats["_n"] or 0, cap, frac_div)
+    ids = sorted((r for r in rows if r["_key"] != ""), key=lambda r: (r["_key"], r["_id"]))[:k]
+    return k, df.sparkSession.createDataFrame([(r["_id"],) for r in ids], df.select(id_col).schema)
+
+
 def head_n(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
     """M2: first n rows in an explicit order (the reference's file order)."""
     if n is None:
@@ -247,8 +285,7 @@ def head_n(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, rank_col: str = "rank") -> DataFrame:
     """M3: the rows with their 0-based position in the seeded permutation."""
-    keyed = seeded_key(df, id_col, seed)
-    indexed, _ = seeded_index(keyed, id_col, rank_col)
+    indexed, _ = seeded_index(df, id_col, rank_col, seed=seed)
     return indexed.drop(KEY)
 
 
@@ -267,10 +304,9 @@ def train_eval_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None
     side is at most ``cap`` ids, so the anti-join broadcasts a bounded set and
     the large side is never shuffled.
     """
-    n = count_unique_ids(df, id_col)
-    k = eval_size(n, cap, frac_div)
-    if k <= TAKE_ORDERED_MAX:
-        ids = F.broadcast(_first_ids(df, k, id_col, seed, n))
+    k, ids = _eval_ids(df, id_col, seed, cap, frac_div)
+    if ids is not None:
+        ids = F.broadcast(ids)
         return df.join(ids, id_col, "left_semi"), df.join(ids, id_col, "left_anti")
     keyed = seeded_key(df, id_col, seed)
     indexed, _ = seeded_index(keyed, id_col, "_split_idx")
@@ -282,10 +318,9 @@ def train_eval_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None
 def label_split(df: DataFrame, id_col: str, seed: int = 42, cap: int | None = 350,
                 frac_div: int = 10, split_col: str = "split") -> DataFrame:
     """M4 as one labelled table: ``split`` is ``eval`` or ``train``."""
-    n = count_unique_ids(df, id_col)
-    k = eval_size(n, cap, frac_div)
-    if k <= TAKE_ORDERED_MAX:
-        ids = _first_ids(df, k, id_col, seed, n).withColumn(split_col, F.lit("eval"))
+    k, ids = _eval_ids(df, id_col, seed, cap, frac_div)
+    if ids is not None:
+        ids = ids.withColumn(split_col, F.lit("eval"))
         return (df.join(F.broadcast(ids), id_col, "left")
                 .withColumn(split_col, F.coalesce(F.col(split_col), F.lit("train"))))
     keyed = seeded_key(df, id_col, seed)
@@ -319,7 +354,7 @@ def capped_eval_sample(df: DataFrame, domain_col: str, caps: dict[str, int], id_
     A hot domain is cut down in two levels (:func:`top_per_group`).  Per-domain
     caps come from a map literal, so no join is needed.
     """
-    keyed = seeded_key(df, id_col, seed)
+    keyed = seeded_key(df, id_col, seed, content=True)
     max_cap = max(list(caps.values()) + [default_cap])
     cap_map = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])
     ranked = top_per_group(keyed, [domain_col], [KEY, id_col], max_cap, rank_col, [KEY])
@@ -378,7 +413,7 @@ def representative_sample(df: DataFrame, n: int, domain_col: str, seq_col: str,
         n_domains = quotas.count()
     # the largest quota is a literal, so every level is pruned map-side
     max_quota = n // n_domains + (1 if n % n_domains else 0)
-    keyed = seeded_key(base, id_col, seed)
+    keyed = seeded_key(base, id_col, seed, content=True)
     ranked = top_per_group(keyed, [dom], [KEY, id_col], max_quota, rank_col, [KEY])
     return (ranked.join(quotas, dom).filter(F.col(rank_col) <= F.col("quota"))
             .drop(KEY, "quota", dom))

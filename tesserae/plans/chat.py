@@ -109,13 +109,19 @@ def chat_collect(spark, sf_dir):
 
 
 # ------------------------------------------------------- P5 / P8 / P11 / P12
-def turn_pairs(spark, sf_dir) -> DataFrame:
-    """User turn + the following assistant turn (left join: may be absent)."""
-    c = conversations(spark, sf_dir)
-    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    a = c.filter(F.col("role") == "assistant").select(
+def user_prompts(spark, sf_dir) -> DataFrame:
+    return conversations(spark, sf_dir).filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+
+
+def with_answers(prompts: DataFrame, spark, sf_dir) -> DataFrame:
+    """Each user turn with the following assistant turn (left join: may be absent)."""
+    a = conversations(spark, sf_dir).filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    return u.join(a, ["conv_id", "turn"], "left")
+    return prompts.join(a, ["conv_id", "turn"], "left")
+
+
+def turn_pairs(spark, sf_dir) -> DataFrame:
+    return with_answers(user_prompts(spark, sf_dir), spark, sf_dir)
 
 
 PAIRS_SQL = """

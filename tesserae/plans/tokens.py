@@ -10,7 +10,7 @@ from tesserae.functions import tokens as TK
 from tesserae.operators import tokens as TO
 from tesserae.operators.sampling import assign_batches
 from tesserae.plans import sqlgen as Q
-from tesserae.plans.chat import PAIRS_SQL, turn_pairs
+from tesserae.plans.chat import PAIRS_SQL, turn_pairs, user_prompts, with_answers
 from tesserae.plans.registry import query
 
 MAX_LEN = 512
@@ -57,6 +57,11 @@ def tokenise(pairs, max_len: int | None = MAX_LEN):
                                   domain_col=None)
 
 
+def batched_pairs(spark, sf_dir):
+    """Pairs with their batch: the user turns alone are numbered, then the answers are joined to them."""
+    return with_answers(assign_batches(user_prompts(spark, sf_dir), ["conv_id", "turn"], BATCH), spark, sf_dir)
+
+
 def _mask(ex):
     return ex.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n_ids"),
                      F.col("prompt_len").cast("bigint").alias("prompt_len"),
@@ -84,9 +89,7 @@ SELECT conv_id, turn, batch_id, width, width - len(input_ids) AS n_pad,
 FROM b
 """)
 def pad_batch(spark, sf_dir):
-    # index the cheap (key, text) rows first; tokenisation runs once, after it
-    batched = assign_batches(turn_pairs(spark, sf_dir), ["conv_id", "turn"], BATCH)
-    ex = tokenise(batched).withColumn("_n", F.size("input_ids"))
+    ex = tokenise(batched_pairs(spark, sf_dir)).withColumn("_n", F.size("input_ids"))
     padded = TO.pad_batches(ex)
     return padded.select("conv_id", "turn", "batch_id", F.col("width").cast("bigint").alias("width"),
                          (F.col("width") - F.col("_n")).cast("bigint").alias("n_pad"),
@@ -107,7 +110,7 @@ SELECT max_length, CAST(sum(rows_) AS BIGINT) AS n_rows, round(sum(truncated) /
 FROM pb GROUP BY max_length
 """)
 def length_profile(spark, sf_dir):
-    ex = tokenise(assign_batches(turn_pairs(spark, sf_dir), ["conv_id", "turn"], BATCH))
+    ex = tokenise(batched_pairs(spark, sf_dir))
     prof = TO.length_profile(ex, "full_len", [64, 128, MAX_LEN])
     return prof.select("max_length", F.col("n_rows").cast("bigint").alias("n_rows"),
                        F.round("truncation_rate", 6).alias("truncation_rate"),

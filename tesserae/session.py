@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; name a shared folder for checkpoints")
         configured = tempfile.mkdtemp(prefix="tesserae-ckpt-")
@@ -78,6 +79,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -85,9 +87,13 @@ def ship_package(spark: SparkSession) -> None:
     application, so worker-side code is imported, not pickled by value, and
     per-worker caches (loaded models) survive across tasks."""
     sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
-        return
+    with _SHIPPING:  # jobs may be started side by side
+        if sc.applicationId not in _SHIPPED:
+            _ship(sc)
+            _SHIPPED.add(sc.applicationId)
+
+
+def _ship(sc) -> None:
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -100,4 +106,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(app)
