@@ -1,11 +1,15 @@
-"""URL filter: rules first, then the ratio of two character language models.
-
-The models are smoothed Markov models of the accepted and the rejected URLs
-(those that a rule decides) over ``ALPHABET``; each context backs off to the
-next shorter one by Witten-Bell interpolation, down to single characters.  The
-score of a URL is the mean log-likelihood difference of its characters, and
-the cut is set between the two classes' means in proportion to their spreads.
-Everything is DataFrame operations; the model has at most 36**3 rows."""
+"""URL filter: rules first, then the ratio of two variable-order character models.
+
+The models are Markov models of the accepted and the rejected URLs (those that
+a rule decides) over the characters themselves.  A character is predicted from
+the up to ORDER characters before it; each context backs off to the next
+shorter one by Witten-Bell interpolation, down to single characters, with room
+for characters never seen.  The counts are a table that grows with the URLs and
+is joined by shuffles; only a few totals pass the driver.  The score of a URL is
+the mean log-likelihood difference of its characters.  The cut is calibrated on
+decided URLs that were left out of the counts (a fifth, by hash): it lies between
+the two classes' means there, in proportion to their spreads.
+Everything is DataFrame operations."""
 
 from __future__ import annotations
 
@@ -17,9 +21,10 @@ from tesserae.llm.common import lower_ascii, stored
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Symbols: start, letters, a digit, path signs, any other character, end.
-ALPHABET = "^abcdefghijklmnopqrstuvwxyz0/.-_%:*$"
-START, END, OTHER = "^", "$", "*"
+#: Characters of context; signs before the first character and behind the last (URLs hold no control characters).
+ORDER, START, END = 5, "\x02", "\x03"
+#: One decided URL in so many is left out of the counts and calibrates the cut.
+HELD = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -40,43 +45,52 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def symbols(host: Column, path: Column) -> Column:
-    """The text that the models see: start, start, the symbols of host and path, end."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(F.concat(host, path)), "[0-9]", "0"), r"[^a-z0/.\-_%:]", OTHER)
-    return F.concat(F.lit(START * 2), text, F.lit(END))
+    """The text that the models see: ORDER starts, the characters of host and path, end."""
+    return F.concat(F.lit(START * ORDER), host, path, F.lit(END))
+
+
+def left_out(s: Column) -> Column:
+    """Texts that calibrate the cut instead of being counted."""
+    return F.crc32(s) % HELD == 0
 
 
 def _grams(rows: DataFrame) -> DataFrame:
-    """The rows with each of their three-symbol windows."""
-    at = F.explode(F.sequence(F.lit(1), F.length("s") - 2)).alias("i")
-    return rows.select("*", at).withColumn("gram", F.expr("substring(s, i, 3)")).drop("i")
-
-
-def _smoothed(counts: DataFrame, side: str) -> DataFrame:
-    """``gram, p``: the last symbol's probability after the two before it, for every gram over ALPHABET."""
-    seen = counts.where(F.col(side) > 0).select("gram", F.col(side).alias("n"))
-    n = len(ALPHABET)
-    pick = lambda k: F.substring(F.lit(ALPHABET), ((F.col("id") / n**k).cast("long") % n + 1).cast("int"), 1)
-    every = seen.sparkSession.range(n**3).select(F.concat(pick(2), pick(1), pick(0)).alias("gram"))
-    every = every.withColumn("c2", F.substring("gram", 2, 2)).withColumn("c1", F.substring("gram", 3, 1))
-    one = seen.groupBy(F.substring("gram", 3, 1).alias("c1")).agg(F.sum("n").alias("n1"))
-    two = seen.groupBy(F.substring("gram", 2, 2).alias("c2")).agg(F.sum("n").alias("n2"))
-    h1 = two.groupBy(F.substring("c2", 1, 1).alias("h1")).agg(F.sum("n2").alias("t1"), F.count("*").alias("k1"))
-    h2 = seen.groupBy(F.substring("gram", 1, 2).alias("h2")).agg(F.sum("n").alias("t2"), F.count("*").alias("k2"))
-    total = F.coalesce(F.sum("n1").over(_everything()), F.lit(0))
-    base = (every.select("c1").distinct().join(one, "c1", "left")
-            .select("c1", ((F.coalesce("n1", F.lit(0)) + 0.5) / (total + 0.5 * n)).alias("p1")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    rows = (every.withColumn("h1", F.substring("gram", 2, 1)).withColumn("h2", F.substring("gram", 1, 2))
-            .join(base, "c1").join(two, "c2", "left").join(h1, "h1", "left").join(h2, "h2", "left").join(seen, "gram", "left"))
-    p2 = F.when(F.col("k1").isNull(), F.col("p1")).otherwise((zero("n2") + F.col("k1") * F.col("p1")) / (F.col("t1") + F.col("k1")))
-    p3 = F.when(F.col("k2").isNull(), p2).otherwise((zero("n") + F.col("k2") * p2) / (F.col("t2") + F.col("k2")))
-    return rows.select("gram", p3.alias("p"))
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """The rows with each character behind its ORDER characters of context."""
+    at = F.explode(F.sequence(F.lit(1), F.length("s") - ORDER)).alias("i")
+    return rows.select("*", at).withColumn("gram", F.expr(f"substring(s, i, {ORDER + 1})")).drop("i")
+
+
+def _suffixes(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``gram`` with each of its suffixes: the character behind ``k`` = 0 to ORDER characters."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
+    return rows.select("*", k).withColumn("hx", F.expr(f"substring(gram, {ORDER + 1} - k, k + 1)")).withColumn("h", F.expr("substring(hx, 1, k)"))
+
+
+def _ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``gram, ratio``: the log-likelihood difference of every wanted gram's last character.
+
+    ``counts``: ``gram, good, bad``.  The counts of all suffixes are one table, and
+    those of their contexts another; each wanted gram is joined with the rows of
+    its suffixes and folded from the shortest to the longest.  The context of no
+    character, which all share, is a row of totals instead."""
+    seen = stored(_suffixes(counts).groupBy("hx", "h", "k").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "suffixes")
+    contexts = seen.where("k > 0").groupBy("h").agg(*[F.sum(c).alias(f"{c}_all") for c in ("good", "bad")],
+                                                    *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("good", "bad")])
+    totals = seen.where("k = 0").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("kinds")).first()
+    rows = _suffixes(wanted.select("gram").distinct())
+    rows = rows.join(seen.select("hx", "good", "bad"), "hx", "left").join(contexts, "h", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
+    fields = F.struct("k", *[zero(f"{c}{x}") for c in ("good", "bad") for x in ("", "_all", "_kinds")])
+    folded = rows.groupBy("gram").agg(F.array_sort(F.collect_list(fields)).alias("f"))  # ORDER + 1 entries each
+
+    def probability(c: str) -> Column:
+        def step(p: Column, f: Column) -> Column:
+            lower = (f[c] + 0.5) / F.lit(float((totals[c] or 0) + 0.5 * (totals["kinds"] + 1)))
+            higher = F.when(f[f"{c}_all"] == 0, p).otherwise((f[c] + f[f"{c}_kinds"] * p) / (f[f"{c}_all"] + f[f"{c}_kinds"]))
+            return F.when(f["k"] == 0, lower).otherwise(higher)
+        return F.aggregate("f", F.lit(0.0), step)
+
+    return folded.select("gram", (F.log(probability("good")) - F.log(probability("bad"))).alias("ratio"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -84,30 +98,39 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     Null urls and those without ``://`` have an empty host and path and are
     judged by the models like any other.  Repeated rows and ids are judged row
-    by row.  Where the rules accept or reject no URL at all there is nothing to
-    learn from, and undecided URLs are allowed with score 0."""
+    by row.  Where no accepted or no rejected URL is left to count there is nothing to
+    learn from, and undecided URLs are allowed with score 0.  Where none of a class
+    is left out for the cut, it is set on the counted URLs."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), symbols(F.col("host"), F.col("path")).alias("s"))
-    texts = stored(rows.groupBy("s").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"),
-                                         F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")), "urls")
-    taught = texts.agg(F.sum("good"), F.sum("bad")).first()
+    texts = rows.groupBy("s").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"),
+                                  F.count(F.when(F.col("ruled") == "block", 1)).alias("bad"))
+    texts = stored(texts.withColumn("held", left_out(F.col("s"))), "urls")
+    taught = texts.where("NOT held").agg(F.sum("good"), F.sum("bad")).first()
     if not (taught[0] and taught[1]):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"),
                            F.lit(0.0).alias("score"))
-    counts = stored(_grams(texts.where("good + bad > 0")).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "counts")
-    model = stored(_smoothed(counts, "good").toDF("gram", "p").join(_smoothed(counts, "bad").toDF("gram", "q"), "gram")
-                   .select("gram", (F.log("p") - F.log("q")).alias("ratio")), "model")  # 36**3 rows at most
-    scores = (_grams(texts).join(F.broadcast(model), "gram").groupBy("s", "good", "bad")
-              .agg(F.round(F.avg("ratio"), 6).alias("score")))
+    grams = _grams(texts)
+    counts = stored(grams.groupBy("gram").agg(*[F.sum(F.when(~F.col("held"), F.col(c)).otherwise(0)).alias(c) for c in ("good", "bad")]), "counts")
+    ratios = stored(_ratios(counts.where("good + bad > 0"), counts), "ratios")
+    scores = grams.join(ratios, "gram").groupBy("s", "good", "bad", "held").agg(F.round(F.avg("ratio"), 6).alias("score"))
     scores = stored(scores, "scores")
-    sums = [F.sum(F.col(c) * F.pow("score", F.lit(k))).alias(f"{c}{k}") for c in ("good", "bad") for k in (0, 1, 2)]
-    x = scores.agg(*sums).first()
-    mean = {c: x[f"{c}1"] / x[f"{c}0"] for c in ("good", "bad")}
-    spread = {c: max(x[f"{c}2"] / x[f"{c}0"] - mean[c] ** 2, 1e-12) ** 0.5 for c in ("good", "bad")}
-    cut = round((mean["good"] * spread["bad"] + mean["bad"] * spread["good"]) / (spread["good"] + spread["bad"]), 6)
+    cut = _cut(scores)
     learned = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
     return (rows.join(scores.select("s", "score"), "s", "left")
             .select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score"))
+
+
+def _cut(scores: DataFrame) -> float:
+    """Between the classes' mean scores, in proportion to their spreads, on the URLs left out of the counts."""
+    for rows in (scores.where("held"), scores):
+        sums = [F.sum(F.col(c) * F.pow("score", F.lit(k))).alias(f"{c}{k}") for c in ("good", "bad") for k in (0, 1, 2)]
+        x = rows.agg(*sums).first()
+        if x["good0"] and x["bad0"]:
+            break
+    mean = {c: x[f"{c}1"] / x[f"{c}0"] for c in ("good", "bad")}
+    spread = {c: max(x[f"{c}2"] / x[f"{c}0"] - mean[c] ** 2, 1e-12) ** 0.5 for c in ("good", "bad")}
+    return round((mean["good"] * spread["bad"] + mean["bad"] * spread["good"]) / (spread["good"] + spread["bad"]), 6)

@@ -2,7 +2,9 @@
 
 The join is a window in time order within (URL, time slice), and a second one
 over the slices' last responses, so a URL that holds a large part of all
-records is split by time and no task gets all of it."""
+records is split by time and no task gets all of it.  Slices are cut at
+quantiles of the times, so they hold about as many records each, however
+the times are spread; records of one time are in one slice."""
 
 from __future__ import annotations
 
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import lower_ascii, stored
 
-#: Time slices over the whole range of the records.
-SLICES = 256
+#: Time slices, of about as many records each: SLICES coarse ones of as many fine ones.
+SLICES = 16
 #: Header fields of a 304 that describe its own (absent) body or the connection, and so never replace stored ones.
 WITHHELD = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type",
             "keep-alive", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -41,6 +43,17 @@ def merged_headers(stored_headers: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(stored_headers, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
 
 
+def time_slice(at: Column, cuts: list[int], n: int = SLICES) -> Column:
+    """The number of ``cuts`` (rising) up to ``at``: first among every n-th, then among the n behind it."""
+    if not cuts:
+        return F.lit(0)
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= at))
+    numbers = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<long>")
+    parts = [cuts[i:i + n] for i in range(0, len(cuts), n)]
+    coarse = F.greatest(upto(numbers([p[0] for p in parts])) - 1, F.lit(0))
+    return coarse * n + upto(F.element_at(F.array(*[numbers(p) for p in parts]), coarse + 1))
+
+
 def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """One row per revisit: ``record_id, canonical_url, response_id, outcome, headers, payload_digest``.
 
@@ -51,24 +64,28 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     ``mismatch``, ``unverified`` (nothing to compare), ``no_response`` (none
     earlier, a null url or a null time).  Headers and digest are those of the
     stored response, updated by the 304's permitted headers, when matched, else
-    null.  A repeated revisit row gives a row each."""
+    null.  A repeated revisit row gives a row each; of responses of equal (at,
+    record_id) the one of the largest digest, then of the largest headers' text,
+    counts as the last.  No records, no rows."""
     h = header_map(F.col("headers"))
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", F.when(F.col("url").isNotNull(), canonical_url(F.col("url"))).alias("canonical_url"),
         F.col("at").cast("long").alias("at"), (F.col("kind") == "revisit").alias("revisit"), h.alias("headers"),
         F.col("payload_digest"))
-    span = rows.agg(F.min("at"), F.max("at")).first()
-    low, width = (span[0] or 0), max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // slices))
-    rows = rows.withColumn("slice", F.floor((F.col("at") - low) / width))
+    points = [i / slices**2 for i in range(1, slices**2)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("at", points, 10_000)).first()[0] or [])) if points else []
+    rows = rows.withColumn("slice", time_slice(F.col("at"), cuts, slices))
     full = F.when(~F.col("revisit") & F.col("at").isNotNull(),
                   F.struct("record_id", "headers", "payload_digest"))
-    rows = stored(rows.withColumn("full", full), "captures")
+    tie = F.struct(F.col("payload_digest").alias("d"), F.array_join(F.array_sort(F.transform(
+        F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("\n"), e["value"]))), "\n").alias("h"))
+    rows = stored(rows.withColumn("full", full).withColumn("tie", tie), "captures")
     usable = rows.where("canonical_url IS NOT NULL AND at IS NOT NULL")
-    near = Window.partitionBy("canonical_url", "slice").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = Window.partitionBy("canonical_url", "slice").orderBy("at", "record_id", F.desc("revisit"), "tie").rowsBetween(Window.unboundedPreceding, -1)
     close = usable.withColumn("found", F.last("full", ignorenulls=True).over(near)).where("revisit")
     lasts = usable.groupBy("canonical_url", "slice").agg(
-        F.max(F.when(F.col("full").isNotNull(), F.struct("at", "record_id"))).alias("key"))
-    lasts = lasts.join(usable.where("full IS NOT NULL").select("canonical_url", "slice", F.struct("at", "record_id").alias("key"), "full")
+        F.max(F.when(F.col("full").isNotNull(), F.struct("at", "record_id", "tie"))).alias("key"))
+    lasts = lasts.join(usable.where("full IS NOT NULL").select("canonical_url", "slice", F.struct("at", "record_id", "tie").alias("key"), "full")
                        .dropDuplicates(["canonical_url", "slice", "key"]), ["canonical_url", "slice", "key"], "left")
     before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select("canonical_url", "slice", F.last("full", ignorenulls=True).over(before).alias("carried"))
@@ -89,21 +106,35 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         F.when(ok, merged_headers(theirs, mine)).alias("headers"), F.when(ok, F.col("found.payload_digest")).alias("payload_digest"))
 
 
+#: Captures of a page, and how much later each is than the one before (page ids are the first ones' times).
+CAPTURES, LATER = 5, 100_003
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """Capture records from ``pages``: page ids are capture times, a third of the pages become 304 revisits.
-
-    Validators follow the URL and the thousand of the page id, so revisits
-    match responses of the same thousand."""
-    i = F.col("page_id")
-    version = F.floor(i / 1000).cast("string")
-    tag = F.concat(F.lit('"'), F.substring(F.md5(canonical_url(F.col("url"))), 1, 8), F.lit("-"), version, F.lit('"'))
-    revisit = i % 3 == 1
-    headers = F.create_map(
-        F.lit("Date"), F.concat(F.lit("day "), i.cast("string")),
-        F.when(i % 4 == 0, F.lit("Last-Modified")).otherwise(F.lit("ETag")),
-        F.when(i % 4 == 0, F.concat(F.lit("day "), version)).otherwise(F.when(revisit, F.concat(F.lit("W/"), tag)).otherwise(tag)),
-        F.lit("Content-Length"), F.when(revisit, F.lit("0")).otherwise(F.length("html").cast("string")),
-        F.when(revisit, F.lit("Cache-Control")).otherwise(F.lit("Content-Type")),
-        F.when(revisit, F.lit("max-age=60")).otherwise(F.lit("text/html")))
-    return pages.select(i.alias("record_id"), "url", i.alias("at"), F.when(revisit, "revisit").otherwise("response").alias("kind"),
-                        headers.alias("headers"), F.when(~revisit, F.md5("html")).alias("payload_digest"))
+    """Capture records from ``pages``: CAPTURES of every page, at times far apart.
+
+    First a full response (for a seventh of the pages a revisit, which then has
+    none before it), then revisits; the third capture is by the page id a
+    revisit with another validator, one without any, a new full response, or a
+    revisit by Last-Modified.  Later ones carry the validator of the last
+    response.  Records are numbered ``page_id * CAPTURES + capture``; a null
+    page id gives records without number or time."""
+    i, kind = F.col("page_id"), F.col("page_id") % 4
+    base = pages.select("page_id", "url", F.md5("html").alias("digest"), F.length("html").cast("string").alias("size"),
+                        F.substring(F.md5(canonical_url(F.col("url"))), 1, 8).alias("name"))
+    rows = base.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(CAPTURES - 1))))
+    j = F.col("j")
+    response = ((j == 0) & (F.coalesce(i % 7, F.lit(0)) != 3)) | ((j == 2) & (kind == 2))
+    version = F.when((kind == 2) & (j >= 2), "1").otherwise("0")
+    seen = F.when((j == 2) & (kind == 0), "other").otherwise(version)  # what this capture's validator says
+    tag = F.concat(F.lit('"'), "name", F.lit("-"), seen, F.lit('"'))
+    tag = F.when(response, tag).otherwise(F.concat(F.lit("W/"), tag))
+    day = F.concat(F.lit("day "), seen)
+    dated = kind == 3  # these pages have no ETag
+    bare = ~response & (j == 2) & (kind == 1)
+    pairs = F.array(F.struct(F.lit("Date").alias("k"), F.concat(F.lit("day "), F.coalesce(i, F.lit(0)).cast("string"), F.lit("."), j.cast("string")).alias("v")),
+                    F.struct(F.lit("Content-Length").alias("k"), F.when(response, F.col("size")).otherwise("0").alias("v")),
+                    F.struct(F.when(response, "Content-Type").otherwise("Cache-Control").alias("k"), F.when(response, "text/html").otherwise("max-age=60").alias("v")),
+                    F.struct(F.when(bare, "X-Bare").when(dated, "Last-Modified").otherwise("ETag").alias("k"), F.when(bare, "yes").when(dated, day).otherwise(tag).alias("v")))
+    return rows.select((i * CAPTURES + j).alias("record_id"), "url", (i + j * LATER).alias("at"), F.when(response, "response").otherwise("revisit").alias("kind"),
+                       F.map_from_entries(pairs).alias("headers"), F.when(response, F.concat("digest", F.lit("-"), version)).alias("payload_digest"))
