@@ -120,13 +120,22 @@ def run_evaluation(spark: SparkSession, eval_path: str, out_dir: str, model_fact
     return report
 
 
-def distillation_report(spark: SparkSession, losses_path: str, generations_path: str | None, out_dir: str,
-                        text_limits: dict | None = None, gen_limits: dict | None = None) -> DataFrame:
-    """3.4 / G10: per-role perplexity, loss, generation length, improvement."""
-    losses = J.read_jsonl(spark, losses_path, "role string, text_id string, loss double, n_tokens long")
-    gens = J.read_jsonl(spark, generations_path, "role string, prompt_id string, generated string") \
-        if generations_path else None
-    rep = REP.teacher_student_report(losses, gens, text_limits, gen_limits)
+LOSS_FIELDS, GENERATION_FIELDS = "role string, text_id string, loss double, n_tokens long", "role string, prompt_id string, generated string"
+
+
+def distillation_report(spark: SparkSession, losses_path: str | dict[str, str], generations_path: str | dict[str, str] | None,
+                        out_dir: str, text_limits: dict | None = None, gen_limits: dict | None = None) -> DataFrame:
+    """3.4 / G10: per-role perplexity, loss, generation length, improvement.
+
+    Paths by role make each role a leg of its own: one that cannot be read is
+    recorded in ``error`` and the others are reported."""
+    if isinstance(losses_path, dict):
+        leg = lambda path, fields: lambda: J.read_jsonl(spark, path, fields)
+        rep = REP.leg_report(spark, {r: leg(p, LOSS_FIELDS) for r, p in losses_path.items()},
+                             {r: leg(p, GENERATION_FIELDS) for r, p in (generations_path or {}).items()})
+    else:
+        gens = J.read_jsonl(spark, generations_path, GENERATION_FIELDS) if generations_path else None
+        rep = REP.teacher_student_report(J.read_jsonl(spark, losses_path, LOSS_FIELDS), gens, text_limits, gen_limits)
     J.write_jsonl(rep, f"{out_dir}/report", "overwrite")
     return rep
 

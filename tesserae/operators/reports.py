@@ -6,6 +6,8 @@ to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +136,11 @@ def teacher_student_report(losses: DataFrame, generations: DataFrame | None = No
             F.avg(F.length(gen_text_col)).alias("avg_generation_length"),
             F.count(F.lit(1)).alias("n_generations"))
         out = out.join(g, role_col, "left")
+    return _improved(out.withColumn("error", F.when(F.col("n_texts").isNull(), F.lit("no texts"))), role_col)
+
+
+def _improved(out: DataFrame, role_col: str) -> DataFrame:
+    """A12 on the student's row; ``error`` last."""
     # the per-role table has one row per role: a window over all of it is bounded
     everything = Window.partitionBy()
     bp = F.max(F.when(F.col(role_col) == "baseline", F.col("perplexity"))).over(everything)
@@ -143,5 +150,33 @@ def teacher_student_report(losses: DataFrame, generations: DataFrame | None = No
             .withColumn("perplexity_improvement_pct",
                         F.when(is_student, improvement_pct(F.col("_bp"), F.col("perplexity"))))
             .withColumn("loss_improvement_pct", F.when(is_student, improvement_pct(F.col("_bl"), F.col("loss"))))
-            .withColumn("error", F.when(F.col("n_texts").isNull(), F.lit("no texts")))
-            .drop("_bp", "_bl"))
+            .select(*[c for c in out.columns if c != "error"], "perplexity_improvement_pct", "loss_improvement_pct", "error"))
+
+
+def leg_report(spark, legs: dict[str, Callable[[], DataFrame]], generations: dict[str, Callable[[], DataFrame]] | None = None,
+               role_col: str = "role", loss_col: str = "loss", tokens_col: str = "n_tokens", gen_text_col: str = "generated") -> DataFrame:
+    """G10 with legs of their own: a leg that fails is recorded and the others go on.
+
+    ``legs``: by role, what gives its per-text losses, ``generations`` its
+    answers.  Each is evaluated by itself, one aggregate row a leg; whatever
+    it raises (a missing file, a malformed row) becomes the row's ``error``, after
+    what did work.  A role without texts has the error ``no texts``."""
+    rows = []
+    for role, losses in legs.items():
+        found, errors = [None] * 5, []
+        for at, make, aggs in ((0, losses, [F.exp(F.try_divide(F.sum(F.col(loss_col) * F.col(tokens_col)), F.sum(tokens_col).cast("double"))),
+                                            F.try_divide(F.sum(F.col(loss_col) * F.col(tokens_col)), F.sum(tokens_col).cast("double")), F.count(F.lit(1))]),
+                               (3, (generations or {}).get(role), [F.avg(F.length(gen_text_col)), F.count(F.lit(1))])):
+            if make is None:
+                continue
+            try:
+                found[at:at + len(aggs)] = list(make().agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)]).first())
+            except Exception as e:  # noqa: BLE001 - a leg's failure is a result of the report
+                errors.append(f"{type(e).__name__}: {str(e).splitlines()[0]}")
+        if not errors and not found[2]:
+            found[2] = None
+            errors.append("no texts")
+        rows.append((role, *found, "; ".join(errors) or None))
+    out = spark.createDataFrame(rows, f"{role_col} string, perplexity double, loss double, n_texts long, avg_generation_length double, "
+                                      "n_generations long, error string")
+    return _improved(out, role_col)

@@ -137,6 +137,7 @@ WITH {PAIRS_SQL}
 SELECT conv_id, turn,
   CASE WHEN length(coalesce(response, '')) > 0 THEN 2 ELSE 1 END AS n_messages,
   CASE WHEN length(coalesce(response, '')) > 0 THEN 'user|assistant' ELSE 'user' END AS roles,
+  md5(prompt || CASE WHEN length(coalesce(response, '')) > 0 THEN '|' || response ELSE '' END) AS contents_md5,
   md5('Human: ' || prompt || chr(10) || chr(10) || 'Assistant:') AS single_turn_md5,
   md5({Q.lit(R.SECTION_QUESTION)} || prompt || {Q.lit(R.SECTION_ANSWER)} || coalesce(response, '')) AS sections_md5,
   length({Q.lit(R.SECTION_QUESTION)} || prompt || {Q.lit(R.SECTION_ANSWER)}) AS prefix_chars,
@@ -150,6 +151,7 @@ def messages_build(spark, sf_dir):
     return p.select(
         "conv_id", "turn", F.size(msgs).alias("n_messages"),
         F.array_join(F.transform(msgs, lambda m: m["role"]), "|").alias("roles"),
+        F.md5(F.array_join(F.transform(msgs, lambda m: m["content"]), "|")).alias("contents_md5"),
         F.md5(R.render_single_turn("prompt")).alias("single_turn_md5"),
         F.md5(text).alias("sections_md5"), F.length(prefix).cast("bigint").alias("prefix_chars"),
         R.training_response("response", "prompt").alias("training_response"))

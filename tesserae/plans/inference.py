@@ -37,14 +37,15 @@ def generate_responses(spark, sf_dir):
 
 
 @query("compare_models", "G7 G8 J2 P14", sql="""
-SELECT doc_id, lang AS domain, 'Final Answer: ' || length(text) AS original_response,
-       '#### ' || (length(text) - length(replace(text, 'e', ''))) AS kd_response
+SELECT doc_id, lang AS domain, 'unknown' AS difficulty, md5(text) AS prompt_md5, 'Final Answer: ' || length(text) AS original_response,
+       '#### ' || (length(text) - length(replace(text, 'e', ''))) AS kd_response, true AS timed, '' AS expected_answer, '' AS teacher_response
 FROM documents
 """)
 def compare_models(spark, sf_dir):
     models = {"original": stubs.length_model, "kd": stubs.letter_count_model("e")}
     out = INF.compare_models(items(spark, sf_dir), models, "doc_id", "prompt", BATCH)
-    return out.select("doc_id", "domain", "original_response", "kd_response")
+    return out.select("doc_id", "domain", "difficulty", F.md5("prompt").alias("prompt_md5"), "original_response", "kd_response",
+                      ((F.col("original_time") >= 0) & (F.col("kd_time") >= 0)).alias("timed"), "expected_answer", "teacher_response")
 
 
 @query("compare_models_legs", "G7 G8 J2 P14 (one stage per model, joined)", sql="""

@@ -116,6 +116,29 @@ query("distillation_loss", "L5 L6 L2", sql=_loss_sql(["kl_masked", "ce", "total"
     _loss_query(["kl_masked", "ce", "total"]))
 
 
+# ------------------------------------------------------------- L5 shift / L7 unequal lengths
+@query("kd_loss_shifted", "L5 (shift) L2 L7 (unequal lengths)", sql=f"""
+WITH {PAIRS_SQL},
+cut AS (SELECT * EXCLUDE (label), coalesce(lead(label) OVER (PARTITION BY seq_id ORDER BY pos), -100) AS label FROM p WHERE pos < 2 + seq_id % 3),
+{_lsm_sql('cut', 'teacher', T, 'ta')},{_lsm_sql('ta5', 'student', T, 'st')},{_lsm_sql('st5', 'student', 1.0, 'sc')},
+terms AS (
+  SELECT seq_id // 4 AS batch_id, label <> -100 AND attn <> 0 AS valid, CASE WHEN label <> -100 THEN -sc_logp[label + 1] END AS ce,
+    list_reduce(list_transform(ta_p, lambda x, i: x * (ta_logp[i] - st_logp[i])), lambda a, b: a + b) AS kl
+  FROM sc5)
+SELECT batch_id, count(*) AS n_positions, CAST(count_if(valid) AS BIGINT) AS n_valid, round(avg(ce), 6) AS ce,
+  round(CASE WHEN count_if(valid) > 0 THEN sum(CASE WHEN valid THEN kl END) / count_if(valid) * {T * T} ELSE 0.0 END, 6) AS kl_masked
+FROM terms GROUP BY batch_id
+""")
+def kd_loss_shifted(spark, sf_dir):
+    """Teacher sequences of two to four positions against students of four: both are cut to the shorter one, then labels are shifted."""
+    p = pairs(spark, sf_dir)
+    teacher = p.filter(F.col("pos") < 2 + F.pmod("seq_id", F.lit(3))).select("seq_id", "pos", "teacher", "label", "attn")
+    both = LO.align_positions(teacher, p.select("seq_id", "pos", "student"), ["seq_id", "pos"])
+    terms = LO.position_terms(LO.shift_labels(both, "seq_id", "pos", "label"), "teacher", "student", "label", "attn", T)
+    out = LO.kd_losses(terms.withColumn("batch_id", F.floor(F.col("seq_id") / 4).cast("long")), ["batch_id"], "seq_id", T, ALPHA)
+    return out.select("batch_id", "n_positions", "n_valid", F.round("ce", 6).alias("ce"), F.round("kl_masked", 6).alias("kl_masked"))
+
+
 # ------------------------------------------------------------- W4 / L1
 TOPK_SQL = f"""
 top AS (
