@@ -78,6 +78,8 @@ def _ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
                                                     *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("good", "bad")])
     totals = seen.where("k = 0").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("kinds")).first()
     rows = _suffixes(wanted.select("gram").distinct())
+    # rows without context look for none: the gram, longer than any context, spreads them
+    rows = rows.withColumn("h", F.when(F.col("k") == 0, F.col("gram")).otherwise(F.col("h")))
     rows = rows.join(seen.select("hx", "good", "bad"), "hx", "left").join(contexts, "h", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
     fields = F.struct("k", *[zero(f"{c}{x}") for c in ("good", "bad") for x in ("", "_all", "_kinds")])
