@@ -19,6 +19,7 @@ shingles of each, so members of different classes are joined on those."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,14 @@ from tesserae.llm.words import mix, windows, words
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 TREES, DEPTH, SMALL = 16, 6, 8
-#: Sets of a class that are counted against as many others in one task.
-COUNTED = 256
+#: Trees whose longest prefixes are verified first; what they join need not be proposed again by the others.
+EARLY = 4
+#: Sets of a class, and their shingles, that are counted against as many others in one task.
+COUNTED, COUNTED_SHINGLES = 1024, 1 << 20
 #: Shingles at a time in which the sets of two blocks are compared.
-_COLUMNS = 1 << 12
+_COLUMNS = 1 << 11
+#: Marks of ids by which texts are sifted before a join: the most rows of that broadcast.
+MARKS = 1 << 20
 #: Agreement that a candidate's signatures must have: six standard deviations below the similarity.
 SLACK = 6.0
 
@@ -138,30 +143,51 @@ def _verify(similarity: float):
     return run
 
 
+def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``base`` (rid, text) joined with ``wanted`` (rid and more).
+
+    Texts are sifted on the map side first, by the marks (a hash into MARKS
+    values, so a broadcast of bounded size) of the ids wanted; the join that
+    follows is exact and shuffles hardly any other text."""
+    mark = F.pmod(F.xxhash64("rid"), F.lit(MARKS)).cast("int")
+    marks = wanted.select(mark.alias("mark")).distinct()
+    rows = base.select("rid", "text").withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
+    return rows.join(wanted, "rid")
+
+
 def _count_links(similarity: float):
     """Of each set of two blocks (or of one): its links to sets of the other (the same) block."""
 
     def run(t: pa.Table) -> pa.Table:
         rep, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        order = np.argsort(block, kind="stable")
+        rep, block = rep[order], block[order]
+        column = t.column("shingles").combine_chunks()
+        sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in order.tolist()]
         size = np.array([len(x) for x in sets], np.int64)
         _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = n > 1
         keep = shared[col]
         col, row = (np.cumsum(shared) - 1)[col[keep]], np.repeat(np.arange(len(sets)), size)[keep]
-        order = np.argsort(col, kind="stable")
-        col, row = col[order], row[order]
-        both = np.zeros((len(sets), len(sets)))
+        by_column = np.argsort(col, kind="stable")
+        col, row = col[by_column], row[by_column]
+        # one block against the other; a block alone against itself
+        cut = int(np.searchsorted(block, block[0], "right"))
+        one, two = (slice(0, cut), slice(cut, None)) if cut < len(sets) else (slice(None), slice(None))
+        both = np.zeros((len(sets[one]), len(sets[two])), np.float32)
+        x = np.zeros((len(sets), _COLUMNS), np.float32)
         for first in range(0, int(shared.sum()), _COLUMNS):
             i, j = np.searchsorted(col, [first, first + _COLUMNS])
-            x = np.zeros((len(sets), _COLUMNS), np.float32)
             x[row[i:j], col[i:j] - first] = 1
-            both += x @ x.T
-        link = (both >= similarity * (size[:, None] + size - both)) & (both > 0)
-        np.fill_diagonal(link, False)
-        if block.min() < block.max():
-            link &= block[:, None] != block
-        return pa.Table.from_batches([batch(_DEGREES, rep, link.sum(axis=1))])
+            both += x[one] @ x[two].T
+            x[row[i:j], col[i:j] - first] = 0
+        link = (both >= similarity * (size[one][:, None] + size[two] - both)) & (both > 0)
+        if cut < len(sets):
+            found = np.r_[link.sum(axis=1), link.sum(axis=0)]
+        else:
+            np.fill_diagonal(link, False)
+            found = link.sum(axis=1)
+        return pa.Table.from_batches([batch(_DEGREES, rep, found)])
 
     return run
 
@@ -172,30 +198,35 @@ def _degrees(links: DataFrame, crowded: DataFrame, classes: DataFrame, base: Dat
     A pair of which one set is in no large group was a candidate and is in
     ``links``.  Pairs of members of large groups are of one class if they
     reach the similarity, so each class is dealt by hash into blocks of about
-    COUNTED sets and every two blocks are counted in a task of their own."""
+    COUNTED sets (fewer of large ones, COUNTED_SHINGLES together) and every two
+    blocks are counted in a task of their own."""
     members = stored(crowded.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("rid"), F.col("component").alias("class")), "members")
     for s in "ab":
         links = links.join(members.select(F.col("rid").alias(s), F.lit(1).alias(f"in_{s}")), s, "left")
     apart = links.where("in_a IS NULL OR in_b IS NULL")
     apart = apart.select(F.col("a").alias("rep")).unionByName(apart.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
-    sets = base.select("rid", "text").join(members.select("rid"), "rid").mapInArrow(_read_sets, ddl(_SETS))
-    wide = members.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > COUNTED).select("class", F.ceil(F.col("n") / COUNTED).alias("blocks"))
+    sets = stored(_texts_of(base, members.select("rid")).select("rid", "text").mapInArrow(_read_sets, ddl(_SETS)), "members_sets")
+    total = sets.select(F.col("rep").alias("rid"), (F.length("shingles") / 8).alias("n")).join(members, "rid").groupBy("class").agg(
+        F.ceil(F.greatest(F.count("*") / COUNTED, F.sum("n") / COUNTED_SHINGLES)).cast("long").alias("blocks"))
+    wide = total.where("blocks > 1")
     dealt = members.join(wide, "class", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.select(F.col("rid").alias("rep"), "class", "blocks", F.pmod(F.xxhash64("rid"), "blocks").alias("block"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "class", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    inside = (stored(sets, "members_sets").join(dealt, "rep").groupBy("class", "lo", "hi").applyInArrow(_count_links(similarity), ddl(_DEGREES)))
+    inside = (sets.join(dealt, "rep").groupBy("class", "lo", "hi").applyInArrow(_count_links(similarity), ddl(_DEGREES)))
     return inside.unionByName(apart).groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
-def _candidates(reps: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
-    """``a < b``: the pairs that the forest proposes; ``p, rep``: the large groups of the shortest prefix."""
+def _candidates(reps: DataFrame, shortest: int) -> tuple[list[DataFrame], DataFrame]:
+    """For each prefix length, from the shortest, ``a < b``: the pairs that the
+    forest proposes there, those of the longest apart for the EARLY trees, which
+    come last; ``p, rep``: the large groups of the shortest prefix."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
     rows = reps.select("rep", "signature", tree)
     prefix = [F.xxhash64("t", F.expr(f"substring(signature, t * {4 * DEPTH} + 1, {4 * k})")).alias(f"p{k}")
               for k in range(shortest, DEPTH + 1)]
-    rows = rows.select("rep", *prefix)
-    found = crowded = None
+    rows = rows.select("rep", "t", *prefix)
+    found, crowded = [], None
     for k in range(shortest, DEPTH + 1):
         p = f"p{k}"
         groups = rows.groupBy(p).agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64(p, "rep")).alias("hub")).where("n > 1")
@@ -204,12 +235,12 @@ def _candidates(reps: DataFrame, shortest: int) -> tuple[DataFrame, DataFrame]:
         if crowded is None:
             large = stored(large, "crowded")
             crowded = large.select(F.col(p).alias("p"), "rep")
-        pairs = small.select(p, F.col("rep").alias("a")).join(small.select(p, F.col("rep").alias("b")), p).where("a < b").select("a", "b")
-        hubs = large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-        pairs = pairs.unionByName(hubs)
-        found = pairs if found is None else found.unionByName(pairs)
+        pairs = small.select(p, "t", F.col("rep").alias("a")).join(small.select(p, F.col("rep").alias("b")), p).where("a < b").select("a", "b", "t")
+        pairs = pairs.unionByName(large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), "t"))
+        for part in ("t >= 0",) if k < DEPTH else (f"t >= {EARLY}", f"t < {EARLY}"):
+            found.append(pairs.where(part).select("a", "b").distinct())
         rows = large.drop(p, "n", "hub")  # longer prefixes matter only within the large groups
-    return found.distinct(), crowded
+    return found, crowded
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
@@ -220,11 +251,33 @@ def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame, similarity: fl
     likely = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
                     .mapInArrow(_agree(least), ddl(_PAIRS)), "candidates")
     wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
-    texts = stored(base.select("rid", "text").join(wanted, "rid").mapInArrow(_read_sets, ddl(_SETS)), "shingles")
+    texts = stored(_texts_of(base, wanted).mapInArrow(_read_sets, ddl(_SETS)), "shingles")
     return stored(likely.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
                   .mapInArrow(_verify(similarity), ddl(_PAIRS)), "links")
 
 
+def _climb(candidates: list[DataFrame], crowded: DataFrame, reps: DataFrame, base: DataFrame, similarity: float, of,
+           at_once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links and their classes, from the longest prefix to the shortest (or ``at_once``: the classes are the same).
+
+    The longest prefixes of a few trees, which only large groups need, are verified first.  Of
+    all other pairs those are left out whose sets both are in large
+    groups and in one class by then: they can add nothing to the classes, and
+    the links inside those classes are counted by themselves."""
+    first = functools.reduce(DataFrame.unionByName, candidates).distinct() if at_once else stored(candidates[-1], "first_pairs")
+    links = _verified(first, reps, base, similarity)
+    classes = of(links)
+    if at_once:
+        return links, classes
+    inside = crowded.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("member"), "component")
+    one, two = (inside.select(F.col("member").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
+    rest = functools.reduce(DataFrame.unionByName, candidates[:-1]).distinct() if len(candidates) > 1 else first.limit(0)
+    rest = rest.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    rest = rest.where("class_a IS NULL OR class_b IS NULL OR class_a <> class_b").select("a", "b")
+    links = links.unionByName(_verified(stored(rest, "pairs"), reps, base, similarity))
+    return links, of(links)
+
+
 def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
     """``a < b``: every pair that can reach the similarity, of different classes, in the large groups that hold several.
 
@@ -234,7 +287,8 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     named = crowded.join(classes, "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("class"))
     mixed = named.groupBy("p").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("p")
     doubtful = named.join(mixed, "p").select(F.col("rep").alias("rid"), "class").distinct()
-    rows = stored(base.select("rid", "text").join(doubtful, "rid").mapInArrow(_shingle_rows, ddl(_ROWS)), "doubtful")
+    doubtful = stored(doubtful, "doubtful_ids")
+    rows = stored(_texts_of(base, doubtful).mapInArrow(_shingle_rows, ddl(_ROWS)), "doubtful")
     count = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
     first = (rows.join(count, "shingle").withColumn("place", place)
@@ -246,15 +300,17 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     return one.join(two, "shingle").where("a < b AND class_a <> class_b").where(near & enough).select("a", "b").distinct()
 
 
-def _classes(base: DataFrame, similarity: float, recall: float, counted: bool = False) -> DataFrame:
-    """``rid, id, set_class, class`` of every row of ``base`` (rid, id, text), and ``n_links`` where ``counted``."""
+def _classes(base: DataFrame, similarity: float, recall: float, counted: bool = False, at_once: bool = False) -> DataFrame:
+    """``rid, id, set_class, class`` of every row of ``base`` (rid, id, text), and ``n_links`` where ``counted``.
+
+    ``at_once`` verifies all candidates in one round: more of them in large
+    groups, but fewer jobs, and the driver keeps fewer plans."""
     signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
     sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
     reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature"), "rep").select("rep", "signature"), "sets")
     candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall))
-    links = _verified(candidates, reps, base, similarity)
     of = lambda e: stored(components(e).select(F.col("node").alias("rep"), "component"), "classes")
-    classes = of(links)
+    links, classes = _climb(candidates, crowded, reps, base, similarity, of, at_once)
     more = _verified(_across(crowded, classes, base, similarity), reps, base, similarity)
     if not more.isEmpty():
         links = links.unionByName(more)
