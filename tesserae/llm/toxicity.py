@@ -107,14 +107,14 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return members, np.repeat(np.arange(len(lists)), sizes)
 
 
-def fit(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, swaps: Swaps, l2: float = 2e-4, counterfactual: float = 1.0,
+def fit(rows: list[list[int]] | tuple[np.ndarray, np.ndarray], label: np.ndarray, weight: np.ndarray, n: int, swaps: Swaps, l2: float = 2e-4, counterfactual: float = 1.0,
         steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam steps; ``rows``: the word indices of each text,
-    which stands for ``weight`` texts."""
-    if not len(rows) or label.min() == label.max():
+    """Weights and bias by full-batch Adam steps; ``rows``: the word indices of each text
+    (or all of them, and the text that each is of), which stands for ``weight`` texts."""
+    if not len(label) or label.min() == label.max():
         base = ((label * weight).sum() + 0.5) / (weight.sum() + 1.0)
         return np.zeros(n), math.log(base / (1 - base))
-    col, row = _flat(rows)
+    col, row = rows if isinstance(rows, tuple) else _flat(rows)
     prior = (label * weight).sum() / weight.sum()
     w, b, vw, vb = np.zeros(n), math.log(prior / (1 - prior)), np.zeros(n), 0.0
     n_swaps = len(swaps.gone)
@@ -122,7 +122,7 @@ def fit(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, sw
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        p = sigmoid(b + np.bincount(row, w[col], len(rows)))
+        p = sigmoid(b + np.bincount(row, w[col], len(label)))
         d = (p - label) * weight / weight.sum()
         gw = np.bincount(col, d[row], n) + l2 * w
         gb = d.sum()
@@ -226,7 +226,7 @@ def train(labelled: DataFrame, threshold: float = THRESHOLD, identity=IDENTITY,
     lowest = rows.select("h", "label").distinct().orderBy("h", "label").limit(n_rows).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(lowest))
     found = chosen.mapInArrow(_kept_words(names), ddl(_ROWS)).groupBy("label", "found", "h").agg(F.least(F.sum("weight"), F.lit(ONE)).alias("n"))
-    found = found.groupBy("label", "found").agg((F.sum("n") / ONE).alias("n")).orderBy("label", "found").collect()
+    found = found.groupBy("label", "found").agg((F.sum("n") / ONE).alias("n")).orderBy("label", "found").toArrow()
     near = chosen.mapInArrow(_identity_sentences(names, np.array(list(terms), np.int64)), ddl(_SENTENCES))
     parts = {name_of(t): [x for x in features_of(t) if x in at] for kind in identity for t in kind}
     swaps = Swaps()
@@ -236,8 +236,11 @@ def train(labelled: DataFrame, threshold: float = THRESHOLD, identity=IDENTITY,
         swaps.gone += [gone, gone]
         swaps.come += [come, []]
         swaps.context += [[at[x] for x in r["found"]]] * 2
-    weight, bias = fit([[at[x] for x in r["found"]] for r in found], np.array([r["label"] for r in found], float),
-                       np.array([r["n"] for r in found], float), len(names), swaps, counterfactual=counterfactual)
+    lists = found.column("found").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+    sample = np.searchsorted(names, lists.flatten().to_numpy(zero_copy_only=False)) if len(lists) else np.zeros(0, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    weight, bias = fit(sample, found.column("label").to_numpy().astype(float), found.column("n").to_numpy().astype(float), len(names), swaps,
+                       counterfactual=counterfactual)
     return Model(names, weight, bias, threshold)
 
 
@@ -270,7 +273,7 @@ def train_on(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     base = stored(identified(rows.join(known.select("doc_id"), "doc_id")), "known")
-    kin = _classes(base, SIMILARITY, RECALL).join(known.toDF("id", "label"), "id").select("rid", "class", "label")
+    kin = _classes(base, SIMILARITY, RECALL, at_once=True).join(known.toDF("id", "label"), "id").select("rid", "class", "label")
     kin = stored(kin, "kin")
     copies = kin.groupBy("class", "label").agg(F.greatest(F.lit(1), F.round(F.lit(ONE) / F.count("*"))).cast("long").alias("weight"))
     weighted = kin.join(copies, ["class", "label"]).select("rid", "label", "weight")
