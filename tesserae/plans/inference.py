@@ -173,9 +173,8 @@ def stream_generate(spark, sf_dir):
 
     base = scratch_path(spark, "stream")
     schema = table(spark, sf_dir, "documents").select("doc_id", "text").schema
-    q = generate_stream(spark, sf_dir.rstrip("/"), schema, f"{base}/out", f"{base}/checkpoint",
-                        stubs.length_model, id_col="doc_id", prompt_col="text", fmt="parquet",
-                        options={"pathGlobFilter": "documents.parquet"}, batch_size=BATCH,
+    q = generate_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema, f"{base}/out", f"{base}/checkpoint",
+                        stubs.length_model, id_col="doc_id", prompt_col="text", fmt="parquet", batch_size=BATCH,
                         render=R.render_single_turn)
     q.stop()
     return spark.read.parquet(f"{base}/out").select("doc_id", "response", "status")
@@ -191,7 +190,7 @@ def stream_retry(spark, sf_dir):
     base = scratch_path(spark, "stream-retry")
     schema = table(spark, sf_dir, "documents").select("doc_id", "text").schema
     for model in (stubs.failing_model("@"), stubs.length_model):
-        generate_stream(spark, sf_dir.rstrip("/"), schema, f"{base}/out", f"{base}/checkpoint", model, id_col="doc_id",
-                        prompt_col="text", fmt="parquet", options={"pathGlobFilter": "documents.parquet"}, batch_size=1,
+        generate_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema, f"{base}/out", f"{base}/checkpoint", model, id_col="doc_id",
+                        prompt_col="text", fmt="parquet", batch_size=1,
                         render=R.render_single_turn).stop()
     return read_answers(spark, f"{base}/out", "doc_id").select("doc_id", "response", "status", "attempt")

@@ -15,6 +15,7 @@ RocksDB provider: the state then lies on disk and in the checkpoint."""
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def answer_epoch(batch: DataFrame, folder: str, out_path: str, retry_path: str,
             again.write.mode("overwrite").parquet(retry)
 
 
+def watched(spark: SparkSession, source_path: str) -> tuple[str, dict]:
+    """The folder to stream and the reader's options: a path that is one file is that file alone in its folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source_path)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if found is None or len(found) != 1 or found[0].isDirectory():
+        return source_path, {}
+    file = found[0].getPath()
+    return file.getParent().toString(), {"pathGlobFilter": re.sub(r"([][{}*?\\\\])", r"\\\1", file.getName())}
+
+
 def generate_stream(spark: SparkSession, source_path: str, schema: T.StructType | str, out_path: str,
                     checkpoint_path: str, model_factory: ModelFactory, id_col: str = "id",
                     prompt_col: str = "prompt", fmt: str = "json", options: dict | None = None,
@@ -56,6 +67,7 @@ def generate_stream(spark: SparkSession, source_path: str, schema: T.StructType
                     available_now: bool = True, timeout_s: float | None = None, max_attempts: int = 3):
     """Start (and, with ``available_now``, run to completion) the stream.
 
+    ``source_path`` is a folder that grows (a table's own, with its part files) or one file.
     A null id fails the batch; of rows with one id the first to arrive is
     answered.  A row is tried at most ``max_attempts`` times, once a batch; with
     ``available_now`` a row that fails is tried again by the next run.  Read the
@@ -63,9 +75,10 @@ def generate_stream(spark: SparkSession, source_path: str, schema: T.StructType
     """
     out_path, retry_path = out_path.rstrip("/"), f"{checkpoint_path.rstrip('/')}-retry"
     reader = spark.readStream.schema(schema).format(fmt)
-    for k, v in (options or {}).items():
+    folder, chosen = watched(spark, source_path)
+    for k, v in {**(options or {}), **chosen}.items():
         reader = reader.option(k, v)
-    src = reader.load(source_path)
+    src = reader.load(folder)
     checked = F.when(F.col(id_col).isNull(), F.raise_error(F.lit(f"null ids in column {id_col}"))).otherwise(F.col(id_col))
     fresh = src.withColumn(id_col, checked.cast(src.schema[id_col].dataType)).dropDuplicates([id_col])
     first = fresh.withColumn(ATTEMPT, F.lit(1))

@@ -13,6 +13,8 @@ from tesserae.operators import reports as REP
 from tesserae.operators import stubs
 from tesserae.streaming import generate as G
 
+R_OF = "Human: {}\n\nAssistant:"
+
 
 def items(spark, n, bad=()):
     return spark.createDataFrame([(i, f"p{i}@" if i in bad else f"p{i}") for i in range(n)], "id long, prompt string")
@@ -184,3 +186,21 @@ def test_a_null_id_stops_the_stream(spark, tmp_path):
     drop(f"{tmp_path}/in", "a.json", [(None, "p")])
     with pytest.raises(Exception, match="null ids in column id"):
         stream(spark, tmp_path, stubs.length_model)
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_the_stream_queries_read_a_table_of_one_file_or_of_many(spark, tmp_path, parts):
+    from tesserae.plans import inference as P
+
+    rows = [(i, f"mail a@b {i}" if i % 3 == 0 else f"text {i}", "en") for i in range(12)]
+    path = tmp_path / "documents.parquet"
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang"]).to_parquet(path, index=False)
+    if parts:
+        folder = tmp_path / "many"
+        spark.read.parquet(str(path)).repartition(parts).write.parquet(str(folder / "documents.parquet"))
+        assert len(list((folder / "documents.parquet").glob("part-*"))) == parts
+        path = folder / "documents.parquet"
+    want = [(i, f"Final Answer: {len(R_OF.format(t))}", "ok") for i, t, _ in rows]
+    assert sorted(map(tuple, P.stream_generate(spark, str(path.parent)).collect())) == want
+    got = sorted(map(tuple, P.stream_retry(spark, str(path.parent)).collect()))
+    assert got == [(*w, 2 if w[0] % 3 == 0 else 1) for w in want]
