@@ -47,6 +47,9 @@ _OUT_FIELDS = [
 #: Columns that :func:`generate` adds to say how its batches ran.
 BATCH_COLUMNS = [f.name for f in _OUT_FIELDS[3:]]
 
+#: Rows in an Arrow batch: a worker holds a few copies of one, not of Spark's 10,000 rows, whatever the task reads.
+FRAME_ROWS = 500
+
 # Tasks for each core that prompts are spread over where the scan gives fewer.
 TASKS_PER_CORE = 2
 
@@ -137,6 +140,13 @@ def _runs(it: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[pd.DataFram
         yield tail.reset_index(drop=True), [0, len(tail)]
 
 
+def small_frames(spark) -> None:
+    """Let Arrow batches be of FRAME_ROWS rows at most; a model's batches may span several."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= FRAME_ROWS:  # 0 and less: no bound
+        spark.conf.set(name, str(FRAME_ROWS))
+
+
 def spread_tasks(df: DataFrame) -> int | None:
     """How many tasks to deal prompts out to, or None where the scan's own splits are enough.
 
@@ -166,6 +176,7 @@ def generate(df: DataFrame, model_factory: ModelFactory, prompt_col: str = "prom
     from tesserae.session import ship_package
 
     ship_package(df.sparkSession)
+    small_frames(df.sparkSession)
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
     key = model_key or _factory_key(model_factory)
@@ -360,6 +371,7 @@ def generate_many(df: DataFrame, models: dict[str, ModelFactory], prompt_col: st
     from tesserae.session import ship_package
 
     ship_package(df.sparkSession)
+    small_frames(df.sparkSession)
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
     keys = {m: _factory_key(f) for m, f in models.items()}

@@ -152,3 +152,31 @@ def test_batches_keep_order_and_size():
     got = [g["x"].tolist()[a:z] for g, edges in INF._batches(iter(frames), 4) for a, z in zip(edges, edges[1:])]
     assert [len(g) for g in got] == [4] * 7 + [3]
     assert [x for g in got for x in g] == list(range(31))
+
+
+@pytest.mark.parametrize("bound", ["10000", "0"])
+def test_a_worker_gets_small_frames_and_whole_batches(spark, tmp_path, bound):
+    """What a worker holds must not grow with the rows of its task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    log = str(tmp_path / "frames")
+
+    def tell(frames):
+        for f in frames:
+            with open(log, "a") as out:
+                out.write(f"{len(f)}\n")
+            yield f
+
+    try:
+        spark.conf.set(name, bound)
+        rows = spark.range(4300).select(F.col("id"), F.col("id").cast("string").alias("prompt")).coalesce(1)
+        gen = INF.generate(rows, stubs.length_model, "prompt", 700, num_partitions=0)
+        sizes = sorted((r["n"], r["count"]) for r in gen.groupBy("batch_key").agg(F.max("batch_rows").alias("n"), F.count("*").alias("count")).collect())
+        assert sizes == [(100, 100)] + [(700, 700)] * 6
+        rows.mapInPandas(tell, rows.schema).count()
+        assert max(map(int, open(log).read().split())) <= INF.FRAME_ROWS
+        spark.conf.set(name, bound)
+        INF.generate_many(rows, {"a": stubs.length_model}, "prompt", 700)
+        assert int(spark.conf.get(name)) == INF.FRAME_ROWS
+    finally:
+        spark.conf.set(name, before)
