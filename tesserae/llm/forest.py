@@ -11,7 +11,10 @@ document, until its group would exceed ``SMALL`` sets:
   one of them, drawn by hash, so a group of any size gives one candidate a
   member and a tree.
 
-Candidates whose whole signatures agree in too few places to reach the
+Each set carries a parity: of PARITY buckets of hashes, whether it has an odd
+number of shingles in each.  Sets differ in at least as many shingles as their
+parities in places, so pairs that differ in too many cannot reach the
+similarity and are never proposed.  Candidates whose whole signatures agree in too few places to reach the
 similarity are left out, the others verified on their exact sets.  Large
 groups whose members these links leave in more than one class get an exact
 join by prefix filter: two sets of that similarity share one of the rarest
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import batch, binary_parts, blocks, ddl, identified, stored, with_rid
@@ -41,13 +44,17 @@ COUNTED, COUNTED_SHINGLES = 1024, 1 << 20
 _COLUMNS = 1 << 11
 #: Marks of ids by which texts are sifted before a join: the most rows of that broadcast.
 MARKS = 1 << 20
+#: Longs of a set's parity, and their names.
+WORDS = 4
+PARITY = [f"odd{w}" for w in range(WORDS)]
 #: Agreement that a candidate's signatures must have: six standard deviations below the similarity.
 SLACK = 6.0
 
 _rng = np.random.default_rng(8)
 _FACTOR = (_rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
-_SIGNED = {"rid": pa.int64(), "id": pa.int64(), "n": pa.int64(), "set": pa.int64(), "signature": pa.binary()}
+_SIGNED = {"rid": pa.int64(), "id": pa.int64(), "n": pa.int64(), "set": pa.int64(), "signature": pa.binary(),
+           **{c: pa.int64() for c in PARITY}}
 _SETS = {"rep": pa.int64(), "shingles": pa.binary()}
 _ROWS = {"rep": pa.int64(), "class": pa.int64(), "size": pa.int64(), "shingle": pa.int64()}
 _PAIRS = {"a": pa.int64(), "b": pa.int64()}
@@ -90,13 +97,28 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(r, minlength=j - i)
             some = np.flatnonzero(n)
             name = np.zeros(j - i, np.uint64)
+            odd = np.zeros((WORDS, j - i), np.uint64)
             low = np.full((j - i, len(_FACTOR)), 0xFFFFFFFF, np.uint32)
             if len(some):
                 begin = np.r_[0, np.cumsum(n[some])[:-1]]
-                name[some] = np.add.reduceat(mix(h.copy()), begin)
+                mixed = mix(h.copy())
+                name[some] = np.add.reduceat(mixed, begin)
+                bucket = mixed % np.uint64(64 * WORDS)
+                bit = np.uint64(1) << (bucket & np.uint64(63))
+                for w in range(WORDS):
+                    odd[w, some] = np.bitwise_xor.reduceat(np.where(bucket >> np.uint64(6) == w, bit, np.uint64(0)), begin)
                 for k, f in enumerate(_FACTOR):
                     low[some, k] = np.minimum.reduceat(((h * f) >> np.uint64(32)).astype(np.uint32), begin)
-            yield batch(_SIGNED, rid[i:j], ids.slice(i, j - i), n, mix(name).view(np.int64), [x.tobytes() for x in low])
+            yield batch(_SIGNED, rid[i:j], ids.slice(i, j - i), n, mix(name).view(np.int64), [x.tobytes() for x in low],
+                        *odd.view(np.int64))
+
+
+def _near(similarity: float, a: list[Column], b: list[Column]) -> Column:
+    """Whether two sets, of which the size and the parity are given, may reach the similarity.
+
+    Sets of similarity s differ in (1 - s) / (1 + s) of the sum of their sizes."""
+    differ = functools.reduce(Column.__add__, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True)))
+    return differ <= (a[0] + b[0]) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def _agree(least: int):
@@ -217,29 +239,35 @@ def _degrees(links: DataFrame, crowded: DataFrame, classes: DataFrame, base: Dat
     return inside.unionByName(apart).groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
-def _candidates(reps: DataFrame, shortest: int) -> tuple[list[DataFrame], DataFrame]:
+def _candidates(reps: DataFrame, shortest: int, similarity: float = SIMILARITY) -> tuple[list[DataFrame], DataFrame]:
     """For each prefix length, from the shortest, ``a < b``: the pairs that the
     forest proposes there, those of the longest apart for the EARLY trees, which
     come last; ``p, rep``: the large groups of the shortest prefix."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
-    rows = reps.select("rep", "signature", tree)
+    traits = ["n_set", *PARITY]
+    rows = reps.select("rep", "signature", F.col("n").alias("n_set"), *PARITY, tree)
     prefix = [F.xxhash64("t", F.expr(f"substring(signature, t * {4 * DEPTH} + 1, {4 * k})")).alias(f"p{k}")
               for k in range(shortest, DEPTH + 1)]
-    rows = rows.select("rep", "t", *prefix)
+    rows = rows.select("rep", "t", *traits, *prefix)
     found, crowded = [], None
     for k in range(shortest, DEPTH + 1):
         p = f"p{k}"
-        groups = rows.groupBy(p).agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64(p, "rep")).alias("hub")).where("n > 1")
+        hub = [F.min_by(c, F.xxhash64(p, "rep")).alias(f"hub_{c}") for c in ("rep", *traits)]
+        groups = rows.groupBy(p).agg(F.count("*").alias("n"), *hub).where("n > 1")
         rows = rows.join(groups, p)
         small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
         if crowded is None:
             large = stored(large, "crowded")
             crowded = large.select(F.col(p).alias("p"), "rep")
-        pairs = small.select(p, "t", F.col("rep").alias("a")).join(small.select(p, F.col("rep").alias("b")), p).where("a < b").select("a", "b", "t")
-        pairs = pairs.unionByName(large.where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"), "t"))
+        a, b = (small.select(p, "t", F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in traits)) for s in "ab")
+        near = _near(similarity, *([F.col(f"{c}_{s}") for c in traits] for s in "ab"))
+        pairs = a.join(b.drop("t"), p).where("a < b").where(near).select("a", "b", "t")
+        near = _near(similarity, [F.col(c) for c in traits], [F.col(f"hub_{c}") for c in traits])
+        pairs = pairs.unionByName(large.where("hub_rep <> rep").where(near)
+                                  .select(F.least("hub_rep", "rep").alias("a"), F.greatest("hub_rep", "rep").alias("b"), "t"))
         for part in ("t >= 0",) if k < DEPTH else (f"t >= {EARLY}", f"t < {EARLY}"):
             found.append(pairs.where(part).select("a", "b").distinct())
-        rows = large.drop(p, "n", "hub")  # longer prefixes matter only within the large groups
+        rows = large.drop(p, "n", "hub_rep", *(f"hub_{c}" for c in traits))  # longer prefixes matter only within the large groups
     return found, crowded
 
 
@@ -283,7 +311,8 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
 
     In one order of all shingles, rarest first, two similar sets share one of
     the first ``size - ceil(similarity * size) + 1`` of each, and behind the
-    first that they share both have enough left to reach the similarity."""
+    first that they share both have enough left to reach the similarity.
+    Their parities are taken from the shingles as these are ordered."""
     named = crowded.join(classes, "rep", "left").select("p", "rep", F.coalesce("component", "rep").alias("class"))
     mixed = named.groupBy("p").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("p")
     doubtful = named.join(mixed, "p").select(F.col("rep").alias("rid"), "class").distinct()
@@ -291,11 +320,15 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     rows = stored(_texts_of(base, doubtful).mapInArrow(_shingle_rows, ddl(_ROWS)), "doubtful")
     count = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
-    first = (rows.join(count, "shingle").withColumn("place", place)
+    bucket = F.pmod(F.xxhash64("shingle"), F.lit(64 * WORDS)).cast("int")
+    bit = lambda w: F.when(bucket.between(64 * w, 64 * w + 63), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(shingle), {64 * WORDS}) AS INT) - {64 * w})")).otherwise(F.lit(0).cast("long"))
+    odd = {c: F.bit_xor(bit(w)).over(Window.partitionBy("rep")) for w, c in enumerate(PARITY)}
+    first = (rows.join(count, "shingle").withColumn("place", place).withColumns(odd)
              .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
-             .where("lo <> hi").select("shingle", "rep", "class", "size", (F.col("size") - F.col("place") + 1).alias("left")))
-    one, two = (first.toDF("shingle", s, *(f"{c}_{s}" for c in ("class", "size", "left"))) for s in "ab")
+             .where("lo <> hi").select("shingle", "rep", "class", "size", (F.col("size") - F.col("place") + 1).alias("left"), *PARITY))
+    one, two = (first.toDF("shingle", s, *(f"{c}_{s}" for c in ("class", "size", "left", *PARITY))) for s in "ab")
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+    near = near & _near(similarity, *([F.col(f"{c}_{s}") for c in ("size", *PARITY)] for s in "ab"))
     enough = F.least("left_a", "left_b") >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9
     return one.join(two, "shingle").where("a < b AND class_a <> class_b").where(near & enough).select("a", "b").distinct()
 
@@ -307,8 +340,8 @@ def _classes(base: DataFrame, similarity: float, recall: float, counted: bool =
     groups, but fewer jobs, and the driver keeps fewer plans."""
     signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
     sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
-    reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature"), "rep").select("rep", "signature"), "sets")
-    candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall))
+    reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature", *PARITY), "rep").select("rep", "signature", "n", *PARITY), "sets")
+    candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall), similarity)
     of = lambda e: stored(components(e).select(F.col("node").alias("rep"), "component"), "classes")
     links, classes = _climb(candidates, crowded, reps, base, similarity, of, at_once)
     more = _verified(_across(crowded, classes, base, similarity), reps, base, similarity)

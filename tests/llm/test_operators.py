@@ -296,6 +296,46 @@ def test_pairs_across_classes(spark):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
 
 
+def test_new_parts_of_many_texts_are_encoded_together(monkeypatch):
+    texts = [f"word{i} näme{i}! x{i}'s  \n{'abc' * i}" for i in range(60)] + ["", " "]
+    one, many = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path())
+    calls = []
+    learn = packing.Encoder._learn
+    monkeypatch.setattr(packing.Encoder, "_learn", lambda self, new: (calls.append(len(new)), learn(self, new))[1])
+    got = list(many.many(texts))
+    assert len(calls) == 1
+    monkeypatch.setattr(packing, "TOGETHER", 500)
+    monkeypatch.setattr(packing, "KNOWN", 100)  # remembered parts are dropped on the way
+    assert list(packing.Encoder(tokenizer_path()).many(texts)) == got == [one(t) for t in texts]
+
+
+def test_pairs_that_cannot_reach_the_similarity_are_not_proposed(spark):
+    """Members of a large group that share too few shingles are sifted by their parities; no similar pair is."""
+    from tesserae.llm.common import ddl, identified
+
+    rng = np.random.default_rng(21)
+    w = prose(71, 120, 5000).split()
+    texts = []
+    for changes in [2] * 40 + [14] * 200:
+        v = list(w)
+        for at in rng.choice(len(v), changes, replace=False):
+            v[int(at)] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(v))
+    base = identified(table(spark, texts))
+    reps = base.mapInArrow(forest._sign, ddl(forest._SIGNED)).withColumnRenamed("rid", "rep")
+    grams = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    ratio = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    found, crowded = forest._candidates(reps, 1, 0.8)
+    pairs = {(r["a"], r["b"]) for f in found for r in f.collect()}
+    # without the sift nearly all members are linked to a hub, hardly any of which is similar
+    assert pairs and sum(ratio(a, b) >= 0.7 for a, b in pairs) > len(pairs) / 2
+    alone = spark.createDataFrame([], "rep long, component long")
+    across = {(r["a"], r["b"]) for r in forest._across(crowded, alone, base, 0.8).collect()}
+    met = {r["rep"] for r in crowded.select("rep").distinct().collect()}
+    want = {(a, b) for a in met for b in met if a < b and ratio(a, b) >= 0.8}
+    assert want and want <= across and all(ratio(a, b) >= 0.6 for a, b in across)
+
+
 def test_components(spark):
     from tesserae.llm.components import components
 
