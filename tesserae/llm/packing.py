@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ SENTENCE, WITHIN, GRID = 2, 8, 32
 STRETCH = 1 << 19
 #: Parts between spaces whose ids a worker remembers before it starts anew.
 KNOWN = 700_000
+#: Characters of text whose unknown parts are encoded at once.
+TOGETHER = 1 << 20
 #: The id that ends each document.
 END = 1
 
@@ -69,15 +71,31 @@ class Encoder:
         return cls._made[path]
 
     def __call__(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        new = list(set(parts).difference(known))
+        return next(self.many([text]))
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order; the parts new in about TOGETHER characters of text are learned at once."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._ids(held)
+                held, size = [], 0
+        if held:
+            yield from self._ids(held)
+
+    def _ids(self, lines: list[list[str]]) -> Iterator[bytes]:
+        known = self.known
+        new = list(set().union(*lines).difference(known))
         if len(new) + len(known) > KNOWN:
             known.clear()
-            new = list(set(parts))
+            new = list(set().union(*lines))
         if new:
             self._learn(new)
-        return b"".join(map(known.__getitem__, parts))
-
+        for parts in lines:
+            yield b"".join(map(known.__getitem__, parts))
 
     def _learn(self, new: list[str]) -> None:
         """Encode parts not yet known: plain words together, which is faster, the others one by one."""
@@ -179,9 +197,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END, i
         ids: list[bytes] = []
         held = 0
         for b in it:
-            for name, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+            texts = (text.as_py() for text in b.column("text"))
+            for name, found in zip(b.column("id").to_pylist(), encode.many(texts), strict=True):
                 names.append(name)
-                ids.append(encode(text.as_py()) + tail)
+                ids.append(found + tail)
                 held += len(ids[-1]) // 4
                 if held >= STRETCH:
                     out, n = _pieces(names, ids, sequence, encode.ends_sentence, size)
