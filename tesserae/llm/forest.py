@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, binary_parts, blocks, ddl, identified, stored, with_rid
+from tesserae.llm.common import batch, binary_parts, blocks, ddl, identified, marked, stored, with_rid
 from tesserae.llm.components import components
 from tesserae.llm.words import mix, windows, words
 
@@ -42,8 +42,6 @@ EARLY = 4
 COUNTED, COUNTED_SHINGLES = 1024, 1 << 20
 #: Shingles at a time in which the sets of two blocks are compared.
 _COLUMNS = 1 << 11
-#: Marks of ids by which texts are sifted before a join: the most rows of that broadcast.
-MARKS = 1 << 20
 #: Longs of a set's parity, and their names.
 WORDS = 4
 PARITY = [f"odd{w}" for w in range(WORDS)]
@@ -168,13 +166,9 @@ def _verify(similarity: float):
 def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """``base`` (rid, text) joined with ``wanted`` (rid and more).
 
-    Texts are sifted on the map side first, by the marks (a hash into MARKS
-    values, so a broadcast of bounded size) of the ids wanted; the join that
-    follows is exact and shuffles hardly any other text."""
-    mark = F.pmod(F.xxhash64("rid"), F.lit(MARKS)).cast("int")
-    marks = wanted.select(mark.alias("mark")).distinct()
-    rows = base.select("rid", "text").withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
-    return rows.join(wanted, "rid")
+    Texts are sifted on the map side first, by the marks of the ids wanted; the
+    join that follows is exact and shuffles hardly any other text."""
+    return marked(base.select("rid", "text"), wanted).where("marked").drop("marked").join(wanted, "rid")
 
 
 def _count_links(similarity: float):
@@ -239,10 +233,10 @@ def _degrees(links: DataFrame, crowded: DataFrame, classes: DataFrame, base: Dat
     return inside.unionByName(apart).groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
-def _candidates(reps: DataFrame, shortest: int, similarity: float = SIMILARITY) -> tuple[list[DataFrame], DataFrame]:
+def _candidates(reps: DataFrame, shortest: int, similarity: float = SIMILARITY, early: bool = True) -> tuple[list[DataFrame], DataFrame]:
     """For each prefix length, from the shortest, ``a < b``: the pairs that the
-    forest proposes there, those of the longest apart for the EARLY trees, which
-    come last; ``p, rep``: the large groups of the shortest prefix."""
+    forest proposes there, those of the longest apart for the EARLY trees (if
+    ``early``), which come last; ``p, rep``: the large groups of the shortest prefix."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
     traits = ["n_set", *PARITY]
     rows = reps.select("rep", "signature", F.col("n").alias("n_set"), *PARITY, tree)
@@ -252,22 +246,22 @@ def _candidates(reps: DataFrame, shortest: int, similarity: float = SIMILARITY)
     found, crowded = [], None
     for k in range(shortest, DEPTH + 1):
         p = f"p{k}"
-        hub = [F.min_by(c, F.xxhash64(p, "rep")).alias(f"hub_{c}") for c in ("rep", *traits)]
-        groups = rows.groupBy(p).agg(F.count("*").alias("n"), *hub).where("n > 1")
-        rows = rows.join(groups, p)
+        # groups are counted by their prefix alone, and hubs drawn in large ones only: most rows are in no group
+        rows = stored(rows.join(rows.groupBy(p).agg(F.count("*").alias("n")).where("n > 1"), p), "groups")
         small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
         if crowded is None:
-            large = stored(large, "crowded")
             crowded = large.select(F.col(p).alias("p"), "rep")
+        hub = [F.min_by(c, F.xxhash64(p, "rep")).alias(f"hub_{c}") for c in ("rep", *traits)]
         a, b = (small.select(p, "t", F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in traits)) for s in "ab")
         near = _near(similarity, *([F.col(f"{c}_{s}") for c in traits] for s in "ab"))
-        pairs = a.join(b.drop("t"), p).where("a < b").where(near).select("a", "b", "t")
+        pairs = a.join(b, [p, "t"]).where("a < b").where(near).select("a", "b", "t")  # one shuffle serves both sides
+        rows = large.drop(p, "n")  # longer prefixes matter only within the large groups
+        large = large.join(large.groupBy(p).agg(*hub), p)
         near = _near(similarity, [F.col(c) for c in traits], [F.col(f"hub_{c}") for c in traits])
         pairs = pairs.unionByName(large.where("hub_rep <> rep").where(near)
                                   .select(F.least("hub_rep", "rep").alias("a"), F.greatest("hub_rep", "rep").alias("b"), "t"))
-        for part in ("t >= 0",) if k < DEPTH else (f"t >= {EARLY}", f"t < {EARLY}"):
+        for part in ("t >= 0",) if k < DEPTH or not early else (f"t >= {EARLY}", f"t < {EARLY}"):
             found.append(pairs.where(part).select("a", "b").distinct())
-        rows = large.drop(p, "n", "hub_rep", *(f"hub_{c}" for c in traits))  # longer prefixes matter only within the large groups
     return found, crowded
 
 
@@ -341,7 +335,7 @@ def _classes(base: DataFrame, similarity: float, recall: float, counted: bool =
     signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
     sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
     reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature", *PARITY), "rep").select("rep", "signature", "n", *PARITY), "sets")
-    candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall), similarity)
+    candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall), similarity, early=not at_once)
     of = lambda e: stored(components(e).select(F.col("node").alias("rep"), "component"), "classes")
     links, classes = _climb(candidates, crowded, reps, base, similarity, of, at_once)
     more = _verified(_across(crowded, classes, base, similarity), reps, base, similarity)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, blocks, ddl, identified, ready, stored, with_rid
+from tesserae.llm.common import batch, blocks, ddl, identified, marked, ready, stored, with_rid
 from tesserae.llm.forest import RECALL, SIMILARITY, _classes
 from tesserae.llm.words import span_names, words
 
@@ -39,7 +39,7 @@ MIN_ROWS, MIN_GAIN = 5, 20.0
 ONE = 1 << 20
 #: Bytes of the word beginnings that are features like whole words.
 STEMS = (4, 5, 6, 7)
-#: Labels of 16 bytes that are broadcast; more are joined by a shuffle.
+#: Labels of 16 bytes that are broadcast; with more, the documents that their marks leave are joined by a shuffle.
 BROADCAST_LABELS = 500_000
 THRESHOLD = 0.3
 
@@ -271,13 +271,19 @@ def train_on(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
              .where(~held_out(F.col("doc_id"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
-    base = stored(identified(rows.join(known.select("doc_id"), "doc_id")), "known")
-    kin = _classes(base, SIMILARITY, RECALL, at_once=True).join(known.toDF("id", "label"), "id").select("rid", "class", "label")
-    kin = stored(kin, "kin")
-    copies = kin.groupBy("class", "label").agg(F.greatest(F.lit(1), F.round(F.lit(ONE) / F.count("*"))).cast("long").alias("weight"))
-    weighted = kin.join(copies, ["class", "label"]).select("rid", "label", "weight")
-    return train(base.join(weighted, "rid").select("text", "label", "weight"), threshold)
+    known = stored(known, "labels")
+    few = known.count() <= BROADCAST_LABELS
+    rows = rows.join(F.broadcast(known), "doc_id") if few else marked(rows, known, "doc_id").where("marked").join(known, "doc_id")
+    base = stored(identified(rows, keep=("label",)), "known")
+    kin = stored(_classes(base, SIMILARITY, RECALL, at_once=True).join(base.select("rid", "label"), "rid").select("rid", "class", "label"), "kin")
+    # only rows that share their weight need it joined; all other texts stay where they are
+    copies = kin.groupBy("class", "label").agg(F.count("*").alias("n")).where("n > 1")
+    copies = copies.select("class", "label", F.greatest(F.lit(1), F.round(F.lit(ONE) / F.col("n"))).cast("long").alias("weight"))
+    shared = stored(kin.join(copies, ["class", "label"]).select("rid", "weight"), "shared")
+    rows = marked(base.select("rid", "text", "label"), shared)
+    alone = rows.where("NOT marked").select("text", "label", F.lit(ONE).cast("long").alias("weight"))
+    others = rows.where("marked").join(shared, "rid", "left").select("text", "label", F.coalesce("weight", F.lit(ONE)).cast("long").alias("weight"))
+    return train(alone.unionByName(others), threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

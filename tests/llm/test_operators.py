@@ -344,6 +344,30 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Links that hang on their smallest node already are neither shuffled nor written again."""
+    from tesserae.llm import components
+
+    kept = []
+    store = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: (kept.append(name), store(df, name))[1])
+    links = [(0, i) for i in range(1, 30)] + [(50, 40), (41, 40), (40, 40)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(30)} | {40: 40, 41: 40, 50: 40} and kept == ["links"]
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_marked_rows_hold_all_wanted(spark):
+    """Rows are marked by id, null and repeated ids included; of the others hardly any."""
+    from tesserae.llm.common import marked
+
+    rows = spark.createDataFrame([(i,) for i in [*range(-300, 300), 5, None]], "rid long")
+    want = {-300, -1, 0, 5, 64, 299}
+    got = [r["rid"] for r in marked(rows, spark.createDataFrame([(i,) for i in want], "rid long")).where("marked").collect()]
+    assert set(got) == want and got.count(5) == 2
+    assert marked(rows, rows.limit(0)).where("marked OR marked IS NULL").count() == 0
+
+
 def test_swapped_terms_score_alike(spark):
     """Neutral mentions of one group, seen only in toxic rows, must not make a text toxic."""
     rng = np.random.default_rng(8)
@@ -408,6 +432,31 @@ def test_training_counts_every_row(spark, monkeypatch):
     assert all(r["weight"] == toxicity.ONE for r in seen if not r["text"].startswith(BASE))
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_only_texts_that_share_a_weight_are_shuffled(spark, monkeypatch, few):
+    """Training reads the texts of rows without near copies where they are, with many labels too; every row keeps its weight."""
+    docs = [(i, f"{prose(300 + i, 60, 5000)}") for i in range(40)] + [(100 + i, BASE + f" tail{i}") for i in range(8)]
+    docs += [(7, prose(900, 60, 5000)), (None, prose(901, 60, 5000))]
+    seen, plans = [], []
+
+    def train(labelled, threshold):
+        seen.extend(labelled.collect())
+        plans.append(labelled._jdf.queryExecution().sparkPlan().toString())
+
+    monkeypatch.setattr(toxicity, "train", train)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", few)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs[:48]], "doc_id long, toxic int")
+    toxicity.train_on(table(spark, docs), labels)
+    held = {r["id"] for r in labels.select(F.col("doc_id").alias("id")).where(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert sorted((r["text"], r["label"]) for r in seen) == sorted((t, i % 2) for i, t in docs if i is not None and i not in held)
+    copies = [r for r in seen if r["text"].startswith(BASE)]
+    for label in {r["label"] for r in copies}:
+        share = [r["weight"] for r in copies if r["label"] == label]
+        assert abs(sum(share) - toxicity.ONE) <= len(share)
+    assert all(r["weight"] == toxicity.ONE for r in seen if not r["text"].startswith(BASE))
+    assert plans[0].startswith("Union") and plans[0].count("SortMergeJoin") + plans[0].count("ShuffledHashJoin") <= 1
+
+
 def test_toxicity_held_out(spark, sf001):
     """Held-out rows of a larger table: most of the toxic are caught, nearly all others left alone."""
     sf = sf001.replace("0.001", "0.1")
