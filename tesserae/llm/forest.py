@@ -278,6 +278,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame, similarity: fl
                   .mapInArrow(_verify(similarity), ddl(_PAIRS)), "links")
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """Links of every member of a class to its first: what is found later is joined to these, in few rounds."""
+    return classes.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+
+
 def _climb(candidates: list[DataFrame], crowded: DataFrame, reps: DataFrame, base: DataFrame, similarity: float, of,
            at_once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified links and their classes, from the longest prefix to the shortest (or ``at_once``: the classes are the same).
@@ -296,8 +301,8 @@ def _climb(candidates: list[DataFrame], crowded: DataFrame, reps: DataFrame, bas
     rest = functools.reduce(DataFrame.unionByName, candidates[:-1]).distinct() if len(candidates) > 1 else first.limit(0)
     rest = rest.join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
     rest = rest.where("class_a IS NULL OR class_b IS NULL OR class_a <> class_b").select("a", "b")
-    links = links.unionByName(_verified(stored(rest, "pairs"), reps, base, similarity))
-    return links, of(links)
+    more = _verified(stored(rest, "pairs"), reps, base, similarity)
+    return links.unionByName(more), of(_stars(classes).unionByName(more))
 
 
 def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
@@ -341,7 +346,7 @@ def _classes(base: DataFrame, similarity: float, recall: float, counted: bool =
     more = _verified(_across(crowded, classes, base, similarity), reps, base, similarity)
     if not more.isEmpty():
         links = links.unionByName(more)
-        classes = of(links)
+        classes = of(_stars(classes).unionByName(more))
     named = sets.join(classes, "rep", "left").select("set", "n", "rep", F.coalesce("component", "rep").alias("class"))
     if counted:
         degree = stored(_degrees(links, crowded, classes, base, similarity), "degrees")

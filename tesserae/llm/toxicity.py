@@ -39,6 +39,8 @@ MIN_ROWS, MIN_GAIN = 5, 20.0
 ONE = 1 << 20
 #: Bytes of the word beginnings that are features like whole words.
 STEMS = (4, 5, 6, 7)
+#: Bytes of text whose features a worker holds at once: five and more arrays of eight bytes a word and stem.
+SPAN = 1 << 18
 #: Labels of 16 bytes that are broadcast; with more, the documents that their marks leave are joined by a shuffle.
 BROADCAST_LABELS = 500_000
 THRESHOLD = 0.3
@@ -152,7 +154,7 @@ _SCORES = {"doc_id": pa.int64(), "score": pa.float64()}
 def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         label, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
-        for i, j, data, off in blocks(b.column("text")):
+        for i, j, data, off in blocks(b.column("text"), SPAN):
             name, _, row = features(data, off)
             order = np.lexsort((row, name))
             name, row = name[order], row[order]
@@ -169,7 +171,7 @@ def _kept_words(names: np.ndarray):
         for b in it:
             h, label, weight = (b.column(c).to_pylist() for c in ("h", "label", "weight"))
             out = []
-            for i, j, data, off in blocks(b.column("text")):
+            for i, j, data, off in blocks(b.column("text"), SPAN):
                 name, _, row = features(data, off)
                 keep = np.isin(name, names)
                 name, row = name[keep], row[keep]
@@ -185,7 +187,7 @@ def _identity_sentences(names: np.ndarray, terms: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for _, _, data, off in blocks(b.column("text")):
+            for _, _, data, off in blocks(b.column("text"), SPAN):
                 name, start, row = features(data, off)
                 stop = np.r_[0, np.cumsum(np.isin(data, np.frombuffer(b".!?\n", np.uint8)))]
                 sentence = stop[start] + row * (stop[-1] + 1)
@@ -248,7 +250,7 @@ def _scorer(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             score = np.zeros(b.num_rows)
-            for i, j, data, off in blocks(b.column("text")):
+            for i, j, data, off in blocks(b.column("text"), SPAN):
                 name, _, row = features(data, off)
                 score[i:j] = shared.value.score(name, row, j - i)
             yield batch(_SCORES, b.column("rid"), score)
