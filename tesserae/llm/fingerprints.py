@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, binary_parts, ddl, identified, lower_ascii, stored, with_rid
+from tesserae.llm.common import batch, binary_parts, ddl, identified, lower_ascii, stored, tidy, with_rid
 from tesserae.llm.words import LOWER
 
 PRIME = (1 << 31) - 1
@@ -69,7 +69,7 @@ def _prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(base: DataFrame) -> DataFrame:
     """``rid, id, sha, fp, n_bytes, part, keep, size``: each row with the kept rid and the size of its group."""
-    rows = stored(base.mapInArrow(_prints, ddl(_PRINTS)), "fingerprints")
+    rows = stored(base.mapInArrow(tidy(_prints), ddl(_PRINTS)), "fingerprints")
     twins = rows.groupBy("fp", "n_bytes").agg(F.count("*").alias("size")).where("size > 1")
     doubtful = rows.join(twins, ["fp", "n_bytes"]).select("rid", "fp", "n_bytes")
     whole = base.select("rid", "text").join(doubtful, "rid").where("n_bytes > 0")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, binary_parts, blocks, ddl, identified, marked, stored, with_rid
+from tesserae.llm.common import batch, binary_parts, blocks, ddl, identified, marked, stored, tidy, with_rid
 from tesserae.llm.components import components
 from tesserae.llm.words import mix, windows, words
 
@@ -221,7 +221,7 @@ def _degrees(links: DataFrame, crowded: DataFrame, classes: DataFrame, base: Dat
         links = links.join(members.select(F.col("rid").alias(s), F.lit(1).alias(f"in_{s}")), s, "left")
     apart = links.where("in_a IS NULL OR in_b IS NULL")
     apart = apart.select(F.col("a").alias("rep")).unionByName(apart.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
-    sets = stored(_texts_of(base, members.select("rid")).select("rid", "text").mapInArrow(_read_sets, ddl(_SETS)), "members_sets")
+    sets = stored(_texts_of(base, members.select("rid")).select("rid", "text").mapInArrow(tidy(_read_sets), ddl(_SETS)), "members_sets")
     total = sets.select(F.col("rep").alias("rid"), (F.length("shingles") / 8).alias("n")).join(members, "rid").groupBy("class").agg(
         F.ceil(F.greatest(F.count("*") / COUNTED, F.sum("n") / COUNTED_SHINGLES)).cast("long").alias("blocks"))
     wide = total.where("blocks > 1")
@@ -271,11 +271,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, base: DataFrame, similarity: fl
     places = len(_FACTOR)
     least = max(1, int(places * similarity - SLACK * (places * similarity * (1 - similarity)) ** 0.5))
     likely = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
-                    .mapInArrow(_agree(least), ddl(_PAIRS)), "candidates")
+                    .mapInArrow(tidy(_agree(least)), ddl(_PAIRS)), "candidates")
     wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
-    texts = stored(_texts_of(base, wanted).mapInArrow(_read_sets, ddl(_SETS)), "shingles")
+    texts = stored(_texts_of(base, wanted).mapInArrow(tidy(_read_sets), ddl(_SETS)), "shingles")
     return stored(likely.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-                  .mapInArrow(_verify(similarity), ddl(_PAIRS)), "links")
+                  .mapInArrow(tidy(_verify(similarity)), ddl(_PAIRS)), "links")
 
 
 def _stars(classes: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def _across(crowded: DataFrame, classes: DataFrame, base: DataFrame, similarity:
     mixed = named.groupBy("p").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("p")
     doubtful = named.join(mixed, "p").select(F.col("rep").alias("rid"), "class").distinct()
     doubtful = stored(doubtful, "doubtful_ids")
-    rows = stored(_texts_of(base, doubtful).mapInArrow(_shingle_rows, ddl(_ROWS)), "doubtful")
+    rows = stored(_texts_of(base, doubtful).mapInArrow(tidy(_shingle_rows), ddl(_ROWS)), "doubtful")
     count = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
     bucket = F.pmod(F.xxhash64("shingle"), F.lit(64 * WORDS)).cast("int")
@@ -337,7 +337,7 @@ def _classes(base: DataFrame, similarity: float, recall: float, counted: bool =
 
     ``at_once`` verifies all candidates in one round: more of them in large
     groups, but fewer jobs, and the driver keeps fewer plans."""
-    signed = stored(base.mapInArrow(_sign, ddl(_SIGNED)), "signatures")
+    signed = stored(base.mapInArrow(tidy(_sign), ddl(_SIGNED)), "signatures")
     sets = signed.where("n > 0").groupBy("set", "n").agg(F.min("rid").alias("rep"))
     reps = stored(sets.join(signed.select(F.col("rid").alias("rep"), "signature", *PARITY), "rep").select("rep", "signature", "n", *PARITY), "sets")
     candidates, crowded = _candidates(reps, shortest_prefix(similarity, recall), similarity, early=not at_once)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, ddl, ready
+from tesserae.llm.common import KEPT, batch, ddl, let_go, ready, tidy
 
 SIZE = 2048
 #: Penalties, in tokens of padding, and the step of the spare nodes.
@@ -52,8 +52,6 @@ class Encoder:
     For tokenizers that split at white space and drop it: a text's ids are
     those of its parts between spaces and newlines, each encoded once."""
 
-    _made: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -66,9 +64,9 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        if path not in KEPT:
+            KEPT[path] = cls(path)
+        return KEPT[path]
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
@@ -206,7 +204,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END, i
                     out, n = _pieces(names, ids, sequence, encode.ends_sentence, size)
                     yield out
                     sequence, names, ids, held = sequence + n, [], [], 0
+                    let_go()
         if names:
             yield _pieces(names, ids, sequence, encode.ends_sentence, size)[0]
 
-    return rows.mapInArrow(run, ddl(_PIECES))
+    return rows.mapInArrow(tidy(run, keep=True), ddl(_PIECES))

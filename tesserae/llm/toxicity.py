@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import batch, blocks, ddl, identified, marked, ready, stored, with_rid
+from tesserae.llm.common import batch, blocks, ddl, identified, marked, ready, stored, tidy, with_rid
 from tesserae.llm.forest import RECALL, SIMILARITY, _classes
 from tesserae.llm.words import span_names, words
 
@@ -218,7 +218,7 @@ def train(labelled: DataFrame, threshold: float = THRESHOLD, identity=IDENTITY,
     totals = rows.groupBy("label").agg((F.sum("weight") / ONE).alias("n")).collect()
     n1, n0 = (next((r["n"] for r in totals if r["label"] == k), 0) for k in (1, 0))
     terms = {name_of(t): name_of(kind[(i + 1) % len(kind)]) for kind in identity for i, t in enumerate(kind)}
-    counts = rows.mapInArrow(_word_counts, ddl(_COUNTS)).groupBy("name").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = rows.mapInArrow(tidy(_word_counts), ddl(_COUNTS)).groupBy("name").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     # chi-square of presence against the label
     a, c = F.col("n1") / ONE, F.col("n0") / ONE
     gain = F.pow(a * (n0 - c) - c * (n1 - a), F.lit(2)) * (n1 + n0) / ((a + c) * (n1 + n0 - a - c + 1) * float(max(1, n1 * n0)))
@@ -227,9 +227,9 @@ def train(labelled: DataFrame, threshold: float = THRESHOLD, identity=IDENTITY,
     at = {x: k for k, x in enumerate(names.tolist())}
     lowest = rows.select("h", "label").distinct().orderBy("h", "label").limit(n_rows).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(lowest))
-    found = chosen.mapInArrow(_kept_words(names), ddl(_ROWS)).groupBy("label", "found", "h").agg(F.least(F.sum("weight"), F.lit(ONE)).alias("n"))
+    found = chosen.mapInArrow(tidy(_kept_words(names)), ddl(_ROWS)).groupBy("label", "found", "h").agg(F.least(F.sum("weight"), F.lit(ONE)).alias("n"))
     found = found.groupBy("label", "found").agg((F.sum("n") / ONE).alias("n")).orderBy("label", "found").toArrow()
-    near = chosen.mapInArrow(_identity_sentences(names, np.array(list(terms), np.int64)), ddl(_SENTENCES))
+    near = chosen.mapInArrow(tidy(_identity_sentences(names, np.array(list(terms), np.int64))), ddl(_SENTENCES))
     parts = {name_of(t): [x for x in features_of(t) if x in at] for kind in identity for t in kind}
     swaps = Swaps()
     for r in near.orderBy(F.xxhash64("term", "found"), "term").limit(n_sentences).collect():
@@ -296,7 +296,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     Without labels every score is one half."""
     model = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, threshold))
     base = docs.select(F.col("doc_id").cast("long").alias("rid"), F.col("text"))
-    scored = base.mapInArrow(_scorer(model), ddl(_SCORES))
+    scored = base.mapInArrow(tidy(_scorer(model)), ddl(_SCORES))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -305,5 +305,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, threshold))
     rows = with_rid(docs)
-    bad = rows.select("rid", "text").mapInArrow(_scorer(model), ddl(_SCORES)).where(F.col("score") >= threshold)
+    bad = rows.select("rid", "text").mapInArrow(tidy(_scorer(model)), ddl(_SCORES)).where(F.col("score") >= threshold)
     return rows.join(bad.select(F.col("doc_id").alias("rid")), "rid", "left_anti").select("row.*")

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter as Bag
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, fingerprints, forest, packing, passages, repeats, token_count, toxicity, url_filter, warc
+from tesserae.llm import common, decontaminate, fingerprints, forest, packing, passages, repeats, token_count, toxicity, url_filter, warc
 from tesserae.llm.queries import QUERIES, digest_pieces, tokenizer_path
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -692,3 +693,24 @@ def test_awkward_tables(spark, name):
         assert sum(r["n_removed"] == r["n_bytes"] and r["n_bytes"] > 100 for r in rows) == 2  # the copies of BASE
     assert OPERATORS[name](docs.limit(0), bench, labels.limit(0)).collect() == []
     OPERATORS[name](docs, bench.limit(0), labels.limit(0)).collect()
+
+
+def test_workers_let_go_of_what_packing_kept(spark):
+    """A worker's known parts stay for further tasks of packing and go with the first task of another operator."""
+    docs = table(spark, [BASE, prose(5, 50)]).coalesce(1)
+
+    def kept(keep):
+        def run(it):
+            for b in it:
+                yield common.batch({"n": pa.int64()}, [len(common.KEPT)] * b.num_rows)
+
+        return [r["n"] for r in docs.select("doc_id").mapInArrow(common.tidy(run, keep), "n long").collect()]
+
+    for _ in range(8):  # a worker may be another one each time
+        packing.pack(docs, tokenizer_path()).collect()
+        if kept(keep=True)[0]:
+            break
+    else:
+        pytest.skip("no worker was used twice")
+    assert not any(kept(keep=False)[0] for _ in range(8))
+    assert [len(r["ids"]) for r in packing.pack(docs, tokenizer_path()).collect()]
