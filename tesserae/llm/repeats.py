@@ -333,18 +333,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     of ``identified``.  ``length``: 32 to 255."""
     if not 2 * QGRAM <= length <= 255:
         raise ValueError("length must be from 32 to 255")
-    base = identified(docs, id_col, text_col)
+    base = identified(docs, id_col, text_col).where("rid IS NOT NULL")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = F.shiftleft("at", 8).bitwiseOR(F.col("n").cast("long")).alias("run")
     found = _refined(base.select("rid", "text").mapInArrow(_map_runs(length), ddl(_RUNS)), _RUNS, width)
     first = stored(found.select("kind", "rid", run), "runs")
     asked = first.where("kind = 2").groupBy("rid").agg(F.collect_list("run").alias("asked"))
-    pieces = _refined(base.join(asked, "rid").select("rid", "text", "asked").mapInArrow(_map_pieces(length), ddl(_PIECES)), _PIECES, width)
+    # the same columns of the same rows as in the last join, so that one shuffle of the texts serves both
+    mixed = base.select("rid", "id", "text").join(asked, "rid")
+    pieces = _refined(mixed.mapInArrow(_map_pieces(length), ddl(_PIECES)), _PIECES, width)
     windows = pieces.withColumn("kind", F.when(F.col("kind") == 3, 0).otherwise(F.col("kind"))).withColumn("name", F.lit(0).cast("long"))
     windows = windows.select(*_RUNS)  # the name of a window is its bucket alone
     last = _refined(windows, _RUNS, width).where("kind = 1").select("rid", run)
     gone = first.where("kind = 1").select("rid", "run").unionByName(last).groupBy("rid").agg(F.collect_list("run").alias("asked"))
-    return base.join(gone, "rid", "left").mapInArrow(_remove(length), ddl(_KEPT))
+    return base.select("rid", "id", "text").join(gone, "rid", "left").mapInArrow(_remove(length), ddl(_KEPT))
 
 
 def digest(removed: DataFrame) -> DataFrame:

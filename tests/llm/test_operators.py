@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter as Bag
 
@@ -695,6 +696,40 @@ def test_awkward_tables(spark, name):
     OPERATORS[name](docs, bench.limit(0), labels.limit(0)).collect()
 
 
+def test_suffix_dedup_shuffles_the_texts_once(spark):
+    """Both joins with the texts read one shuffle, and the answer is that of the rule."""
+    texts = [(7, BASE), (8, "x " + BASE), (9, BASE[:150] + prose(3, 40)), (10, None), (11, prose(4, 60)), (12, prose(4, 60))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.remove_repeats(table(spark, texts))
+        rows = sorted(found.collect(), key=lambda r: r["rid"])
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan
+    same_as_rule(rows, [(i, (t or "").encode()) for i, t in texts], repeats.LENGTH)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """What was shuffled for a scratch table goes once it is written."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getPath() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    rows = common.stored(spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    left, until = files() - before, time.monotonic() + 20
+    while left and time.monotonic() < until:
+        time.sleep(0.2)
+        left = files() - before
+    assert not left
+    assert sum(r["count"] for r in rows.collect()) == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_workers_let_go_of_what_packing_kept(spark):
     """A worker's known parts stay for further tasks of packing and go with the first task of another operator."""
     docs = table(spark, [BASE, prose(5, 50)]).coalesce(1)
