@@ -14,13 +14,16 @@ shuffle; a task holds one stretch at a time."""
 
 from __future__ import annotations
 
+import json
 import re
+import string
 from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,28 +35,55 @@ SIZE = 2048
 SENTENCE, WITHIN, GRID = 2, 8, 32
 #: Tokens packed as one line (more if a single document has more).
 STRETCH = 1 << 19
-#: Parts between spaces whose ids a worker remembers before it starts anew.
+#: Words and signs whose ids a worker remembers before it starts anew.
 KNOWN = 700_000
-#: Characters of text whose unknown parts are encoded at once.
-TOGETHER = 1 << 20
+#: Characters of text whose parts are looked up at once.
+TOGETHER = 1 << 21
 #: The id that ends each document.
 END = 1
 
-#: Letters and then signs (no apostrophe): one or two words to the tokenizer.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{-~]*").fullmatch
+_LETTERS = "".join(c for c in map(chr, range(0x100)) if re.fullmatch("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
+#: ASCII's, without the apostrophe, which may begin a word.
+_SIGNS = "".join(c for c in string.punctuation if c != "'")
+_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
+_PLAIN = re.compile(f"[{_LETTERS}]*[{re.escape(_SIGNS)}]*").fullmatch
+
+#: A tokenizer's rules by which letters, in lower case, and signs are words of their own.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
 
 _PIECES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(),
            "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes seven times as long
+
+
+def _spread(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the items ``at`` in a line, and where each one's end there; ``ends``: where each item's end in ``ids``."""
+    size = np.diff(ends, prepend=0)[at]
+    upto = np.cumsum(size)
+    place = np.repeat(ends[at] - upto, size)
+    place += np.arange(len(place))
+    return ids[place], upto
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
     For tokenizers that split at white space and drop it: a text's ids are
-    those of its parts between spaces and newlines, each encoded once."""
+    those of its parts between spaces and newlines, each encoded once.  With
+    the rules of ``_RULES``, the ids of letters and then signs are those of the
+    lower-cased letters and those of the signs, and letters need no rules."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
@@ -61,6 +91,16 @@ class Encoder:
         names = [(self.tokenizer.id_to_token(i) or "").removesuffix("</w>") for i in range(size)]
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.ends_sentence = np.array([n.endswith((".", "!", "?")) for n in names])
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.parted = all(rules.get(k) == v for k, v in _RULES.items()) and not any(
+            _PLAIN(t["content"]) for t in rules["added_tokens"])
+        #: For words of ASCII letters and for others.
+        self.words = [self.tokenizer, self.tokenizer]
+        if self.parted:
+            space, as_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.words = [Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)]
+            self.words[0].pre_tokenizer, self.words[1].pre_tokenizer = space, pre_tokenizers.Sequence([space, as_bytes])
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,43 +112,63 @@ class Encoder:
         return next(self.many([text]))
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text, in order; the parts new in about TOGETHER characters of text are learned at once."""
-        held: list[list[str]] = []
+        """The ids of each text, in order; the parts of about TOGETHER characters of text are looked up at once."""
+        held: list[str] = []
         size = 0
         for text in texts:
-            held.append(text.replace("\n", " ").split(" "))
-            size += len(text)
+            held.append(text)
+            size += len(text) + 1
             if size >= TOGETHER:
                 yield from self._ids(held)
                 held, size = [], 0
         if held:
             yield from self._ids(held)
 
-    def _ids(self, lines: list[list[str]]) -> Iterator[bytes]:
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = parts.values.dictionary_encode()
+        ids, ends = _spread(*self._of_parts(coded.dictionary), coded.indices.to_numpy())
+        stop = ends[parts.offsets.to_numpy()[1:] - 1].tolist()
+        del parts, coded, ends
+        for a, z in zip([0, *stop], stop, strict=False):
+            yield ids[a:z].tobytes()
+
+    def _of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different parts in a line, and where each one's end."""
+        if not self.parted:
+            return self._look_up(_strings(parts))
+        signs = pc.utf8_ltrim(parts, _LETTERS)
+        plain = pc.and_(pc.equal(pc.utf8_rtrim(signs, _SIGNS), ""), pc.less(pc.binary_length(signs), pc.binary_length(parts)))
+        word = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(parts, _SIGNS)), parts).dictionary_encode()
+        rest = pc.if_else(plain, signs, "").dictionary_encode()
+        at = np.stack([word.indices.to_numpy(), rest.indices.to_numpy() + len(word.dictionary)], axis=1)
+        ids, ends = _spread(*self._look_up(_strings(word.dictionary) + _strings(rest.dictionary)), at.ravel())
+        return ids, ends[1::2]
+
+    def _look_up(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        new = list(set().union(*lines).difference(known))
-        if len(new) + len(known) > KNOWN:
-            known.clear()
-            new = list(set().union(*lines))
+        ids = list(map(known.get, strings))
+        new = list(dict.fromkeys(s for s, found in zip(strings, ids, strict=True) if found is None))
         if new:
+            if len(new) + len(known) > KNOWN:
+                known.clear()
             self._learn(new)
-        for parts in lines:
-            yield b"".join(map(known.__getitem__, parts))
+            ids = [known[s] if found is None else found for s, found in zip(strings, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode parts not yet known: plain words together, which is faster, the others one by one."""
-        plain = [p for p in new if _PLAIN(p)]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            last = np.cumsum([2 - p[-1].isalpha() for p in plain])
-            if len(ends) == last[-1]:
-                stop = (ends[last - 1] * 4).tolist()
-                line = ids.tobytes()
-                self.known.update(zip(plain, (line[a:z] for a, z in zip([0, *stop], stop, strict=False)), strict=True))
-                new = [p for p in new if p not in self.known]
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = array("I", e.ids).tobytes()
+        """Encode strings not yet known: words of letters together, which is faster, the others one by one."""
+        words = [s for s in new if _WORD(s)]
+        for some, tokenizer in zip(([w for w in words if w.isascii()], [w for w in words if not w.isascii()]), self.words, strict=True):
+            if some:
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                stop = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+                if len(stop) == len(some):
+                    line = ids.tobytes()
+                    self.known.update(zip(some, (line[a:z] for a, z in zip([0, *stop], stop, strict=False)), strict=True))
+        new = [s for s in new if s not in self.known]
+        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[s] = array("I", e.ids).tobytes()
 
 
 def nodes(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
@@ -191,21 +251,25 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END, i
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = Encoder.of(tokenizer), array("I", [end_id]).tobytes()
         sequence = TaskContext.get().partitionId() << 40
-        names: list = []
+        names: list = []  # of the texts read, from the first that is not yet packed
         ids: list[bytes] = []
         held = 0
-        for b in it:
-            texts = (text.as_py() for text in b.column("text"))
-            for name, found in zip(b.column("id").to_pylist(), encode.many(texts), strict=True):
-                names.append(name)
-                ids.append(found + tail)
-                held += len(ids[-1]) // 4
-                if held >= STRETCH:
-                    out, n = _pieces(names, ids, sequence, encode.ends_sentence, size)
-                    yield out
-                    sequence, names, ids, held = sequence + n, [], [], 0
-                    let_go()
-        if names:
+
+        def texts() -> Iterator[str]:
+            for b in it:
+                names.extend(b.column("id").to_pylist())
+                yield from (text.as_py() for text in b.column("text"))
+
+        for found in encode.many(texts()):
+            ids.append(found + tail)
+            held += len(ids[-1]) // 4
+            if held >= STRETCH:
+                out, n = _pieces(names, ids, sequence, encode.ends_sentence, size)
+                yield out
+                del names[:len(ids)]
+                sequence, ids, held = sequence + n, [], 0
+                let_go()
+        if ids:
             yield _pieces(names, ids, sequence, encode.ends_sentence, size)[0]
 
     return rows.mapInArrow(tidy(run, keep=True), ddl(_PIECES))

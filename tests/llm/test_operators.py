@@ -1,6 +1,7 @@
 """Each operator against a plain version of its rule, on small tables and on awkward ones."""
 
 import hashlib
+import json
 import math
 import re
 import time
@@ -311,6 +312,42 @@ def test_new_parts_of_many_texts_are_encoded_together(monkeypatch):
     assert list(packing.Encoder(tokenizer_path()).many(texts)) == got == [one(t) for t in texts]
 
 
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    """A word's capitals and the signs behind it need no encoding of their own; across batches it is encoded once."""
+    from tokenizers import Tokenizer
+
+    texts = ["Word word, WORD! (word)", "word; Ärger ärger.\nÄRGER!!! wörd's", "σΣ Σας. İ e\u0301! <|ENDOFTEXT|> word<|endoftext|>.", "", " , "]
+    learned = []
+    learn = packing.Encoder._learn
+    monkeypatch.setattr(packing.Encoder, "_learn", lambda self, new: (learned.extend(new), learn(self, new))[1])
+    encode, t = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for _ in range(2):
+        for text, ids in zip(texts, encode.many(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(learned) == len(set(learned))
+    assert {"word", "ärger", ",", "!", "!!!", ";", "."} <= set(learned)
+    assert not {"Word", "word,", "WORD!", "word;", "Ärger", "ärger.", "ÄRGER!!!"} & set(learned)
+
+
+def test_tokenizers_with_other_rules_encode_parts_whole(tmp_path):
+    """Without the rules by which letters and signs part, no part is lower-cased or cut."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"]["normalizers"].pop()  # keeps capitals
+    plain = tmp_path / "cased.json"
+    plain.write_text(json.dumps(rules))
+    rules["normalizer"] = None
+    rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"  # keeps signs with words
+    whole = tmp_path / "whole.json"
+    whole.write_text(json.dumps(rules))
+    texts = ["Word word, WORD! wörd", "WÖRD... a's"]
+    for path in (str(plain), str(whole)):
+        encode, t = packing.Encoder(path), Tokenizer.from_file(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode.many(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_pairs_that_cannot_reach_the_similarity_are_not_proposed(spark):
     """Members of a large group that share too few shingles are sifted by their parities; no similar pair is."""
     from tesserae.llm.common import ddl, identified
